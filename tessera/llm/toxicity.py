@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ FOLD[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
 def features(column: pa.Array):
     """Sorted distinct feature numbers of each text: hashed words and their beginnings."""
-    for w in chunks(column, FOLD):
+    for w in chunks(pc.utf8_lower(column), FOLD):
         wide = w.data.astype(np.uint64) + np.uint64(1)
         parts = [w.h] + [ranges(wide, w.starts, np.minimum(w.starts + n, w.ends), BYTE_BASE_2) for n in PREFIXES]
         ids = np.stack([(h >> np.uint64(64 - 18)).astype(np.int32) for h in parts], 1)
