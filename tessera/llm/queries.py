@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, embeddings, minhash, substrings, toxicity
+from tessera.llm import decontaminate, embeddings, minhash, substrings, toxicity, warc
 from tessera.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -30,5 +34,5 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.strip_repeats(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_toxicity, op6_decontamination, op7_embedding_codes, op8_substring_dedup, op10_minhash_forest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_toxicity, op5_warc, op6_decontamination, op7_embedding_codes, op8_substring_dedup, op10_minhash_forest)}
 ORACLES: dict[str, str] = {}
