@@ -206,7 +206,8 @@ def links(docs: DataFrame, edges: DataFrame) -> DataFrame:
     clusters = cut(components(edges), "clusters")
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = clusters.join(sizes, "component").select("node", F.col("component").alias("cluster"), block_pairs("node", "size", BLOCK).alias("pairs"))
-    texts = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("node"))
+    # the same join at every size: broadcast members would not stay small
+    texts = docs.select("doc_id", "text").join(members.hint("merge"), F.col("doc_id") == F.col("node"))
     dealt = texts.select("cluster", F.explode("pairs").alias("p"), "doc_id", "text").select("cluster", "p.i", "p.j", "doc_id", "text")
     key = ["cluster", "i", "j"]
     return dealt.repartition(shuffle_width(spark), *key).sortWithinPartitions(*key).mapInArrow(_confirm, "a long, b long")
@@ -225,7 +226,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = full.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     firsts = full.groupBy("fp").agg(F.min_by("paths", "doc_id").alias("paths"), F.min("doc_id").alias("doc_id"))
     linked = cut(components(cut(links(docs, candidate_edges(firsts)), "links")), "components")
-    of_class = classes.join(linked, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # written, so that the last join stands on two exchanges of its own and a class with many copies can be split
+    of_class = cut(classes.join(linked, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "classes")
     out = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(of_class, "fp", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
