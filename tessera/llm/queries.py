@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, embeddings, minhash, substrings, toxicity, warc
+from tessera.llm import decontaminate, embeddings, minhash, substrings, token_counts, toxicity, warc
 from tessera.llm.common import read_table
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.edited_counts(read_table(spark, sf_dir, "documents"), token_counts.review_edits())
+
+
 def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,5 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.strip_repeats(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_toxicity, op5_warc, op6_decontamination, op7_embedding_codes, op8_substring_dedup, op10_minhash_forest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_toxicity, op5_warc, op6_decontamination, op7_embedding_codes, op8_substring_dedup, op9_token_counts, op10_minhash_forest)}
 ORACLES: dict[str, str] = {}
