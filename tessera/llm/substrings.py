@@ -55,6 +55,15 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(blob, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint64)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Equal places of all numbers together, so that the block codec takes out the bytes that are always zero."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+
+
+def _numbers(blob: bytes, kind) -> np.ndarray:
+    return np.frombuffer(blob, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
 def _by_shard(keys: np.ndarray, bits: int):
     """(shard, slice) over keys sorted by shard, their high bits."""
     shard = (keys >> np.uint64(bits)).astype(np.int64)
@@ -140,19 +149,24 @@ def _likely(shards: int):
         rows = []
         for s, part in _by_shard(shard, 0):
             a, b, d, i, n = (c[part] for c in cols)
-            rows.append((s, p, a.tobytes(), b.tobytes(), d.tobytes(), i.astype(np.uint32).tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes()))
+            rows.append((s, p, *map(_planes, (a, b, d, i.astype(np.uint32), np.minimum(n, 255).astype(np.uint8)))))
         return _rows(rows, _exact_schema)
 
     return likely
 
 
-FOUND = "p int, h1 binary, h2 binary, doc binary, at binary"
-_found_schema = pa.schema([("p", pa.int32()), *((c, pa.binary()) for c in ("h1", "h2", "doc", "at"))])
-_kinds = {"h1": np.uint64, "h2": np.uint64, "doc": np.int64, "at": np.uint32, "n": np.uint8}
+FOUND = "p int, h1 binary, tag binary, doc binary, at binary"
+_found_schema = pa.schema([("p", pa.int32()), *((c, pa.binary()) for c in ("h1", "tag", "doc", "at"))])
+_kinds = {"h1": np.uint64, "h2": np.uint64, "tag": np.uint32, "doc": np.int64, "at": np.uint32, "n": np.uint8}
 
 
 def _columns(table: pa.Table, names: list[str]) -> list[np.ndarray]:
-    return [np.concatenate([np.frombuffer(x, _kinds[c]) for x in table[c].to_pylist()] or [np.zeros(0, _kinds[c])]) for c in names]
+    return [np.concatenate([_numbers(x, _kinds[c]) for x in table[c].to_pylist()] or [np.zeros(0, _kinds[c])]) for c in names]
+
+
+def _tag(h2: np.ndarray) -> np.ndarray:
+    """What a group is told of the second fingerprint: with the first, 96 bits tell its windows apart."""
+    return (h2 >> np.uint64(32)).astype(np.uint32)
 
 
 def _exact(table: pa.Table) -> pa.Table:
@@ -167,7 +181,7 @@ def _exact(table: pa.Table) -> pa.Table:
         i, hit = _look(k1, k2, h1[a : a + size], h2[a : a + size])
         if hit.any():
             i = i[hit]
-            rows.append((p, k1[i].tobytes(), k2[i].tobytes(), first[i].tobytes(), start[i].tobytes()))
+            rows.append((p, *map(_planes, (k1[i], _tag(k2[i]), first[i], start[i]))))
         a += size
     return _rows(rows, _found_schema)
 
@@ -191,14 +205,14 @@ def _look(k1, k2, h1, h2):
 
 def _removed(texts: pa.Table, found: pa.Table):
     """(index, mask of removed words) for each text of a group."""
-    k1, k2, first, start = _columns(found, ["h1", "h2", "doc", "at"])
+    k1, k2, first, start = _columns(found, ["h1", "tag", "doc", "at"])
     order = np.lexsort((k2, k1))
     k1, k2, first, start = k1[order], k2[order], first[order], start[order].astype(np.int64)
     ids = _ids(texts)
     for w, at, h1, h2 in _windows(texts, len(k1) > 0):
         gone = np.zeros(len(w.h) + 1, np.int32)
         if len(k1) and len(at):
-            i, hit = _look(k1, k2, h1, h2)
+            i, hit = _look(k1, k2, h1, _tag(h2))
             text = np.searchsorted(w.bounds, at, "right") - 1
             later = hit & ((first[i] != ids[w.first + text]) | (start[i] != at - w.bounds[text]))
             np.add.at(gone, at[later], 1)
