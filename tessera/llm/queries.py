@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, embeddings, licences, minhash, substrings, token_counts, toxicity, warc
+from tessera.llm import decontaminate, embeddings, licences, lm, minhash, substrings, token_counts, toxicity, warc
 from tessera.llm.common import read_table
 
 
@@ -22,6 +22,10 @@ def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(read_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -42,5 +46,5 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.strip_repeats(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_licence_scan, op4_toxicity, op5_warc, op6_decontamination, op7_embedding_codes, op8_substring_dedup, op9_token_counts, op10_minhash_forest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_licence_scan, op3_context_mixing, op4_toxicity, op5_warc, op6_decontamination, op7_embedding_codes, op8_substring_dedup, op9_token_counts, op10_minhash_forest)}
 ORACLES: dict[str, str] = {"op2_licence_scan": licences.sql()}
