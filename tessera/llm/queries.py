@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, embeddings, licences, lm, minhash, substrings, token_counts, toxicity, warc
+from tessera.llm import decontaminate, embeddings, licences, lm, minhash, mixture, substrings, token_counts, toxicity, warc
 from tessera.llm.common import read_table
 
 
@@ -18,6 +18,11 @@ def op10_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return mixture.mix(docs, mixture.language_and_quality(docs, read_table(spark, sf_dir, "labels")), mixture.TARGETS)
+
+
 def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read_table(spark, sf_dir, "documents"))
 
@@ -46,5 +51,5 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.strip_repeats(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_licence_scan, op3_context_mixing, op4_toxicity, op5_warc, op6_decontamination, op7_embedding_codes, op8_substring_dedup, op9_token_counts, op10_minhash_forest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixture, op2_licence_scan, op3_context_mixing, op4_toxicity, op5_warc, op6_decontamination, op7_embedding_codes, op8_substring_dedup, op9_token_counts, op10_minhash_forest)}
 ORACLES: dict[str, str] = {"op2_licence_scan": licences.sql()}
