@@ -42,7 +42,7 @@ class Counter:
             if len(self.known) + len(new) > MOST_CACHED:
                 self.known = {}
                 new = list(set(pieces))
-            self.known.update(zip(new, map(len, self.bpe.encode_ordinary_batch(new, num_threads=1)), strict=True))
+            self.known.update(zip(new, map(len, map(self.bpe.encode_ordinary, new)), strict=True))
         return np.fromiter(map(self.known.__getitem__, pieces), np.int32, len(pieces))
 
 
