@@ -21,11 +21,10 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh_path, groups_for
+from tessera.llm.common import fresh_path
 
 #: Payloads of at least so many bytes are stored once and revisited.
 LEAST_SHARED = 1000
-ARCHIVE_BYTES, LEAST_ARCHIVES = 16 << 20, 12
 WARC_DATE = "2024-01-01T00:00:00Z"
 END = b"\r\n\r\n"
 STEP = 1 << 20
@@ -60,10 +59,9 @@ def record_text(page_id, url, body, digest, size, refers_to):
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Write pages as archives of one gzip stream each, of about ARCHIVE_BYTES of payload."""
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0]
+    """Write pages as archives of one gzip stream each, one a task: as large as Spark makes its partitions."""
     rows = with_revisits(pages).select(record_text(*(F.col(c) for c in ("page_id", "url", "body", "digest", "bytes", "refers_to"))).alias("value"))
-    rows.repartition(groups_for(total, ARCHIVE_BYTES, LEAST_ARCHIVES)).write.option("compression", "gzip").option("lineSep", END.decode()).text(path)
+    rows.write.option("compression", "gzip").option("lineSep", END.decode()).text(path)
 
 
 def records(pieces):
@@ -119,7 +117,7 @@ def inflated(content) -> object:
 
 
 def member(data: bytes) -> bytes:
-    c = zlib.compressobj(1, zlib.DEFLATED, 31)
+    c = zlib.compressobj(6, zlib.DEFLATED, 31)
     return c.compress(data) + c.flush()
 
 
