@@ -250,7 +250,7 @@ def pair_assessment(spark, sf_dir):
     return rows.select("key", "id", F.round("name_similarity", 9).alias("name_similarity"), "alternate_name_match", "location_match", "strength", F.round("match_confidence", 9).alias("match_confidence"), "match_method", "postal_match", "status")
 
 
-@query(f"{_RESOLVED} SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY match_confidence DESC, id) AS place FROM judged QUALIFY place <= 3")
+@query(f"{_RESOLVED} SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY match_confidence DESC, id)::INTEGER AS place FROM judged QUALIFY place <= 3")
 def best_matches(spark, sf_dir):
     return resolution.best_first(_resolved(spark, sf_dir)[1]).filter("place <= 3").select("key", "id", "place")
 
@@ -384,12 +384,12 @@ def score_thresholds(spark, sf_dir):
     return verify.thresholds(scored(spark, sf_dir), [50, 55, 60, 65, 70, 80])
 
 
-@query(f"WITH {SCORES}, r AS (SELECT score, row_number() OVER (ORDER BY score DESC, id) - 1 AS at, count(*) OVER () AS n FROM labelled) SELECT f::DOUBLE AS fraction, score FROM r, (SELECT unnest([0.5, 0.9, 0.95, 0.99]) AS f) WHERE at = floor((n - 1) * (1 - f::DOUBLE))")
+@query(f"WITH {SCORES}, r AS (SELECT score, row_number() OVER (ORDER BY score DESC, id) - 1 AS pos, count(*) OVER () AS n FROM labelled) SELECT f::DOUBLE AS fraction, score FROM r, (SELECT unnest([0.5, 0.9, 0.95, 0.99]) AS f) WHERE pos = floor((n - 1) * (1 - f::DOUBLE))")
 def score_percentiles(spark, sf_dir):
     return verify.percentiles(scored(spark, sf_dir), [0.5, 0.9, 0.95, 0.99])
 
 
-@query(f"WITH {SCORES}, r AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS place, count(*) OVER (PARTITION BY score) AS tied FROM labelled) SELECT id, score, place, tied FROM r WHERE place BETWEEN 98 AND 102")
+@query(f"WITH {SCORES}, r AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS place, count(*) OVER (PARTITION BY score) AS tied FROM labelled) SELECT id, score, place, tied FROM r WHERE place BETWEEN 98 AND 102")
 def rank_neighbourhood(spark, sf_dir):
     return verify.around_rank(scored(spark, sf_dir).select("id", "score"), 100).select("id", "score", "place", "tied")
 
@@ -437,10 +437,10 @@ def integrity_unique(spark, sf_dir):
     return table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("keys"))
 
 
-@query("SELECT event_id FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE ts <= b")
+@query("SELECT event_id FROM (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE value <= b")
 def keyset_order(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", F.col("event_id").alias("ordinal"))
-    return verify.in_order(rows, "ts", "user_id").select("event_id")
+    rows = table(spark, sf_dir, "events").select("event_id", "value", "user_id", F.col("event_id").alias("ordinal"))
+    return verify.in_order(rows, "value", "user_id").select("event_id")
 
 
 @query()
