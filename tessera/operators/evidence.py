@@ -64,12 +64,12 @@ def aggregate(rows: DataFrame, key: str, attributes: str, signals: list[Signal])
 
 
 def check_rows(rows: DataFrame) -> None:
-    """Raise for rows without key or name, with an unreadable time, or without a positive row number; one aggregation."""
+    """Raise for rows without key or name, with a time that can't be read, or without a positive row number; one aggregation."""
     c = F.col
     bad = rows.agg(
         F.count_if(F.coalesce(F.trim(c("source_key")), F.lit("")) == "").alias("key"),
         F.count_if(F.coalesce(F.trim(c("name")), F.lit("")) == "").alias("name"),
-        F.count_if(c("observed_at").try_cast("timestamp").isNull()).alias("observed_at"),
+        F.count_if(c("observed_at").isNotNull() & c("observed_at").try_cast("timestamp").isNull()).alias("observed_at"),
         F.count_if(~F.coalesce(c("source_row_number") > 0, F.lit(False))).alias("source_row_number"),
     ).first()
     wrong = [k for k, n in bad.asDict().items() if n]
