@@ -8,8 +8,9 @@ sum by what was seen at such sums before. The sum of the bits' logs is the text'
 its bytes the bits per byte.
 
 All counts come from all training texts: word counts exactly, by hash shards; predictor tables of fixed size as
-sums of the tasks' tables. Only the mixing weights are fitted, online, on a bounded sample of training texts, with
-each event's own count taken out. Texts are dealt into groups; a group asks the shards for its rare words only.
+sums of the tasks' tables. Mixing weights and refinement are fitted on all training texts too, with each event's own
+count taken out: each task finds its best weights and how sure they are, and the driver gets the sums of both, of
+fixed size. Texts are dealt into groups; a group asks the shards for its rare words only.
 """
 
 from __future__ import annotations
@@ -28,8 +29,7 @@ from tessera.llm.words import LOWER, chunks, mix, text_buffers
 
 TOP = 1 << 14  #: words in the prefix code at most
 GROUP_CHARS, LEAST_GROUPS = 8 << 20, 96
-#: The mixing weights are fitted on so many training texts at most, none longer than this many characters.
-FIT_ROWS, FIT_CHARS = 200, 1 << 15
+FIT_TOKENS, FIT_WORDS = 1 << 17, 1 << 13  #: tokens, and words to spell, that a task fits at a time
 END = np.uint64(0x5851F42D4C957F2D)
 WORD_TABLES, BYTE_TABLES = (16, 20, 20, 20), (20, 18, 20, 20, 20)  #: log2 of each table's slots, for each context
 COMMON, FREQUENT = 64, 1024  #: so many of the most frequent words make contexts: the last ones of them seen, and the word before
@@ -416,30 +416,42 @@ def bits_of(y: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.log1p(np.exp(np.clip(np.where(bits > 0, -y, y), -80, 80))) * np.float32(1 / math.log(2))
 
 
-def fit_mixer(x: np.ndarray, gate: np.ndarray, place: np.ndarray, bits: np.ndarray, rate: float = 0.02, step: int = 4096) -> Mixer:
-    """Weights by online gradient steps of coding cost, then what is seen at each mixed value."""
-    w = np.zeros((GATES, len(x) + 1), np.float32)
-    w[:, : len(x)] = 1 / len(x)
-    square = np.full_like(w, 1e-3)
-    for again in range(3):
-        for a in range(0, len(bits), step):
-            s = slice(a, a + step)
-            ones = np.vstack([x[:, s], np.ones((1, len(bits[s])), np.float32)])
-            y = (w[gate[s]].T * ones).sum(0)
-            error = bits[s] - 1 / (1 + np.exp(-np.clip(y, -30, 30)))
-            g = np.stack([np.bincount(gate[s], error * o, GATES) for o in ones], 1) / np.maximum(np.bincount(gate[s], minlength=GATES), 1)[:, None]
-            square = 0.99 * square + 0.01 * g**2
-            w += (rate / (1 + again)) * (g / np.sqrt(square + 1e-8)).astype(np.float32)
-    y = w[gate, -1] + sum(w[gate, k] * x[k] for k in range(len(x)))
-    low, part = _bins(y)
-    centre = np.linspace(-REACH, REACH, BINS)
-    seen = np.zeros((2, 32 * BINS))
-    for bin_, share in ((low, 1 - part), (low + 1, part)):
-        for b in (0, 1):
-            seen[b] += np.bincount((place.astype(np.int64) * BINS + bin_)[bits == b], share[bits == b], 32 * BINS)
-    prior = 1 / (1 + np.exp(-np.tile(centre, 32)))
-    refined = np.log((seen[1] + 8 * prior) / (seen[0] + 8 * (1 - prior)))
-    return Mixer(np.ascontiguousarray(w.T), refined.reshape(32, BINS).astype(np.float32))
+PRIOR, STEP = 4.0, 0.5  #: how sure the even weights are, in events; the most that a weight moves in one step
+
+
+class Fit:
+    """Weights of a mixer, the best ones for what a task has seen so far, and the curvature of the cost there."""
+
+    def __init__(self, n: int):
+        self.first = np.tile(np.append(np.full(n, 1 / n), 0.0), (GATES, 1))
+        self.w, self.sure = self.first.copy(), np.tile(PRIOR * np.eye(n + 1), (GATES, 1, 1))
+        self.met = np.zeros(GATES, bool)
+
+    def learn(self, x: list[np.ndarray], gate: np.ndarray, bits: np.ndarray):
+        """Newton steps of coding cost, a gate at a time, from the weights so far and held to them by their sureness."""
+        gate = gate.astype(np.int16)
+        order = np.argsort(gate, kind="stable")
+        ones = bits[order].astype(np.float32)
+        every = np.stack([*(one[order] for one in x), np.ones(len(order), np.float32)])
+        cuts = np.searchsorted(gate[order], np.arange(GATES + 1))
+        for g in np.flatnonzero(np.diff(cuts)):
+            part = slice(cuts[g], cuts[g + 1])
+            inputs_, before_, sure = every[:, part], self.w[g], self.sure[g]
+            w = before_.copy()
+            for _ in range(2 if self.met[g] else 8):
+                p = 1 / (1 + np.exp(-np.clip(w.astype(np.float32) @ inputs_, -30, 30)))
+                curve = (inputs_ * (p * (1 - p))) @ inputs_.T
+                w += np.clip(np.linalg.solve(sure + curve, inputs_ @ (ones[part] - p) - sure @ (w - before_)), -STEP, STEP)
+            self.w[g], self.sure[g], self.met[g] = w, sure + curve, True
+
+    def sums(self) -> list[np.ndarray]:
+        """What adds up over tasks: curvature, and curvature times weights, without the even weights' part."""
+        return [self.sure - PRIOR * np.eye(self.w.shape[1]), np.einsum("gij,gj->gi", self.sure, self.w) - PRIOR * self.first]
+
+
+def _weights(n: int, curve: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    none = Fit(n)
+    return np.linalg.solve(none.sure + curve, (PRIOR * none.first + pull)[:, :, None])[:, :, 0]
 
 
 def _place(t: Tokens, i: np.ndarray) -> np.ndarray:
@@ -455,29 +467,100 @@ def _unlike(t: Tokens, place: np.ndarray, common: np.ndarray):
     return keys, back, (t.words.data, t.words.starts[i], t.words.ends[i], common[place[first]])
 
 
-def _small(x: list[np.ndarray], gate: np.ndarray, e: Events):
-    return np.stack(x), gate.astype(np.int16), e.place.astype(np.int16), e.bits
+def _fitting(model, batches):
+    """(kind, inputs, gates, events) of all texts, a bounded number of events at a time; own counts are taken out.
+    Rare words are spelled as often as _learn counted them: once a task."""
+    words, code, tables = model
+    at, seen = _offsets(), np.zeros(0, np.uint64)
+    for batch in batches:
+        for t in tokens(batch.column(0)):
+            symbol = symbols(t.h, words)
+            context = before(t, code.rank[symbol])
+            for a in range(0, len(symbol), FIT_TOKENS):
+                s = slice(a, a + FIT_TOKENS)
+                e = word_events(symbol[s], *(c[s] for c in context), code)
+                yield 0, *inputs(tables, at["w"], e, True), e
+            w = t.words
+            rare, i = np.unique(w.h, return_index=True)
+            new = (symbols(rare, words) == len(words)) & ~np.isin(rare, seen, assume_unique=True)
+            seen = np.union1d(seen, rare[new]) if len(seen) < MOST_HELD else rare[new]
+            i = i[new]
+            for a in range(0, len(i), FIT_WORDS):
+                j = i[a : a + FIT_WORDS]
+                e = byte_events(w.data, w.starts[j], w.ends[j], context[0][_place(t, j)])
+                yield 1, *inputs(tables, at["b"], e, True), e
+
+
+SUMS, PART_SUMS = "part int, sums binary", 1 << 12
+
+
+def _parts(arrays: list[np.ndarray]) -> pa.RecordBatch:
+    flat = np.concatenate([np.ravel(x).astype(np.float64) for x in arrays])
+    cuts = range(0, len(flat), PART_SUMS)
+    return pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([flat[a : a + PART_SUMS].tobytes() for a in cuts], pa.binary())], names=["part", "sums"])
+
+
+def _add_parts(batches):
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x = np.frombuffer(blob, np.float64)
+            sums[p] = sums[p] + x if p in sums else x
+    for p, x in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["part", "sums"])
+
+
+def _added(tasks: DataFrame, shapes: list[tuple]) -> list[np.ndarray]:
+    """Sums of the tasks' arrays of these shapes, added up by the executors."""
+    sizes = [math.prod(x) for x in shapes]
+    flat = np.zeros(sum(sizes))
+    width = min(shuffle_width(tasks.sparkSession), -(-len(flat) // PART_SUMS))
+    for r in tasks.repartition(width, "part").mapInArrow(_add_parts, SUMS).collect():  # of fixed size
+        x = np.frombuffer(r.sums, np.float64)
+        flat[PART_SUMS * r.part : PART_SUMS * r.part + len(x)] = x
+    return [x.reshape(shape) for x, shape in zip(np.split(flat, np.cumsum(sizes)[:-1]), shapes, strict=True)]
+
+
+INPUTS = (len(WORD_TABLES), len(BYTE_TABLES))
+
+
+def _fit_weights(model):
+    def run(batches):
+        fits = [Fit(n) for n in INPUTS]
+        for kind, x, gate, e in _fitting(model.value, batches):
+            fits[kind].learn(x, gate, e.bits)
+        yield _parts([x for f in fits for x in f.sums()])
+
+    return run
+
+
+def _refine(model, weights):
+    def run(batches):
+        seen = np.zeros((len(INPUTS), 2, 32 * BINS))
+        for kind, x, gate, e in _fitting(model.value, batches):
+            w = weights[kind]
+            y = w[-1][gate]
+            for k, one in enumerate(x):
+                y += w[k][gate] * one
+            low, part = _bins(y)
+            at = (e.bits.astype(np.int64) * 32 + e.place) * BINS + low
+            for bin_, share in ((at, 1 - part), (at + 1, part)):
+                seen[kind] += np.bincount(bin_, share, 64 * BINS).reshape(2, -1)
+        yield _parts([seen])
+
+    return run
 
 
-def fit(texts: pa.Array, words: np.ndarray, code: Code, tables: np.ndarray) -> tuple[Mixer, Mixer]:
-    at, found = _offsets(), {"w": [], "b": []}
-    for t in tokens(texts):
-        symbol = symbols(t.h, words)
-        context = before(t, code.rank[symbol])
-        e = word_events(symbol, *context, code)
-        found["w"].append(_small(*inputs(tables, at["w"], e, True), e))
-        e = byte_events(*_unlike(t, np.flatnonzero(symbol == len(words)), context[0])[2])
-        found["b"].append(_small(*inputs(tables, at["b"], e, True), e))
-    out = []
-    for kind in "wb":
-        if found[kind]:
-            x, gate, place, bits = zip(*found[kind], strict=True)
-            x = np.concatenate(x, axis=1)
-            gate, place, bits = map(np.concatenate, (gate, place, bits))
-        else:
-            x, gate, place, bits = np.zeros((len(at[kind]), 0), np.float32), *(np.zeros(0, np.int16) for _ in range(3))
-        out.append(fit_mixer(x, gate, place, bits))
-    return out[0], out[1]
+def fit(docs: DataFrame, words: np.ndarray, code: Code, tables: np.ndarray) -> list[Mixer]:
+    """Mixers of word bits and of byte bits, from all texts of docs: first the weights, then what is seen at each mixed value."""
+    model = docs.sparkSession.sparkContext.broadcast((words, code, tables))
+    texts = docs.select("text")
+    sums = _added(texts.mapInArrow(_fit_weights(model), SUMS), [s for n in INPUTS for s in ((GATES, n + 1, n + 1), (GATES, n + 1))])
+    weights = [np.ascontiguousarray(_weights(n, *sums[2 * k : 2 * k + 2]).T.astype(np.float32)) for k, n in enumerate(INPUTS)]
+    (seen,) = _added(texts.mapInArrow(_refine(model, weights), SUMS), [(len(INPUTS), 2, 32 * BINS)])
+    model.destroy()
+    prior = 1 / (1 + np.exp(-np.tile(np.linspace(-REACH, REACH, BINS), 32)))
+    return [Mixer(w, np.log((n[1] + 8 * prior) / (n[0] + 8 * (1 - prior))).reshape(32, BINS).astype(np.float32)) for w, n in zip(weights, seen, strict=True)]
 
 
 # ---- scoring
@@ -496,8 +579,7 @@ def train(docs: DataFrame, counts: DataFrame) -> Model:
     v = vocabulary(counts)
     code = prefix_code(np.append(v.n, max(v.total - int(v.n.sum()), 0)))
     tables = predictor_tables(docs, v.h, code)
-    sample = docs.filter(F.length("text") <= FIT_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(FIT_ROWS).toArrow()["text"]
-    return Model(v, code, tables, *fit(sample.combine_chunks() if sample.num_chunks != 1 else sample.chunk(0), v.h, code, tables))
+    return Model(v, code, tables, *fit(docs, v.h, code, tables))
 
 
 ASKED = "shard int, p int, words binary"

@@ -260,6 +260,28 @@ def test_language_model(spark):
     assert lm.scores(corpus(spark, rows).filter("false")).count() == 0
 
 
+def test_language_model_fits_long_texts(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choices([f"w{k}" for k in range(900)], [1 / (k + 1) for k in range(900)], k=12000)) + f" only{i}") for i in range(4)]
+    assert all(len(t) > 1 << 15 for _, t in rows)
+    docs = corpus(spark, rows).repartition(3)
+    v = lm.vocabulary(lm.word_counts(docs, 4), 300)
+    code = lm.prefix_code(np.append(v.n, max(v.total - int(v.n.sum()), 0)))
+    tables = lm.predictor_tables(docs, v.h, code)
+    mixers = lm.fit(docs, v.h, code, tables)
+    even = lm.Fit(len(lm.WORD_TABLES)).first.T
+    assert np.abs(mixers[0].weights - even).max() > 0.1
+    # every training text has its part: other weights without the last one, and fewer bits than with even weights
+    fewer = lm.fit(docs.filter("doc_id < 3"), v.h, code, tables)
+    assert np.abs(fewer[0].weights - mixers[0].weights).max() > 1e-3
+    cost = {"fitted": 0.0, "even": 0.0}
+    for kind, x, gate, e in lm._fitting((v.h, code, tables), docs.select("text").toArrow().to_batches()):
+        if not kind:
+            for name, m in (("fitted", mixers[0]), ("even", lm.Mixer(even.astype(np.float32), np.tile(np.linspace(-lm.REACH, lm.REACH, lm.BINS, dtype=np.float32), (32, 1))))):
+                cost[name] += float(lm.bits_of(lm.mixed(m, x, gate, e.place), e.bits).sum())
+    assert cost["fitted"] < 0.99 * cost["even"]
+
+
 def test_mixture(spark):
     r = random.Random(4)
     own = {d: [f"{d}{k}" for k in range(40)] for d in ("a", "b", "c")}
