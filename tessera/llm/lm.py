@@ -150,7 +150,7 @@ def word_counts(train: DataFrame, shards: int) -> DataFrame:
 
 
 class Vocabulary(NamedTuple):
-    """Frequent words, sorted, with their exact counts; totals over all training tokens."""
+    """Frequent words and the end, sorted, with their exact counts; totals over all training tokens."""
 
     h: np.ndarray
     n: np.ndarray
@@ -169,21 +169,22 @@ def vocabulary(counts: DataFrame, top: int = TOP) -> Vocabulary:
         if room >= 0:
             least = k
     if least is None:
-        return Vocabulary(np.array([END]), np.array([0]), int(sums[0] or 0), int(sums[1] or 0), int(once))
+        least = 1 << 20  # no class: only the end
 
     def frequent(batches):
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n = numbers(b, np.int64)
-                keep = size_class(n) >= least
-                yield pa.RecordBatch.from_arrays([pa.array(numbers(a, np.uint64)[keep].view(np.int64)), pa.array(n[keep])], names=["h", "n"])
+                h = numbers(a, np.uint64)
+                keep = (size_class(n) >= least) | (h == END)
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep])], names=["h", "n"])
 
-    got = counts.select("words", "counts").mapInArrow(frequent, "h long, n long").toArrow()  # at most `top` rows
+    got = counts.select("words", "counts").mapInArrow(frequent, "h long, n long").toArrow()  # at most `top` rows and the end
     h, n = got["h"].to_numpy().view(np.uint64), got["n"].to_numpy()
-    if END not in h:
+    if END not in h:  # no texts
         h, n = np.append(h, END), np.append(n, 0)
     order = np.argsort(h)
-    return Vocabulary(h[order], n[order], int(sums[0]), int(sums[1]), int(once))
+    return Vocabulary(h[order], n[order], int(sums[0] or 0), int(sums[1] or 0), int(once))
 
 
 class Code(NamedTuple):

@@ -260,6 +260,16 @@ def test_language_model(spark):
     assert lm.scores(corpus(spark, rows).filter("false")).count() == 0
 
 
+def test_language_model_counts_the_end(spark):
+    # more distinct words than have a code, all as rare as the end itself
+    rows = [(0, " ".join(f"w{k}" for k in range(20000))), (2, "w1 w1 other")]
+    got = {x.doc_id: x for x in lm.scores(corpus(spark, rows), lambda c: c == 0).collect()}
+    n, v = 20001, 20001
+    share = lambda c: math.log10((c + 1) / (n + v + 1))
+    assert [(got[i].n_tokens, got[i].n_known, got[i].train_tokens) for i in (0, 2)] == [(20001, 20001, n), (4, 3, n)]
+    assert got[0].base_score == pytest.approx(20001 * share(1)) and got[2].base_score == pytest.approx(3 * share(1) + share(0))
+
+
 def test_language_model_fits_long_texts(spark):
     r = random.Random(6)
     rows = [(i, " ".join(r.choices([f"w{k}" for k in range(900)], [1 / (k + 1) for k in range(900)], k=12000)) + f" only{i}") for i in range(4)]
