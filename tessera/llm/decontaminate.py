@@ -1,6 +1,8 @@
 """Benchmark passages in documents by spaced-seed hashes and verified, substitution-tolerant overlaps.
 
-A mask lists the token places that a seed reads; the others may differ. Seeds of the benchmark set bits of
+A mask lists the token places that a seed reads; the others may differ. Each class of item lengths has masks
+of its own, so that every overlap that the verifier accepts has a seed, wherever the differing tokens are (a
+test goes through all patterns). Items too short for a substitution are sought exactly. Seeds of the benchmark set bits of
 a filter of fixed size; one pass over the documents keeps the stretches around seeds that pass it. Seeds
 are then joined exactly, and each diagonal (document place less item place) is verified on the tokens:
 `SPAN` tokens in line, or a whole shorter item, of which at least `SHARE` agree.
@@ -17,10 +19,16 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut
 from tessera.llm.words import LOWER, WORD_BASE, chunks, mix, powers
 
-MASKS = ("110110101011", "111001011101", "101111010011")
-WIDTH = len(MASKS[0])
 SPAN, SHARE = 20, 0.8
-SHORTEST_ITEM = 8
+#: Masks of items of so many tokens or more: 1, 2, 3 and 4 of the least number of tokens may differ.
+MASKS = {
+    8: ("111011", "11111"),
+    10: ("111011", "11010011", "11111"),
+    15: ("1111011", "11010001011", "10001100111", "1100010100011"),
+    SPAN: ("11110111", "1110000010111", "110010100000111", "100100110010011", "11000101110001"),
+}
+EXACT_BELOW = min(MASKS)  #: shorter items have to agree in all tokens
+WIDTH = max(len(m) for x in MASKS.values() for m in x)
 FILTER_BITS = 1 << 23  #: a megabyte, whatever the benchmark's size
 
 # letters, digits and bytes above ASCII make tokens
@@ -28,12 +36,20 @@ FOLD = LOWER.copy()
 FOLD[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
 
-def _seed(h: np.ndarray, at: np.ndarray, mask: int, width: int) -> np.ndarray:
-    """Seeds of a mask, cut to width tokens, at token places `at`."""
+def masks_of(n: int) -> list[tuple[int, str]]:
+    """(number, mask) of the seeds of items of n tokens; a shorter item than EXACT_BELOW is one seed of all its tokens."""
+    if n < EXACT_BELOW:
+        return [(n, "1" * n)] if n else []
+    least = max(k for k in MASKS if k <= n)
+    return [(64 * least + k, m) for k, m in enumerate(MASKS[least])]
+
+
+def _seed(h: np.ndarray, at: np.ndarray, number: int, mask: str) -> np.ndarray:
+    """Seeds of a mask at token places `at`."""
     up = powers(WORD_BASE, WIDTH + 1)[0]
-    out = np.full(len(at), mask * 64 + width + 1, np.uint64)
-    for i in range(width):
-        if MASKS[mask][i] == "1":
+    out = np.full(len(at), number + 1, np.uint64)
+    for i, reads in enumerate(mask):
+        if reads == "1":
             out += h[at + i] * up[i + 1]
     return mix(out)
 
@@ -53,13 +69,12 @@ def _item_seeds(batches):
             for i in range(len(w.bounds) - 1):
                 h = w.h[w.bounds[i] : w.bounds[i + 1]]
                 n = len(h)
-                if n < SHORTEST_ITEM or ids[w.first + i] is None:
+                if ids[w.first + i] is None:
                     continue
-                width = min(WIDTH, n)
-                at = np.arange(n - width + 1)
-                for mask in range(len(MASKS)):
-                    for k, (a, s) in enumerate(zip(at.tolist(), _seed(h, at, mask, width).view(np.int64).tolist(), strict=True)):
-                        rows.append((ids[w.first + i], n, s, a, h.view(np.int64).tolist() if mask == k == 0 else None))
+                for j, (number, mask) in enumerate(masks_of(n)):
+                    at = np.arange(n - len(mask) + 1)
+                    for k, (a, s) in enumerate(zip(at.tolist(), _seed(h, at, number, mask).view(np.int64).tolist(), strict=True)):
+                        rows.append((ids[w.first + i], n, s, a, h.view(np.int64).tolist() if j == k == 0 else None))
         cols = zip(*rows, strict=True) if rows else [[]] * 5
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["item_id", "n", "h", "at", "tokens"])
@@ -69,21 +84,20 @@ STRETCHES = "doc_id long, start int, tokens array<long>, seeds array<struct<h:lo
 _seed_type = pa.struct([("h", pa.int64()), ("at", pa.int32())])
 
 
-def _stretches(bits: np.ndarray, widths: list[int]):
+def _stretches(bits: np.ndarray, masks: list[tuple[int, str]]):
     def scan(batches):
         for batch in batches:
             ids, out = batch.column(0), []
             for w in chunks(pc.utf8_lower(batch.column(1)), FOLD):
                 hits, seeds = [], []
                 left = np.repeat(w.bounds[1:], np.diff(w.bounds)) - np.arange(len(w.h))
-                for width in widths:
-                    at = np.flatnonzero(left >= width)
-                    for mask in range(len(MASKS)):
-                        s = _seed(w.h, at, mask, width)
-                        b = _bit(s)
-                        hit = (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
-                        hits.append(at[hit])
-                        seeds.append(s[hit])
+                for number, mask in masks:
+                    at = np.flatnonzero(left >= len(mask))
+                    s = _seed(w.h, at, number, mask)
+                    b = _bit(s)
+                    hit = (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
+                    hits.append(at[hit])
+                    seeds.append(s[hit])
                 at, s = np.concatenate([*hits, np.zeros(0, np.int64)]), np.concatenate([*seeds, np.zeros(0, np.uint64)])
                 if not len(at):
                     continue
@@ -115,7 +129,7 @@ def _aligned(a: np.ndarray, b: np.ndarray, shift: int, whole: int):
         return None
     same = a[lo + shift : hi + shift] == b[lo:hi]
     sums = np.concatenate(([0], np.cumsum(same)))
-    good = np.flatnonzero(sums[need:] - sums[:-need] >= SHARE * need)
+    good = np.flatnonzero(sums[need:] - sums[:-need] >= (SHARE * need if whole >= EXACT_BELOW else need))
     if not len(good):
         return None
     first, last = int(good[0]), int(good[-1]) + need
@@ -143,8 +157,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Wants docs (doc_id, text) and benchmark (item_id, text). first_word and end_word bound, in the document's
     tokens, all verified windows of the item; agreeing counts equal tokens on the best diagonal. Null texts
-    hold nothing, null ids are left out, items of fewer than 8 tokens are not looked for. Repeated ids are one
-    document or item. No rows on either side give no rows.
+    hold nothing, null ids are left out, items of fewer than 8 tokens are looked for exactly, those without tokens
+    not at all. Repeated ids are one document or item. No rows on either side give no rows.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     seeds = cut(items.mapInArrow(_item_seeds, SEEDS), "seeds")
@@ -153,11 +167,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     words = seeds.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(h & 63 as int))")).alias("v")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[words["w"].to_numpy()] = words["v"].to_numpy()
-    widths = [r[0] for r in seeds.select(F.least("n", F.lit(WIDTH))).distinct().collect()]
+    masks = sorted({m for r in seeds.select(F.least("n", F.lit(SPAN))).distinct().collect() for m in masks_of(r[0])})
     filter_bytes = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
 
     def scan(batches):
-        return _stretches(filter_bytes.value, sorted(widths))(batches)
+        return _stretches(filter_bytes.value, masks)(batches)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     found = cut(texts.mapInArrow(scan, STRETCHES), "stretches")

@@ -1,6 +1,7 @@
 """The text operators against brute force, and their rules for nulls, ties, repeats, empty tables and other columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -150,6 +151,32 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(corpus(spark, rows), bench.filter("false")).count() == 0
 
 
+def test_seeds_of_every_overlap():
+    for n in range(8, decontaminate.SPAN + 1):
+        masks = [[i for i, c in enumerate(m) if c == "1"] for _, m in decontaminate.masks_of(n)]
+        places = [{i + at for i in m} for m in masks for at in range(n - m[-1])]
+        differ = max(k for k in range(n) if n - k >= decontaminate.SHARE * n)
+        assert all(any(p.isdisjoint(off) for p in places) for off in itertools.combinations(range(n), differ)), n
+
+
+def test_decontamination_of_short_and_bent_items(spark):
+    r = random.Random(10)
+    say = lambda n: [f"w{r.randint(0, 5000)}" for _ in range(n)]
+    items = {n: say(n) for n in (1, 2, 5, 7, 8, 12, 16, 20)}
+    rows, want = [], []
+    for n, item in items.items():
+        differ = max(k for k in range(n) if n - k >= decontaminate.SHARE * n) if n >= 8 else 0
+        for off in r.sample(list(itertools.combinations(range(n), differ)), min(math.comb(n, differ), 40)) + [tuple(range(differ))]:
+            rows.append((len(rows), " ".join(say(30) + ["y" if i in off else w for i, w in enumerate(item)] + say(30))))
+            want.append((rows[-1][0], n))
+    rows.append((len(rows), " ".join(say(30) + ["y", *items[7][1:]] + say(30))))
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()] + [(99, "")], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(corpus(spark, rows), bench).collect()}
+    text = dict(rows)
+    assert set(want) <= got and (rows[-1][0], 7) not in got
+    assert all(f" {' '.join(items[n])} " in f" {text[i]} " for i, n in got - set(want))
+
+
 def test_embeddings(spark):
     g = np.random.default_rng(1)
     rows = []
