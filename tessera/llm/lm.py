@@ -1,16 +1,22 @@
-"""Language-model scores of whole texts by logistic context mixing over hashed-context bit predictors.
-
-A token is coded bit by bit: the bits of its path in a prefix code over frequent words, or the code's escape and
-then either the exact share of a known rare word or, for a word never seen in training, its bytes bit by bit. For
-each bit several predictors, each a pair of counts found by the hash of a context, give their log odds; weights
-gated by the place in the code and by how well the longest context is known add them up; a last stage refines the
-sum by what was seen at such sums before. The sum of the bits' logs is the text's probability, and divided by
-its bytes the bits per byte.
-
-All counts come from all training texts: word counts exactly, by hash shards; predictor tables of fixed size as
-sums of the tasks' tables. Mixing weights and refinement are fitted on all training texts too, with each event's own
-count taken out: each task finds its best weights and how sure they are, and the driver gets the sums of both, of
-fixed size. Texts are dealt into groups; a group asks the shards for its rare words only.
+"""Language-model scores of whole texts by online logistic context mixing over hashed-context bit predictors.
+
+A token is coded bit by bit: the bits of its path in a prefix code over frequent words, or the code's escape and then
+either the exact share of a known rare word or, for a word never seen in training, its bytes, bit by bit under a
+prefix code of bytes. For each bit several predictors, each a pair of counts found by the hash of a context, give
+their log odds; weights gated by the place in the code and by how well the longest contexts are known add them up; a
+last stage refines the sum by what was seen at such sums before. The sum of the bits' logs is the text's probability,
+and divided by its bytes the bits per byte.
+
+Learning is one online pass. Training texts are dealt by a hash of the row into groups, put in order there and coded
+block by block: a block is predicted from the counts, weights and refinement that the blocks before it left, and then
+changes all three. The groups' counts add up; their weights are joined by how sure each group is of them. Neither
+depends on how the input is partitioned. Word counts are exact, by hash shards, without a limit; the number of coded
+words and the width of the tables grow with the square root of the training tokens up to `MOST_TOP` and `MOST_BITS`,
+which bound what is broadcast.
+
+Scoring goes on where learning ended, for each text by itself: after every block of a text the text's own weights and
+its own refinement follow what the block showed, and the shares of new, known and repeated rare words follow their
+counts in the text so far.
 """
 
 from __future__ import annotations
@@ -27,15 +33,15 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, groups_for, shuffle_width
 from tessera.llm.words import LOWER, chunks, mix, text_buffers
 
-TOP = 1 << 14  #: words in the prefix code at most
-GROUP_CHARS, LEAST_GROUPS = 8 << 20, 96
-FIT_TOKENS, FIT_WORDS = 1 << 17, 1 << 13  #: tokens, and words to spell, that a task fits at a time
+LEAST_TOP, MOST_TOP = 1 << 12, 1 << 18  #: bounds of the number of words in the prefix code
+LEAST_BITS, MOST_BITS = 14, 24  #: bounds of the log2 of a hashed table's slots
+GROUP_CHARS, LEAST_GROUPS = 16 << 20, 24
+WORDS_A_SHARD_GROUP = 4  #: groups to one shard of exact counts
 END = np.uint64(0x5851F42D4C957F2D)
-WORD_TABLES, BYTE_TABLES = (16, 20, 20, 20), (20, 18, 20, 20, 20)  #: log2 of each table's slots, for each context
-COMMON, FREQUENT = 64, 1024  #: so many of the most frequent words make contexts: the last ones of them seen, and the word before
-GATES, BINS = 288, 33
-#: Contexts, counted from the longest, whose confidence has a part in the gate.
-CONFIDENT = {4: 2, 5: 3}
+COMMON = 64  #: so many of the most frequent words make contexts wherever they stood last
+PLACES, LEVELS, BINS = 32, 4, 33
+BLOCK = 1 << 14  #: symbols that are coded at a time; in learning, also what is learnt from at a time
+REACH = 8.0
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -65,7 +71,7 @@ def tokens(column: pa.Array):
         yield Tokens(w.first, w.bounds + np.arange(len(w.bounds)), np.insert(w.h, w.bounds[1:], END), w)
 
 
-def before(t: Tokens, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def before(t: Tokens, rank: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each token, by frequency ranks: the last common word before it, the common word before that, and the
     word just before if it is a frequent one; 0 for none, over the whole text so far."""
     place = np.arange(len(t.h))
@@ -79,7 +85,7 @@ def before(t: Tokens, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     one = last(common)
     two = np.where(one >= 0, one[one], -1)
     of = lambda at: np.where(at >= 0, rank[at] + 1, 0).astype(np.uint64)
-    just = np.where((place > begin) & (rank[place - 1] < FREQUENT), rank[place - 1] + 1, 0).astype(np.uint64)
+    just = np.where((place > begin) & (rank[place - 1] < frequent), rank[place - 1] + 1, 0).astype(np.uint64)
     return of(one), of(two), just
 
 
@@ -87,7 +93,7 @@ def before(t: Tokens, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 COUNTS = "shard int, words binary, counts binary, n_tokens long, n_words long, by_size array<long>"
 _counts = pa.schema([("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("by_size", pa.list_(pa.int64()))])
-PART = "shard int, words binary, counts binary"
+COUNTED = "shard int, words binary, counts binary"
 _part = pa.schema([("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
 MOST_HELD = 1 << 22
 
@@ -112,9 +118,12 @@ def by_shard(h: np.ndarray, shards: int):
     return [(int(s[a]), slice(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+LETTER_SHARD = -1  #: the row of counts that has those of bytes
+
+
 def _count(shards: int):
     def count(batches):
-        held, size = [], 0
+        held, size, letters = [], 0, np.zeros(256, np.int64)
 
         def rows():
             h, n = merged(held)
@@ -123,6 +132,7 @@ def _count(shards: int):
         for batch in batches:
             for t in tokens(batch.column(0)):
                 held.append(np.unique(t.h, return_counts=True))
+                letters += np.bincount(t.words.data, minlength=256)
                 size += len(held[-1][0])
                 if size > MOST_HELD:
                     held = [merged(held)]
@@ -131,6 +141,7 @@ def _count(shards: int):
                         yield from rows()
                         held, size = [], 0
         yield from rows()
+        yield pa.RecordBatch.from_pylist([{"shard": LETTER_SHARD, "words": planes(np.arange(256, dtype=np.uint64)), "counts": planes(np.minimum(letters, 0xFFFFFFFF).astype(np.uint32))}], _part)
 
     return count
 
@@ -141,12 +152,15 @@ def size_class(n: np.ndarray) -> np.ndarray:
 
 def _sum_words(part: pa.Table) -> pa.Table:
     h, n = merged([(numbers(a, np.uint64), numbers(b, np.uint32).astype(np.int64)) for a, b in zip(part["words"].to_pylist(), part["counts"].to_pylist(), strict=True)])
-    return table([(part["shard"][0].as_py(), planes(h), planes(n), int(n.sum()), len(h), np.bincount(size_class(n)).tolist())], _counts)
+    shard = part["shard"][0].as_py()
+    if shard == LETTER_SHARD:
+        return table([(shard, planes(h), planes(n), 0, 0, [])], _counts)
+    return table([(shard, planes(h), planes(n), int(n.sum()), len(h), np.bincount(size_class(n)).tolist())], _counts)
 
 
 def word_counts(train: DataFrame, shards: int) -> DataFrame:
-    """Exact counts (COUNTS) of all tokens of train (text), a row a shard; in the shared folder."""
-    return cut(train.select("text").mapInArrow(_count(shards), PART).groupBy("shard").applyInArrow(_sum_words, COUNTS), "words")
+    """Exact counts (COUNTS) of all tokens of train (text), a row a shard, and those of bytes; in the shared folder."""
+    return cut(train.select("text").mapInArrow(_count(shards), COUNTED).groupBy("shard").applyInArrow(_sum_words, COUNTS), "words")
 
 
 class Vocabulary(NamedTuple):
@@ -157,11 +171,14 @@ class Vocabulary(NamedTuple):
     total: int
     distinct: int
     once: int
+    letters: np.ndarray  #: counts of bytes
 
 
-def vocabulary(counts: DataFrame, top: int = TOP) -> Vocabulary:
+def vocabulary(counts: DataFrame, top: int | None = None) -> Vocabulary:
+    """The most frequent words, as many as the square root of all tokens asks for or `top`."""
     sums = counts.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     classes = counts.select(F.posexplode("by_size").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).orderBy(F.desc("k")).collect()
+    top = top or int(min(max(8 * math.sqrt(sums[0] or 0), LEAST_TOP), MOST_TOP))
     least, room, once = None, top, 0
     for k, n in classes:  # as many classes as there are powers of 2 ** (1 / 8) below the largest count
         once = n if k == 0 else once
@@ -179,22 +196,25 @@ def vocabulary(counts: DataFrame, top: int = TOP) -> Vocabulary:
                 keep = (size_class(n) >= least) | (h == END)
                 yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep])], names=["h", "n"])
 
-    got = counts.select("words", "counts").mapInArrow(frequent, "h long, n long").toArrow()  # at most `top` rows and the end
+    got = counts.filter(F.col("shard") != LETTER_SHARD).select("words", "counts").mapInArrow(frequent, "h long, n long").toArrow()  # at most `top` rows and the end
     h, n = got["h"].to_numpy().view(np.uint64), got["n"].to_numpy()
     if END not in h:  # no texts
         h, n = np.append(h, END), np.append(n, 0)
     order = np.argsort(h)
-    return Vocabulary(h[order], n[order], int(sums[0] or 0), int(sums[1] or 0), int(once))
+    letters = counts.filter(F.col("shard") == LETTER_SHARD).select("counts").first()
+    return Vocabulary(h[order], n[order], int(sums[0] or 0), int(sums[1] or 0), int(once), np.zeros(256, np.int64) if letters is None else numbers(letters[0], np.int64))
 
 
 class Code(NamedTuple):
-    """A prefix code over the vocabulary and an escape (its last symbol): for each symbol its nodes and bits."""
+    """A prefix code; the symbols' paths stand one after the other: nodes, their hashes, bits and places."""
 
     start: np.ndarray
     length: np.ndarray
     node: np.ndarray
+    key: np.ndarray
     bit: np.ndarray
-    rank: np.ndarray  #: of each symbol by its count, the escape last
+    place: np.ndarray
+    rank: np.ndarray  #: of each symbol by its count; the last symbol, in a code of words the escape, far behind
 
 
 def prefix_code(n: np.ndarray) -> Code:
@@ -214,373 +234,415 @@ def prefix_code(n: np.ndarray) -> Code:
             at, bit = up[at]
             path.append((made - 1 - at, bit))
         paths.append(path[::-1])
-    rank = np.empty(len(n), np.int64)
+    rank = np.full(len(n), 1 << 30, np.int64)
     rank[np.argsort(-np.asarray(n[:-1]), kind="stable")] = np.arange(len(n) - 1)
-    rank[-1] = len(n) - 1 + FREQUENT
-    length = np.array([len(p) for p in paths])
+    length = np.array([len(p) for p in paths], np.int64)
     flat = np.array([x for p in paths for x in p], np.int64).reshape(-1, 2)
-    return Code(np.concatenate(([0], np.cumsum(length)[:-1])), length, np.ascontiguousarray(flat[:, 0]), flat[:, 1].astype(np.int8), rank)
+    place = np.minimum(np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length), PLACES - 1)
+    node = np.ascontiguousarray(flat[:, 0])
+    return Code(np.cumsum(length) - length, length, node, short(node.astype(np.uint64) * NODE), flat[:, 1].astype(np.uint8), place.astype(np.uint8), rank)
 
 
 # ---- bit events
 
+NODE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x9E3779B1)
+
 
 class Events(NamedTuple):
-    slots: list[np.ndarray]  #: for each context
+    slots: list[np.ndarray]  #: for each predictor; the first one knows the place in the code only
     bits: np.ndarray
-    place: np.ndarray  #: 0 to 31, where in the code
-    starts: np.ndarray  #: first event of each token or word
-
+    place: np.ndarray  #: 0 to PLACES - 1, how far down the code
+    starts: np.ndarray  #: first event of each symbol
 
-NODE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
+def short(x: np.ndarray) -> np.ndarray:
+    """Hashes of contexts, 32 bits."""
+    return (mix(x) >> np.uint64(32)).astype(np.uint32)
 
-def _slot(context: np.ndarray, node: np.ndarray, log_slots: int) -> np.ndarray:
-    """Slots of contexts and nodes, the latter already multiplied by NODE."""
-    return (((context ^ node) * SPREAD) >> np.uint64(64 - log_slots)).view(np.int64)
 
-
-def word_events(symbol: np.ndarray, common: np.ndarray, earlier: np.ndarray, just: np.ndarray, code: Code) -> Events:
+def events(code: Code, symbol: np.ndarray, contexts: list[np.ndarray], bits: int) -> Events:
     length = code.length[symbol]
     starts = np.cumsum(length) - length
-    rep = np.repeat(np.arange(len(symbol)), length)
-    at = np.arange(len(rep)) - starts[rep]
-    path = code.start[symbol][rep] + at
-    node = code.node[path]
-    contexts = (mix(common), mix(just + np.uint64(1 << 20)), mix((earlier << np.uint64(32)) + common + np.uint64(1 << 16)))
-    key = node.view(np.uint64) * NODE
-    return Events([node & 0xFFFF, *(_slot(c[rep], key, bits) for c, bits in zip(contexts, WORD_TABLES[1:], strict=True))], code.bit[path], np.minimum(at, 31), starts)
-
-
-def _spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Bytes of words, a space after each; where each word begins; contexts of one byte and
-    the last common word, and of two, three, four and six bytes, for each byte."""
+    path = np.arange(int(length.sum())) + np.repeat(code.start[symbol] - starts, length)
+    key, shift = code.key[path], np.uint32(32 - bits)
+    return Events([code.node[path], *(((np.repeat(c, length) ^ key) * SPREAD >> shift).astype(np.int64) for c in contexts)], code.bit[path], code.place[path], starts)
+
+
+def word_contexts(common: np.ndarray, earlier: np.ndarray, just: np.ndarray) -> list[np.ndarray]:
+    return [short(common), short(just + np.uint64(1 << 20)), short((earlier << np.uint64(32)) + common + np.uint64(1 << 16))]
+
+
+def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Bytes of words, a space after each; where each word begins; contexts of one byte and the last common word,
+    and of two, three and four bytes, for each byte."""
     size = ends - starts + 1
     first = np.cumsum(size) - size
     rep = np.repeat(np.arange(len(size)), size)
     at = np.arange(len(rep)) - first[rep]
     byte = np.where(at == size[rep] - 1, 32, data[np.minimum(starts[rep] + at, max(len(data) - 1, 0))]) if len(rep) else np.zeros(0, np.uint8)
-    back = np.zeros((6, len(byte)), np.uint64)
-    for k in range(1, 7):
+    back = np.zeros((4, len(byte)), np.uint64)
+    for k in range(1, 5):
         back[k - 1, k:] = np.where(at[k:] >= k, byte[:-k], 0)
-    contexts, sum_ = [], np.zeros(len(byte), np.uint64)
-    for k in range(6):
+    hashes, sum_ = [], np.zeros(len(byte), np.uint64)
+    for k in range(4):
         sum_ = sum_ | back[k] << np.uint64(8 * k)
-        contexts.append(sum_)
-    return byte.astype(np.int64), first, [contexts[0] | common[rep] << np.uint64(8), *(contexts[k] for k in (1, 2, 3, 5))]
-
-
-def _bitwise(byte: np.ndarray, contexts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Slots in each table, and bits, of the eight bits of each byte, high ones first."""
-    shift = np.arange(7, -1, -1)
-    node = (((1 << np.arange(8)) | (byte[:, None] >> (shift + 1))).ravel()).astype(np.uint64) * NODE
-    bits = ((byte[:, None] >> shift) & 1).ravel().astype(np.int8)
-    return [_slot(np.repeat(mix(c + np.uint64(k)), 8), node, BYTE_TABLES[k]) for k, c in contexts], bits
-
-
-def byte_events(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, common: np.ndarray) -> Events:
-    byte, first, contexts = _spelled(data, starts, ends, common)
-    slots, bits = _bitwise(byte, list(enumerate(contexts)))
-    return Events(slots, bits, np.tile(np.arange(8), len(byte)), first * 8)
+        hashes.append(sum_)
+    own = [hashes[0] | common[rep] << np.uint64(8), *hashes[1:]]
+    return byte.astype(np.int64), first, [short(c + (np.uint64(k + 1) << np.uint64(56))) for k, c in enumerate(own)]
 
 
-# ---- predictor tables
+# ---- what is learnt
 
-TABLE = "part int, counts binary"
-PIECE = 1 << 16  #: slots in a row of the tasks' tables
 
+class Shape(NamedTuple):
+    """Of a mixer: how many predictors, and how many of them, from the last, have a part in the gate."""
 
-def _offsets() -> dict[str, np.ndarray]:
-    """Where each table begins, in slots: those of word contexts, then those of byte contexts."""
-    sizes = np.array([1 << x for x in (*WORD_TABLES, *BYTE_TABLES)])
-    at = np.cumsum(sizes) - sizes
-    return {"w": at[: len(WORD_TABLES)], "b": at[len(WORD_TABLES) :], "all": np.array([sizes.sum()])}
+    inputs: int
+    confident: int
 
+    @property
+    def gates(self) -> int:
+        return PLACES * LEVELS**self.confident
 
-def symbols(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Places in the vocabulary; its length for other words."""
-    i = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[i] == h, i, len(vocabulary))
+    def sizes(self, code: Code, bits: int) -> list[int]:
+        return [len(code.length), *[1 << bits] * (self.inputs - 1)]
 
 
-def _learn(model):
-    def learn(batches):
-        words, code = model.value
-        at, n = _offsets(), np.zeros(2 * int(_offsets()["all"][0]), np.uint32)
-        seen = np.zeros(0, np.uint64)
+WORDS, LETTERS = Shape(4, 2), Shape(5, 2)
+SHAPES = (WORDS, LETTERS)
+PRIOR, STEP = 4.0, 0.5  #: how sure the even weights are, in events; the most that a weight moves in one step
+SHRINK = 1.5  #: events that the first predictor's share counts for in any other
+KEEP = 0.98  #: a block's share in what weights and refinement rest on shrinks by this with each later block
 
-        def add(slots, bits, base, weight=None):
-            if len(slots):
-                got = np.bincount(slots * 2 + bits, weight)
-                n[2 * base : 2 * base + len(got)] += got.astype(np.uint32)
 
-        for batch in batches:
-            for t in tokens(batch.column(0)):
-                symbol = symbols(t.h, words)
-                context = before(t, code.rank[symbol])
-                e = word_events(symbol, *context, code)
-                for k, slots in enumerate(e.slots):
-                    add(slots, e.bits, int(at["w"][k]))
-                # each rare word of this task once, from its first chunk
-                w = t.words
-                rare, i = np.unique(w.h, return_index=True)
-                new = (symbols(rare, words) == len(words)) & ~np.isin(rare, seen, assume_unique=True)
-                seen = np.union1d(seen, rare[new]) if len(seen) < MOST_HELD else rare[new]
-                byte, _, contexts = _spelled(w.data, w.starts[i[new]], w.ends[i[new]], context[0][_place(t, i[new])])
-                for k, c in enumerate(contexts):
-                    pair, count = np.unique(c << np.uint64(8) | byte.astype(np.uint64), return_counts=True)
-                    slots, bits = _bitwise((pair & np.uint64(255)).view(np.int64), [(k, pair >> np.uint64(8))])
-                    add(slots[0], bits, int(at["b"][k]), np.repeat(count, 8))
-        for p in range(0, len(n) // 2, PIECE):
-            piece = n[2 * p : 2 * (p + PIECE)]
-            if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([p // PIECE], pa.int32()), pa.array([planes(piece)], pa.binary())], names=["part", "counts"])
+def level(n: np.ndarray) -> np.ndarray:
+    """How well a context is known by what was counted in it."""
+    return (n > 0).astype(np.int16) + (n > 3) + (n > 31)
 
-    return learn
 
+def predictions(pairs, confident: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Log odds of a one by each predictor, from pairs of counts (zeros, ones), and the levels of the last ones as one
+    number. Counts in a context weigh against the share that the first predictor gives, so that an unknown context says
+    what that one says."""
+    x, levels, few = [], 0, np.float32(SHRINK)
+    for k, (zeros, ones) in enumerate(pairs):
+        if not k:
+            share = (ones + np.float32(0.4)) / (zeros + ones + np.float32(0.8))
+            a, b = few * share, few * (1 - share)
+            x.append(np.log(share / (1 - share)))
+            continue
+        x.append(np.log((ones + a) / (zeros + b)))
+        if k >= len(pairs) - confident:
+            levels = levels * LEVELS + level(zeros + ones)
+    return x, levels
 
-def _add_up(batches):
-    """Sums of the tasks' tables, one piece at a time as rows come; then cut down to a byte for each count."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = numbers(blob, np.uint32).astype(np.uint64)
-            sums[p] = sums[p] + x if p in sums else x
-    for p, x in sums.items():
-        pair = x.reshape(-1, 2)
-        most = pair.max(1, keepdims=True)
-        small = np.where(most > 255, np.maximum(pair * np.uint64(255) // np.maximum(most, np.uint64(1)), pair > 0), pair).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([small.tobytes()], pa.binary())], names=["part", "counts"])
-
-
-def predictor_tables(train: DataFrame, words: np.ndarray, code: Code) -> np.ndarray:
-    """Counts of 0 and 1 (a byte each) for every slot of every table, from all texts of train."""
-    spark = train.sparkSession
-    model = spark.sparkContext.broadcast((words, code))
-    total = int(_offsets()["all"][0])
-    parts = train.select("text").mapInArrow(_learn(model), TABLE).repartition(min(shuffle_width(spark), total // PIECE), "part").mapInArrow(_add_up, TABLE)
-    got = parts.toArrow()  # of fixed size: two bytes a slot
-    out = np.zeros(2 * total, np.uint8)
-    for p, blob in zip(got["part"].to_pylist(), got["counts"].to_pylist(), strict=True):
-        out[2 * PIECE * p : 2 * PIECE * p + len(blob)] = np.frombuffer(blob, np.uint8)
-    return out.view(np.uint16)
-
-
-# ---- mixing
-
-#: By a pair of counts (low byte: zeros, high byte: ones): log odds of a one, and how well known the context is.
-_n0, _n1 = np.arange(1 << 16) & 255, np.arange(1 << 16) >> 8
-STRETCH = np.log((_n1 + 0.2) / (_n0 + 0.2)).astype(np.float32)
-KNOWN = np.digitize(_n0 + _n1, (1, 4)).astype(np.int64)
-REACH = 8.0
 
+def packed(pair: np.ndarray) -> np.ndarray:
+    """Pairs of counts as two halves of 32 bits; larger ones keep their ratio."""
+    most = np.maximum(pair.max(1), 1)
+    small = np.minimum(np.where(most[:, None] > 0xFFFF, np.maximum(pair * (0xFFFF / most[:, None]), pair > 0), pair), 0xFFFF).astype(np.uint32)
+    return small[:, 0] | small[:, 1] << np.uint32(16)
 
-class Mixer(NamedTuple):
-    weights: np.ndarray  #: for each input, and then for the bias, a weight for each gate
-    refined: np.ndarray  #: for each place and bin of the mixed log odds, the log odds seen
 
+def unpacked(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (pair & np.uint32(0xFFFF)).astype(np.float32), (pair >> np.uint32(16)).astype(np.float32)
 
-def inputs(tables: np.ndarray, at: np.ndarray, e: Events, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of each predictor and the gate of each event; with `own`, as if the event had not been counted."""
-    x, gate, of = [], e.place, CONFIDENT[len(e.slots)]
-    for k, slots in enumerate(e.slots):
-        pair = tables[int(at[k]) :][slots]
-        if own:
-            ones = e.bits.astype(bool)
-            n = np.where(ones, pair >> 8, pair & 255)
-            pair = np.where((n > 0) & (np.maximum(pair >> 8, pair & 255) < 255), pair - np.where(ones, 256, 1).astype(np.uint16), pair)
-        x.append(STRETCH[pair])
-        if k >= len(e.slots) - of:
-            gate = gate * 3 + KNOWN[pair]
-    return x, gate
 
+def bins(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    s = (np.clip(y, -REACH, REACH) + np.float32(REACH)) * np.float32((BINS - 1) / (2 * REACH))
+    low = np.minimum(s.astype(np.int32), BINS - 2)
+    return low, s - low
 
-def _bins(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s = (np.clip(y, -REACH, REACH) + REACH) * ((BINS - 1) / (2 * REACH))
-    low = np.minimum(s.astype(np.int64), BINS - 2)
-    return low, (s - low).astype(np.float32)
 
+class Learner:
+    """Counts, weights and refinement of one mixer, as left by what it coded so far."""
 
-def mixed(m: Mixer, x: np.ndarray, gate: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Log odds of a one after mixing and refinement."""
-    y = m.weights[-1][gate]
-    for w, one in zip(m.weights, x, strict=False):
-        y += w[gate] * one
-    low, part = _bins(y)
-    flat = m.refined.ravel()
-    base = place * BINS + low
-    return 0.5 * (y + flat[base] * (1 - part) + flat[base + 1] * part)
+    def __init__(self, shape: Shape, code: Code, bits: int):
+        self.shape, self.code, self.bits, n = shape, code, bits, shape.inputs
+        self.counts = [np.zeros(2 * size, np.uint32) for size in shape.sizes(code, bits)]
+        self.first = np.append(np.full(n, 1 / n), 0.0)
+        self.w = np.tile(self.first, (shape.gates, 1))
+        self.sure = np.tile(PRIOR * np.eye(n + 1), (shape.gates, 1, 1))
+        self.seen = np.zeros(2 * PLACES * BINS)
 
+    def learn(self, symbol: np.ndarray, contexts: list[np.ndarray]) -> None:
+        e = events(self.code, symbol, contexts, self.bits)
+        pairs = (counts.view(np.uint64).take(slot).view(np.uint32).reshape(-1, 2) for counts, slot in zip(self.counts, e.slots, strict=True))
+        x, levels = predictions([(c[:, 0].astype(np.float32), c[:, 1].astype(np.float32)) for c in pairs], self.shape.confident)
+        gate = e.place * np.int16(LEVELS**self.shape.confident) + levels
+        order = np.argsort(gate, kind="stable")
+        gate, bits = gate[order], e.bits[order]
+        x = [*(one[order] for one in x), np.ones(len(order), np.float32)]
+        cuts = np.flatnonzero(np.diff(gate, prepend=-1))
+        size, here = np.diff(cuts, append=len(gate)), gate[cuts]
+        y = np.zeros(len(order), np.float32)
+        for k, one in enumerate(x):
+            y += np.repeat(self.w[here, k].astype(np.float32), size) * one
+        low, part = bins(y)
+        self.seen = KEEP * self.seen + np.bincount((bits.astype(np.int64) * PLACES + e.place[order]) * BINS + low + (part > 0.5), minlength=len(self.seen))
+        p = 1 / (1 + np.exp(-np.clip(y, -30, 30)))
+        off, curve = bits - p, p * (1 - p)
+        pull = np.stack([np.add.reduceat(off * one, cuts) for one in x], 1).astype(np.float64)
+        bend = np.empty((len(cuts), len(x), len(x)))
+        for i, a in enumerate(x):
+            weighed = curve * a
+            for j in range(i + 1):
+                bend[:, i, j] = bend[:, j, i] = np.add.reduceat(weighed * x[j], cuts)
+        self.sure[here] = KEEP * self.sure[here] + bend
+        self.w[here] += np.clip(np.linalg.solve(self.sure[here], pull[:, :, None])[:, :, 0], -STEP, STEP)
+        for counts, slot in zip(self.counts, e.slots, strict=True):
+            np.add.at(counts, 2 * slot + e.bits, np.uint32(1))
 
-def bits_of(y: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Bits that it takes to code each event."""
-    return np.log1p(np.exp(np.clip(np.where(bits > 0, -y, y), -80, 80))) * np.float32(1 / math.log(2))
+    def sums(self) -> list[np.ndarray]:
+        """What adds up over learners: curvature, curvature times weights, and what was seen."""
+        return [self.sure, np.einsum("gij,gj->gi", self.sure, self.w), self.seen]
 
 
-PRIOR, STEP = 4.0, 0.5  #: how sure the even weights are, in events; the most that a weight moves in one step
+def sum_shapes() -> list[tuple]:
+    return [s for m in SHAPES for s in ((m.gates, m.inputs + 1, m.inputs + 1), (m.gates, m.inputs + 1), (2 * PLACES * BINS,))]
 
 
-class Fit:
-    """Weights of a mixer, the best ones for what a task has seen so far, and the curvature of the cost there."""
+PIECE, PART = 1 << 16, 1 << 12  #: slots, and numbers of the sums, in a row
 
-    def __init__(self, n: int):
-        self.first = np.tile(np.append(np.full(n, 1 / n), 0.0), (GATES, 1))
-        self.w, self.sure = self.first.copy(), np.tile(PRIOR * np.eye(n + 1), (GATES, 1, 1))
-        self.met = np.zeros(GATES, bool)
 
-    def learn(self, x: list[np.ndarray], gate: np.ndarray, bits: np.ndarray):
-        """Newton steps of coding cost, a gate at a time, from the weights so far and held to them by their sureness."""
-        gate = gate.astype(np.int16)
-        order = np.argsort(gate, kind="stable")
-        ones = bits[order].astype(np.float32)
-        every = np.stack([*(one[order] for one in x), np.ones(len(order), np.float32)])
-        cuts = np.searchsorted(gate[order], np.arange(GATES + 1))
-        for g in np.flatnonzero(np.diff(cuts)):
-            part = slice(cuts[g], cuts[g + 1])
-            inputs_, before_, sure = every[:, part], self.w[g], self.sure[g]
-            w = before_.copy()
-            for _ in range(2 if self.met[g] else 8):
-                p = 1 / (1 + np.exp(-np.clip(w.astype(np.float32) @ inputs_, -30, 30)))
-                curve = (inputs_ * (p * (1 - p))) @ inputs_.T
-                w += np.clip(np.linalg.solve(sure + curve, inputs_ @ (ones[part] - p) - sure @ (w - before_)), -STEP, STEP)
-            self.w[g], self.sure[g], self.met[g] = w, sure + curve, True
+def sparse(x: np.ndarray) -> bytes:
+    """What is not 0 in x, and where."""
+    at = np.flatnonzero(x)
+    return planes(np.concatenate([at.astype(np.uint64), x[at].astype(np.uint64)]))
 
-    def sums(self) -> list[np.ndarray]:
-        """What adds up over tasks: curvature, and curvature times weights, without the even weights' part."""
-        return [self.sure - PRIOR * np.eye(self.w.shape[1]), np.einsum("gij,gj->gi", self.sure, self.w) - PRIOR * self.first]
 
+LEARNT = "kind int, part int, p int, data binary"
+_learnt = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("p", pa.int32()), ("data", pa.binary())])
 
-def _weights(n: int, curve: np.ndarray, pull: np.ndarray) -> np.ndarray:
-    none = Fit(n)
-    return np.linalg.solve(none.sure + curve, (PRIOR * none.first + pull)[:, :, None])[:, :, 0]
 
+def _slots(codes: list[Code], bits: list[int]) -> list[np.ndarray]:
+    """For each mixer where its tables begin, in slots, at whole pieces; the last number is the end."""
+    at, out = 0, []
+    for shape, code, b in zip(SHAPES, codes, bits, strict=True):
+        out.append(at + np.cumsum([0, *(-(-size // PIECE) * PIECE for size in shape.sizes(code, b))]))
+        at = int(out[-1][-1])
+    return out
 
-def _place(t: Tokens, i: np.ndarray) -> np.ndarray:
-    """Places among the tokens of the chunk's words i."""
-    return i + np.searchsorted(t.words.bounds, i, "right") - 1
 
-
-def _unlike(t: Tokens, place: np.ndarray, common: np.ndarray):
-    """Of the rare words at these token places those that differ, or follow another common word: keys, and for each
-    place its key's number; then data, starts, ends and contexts to spell them."""
-    keys, first, back = np.unique(t.h[place] ^ mix(common[place] + np.uint64(7)), return_index=True, return_inverse=True)
-    i = place[first] - (np.searchsorted(t.bounds, place[first], "right") - 1)
-    return keys, back, (t.words.data, t.words.starts[i], t.words.ends[i], common[place[first]])
-
-
-def _fitting(model, batches):
-    """(kind, inputs, gates, events) of all texts, a bounded number of events at a time; own counts are taken out.
-    Rare words are spelled as often as _learn counted them: once a task."""
-    words, code, tables = model
-    at, seen = _offsets(), np.zeros(0, np.uint64)
-    for batch in batches:
-        for t in tokens(batch.column(0)):
+def _learn(model):
+    def learn(texts: pa.Table) -> pa.Table:
+        words, codes, bits, frequent = model.value
+        texts = texts.sort_by([(c, "ascending") for c in ("r", "doc_id", "text")])
+        learners = [Learner(*x) for x in zip(SHAPES, codes, bits, strict=True)]
+        seen = np.zeros(0, np.uint64)
+        for t in tokens(texts["text"]):
             symbol = symbols(t.h, words)
-            context = before(t, code.rank[symbol])
-            for a in range(0, len(symbol), FIT_TOKENS):
-                s = slice(a, a + FIT_TOKENS)
-                e = word_events(symbol[s], *(c[s] for c in context), code)
-                yield 0, *inputs(tables, at["w"], e, True), e
+            context = before(t, codes[0].rank[symbol], frequent)
+            own = word_contexts(*context)
+            for a in range(0, len(symbol), BLOCK):
+                learners[0].learn(symbol[a : a + BLOCK], [c[a : a + BLOCK] for c in own])
+            # each word without a code once, where the group first has it
             w = t.words
             rare, i = np.unique(w.h, return_index=True)
             new = (symbols(rare, words) == len(words)) & ~np.isin(rare, seen, assume_unique=True)
-            seen = np.union1d(seen, rare[new]) if len(seen) < MOST_HELD else rare[new]
-            i = i[new]
-            for a in range(0, len(i), FIT_WORDS):
-                j = i[a : a + FIT_WORDS]
-                e = byte_events(w.data, w.starts[j], w.ends[j], context[0][_place(t, j)])
-                yield 1, *inputs(tables, at["b"], e, True), e
-
-
-SUMS, PART_SUMS = "part int, sums binary", 1 << 12
-
+            seen, i = np.union1d(seen, rare[new]), np.sort(i[new])
+            byte, _, own = spelled(w.data, w.starts[i], w.ends[i], context[0][_place(t, i)])
+            for a in range(0, len(byte), BLOCK):
+                learners[1].learn(byte[a : a + BLOCK], [c[a : a + BLOCK] for c in own])
+        p, rows = texts["p"][0].as_py(), []
+        for at, x in zip(_slots(codes, bits), learners, strict=True):
+            for a, counts in zip(at.tolist(), x.counts, strict=False):
+                rows += [(0, a // PIECE + k, p, sparse(counts[b : b + 2 * PIECE])) for k, b in enumerate(range(0, len(counts), 2 * PIECE))]
+        sums = np.concatenate([np.ravel(x) for y in learners for x in y.sums()])
+        rows += [(1, k, p, sums[a : a + PART].tobytes()) for k, a in enumerate(range(0, len(sums), PART))]
+        return table(rows, _learnt)
 
-def _parts(arrays: list[np.ndarray]) -> pa.RecordBatch:
-    flat = np.concatenate([np.ravel(x).astype(np.float64) for x in arrays])
-    cuts = range(0, len(flat), PART_SUMS)
-    return pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([flat[a : a + PART_SUMS].tobytes() for a in cuts], pa.binary())], names=["part", "sums"])
+    return learn
 
 
-def _add_parts(batches):
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(blob, np.float64)
-            sums[p] = sums[p] + x if p in sums else x
-    for p, x in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["part", "sums"])
+def _add_up(last: bool):
+    """Sums of the rows of each key, which come sorted by it, one key at a time. The last round's key is (kind, part);
+    it packs pairs of counts."""
 
+    def made(kind, part, p, x):
+        if not kind and last:
+            x = packed(x.reshape(-1, 2))
+        data = sparse(x) if not kind and not last else x.tobytes()
+        return pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in (kind, part, p)), pa.array([data], pa.binary())], names=_learnt.names)
 
-def _added(tasks: DataFrame, shapes: list[tuple]) -> list[np.ndarray]:
-    """Sums of the tasks' arrays of these shapes, added up by the executors."""
-    sizes = [math.prod(x) for x in shapes]
-    flat = np.zeros(sum(sizes))
-    width = min(shuffle_width(tasks.sparkSession), -(-len(flat) // PART_SUMS))
-    for r in tasks.repartition(width, "part").mapInArrow(_add_parts, SUMS).collect():  # of fixed size
-        x = np.frombuffer(r.sums, np.float64)
-        flat[PART_SUMS * r.part : PART_SUMS * r.part + len(x)] = x
-    return [x.reshape(shape) for x, shape in zip(np.split(flat, np.cumsum(sizes)[:-1]), shapes, strict=True)]
+    def add(batches):
+        key, x = None, None
+        for batch in batches:
+            for kind, part, p, blob in zip(*(batch.column(c).to_pylist() for c in _learnt.names), strict=True):
+                own = (kind, part, 0 if last else p)
+                if own != key and key:
+                    yield made(*key, x)
+                if own != key:
+                    key, x = own, np.zeros(PART if kind else 2 * PIECE, np.float64 if kind else np.uint64)
+                if kind:
+                    one = np.frombuffer(blob, np.float64)
+                    x[: len(one)] += one
+                else:
+                    at, n = numbers(blob, np.uint64).reshape(2, -1)
+                    x[at] += n
+        if key:
+            yield made(*key, x)
+
+    return add
 
 
-INPUTS = (len(WORD_TABLES), len(BYTE_TABLES))
+class Mixer(NamedTuple):
+    shape: Shape
+    code: Code
+    bits: int
+    tables: list[np.ndarray]  #: packed counts for each slot
+    weights: np.ndarray  #: for each input, and then for the bias, a weight for each gate
+    refined: np.ndarray  #: for each place and bin of the mixed log odds, the log odds seen
 
 
-def _fit_weights(model):
-    def run(batches):
-        fits = [Fit(n) for n in INPUTS]
-        for kind, x, gate, e in _fitting(model.value, batches):
-            fits[kind].learn(x, gate, e.bits)
-        yield _parts([x for f in fits for x in f.sums()])
+class Model(NamedTuple):
+    vocabulary: Vocabulary
+    frequent: int
+    words: Mixer
+    letters: Mixer
+
+
+def plan(v: Vocabulary) -> tuple:
+    """What learning needs to know: coded words, both codes, the log2 of their tables, how many words count as frequent."""
+    codes = [prefix_code(np.append(v.n, max(v.total - int(v.n.sum()), 0))), prefix_code(v.letters)]
+    wide = int(min(max(9 + math.log2(max(v.total, 1)) / 2, LEAST_BITS), MOST_BITS))
+    return v.h, codes, [wide, max(wide - 1, LEAST_BITS)], max(COMMON, len(v.h) // 16)
+
+
+def assembled(v: Vocabulary, ready: tuple, rows: pa.Table) -> Model:
+    """The model from the last round of sums."""
+    _, codes, bits, frequent = ready
+    at = _slots(codes, bits)
+    tables = np.zeros(int(at[-1][-1]), np.uint32)
+    sums = np.zeros(sum(map(math.prod, sum_shapes())))
+    for kind, part, blob in zip(*(rows[c].to_pylist() for c in ("kind", "part", "data")), strict=True):
+        to, step, x = (sums, PART, np.frombuffer(blob, np.float64)) if kind else (tables, PIECE, np.frombuffer(blob, np.uint32))
+        to[step * part : step * (part + 1)] = x[: len(to) - step * part]
+    parts = [x.reshape(s) for x, s in zip(np.split(sums, np.cumsum([math.prod(s) for s in sum_shapes()])[:-1]), sum_shapes(), strict=True)]
+    prior = 1 / (1 + np.exp(-np.tile(np.linspace(-REACH, REACH, BINS), PLACES)))
+    mixers = []
+    for k, (shape, code) in enumerate(zip(SHAPES, codes, strict=True)):
+        bend, pull, seen = parts[3 * k : 3 * k + 3]
+        none = Learner(shape, code, 0)
+        weights = np.linalg.solve(none.sure + bend, (PRIOR * none.first + pull)[:, :, None])[:, :, 0]
+        zeros, ones = seen.reshape(2, -1)
+        refined = np.log((ones + 8 * prior) / (zeros + 8 * (1 - prior))).astype(np.float32)
+        mixers.append(Mixer(shape, code, bits[k], [tables[a : a + n] for a, n in zip(at[k].tolist(), shape.sizes(code, bits[k]), strict=False)], np.ascontiguousarray(weights.T.astype(np.float32)), refined))
+    return Model(v, frequent, *mixers)
+
+
+def train(dealt: DataFrame, counts: DataFrame, groups: int) -> Model:
+    """A model of dealt (p, doc_id, text, r: a hash of the row), whose exact word counts are given; p is the group, below `groups`."""
+    spark = dealt.sparkSession
+    v = vocabulary(counts)
+    ready = plan(v)
+    model = spark.sparkContext.broadcast(ready)
+    pieces = -(-int(_slots(*ready[1:3])[-1][-1]) // PIECE)
+    learnt = dealt.groupBy("p").applyInArrow(_learn(model), LEARNT).withColumn("p", F.pmod("p", F.lit(math.isqrt(groups) + 1)))
+    # two rounds, so that no task adds up more rows than the square root of the groups
+    for last, width, key in ((False, shuffle_width(spark), ["kind", "part", "p"]), (True, min(shuffle_width(spark), pieces), ["kind", "part"])):
+        learnt = learnt.repartition(width, *key).sortWithinPartitions(*key).mapInArrow(_add_up(last), LEARNT)
+    rows = learnt.toArrow()  # four bytes a slot: bounded by MOST_BITS and MOST_TOP
+    model.destroy()
+    return assembled(v, ready, rows)
 
-    return run
 
+# ---- scoring
 
-def _refine(model, weights):
-    def run(batches):
-        seen = np.zeros((len(INPUTS), 2, 32 * BINS))
-        for kind, x, gate, e in _fitting(model.value, batches):
-            w = weights[kind]
-            y = w[-1][gate]
+HOLD, FINE_HOLD, COARSE = 400.0, 100.0, 9  #: how much the trained weights, and the trained refinement, weigh against a text's own; bins of the latter
+STEPS = 64 << np.arange(7)  #: a text's own weights follow it after so many symbols, then after every 4096
+
+
+def _step(place: np.ndarray) -> np.ndarray:
+    return np.where(place < STEPS[-1], np.searchsorted(STEPS, place, "right"), len(STEPS) - 1 + place // int(STEPS[-1]))
+
+
+def coded(m: Mixer, symbol: np.ndarray, contexts: list[np.ndarray], bounds: np.ndarray) -> np.ndarray:
+    """Bits of each symbol; those of text i are bounds[i]:bounds[i + 1]. Each text starts from the trained mixer and
+    has weights and a refinement of its own from then on, changed after each of its steps. Texts take steps together."""
+    texts, n, out = len(bounds) - 1, m.shape.inputs, np.zeros(len(symbol))
+    text = np.repeat(np.arange(texts), np.diff(bounds))
+    step = _step(np.arange(len(symbol)) - bounds[text])
+    order = np.argsort(step, kind="stable")
+    cuts = np.flatnonzero(np.diff(step[order], prepend=-1, append=np.iinfo(np.int64).max))
+    own, sure = np.zeros((n + 1, texts), np.float32), np.full((n + 1, texts), float(HOLD))
+    fine, firm = np.zeros(texts * COARSE, np.float32), np.full(texts * COARSE, float(FINE_HOLD))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        pull, push = np.zeros((n + 1, texts)), np.zeros(texts * COARSE)
+        for s in range(a, b, BLOCK):
+            some = order[s : min(s + BLOCK, b)]
+            e = events(m.code, symbol[some], [c[some] for c in contexts], m.bits)
+            first = np.flatnonzero(np.diff(text[some], prepend=-1))
+            who, at = text[some][first], e.starts[first]
+            size = np.diff(at, append=len(e.bits))
+            x, levels = predictions([unpacked(t[slot]) for t, slot in zip(m.tables, e.slots, strict=True)], m.shape.confident)
+            gate = e.place * np.int16(LEVELS**m.shape.confident) + levels
+            y = m.weights[n][gate] + np.repeat(own[n, who], size)
             for k, one in enumerate(x):
-                y += w[k][gate] * one
-            low, part = _bins(y)
-            at = (e.bits.astype(np.int64) * 32 + e.place) * BINS + low
-            for bin_, share in ((at, 1 - part), (at + 1, part)):
-                seen[kind] += np.bincount(bin_, share, 64 * BINS).reshape(2, -1)
-        yield _parts([seen])
-
-    return run
-
-
-def fit(docs: DataFrame, words: np.ndarray, code: Code, tables: np.ndarray) -> list[Mixer]:
-    """Mixers of word bits and of byte bits, from all texts of docs: first the weights, then what is seen at each mixed value."""
-    model = docs.sparkSession.sparkContext.broadcast((words, code, tables))
-    texts = docs.select("text")
-    sums = _added(texts.mapInArrow(_fit_weights(model), SUMS), [s for n in INPUTS for s in ((GATES, n + 1, n + 1), (GATES, n + 1))])
-    weights = [np.ascontiguousarray(_weights(n, *sums[2 * k : 2 * k + 2]).T.astype(np.float32)) for k, n in enumerate(INPUTS)]
-    (seen,) = _added(texts.mapInArrow(_refine(model, weights), SUMS), [(len(INPUTS), 2, 32 * BINS)])
-    model.destroy()
-    prior = 1 / (1 + np.exp(-np.tile(np.linspace(-REACH, REACH, BINS), 32)))
-    return [Mixer(w, np.log((n[1] + 8 * prior) / (n[0] + 8 * (1 - prior))).reshape(32, BINS).astype(np.float32)) for w, n in zip(weights, seen, strict=True)]
+                y += (m.weights[k][gate] + np.repeat(own[k, who], size)) * one
+            low, part = bins(y)
+            base = e.place.astype(np.int32) * BINS + low
+            bin_ = np.repeat(who * COARSE, size) + low // 4
+            y = np.float32(0.5) * (y + m.refined[base] * (1 - part) + m.refined[base + 1] * part) + fine[bin_]
+            p = 1 / (1 + np.exp(-np.clip(y, -30, 30)))
+            out[some] = np.add.reduceat(-np.log2(np.where(e.bits > 0, p, 1 - p) + np.float32(1e-12)), e.starts)
+            off, curve = e.bits - p, p * (1 - p)
+            for k in range(n + 1):
+                one = x[k] if k < n else np.ones(1, np.float32)
+                pull[k, who] += np.add.reduceat(off * one, at)
+                sure[k, who] += np.add.reduceat(curve * one * one, at)
+            push += np.bincount(bin_, off, texts * COARSE)
+            firm += np.bincount(bin_, curve, texts * COARSE)
+        own += np.clip(pull / sure, -STEP, STEP).astype(np.float32)
+        fine += np.clip(push / firm, -STEP, STEP).astype(np.float32)
+    return out
 
 
-# ---- scoring
+def symbols(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """Places in the vocabulary; its length for other words."""
+    i = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+    return np.where(vocabulary[i] == h, i, len(vocabulary))
 
 
-class Model(NamedTuple):
-    vocabulary: Vocabulary
-    code: Code
-    tables: np.ndarray
-    word_mixer: Mixer
-    byte_mixer: Mixer
+def _place(t: Tokens, i: np.ndarray) -> np.ndarray:
+    """Places among the tokens of the chunk's words i."""
+    return i + np.searchsorted(t.words.bounds, i, "right") - 1
 
 
-def train(docs: DataFrame, counts: DataFrame) -> Model:
-    """A model of docs (doc_id, text), whose exact word counts are given."""
-    v = vocabulary(counts)
-    code = prefix_code(np.append(v.n, max(v.total - int(v.n.sum()), 0)))
-    tables = predictor_tables(docs, v.h, code)
-    return Model(v, code, tables, *fit(docs, v.h, code, tables))
+def rare_bits(text: np.ndarray, h: np.ndarray, bits: np.ndarray, new: np.ndarray, share: float) -> np.ndarray:
+    """Bits of rare words, in order of text: `bits` are those of a word among the known or among the new ones, share is
+    that of new ones in training. Shares of new words and of words that the text has had before follow its own counts."""
+    if not len(h):
+        return bits
+    first = np.flatnonzero(np.diff(text, prepend=-1))
+    begin = np.repeat(first, np.diff(first, append=len(h)))
+    k = np.arange(len(h)) - begin
+
+    def before_(mark):  # how many marks in the text before each word
+        sums = np.cumsum(mark) - mark
+        return sums - sums[begin]
+
+    back = np.unique(h ^ mix(text.astype(np.uint64) + np.uint64(1)), return_inverse=True)[1]
+    order = np.argsort(back, kind="stable")
+    runs_ = np.flatnonzero(np.diff(back[order], prepend=-1))
+    had = np.empty(len(h), np.int64)
+    had[order] = np.arange(len(h)) - np.repeat(runs_, np.diff(runs_, append=len(h)))
+    again = (before_((had > 0).astype(np.int64)) + 0.2) / (k + 20)
+    fresh = (before_(new.astype(np.int64)) + 16 * share) / (k + 16)
+    plain = bits - np.log2(np.where(new, fresh, 1 - fresh)) - np.log2(1 - again)
+    copied = -np.log2(again * np.maximum(had, 1) / np.maximum(k, 1))
+    return np.where(had > 0, -np.logaddexp2(-plain, -copied), plain)
+
+
+def spell(m: Model, t: Tokens, place: np.ndarray, text: np.ndarray, texts: int, common: np.ndarray) -> np.ndarray:
+    """Bits that it takes to spell the words at these token places, in order."""
+    if not len(place):
+        return np.zeros(0)
+    i = place - text
+    byte, first, own = spelled(t.words.data, t.words.starts[i], t.words.ends[i], common[place])
+    ends = np.append(first, len(byte))
+    bounds = ends[np.searchsorted(text, np.arange(texts + 1))]
+    return np.add.reduceat(coded(m.letters, byte, own, bounds), first)
 
 
 ASKED = "shard int, p int, words binary"
@@ -620,39 +682,42 @@ SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score dou
 _scores = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
 
+def text_bits(m: Model, t: Tokens, count: np.ndarray) -> np.ndarray:
+    """Bits of each token of a chunk's texts, whose exact counts in training are given."""
+    v, texts = m.vocabulary, len(t.bounds) - 1
+    symbol = symbols(t.h, v.h)
+    context = before(t, m.words.code.rank[symbol], m.frequent)
+    cost = coded(m.words, symbol, word_contexts(*context), t.bounds)
+    rare = np.flatnonzero(symbol == len(v.h))
+    text = np.repeat(np.arange(texts), np.diff(t.bounds))[rare]
+    new = count[rare] == 0
+    total = max(v.total - int(v.n.sum()), 0)
+    own = -np.log2(np.maximum(count[rare], 1) / max(total, 1))
+    own[new] = spell(m, t, rare[new], text[new], texts, context[0])
+    cost[rare] += rare_bits(text, t.h[rare], own, new, min(max(v.once / max(total, 1), 0.005), 0.95))
+    return cost
+
+
 def _score(broadcast):
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return table([], _scores)
         m: Model = broadcast.value
-        v, at = m.vocabulary, _offsets()
-        rare_total = max(v.total - int(v.n.sum()), 0)
-        known_share = min(max(1 - v.once / max(rare_total, 1), 0.05), 0.995)
-        known, count = merged([(numbers(a, np.uint64), numbers(b, np.int64)) for a, b in zip(answers["words"].to_pylist(), answers["counts"].to_pylist(), strict=True)])
+        v = m.vocabulary
+        known, number = merged([(numbers(a, np.uint64), numbers(b, np.int64)) for a, b in zip(answers["words"].to_pylist(), answers["counts"].to_pylist(), strict=True)])
         n_tokens, n_known, base, bits = [], [], [], []
         for t in tokens(texts["text"]):
             symbol = symbols(t.h, v.h)
-            context = before(t, m.code.rank[symbol])
-            e = word_events(symbol, *context, m.code)
-            x, gate = inputs(m.tables, at["w"], e, False)
-            cost = np.add.reduceat(bits_of(mixed(m.word_mixer, x, gate, e.place), e.bits), e.starts).astype(np.float64)
             c = np.append(v.n, 0)[symbol]
             rare = np.flatnonzero(symbol == len(v.h))
             if len(known):
                 i = np.minimum(np.searchsorted(known, t.h[rare]), len(known) - 1)
-                c[rare] = np.where(known[i] == t.h[rare], count[i], 0)
-            seen, new = rare[c[rare] > 0], rare[c[rare] == 0]
-            cost[seen] -= np.log2(known_share * c[seen] / rare_total)
-            if len(new):
-                _, back, words = _unlike(t, new, context[0])
-                e = byte_events(*words)
-                x, gate = inputs(m.tables, at["b"], e, False)
-                cost[new] += np.add.reduceat(bits_of(mixed(m.byte_mixer, x, gate, e.place), e.bits), e.starts)[back] - math.log2(1 - known_share)
+                c[rare] = np.where(known[i] == t.h[rare], number[i], 0)
             starts = t.bounds[:-1]
             n_tokens.append(np.diff(t.bounds))
             n_known.append(np.add.reduceat((c > 0).astype(np.int64), starts))
             base.append(np.add.reduceat(np.log10((c + 1) / (v.total + v.distinct + 1)), starts))
-            bits.append(np.add.reduceat(cost, starts))
+            bits.append(np.add.reduceat(text_bits(m, t, c), starts))
         size = np.diff(text_buffers(texts["text"])[0])
         bits = np.concatenate(bits)
         per_byte = pa.array(np.divide(bits, size, out=np.zeros(len(bits)), where=size > 0), pa.float64(), mask=size == 0)
@@ -670,18 +735,22 @@ def scores(docs: DataFrame, learn_from=None) -> DataFrame:
 
     Wants doc_id (long) and text; other columns are ignored. Learns from rows where learn_from(doc_id) holds, by
     default those that are not held out; a null doc_id is not. A null text is empty: its one token is the end.
-    bits_per_byte is null for an empty text. Repeated rows are texts of their own. No rows give no rows.
+    bits_per_byte is null for an empty text. Repeated rows are texts of their own. No rows give no rows. A score
+    depends on the rows alone, not on how they are partitioned or ordered.
     """
     learn_from = learn_from or (lambda c: ~held_out(c))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
     groups = groups_for(rows.agg(F.sum(F.octet_length("text"))).first()[0], GROUP_CHARS, LEAST_GROUPS)
-    learn = rows.filter(learn_from(F.col("doc_id")))
-    counts = word_counts(learn, groups)
-    model = train(learn, counts)
+    shards = max(LEAST_GROUPS, groups // WORDS_A_SHARD_GROUP)
+    # by id and text, so that rows without an id are dealt out too
+    by_row = F.xxhash64("doc_id", "text")
+    dealt = rows.select(F.pmod(by_row, F.lit(groups)).cast("int").alias("p"), "doc_id", "text", by_row.alias("r"))
+    learn = learn_from(F.col("doc_id"))
+    counts = word_counts(rows.filter(learn), shards)
+    model = train(dealt.filter(learn), counts, groups)
     shared, frequent = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(model.vocabulary.h)
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("p"), "doc_id", "text")
-    asked = dealt.groupBy("p").applyInArrow(_ask(frequent, groups), ASKED)
+    asked = dealt.groupBy("p").applyInArrow(_ask(frequent, shards), ASKED)
     answers = asked.groupBy("shard").cogroup(counts.select("shard", "words", "counts").groupBy("shard")).applyInArrow(_answer, ANSWER)
     found = dealt.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(_score(shared), SCORES)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.vocabulary.total).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

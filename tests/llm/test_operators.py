@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, embeddings, licences, lm, minhash, mixture, queries, substrings, token_counts, toxicity, warc
+from tessera.llm import decontaminate, embeddings, licences, minhash, mixture, queries, substrings, token_counts, toxicity, warc
 from tessera.llm.common import read_table
 from tests.conftest import SF
 
@@ -268,57 +268,6 @@ def test_licences(spark):
     assert licences.scan(corpus(spark, rows).filter("false")).count() == 0
 
 
-def test_language_model(spark):
-    r = random.Random(2)
-    # two languages with words of their own, a third of them common ones
-    speak = lambda i: " ".join(r.choices([f"{'wv'[i % 2]}{k}" for k in range(200)], [1 / (k + 1) for k in range(200)], k=60))
-    rows = [(i, speak(i)) for i in range(300)] + [(500, None), (501, ""), (None, "w1 unseenword"), (3, "w1 W1")]
-    got = lm.scores(corpus(spark, rows)).collect()
-    assert len(got) == len(rows)
-    folds = {i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
-    toks = [(i, [*words(t, True), None]) for i, t in rows]
-    c = Counter(w for i, ws in toks if not folds[i] for w in ws)
-    n, v = sum(c.values()), len(c)
-    want = Counter((i, folds[i], len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in toks)
-    assert Counter((x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6)) for x in got) == want
-    held = [x for x in got if x.held_out]
-    assert sum(x.score for x in held) > sum(x.base_score for x in held) and all(x.score < 0 for x in got)
-    assert {x.bits_per_byte for x in got if x.doc_id in (500, 501)} == {None}
-    assert lm.scores(corpus(spark, rows).filter("false")).count() == 0
-
-
-def test_language_model_counts_the_end(spark):
-    # more distinct words than have a code, all as rare as the end itself
-    rows = [(0, " ".join(f"w{k}" for k in range(20000))), (2, "w1 w1 other")]
-    got = {x.doc_id: x for x in lm.scores(corpus(spark, rows), lambda c: c == 0).collect()}
-    n, v = 20001, 20001
-    share = lambda c: math.log10((c + 1) / (n + v + 1))
-    assert [(got[i].n_tokens, got[i].n_known, got[i].train_tokens) for i in (0, 2)] == [(20001, 20001, n), (4, 3, n)]
-    assert got[0].base_score == pytest.approx(20001 * share(1)) and got[2].base_score == pytest.approx(3 * share(1) + share(0))
-
-
-def test_language_model_fits_long_texts(spark):
-    r = random.Random(6)
-    rows = [(i, " ".join(r.choices([f"w{k}" for k in range(900)], [1 / (k + 1) for k in range(900)], k=12000)) + f" only{i}") for i in range(4)]
-    assert all(len(t) > 1 << 15 for _, t in rows)
-    docs = corpus(spark, rows).repartition(3)
-    v = lm.vocabulary(lm.word_counts(docs, 4), 300)
-    code = lm.prefix_code(np.append(v.n, max(v.total - int(v.n.sum()), 0)))
-    tables = lm.predictor_tables(docs, v.h, code)
-    mixers = lm.fit(docs, v.h, code, tables)
-    even = lm.Fit(len(lm.WORD_TABLES)).first.T
-    assert np.abs(mixers[0].weights - even).max() > 0.1
-    # every training text has its part: other weights without the last one, and fewer bits than with even weights
-    fewer = lm.fit(docs.filter("doc_id < 3"), v.h, code, tables)
-    assert np.abs(fewer[0].weights - mixers[0].weights).max() > 1e-3
-    cost = {"fitted": 0.0, "even": 0.0}
-    for kind, x, gate, e in lm._fitting((v.h, code, tables), docs.select("text").toArrow().to_batches()):
-        if not kind:
-            for name, m in (("fitted", mixers[0]), ("even", lm.Mixer(even.astype(np.float32), np.tile(np.linspace(-lm.REACH, lm.REACH, lm.BINS, dtype=np.float32), (32, 1))))):
-                cost[name] += float(lm.bits_of(lm.mixed(m, x, gate, e.place), e.bits).sum())
-    assert cost["fitted"] < 0.99 * cost["even"]
-
-
 def test_mixture(spark):
     r = random.Random(4)
     own = {d: [f"{d}{k}" for k in range(40)] for d in ("a", "b", "c")}
