@@ -35,12 +35,12 @@ from tessera.llm.words import LOWER, chunks, mix, text_buffers
 
 LEAST_TOP, MOST_TOP = 1 << 12, 1 << 18  #: bounds of the number of words in the prefix code
 LEAST_BITS, MOST_BITS = 14, 24  #: bounds of the log2 of a hashed table's slots
-GROUP_CHARS, LEAST_GROUPS = 16 << 20, 24
-WORDS_A_SHARD_GROUP = 4  #: groups to one shard of exact counts
+GROUP_CHARS, LEAST_GROUPS = 24 << 20, 12
+GROUPS_A_SHARD, LEAST_SHARDS = 2, 24  #: shards of exact counts
 END = np.uint64(0x5851F42D4C957F2D)
 COMMON = 64  #: so many of the most frequent words make contexts wherever they stood last
 PLACES, LEVELS, BINS = 32, 4, 33
-BLOCK = 1 << 14  #: symbols that are coded at a time; in learning, also what is learnt from at a time
+BLOCK = 1 << 15  #: symbols that are coded at a time; in learning, also what is learnt from at a time
 REACH = 8.0
 
 
@@ -71,44 +71,91 @@ def tokens(column: pa.Array):
         yield Tokens(w.first, w.bounds + np.arange(len(w.bounds)), np.insert(w.h, w.bounds[1:], END), w)
 
 
-def before(t: Tokens, rank: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token, by frequency ranks: the last common word before it, the common word before that, and the
-    word just before if it is a frequent one; 0 for none, over the whole text so far."""
+def before(t: Tokens, rank: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each token, by frequency ranks: the last common word before it, over the whole text so far, and the word
+    just before if it is a frequent one; 0 for none."""
     place = np.arange(len(t.h))
     begin = np.repeat(t.bounds[:-1], np.diff(t.bounds))
-    common = rank < COMMON
+    at = np.concatenate(([-1], np.maximum.accumulate(np.where(rank < COMMON, place, -1))[:-1]))
+    common = np.where(at >= begin, rank[at] + 1, 0)
+    just = np.where((place > begin) & (rank[place - 1] < frequent), rank[place - 1] + 1, 0)
+    return common.astype(np.uint64), just.astype(np.uint64)
 
-    def last(mark):  # the marked place before each place, -1 for none in this text
-        at = np.concatenate(([-1], np.maximum.accumulate(np.where(mark, place, -1))[:-1]))
-        return np.where(at >= begin, at, -1)
 
-    one = last(common)
-    two = np.where(one >= 0, one[one], -1)
-    of = lambda at: np.where(at >= 0, rank[at] + 1, 0).astype(np.uint64)
-    just = np.where((place > begin) & (rank[place - 1] < frequent), rank[place - 1] + 1, 0).astype(np.uint64)
-    return of(one), of(two), just
+class Index:
+    """Places of fingerprints in a sorted array, found by their first bits."""
+
+    def __init__(self, h: np.ndarray):
+        bits = max(8, (8 * len(h)).bit_length())
+        self.h, self.shift = np.append(h, np.uint64(0)), np.uint64(64 - bits)
+        self.first = np.append(np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << self.shift), len(h)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each, the array's length for what it lacks."""
+        bucket = (h >> self.shift).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        other = np.flatnonzero((self.h[at] != h) & (at + 1 < end))
+        while len(other):
+            at[other] += 1
+            other = other[(self.h[at[other]] != h[other]) & (at[other] + 1 < end[other])]
+        return np.where((at < end) & (self.h[at] == h), at, len(self.h) - 1)
 
 
 # ---- exact word counts
 
-COUNTS = "shard int, words binary, counts binary, n_tokens long, n_words long, by_size array<long>"
-_counts = pa.schema([("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("by_size", pa.list_(pa.int64()))])
-COUNTED = "shard int, words binary, counts binary"
-_part = pa.schema([("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
-MOST_HELD = 1 << 22
+COUNTS = "shard int, words binary, counts binary, spelled binary, n_tokens long, n_words long, by_size array<long>, by_byte array<long>"
+_counts = pa.schema([("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("spelled", pa.binary()), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("by_size", pa.list_(pa.int64())), ("by_byte", pa.list_(pa.int64()))])
+COUNTED = "shard int, words binary, counts binary, spelled binary"
+_counted = pa.schema([("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("spelled", pa.binary())])
+MOST_HELD = 1 << 21  #: distinct words that a task holds before it hands over their counts
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int32)
 
 
-def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    h = np.concatenate([np.zeros(0, np.uint64), *(p[0] for p in parts)])
-    n = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
+class Counted(NamedTuple):
+    """Distinct words, sorted: fingerprints, counts, and bytes with a space after each."""
+
+    h: np.ndarray
+    n: np.ndarray
+    data: np.ndarray
+    ends: np.ndarray  #: of each word in data, with its space
+
+
+def pick(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of these ranges, one after the other."""
+    size = ends - starts
+    return data[np.arange(int(size.sum())) + np.repeat(starts - (np.cumsum(size) - size), size)]
+
+
+def counted(t: Tokens) -> Counted:
+    """Distinct tokens of a chunk; the end has no bytes."""
+    w = t.words
+    h, at, n = np.unique(w.h, return_index=True, return_counts=True)
+    size = w.ends[at] - w.starts[at] + 1
+    ends = np.cumsum(size)
+    data = np.full(int(size.sum()), 32, np.uint8)
+    inner = np.ones(len(data), bool)
+    inner[ends - 1] = False
+    data[inner] = pick(w.data, w.starts[at], w.ends[at])
+    i = int(np.searchsorted(h, END))
+    before_ = int(ends[i - 1]) if i else 0
+    return Counted(np.insert(h, i, END), np.insert(n, i, len(t.bounds) - 1), np.insert(data, before_, 32), np.insert(ends + (np.arange(len(ends)) >= i), i, before_ + 1))
+
+
+def together(parts: list[Counted]) -> Counted:
+    none = np.zeros(0, np.int64)
+    h, n, data = (np.concatenate([none.astype(kind), *(p[k] for p in parts)]) for k, kind in ((0, np.uint64), (1, np.int64), (2, np.uint8)))
+    base = np.cumsum([0, *(len(p.data) for p in parts)])
+    ends = np.concatenate([none, *(p.ends + b for p, b in zip(parts, base, strict=False))])
+    starts = np.concatenate([none, *(np.concatenate(([0], p.ends[:-1])) + b if len(p.ends) else none for p, b in zip(parts, base, strict=False))])
     order = np.argsort(h, kind="stable")
-    h, n = h[order], n[order]
-    at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))[: len(h)])
-    return h[at], np.add.reduceat(n, at) if len(at) else n
+    new = np.flatnonzero(np.diff(h[order], prepend=np.uint64(0)) != 0)
+    if len(h) and h[order[0]] == 0:
+        new = np.union1d([0], new)
+    first = order[new]
+    return Counted(h[first], np.add.reduceat(n[order], new) if len(new) else n, pick(data, starts[first], ends[first]), np.cumsum(ends[first] - starts[first]))
 
 
 def by_shard(h: np.ndarray, shards: int):
@@ -118,30 +165,27 @@ def by_shard(h: np.ndarray, shards: int):
     return [(int(s[a]), slice(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-LETTER_SHARD = -1  #: the row of counts that has those of bytes
-
-
 def _count(shards: int):
     def count(batches):
-        held, size, letters = [], 0, np.zeros(256, np.int64)
+        held, size = [], 0
 
         def rows():
-            h, n = merged(held)
-            return table([(s, planes(h[i]), planes(n[i].astype(np.uint32))) for s, i in by_shard(h, shards)], _part).combine_chunks().to_batches()
+            c = together(held)
+            ends = np.concatenate(([0], c.ends))
+            parts = [(s, planes(c.h[i]), planes(c.n[i].astype(np.uint32)), c.data[ends[i.start] : ends[i.stop]].tobytes()) for s, i in by_shard(c.h, shards)]
+            return table(parts, _counted).combine_chunks().to_batches()
 
         for batch in batches:
             for t in tokens(batch.column(0)):
-                held.append(np.unique(t.h, return_counts=True))
-                letters += np.bincount(t.words.data, minlength=256)
-                size += len(held[-1][0])
+                held.append(counted(t))
+                size += len(held[-1].h)
                 if size > MOST_HELD:
-                    held = [merged(held)]
-                    size = len(held[0][0])
+                    held = [together(held)]
+                    size = len(held[0].h)
                     if size > MOST_HELD // 2:
                         yield from rows()
                         held, size = [], 0
         yield from rows()
-        yield pa.RecordBatch.from_pylist([{"shard": LETTER_SHARD, "words": planes(np.arange(256, dtype=np.uint64)), "counts": planes(np.minimum(letters, 0xFFFFFFFF).astype(np.uint32))}], _part)
 
     return count
 
@@ -151,15 +195,17 @@ def size_class(n: np.ndarray) -> np.ndarray:
 
 
 def _sum_words(part: pa.Table) -> pa.Table:
-    h, n = merged([(numbers(a, np.uint64), numbers(b, np.uint32).astype(np.int64)) for a, b in zip(part["words"].to_pylist(), part["counts"].to_pylist(), strict=True)])
-    shard = part["shard"][0].as_py()
-    if shard == LETTER_SHARD:
-        return table([(shard, planes(h), planes(n), 0, 0, [])], _counts)
-    return table([(shard, planes(h), planes(n), int(n.sum()), len(h), np.bincount(size_class(n)).tolist())], _counts)
+    def one(words, counts, blob):
+        data = np.frombuffer(blob, np.uint8)
+        return Counted(numbers(words, np.uint64), numbers(counts, np.uint32).astype(np.int64), data, np.flatnonzero(data == 32) + 1)
+
+    c = together([one(*x) for x in zip(*(part[k].to_pylist() for k in ("words", "counts", "spelled")), strict=True)])
+    return table([(part["shard"][0].as_py(), planes(c.h), planes(c.n), c.data.tobytes(), int(c.n.sum()), len(c.h), np.bincount(size_class(c.n)).tolist(), np.bincount(c.data, minlength=256).tolist())], _counts)
 
 
 def word_counts(train: DataFrame, shards: int) -> DataFrame:
-    """Exact counts (COUNTS) of all tokens of train (text), a row a shard, and those of bytes; in the shared folder."""
+    """Exact counts (COUNTS) of all tokens of train (text), a row a shard, with the spelling of each word and the counts
+    of bytes over distinct words; in the shared folder."""
     return cut(train.select("text").mapInArrow(_count(shards), COUNTED).groupBy("shard").applyInArrow(_sum_words, COUNTS), "words")
 
 
@@ -171,7 +217,7 @@ class Vocabulary(NamedTuple):
     total: int
     distinct: int
     once: int
-    letters: np.ndarray  #: counts of bytes
+    letters: np.ndarray  #: counts of bytes over distinct words, that of the space for their ends
 
 
 def vocabulary(counts: DataFrame, top: int | None = None) -> Vocabulary:
@@ -196,13 +242,15 @@ def vocabulary(counts: DataFrame, top: int | None = None) -> Vocabulary:
                 keep = (size_class(n) >= least) | (h == END)
                 yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep])], names=["h", "n"])
 
-    got = counts.filter(F.col("shard") != LETTER_SHARD).select("words", "counts").mapInArrow(frequent, "h long, n long").toArrow()  # at most `top` rows and the end
+    got = counts.select("words", "counts").mapInArrow(frequent, "h long, n long").toArrow()  # at most `top` rows and the end
     h, n = got["h"].to_numpy().view(np.uint64), got["n"].to_numpy()
     if END not in h:  # no texts
         h, n = np.append(h, END), np.append(n, 0)
     order = np.argsort(h)
-    letters = counts.filter(F.col("shard") == LETTER_SHARD).select("counts").first()
-    return Vocabulary(h[order], n[order], int(sums[0] or 0), int(sums[1] or 0), int(once), np.zeros(256, np.int64) if letters is None else numbers(letters[0], np.int64))
+    letters = np.zeros(256, np.int64)
+    for r in counts.select(F.posexplode("by_byte").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():  # 256 rows
+        letters[r.k] = r.n
+    return Vocabulary(h[order], n[order], int(sums[0] or 0), int(sums[1] or 0), int(once), letters)
 
 
 class Code(NamedTuple):
@@ -268,27 +316,25 @@ def events(code: Code, symbol: np.ndarray, contexts: list[np.ndarray], bits: int
     return Events([code.node[path], *(((np.repeat(c, length) ^ key) * SPREAD >> shift).astype(np.int64) for c in contexts)], code.bit[path], code.place[path], starts)
 
 
-def word_contexts(common: np.ndarray, earlier: np.ndarray, just: np.ndarray) -> list[np.ndarray]:
-    return [short(common), short(just + np.uint64(1 << 20)), short((earlier << np.uint64(32)) + common + np.uint64(1 << 16))]
+def word_contexts(common: np.ndarray, just: np.ndarray) -> list[np.ndarray]:
+    return [short(common), short(just + np.uint64(1 << 32))]
 
 
-def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Bytes of words, a space after each; where each word begins; contexts of one byte and the last common word,
-    and of two, three and four bytes, for each byte."""
+def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Bytes of words, a space after each; where each word begins; for each byte contexts of the one, two, three and
+    four bytes before it in its word."""
     size = ends - starts + 1
     first = np.cumsum(size) - size
     rep = np.repeat(np.arange(len(size)), size)
     at = np.arange(len(rep)) - first[rep]
-    byte = np.where(at == size[rep] - 1, 32, data[np.minimum(starts[rep] + at, max(len(data) - 1, 0))]) if len(rep) else np.zeros(0, np.uint8)
-    back = np.zeros((4, len(byte)), np.uint64)
+    byte = np.where(at == size[rep] - 1, 32, data[np.minimum(starts[rep] + at, max(len(data) - 1, 0))]) if len(data) else np.full(len(rep), 32, np.uint8)
+    own, sum_ = [], np.zeros(len(byte), np.uint64)
     for k in range(1, 5):
-        back[k - 1, k:] = np.where(at[k:] >= k, byte[:-k], 0)
-    hashes, sum_ = [], np.zeros(len(byte), np.uint64)
-    for k in range(4):
-        sum_ = sum_ | back[k] << np.uint64(8 * k)
-        hashes.append(sum_)
-    own = [hashes[0] | common[rep] << np.uint64(8), *hashes[1:]]
-    return byte.astype(np.int64), first, [short(c + (np.uint64(k + 1) << np.uint64(56))) for k, c in enumerate(own)]
+        back = np.zeros(len(byte), np.uint64)
+        back[k:] = np.where(at[k:] >= k, byte[:-k], 0)
+        sum_ = sum_ | back << np.uint64(8 * (k - 1))
+        own.append(short(sum_ + (np.uint64(k) << np.uint64(56))))
+    return byte.astype(np.int64), first, own
 
 
 # ---- what is learnt
@@ -308,7 +354,7 @@ class Shape(NamedTuple):
         return [len(code.length), *[1 << bits] * (self.inputs - 1)]
 
 
-WORDS, LETTERS = Shape(4, 2), Shape(5, 2)
+WORDS, LETTERS = Shape(3, 2), Shape(5, 2)
 SHAPES = (WORDS, LETTERS)
 PRIOR, STEP = 4.0, 0.5  #: how sure the even weights are, in events; the most that a weight moves in one step
 SHRINK = 1.5  #: events that the first predictor's share counts for in any other
@@ -398,19 +444,20 @@ class Learner:
         return [self.sure, np.einsum("gij,gj->gi", self.sure, self.w), self.seen]
 
 
-def sum_shapes() -> list[tuple]:
-    return [s for m in SHAPES for s in ((m.gates, m.inputs + 1, m.inputs + 1), (m.gates, m.inputs + 1), (2 * PLACES * BINS,))]
+def sum_shapes(shape: Shape) -> list[tuple]:
+    return [(shape.gates, shape.inputs + 1, shape.inputs + 1), (shape.gates, shape.inputs + 1), (2 * PLACES * BINS,)]
 
 
 PIECE, PART = 1 << 16, 1 << 12  #: slots, and numbers of the sums, in a row
 
 
 def sparse(x: np.ndarray) -> bytes:
-    """What is not 0 in x, and where."""
+    """What is not 0 in x, and how far each is from the one before."""
     at = np.flatnonzero(x)
-    return planes(np.concatenate([at.astype(np.uint64), x[at].astype(np.uint64)]))
+    return planes(np.concatenate([np.diff(at, prepend=0).astype(np.uint64), x[at].astype(np.uint64)]))
 
 
+#: kind 0: a piece of the counts; 1 and 2: a part of the sums of the mixer of words, and of letters.
 LEARNT = "kind int, part int, p int, data binary"
 _learnt = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("p", pa.int32()), ("data", pa.binary())])
 
@@ -424,33 +471,46 @@ def _slots(codes: list[Code], bits: list[int]) -> list[np.ndarray]:
     return out
 
 
-def _learn(model):
+def _handed_over(which: int, at: np.ndarray, p: int, x: Learner) -> pa.Table:
+    rows = []
+    for a, counts in zip(at.tolist(), x.counts, strict=False):
+        rows += [(0, a // PIECE + k, p, sparse(counts[b : b + 2 * PIECE])) for k, b in enumerate(range(0, len(counts), 2 * PIECE))]
+    sums = np.concatenate([np.ravel(y) for y in x.sums()])
+    return table(rows + [(1 + which, k, p, sums[a : a + PART].tobytes()) for k, a in enumerate(range(0, len(sums), PART))], _learnt)
+
+
+def _learn_words(model):
     def learn(texts: pa.Table) -> pa.Table:
         words, codes, bits, frequent = model.value
         texts = texts.sort_by([(c, "ascending") for c in ("r", "doc_id", "text")])
-        learners = [Learner(*x) for x in zip(SHAPES, codes, bits, strict=True)]
-        seen = np.zeros(0, np.uint64)
+        found, x = Index(words), Learner(WORDS, codes[0], bits[0])
         for t in tokens(texts["text"]):
-            symbol = symbols(t.h, words)
-            context = before(t, codes[0].rank[symbol], frequent)
-            own = word_contexts(*context)
+            symbol = found.find(t.h)
+            own = word_contexts(*before(t, codes[0].rank[symbol], frequent))
             for a in range(0, len(symbol), BLOCK):
-                learners[0].learn(symbol[a : a + BLOCK], [c[a : a + BLOCK] for c in own])
-            # each word without a code once, where the group first has it
-            w = t.words
-            rare, i = np.unique(w.h, return_index=True)
-            new = (symbols(rare, words) == len(words)) & ~np.isin(rare, seen, assume_unique=True)
-            seen, i = np.union1d(seen, rare[new]), np.sort(i[new])
-            byte, _, own = spelled(w.data, w.starts[i], w.ends[i], context[0][_place(t, i)])
-            for a in range(0, len(byte), BLOCK):
-                learners[1].learn(byte[a : a + BLOCK], [c[a : a + BLOCK] for c in own])
-        p, rows = texts["p"][0].as_py(), []
-        for at, x in zip(_slots(codes, bits), learners, strict=True):
-            for a, counts in zip(at.tolist(), x.counts, strict=False):
-                rows += [(0, a // PIECE + k, p, sparse(counts[b : b + 2 * PIECE])) for k, b in enumerate(range(0, len(counts), 2 * PIECE))]
-        sums = np.concatenate([np.ravel(x) for y in learners for x in y.sums()])
-        rows += [(1, k, p, sums[a : a + PART].tobytes()) for k, a in enumerate(range(0, len(sums), PART))]
-        return table(rows, _learnt)
+                x.learn(symbol[a : a + BLOCK], [c[a : a + BLOCK] for c in own])
+        return _handed_over(0, _slots(codes, bits)[0], texts["p"][0].as_py(), x)
+
+    return learn
+
+
+def _learn_letters(model):
+    """From the words of a shard that have no code, each once, in the order of their fingerprints."""
+
+    def learn(shards):
+        words, codes, bits, _ = model.value
+        found = Index(words)
+        for batch in shards:
+            for shard, h, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                x, data = Learner(LETTERS, codes[1], bits[1]), np.frombuffer(blob, np.uint8)
+                ends = np.flatnonzero(data == 32)
+                rare = np.flatnonzero(found.find(numbers(h, np.uint64)) == len(words))
+                starts = np.concatenate(([0], ends[:-1] + 1))
+                for a in range(0, len(rare), BLOCK // 8):
+                    i = rare[a : a + BLOCK // 8]
+                    byte, _, own = spelled(data, starts[i], ends[i])
+                    x.learn(byte, own)
+                yield from _handed_over(1, _slots(codes, bits)[1], shard, x).combine_chunks().to_batches()
 
     return learn
 
@@ -478,8 +538,8 @@ def _add_up(last: bool):
                     one = np.frombuffer(blob, np.float64)
                     x[: len(one)] += one
                 else:
-                    at, n = numbers(blob, np.uint64).reshape(2, -1)
-                    x[at] += n
+                    steps, n = numbers(blob, np.uint64).reshape(2, -1)
+                    x[np.cumsum(steps, dtype=np.int64)] += n
         if key:
             yield made(*key, x)
 
@@ -514,15 +574,15 @@ def assembled(v: Vocabulary, ready: tuple, rows: pa.Table) -> Model:
     _, codes, bits, frequent = ready
     at = _slots(codes, bits)
     tables = np.zeros(int(at[-1][-1]), np.uint32)
-    sums = np.zeros(sum(map(math.prod, sum_shapes())))
+    sums = [np.zeros(sum(map(math.prod, sum_shapes(shape)))) for shape in SHAPES]
     for kind, part, blob in zip(*(rows[c].to_pylist() for c in ("kind", "part", "data")), strict=True):
-        to, step, x = (sums, PART, np.frombuffer(blob, np.float64)) if kind else (tables, PIECE, np.frombuffer(blob, np.uint32))
+        to, step, x = (sums[kind - 1], PART, np.frombuffer(blob, np.float64)) if kind else (tables, PIECE, np.frombuffer(blob, np.uint32))
         to[step * part : step * (part + 1)] = x[: len(to) - step * part]
-    parts = [x.reshape(s) for x, s in zip(np.split(sums, np.cumsum([math.prod(s) for s in sum_shapes()])[:-1]), sum_shapes(), strict=True)]
     prior = 1 / (1 + np.exp(-np.tile(np.linspace(-REACH, REACH, BINS), PLACES)))
     mixers = []
     for k, (shape, code) in enumerate(zip(SHAPES, codes, strict=True)):
-        bend, pull, seen = parts[3 * k : 3 * k + 3]
+        shapes = sum_shapes(shape)
+        bend, pull, seen = (x.reshape(y) for x, y in zip(np.split(sums[k], np.cumsum([math.prod(y) for y in shapes])[:-1]), shapes, strict=True))
         none = Learner(shape, code, 0)
         weights = np.linalg.solve(none.sure + bend, (PRIOR * none.first + pull)[:, :, None])[:, :, 0]
         zeros, ones = seen.reshape(2, -1)
@@ -538,7 +598,8 @@ def train(dealt: DataFrame, counts: DataFrame, groups: int) -> Model:
     ready = plan(v)
     model = spark.sparkContext.broadcast(ready)
     pieces = -(-int(_slots(*ready[1:3])[-1][-1]) // PIECE)
-    learnt = dealt.groupBy("p").applyInArrow(_learn(model), LEARNT).withColumn("p", F.pmod("p", F.lit(math.isqrt(groups) + 1)))
+    letters = counts.select("shard", "words", "spelled").repartition(shuffle_width(spark), "shard").mapInArrow(_learn_letters(model), LEARNT)
+    learnt = dealt.groupBy("p").applyInArrow(_learn_words(model), LEARNT).unionByName(letters).withColumn("p", F.pmod("p", F.lit(math.isqrt(groups) + 1)))
     # two rounds, so that no task adds up more rows than the square root of the groups
     for last, width, key in ((False, shuffle_width(spark), ["kind", "part", "p"]), (True, min(shuffle_width(spark), pieces), ["kind", "part"])):
         learnt = learnt.repartition(width, *key).sortWithinPartitions(*key).mapInArrow(_add_up(last), LEARNT)
@@ -585,7 +646,7 @@ def coded(m: Mixer, symbol: np.ndarray, contexts: list[np.ndarray], bounds: np.n
             bin_ = np.repeat(who * COARSE, size) + low // 4
             y = np.float32(0.5) * (y + m.refined[base] * (1 - part) + m.refined[base + 1] * part) + fine[bin_]
             p = 1 / (1 + np.exp(-np.clip(y, -30, 30)))
-            out[some] = np.add.reduceat(-np.log2(np.where(e.bits > 0, p, 1 - p) + np.float32(1e-12)), e.starts)
+            out[some] = np.add.reduceat(np.log(np.where(e.bits > 0, p, 1 - p) + np.float32(1e-12)), e.starts) * np.float32(-1 / math.log(2))
             off, curve = e.bits - p, p * (1 - p)
             for k in range(n + 1):
                 one = x[k] if k < n else np.ones(1, np.float32)
@@ -598,17 +659,6 @@ def coded(m: Mixer, symbol: np.ndarray, contexts: list[np.ndarray], bounds: np.n
     return out
 
 
-def symbols(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Places in the vocabulary; its length for other words."""
-    i = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[i] == h, i, len(vocabulary))
-
-
-def _place(t: Tokens, i: np.ndarray) -> np.ndarray:
-    """Places among the tokens of the chunk's words i."""
-    return i + np.searchsorted(t.words.bounds, i, "right") - 1
-
-
 def rare_bits(text: np.ndarray, h: np.ndarray, bits: np.ndarray, new: np.ndarray, share: float) -> np.ndarray:
     """Bits of rare words, in order of text: `bits` are those of a word among the known or among the new ones, share is
     that of new ones in training. Shares of new words and of words that the text has had before follow its own counts."""
@@ -634,66 +684,63 @@ def rare_bits(text: np.ndarray, h: np.ndarray, bits: np.ndarray, new: np.ndarray
     return np.where(had > 0, -np.logaddexp2(-plain, -copied), plain)
 
 
-def spell(m: Model, t: Tokens, place: np.ndarray, text: np.ndarray, texts: int, common: np.ndarray) -> np.ndarray:
+def spell(m: Model, t: Tokens, place: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
     """Bits that it takes to spell the words at these token places, in order."""
     if not len(place):
         return np.zeros(0)
     i = place - text
-    byte, first, own = spelled(t.words.data, t.words.starts[i], t.words.ends[i], common[place])
-    ends = np.append(first, len(byte))
-    bounds = ends[np.searchsorted(text, np.arange(texts + 1))]
+    byte, first, own = spelled(t.words.data, t.words.starts[i], t.words.ends[i])
+    bounds = np.append(first, len(byte))[np.searchsorted(text, np.arange(texts + 1))]
     return np.add.reduceat(coded(m.letters, byte, own, bounds), first)
 
 
 ASKED = "shard int, p int, words binary"
 _asked = pa.schema([("shard", pa.int32()), ("p", pa.int32()), ("words", pa.binary())])
-ANSWER = "p int, words binary, counts binary"
-_answer_schema = pa.schema([("p", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
+ANSWER = "p int, shard int, counts binary"
+_answers = pa.schema([("p", pa.int32()), ("shard", pa.int32()), ("counts", pa.binary())])
+
+
+def _rare(chunks_: list[Tokens], vocabulary: np.ndarray) -> np.ndarray:
+    """Distinct words without a code, sorted."""
+    found = Index(vocabulary)
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(t.words.h[found.find(t.words.h) == len(vocabulary)] for t in chunks_)]))
 
 
 def _ask(frequent, shards: int):
     def ask(texts: pa.Table) -> pa.Table:
-        parts = []
-        for t in tokens(texts["text"]):
-            h = np.unique(t.words.h)
-            parts.append(h[symbols(h, frequent.value) == len(frequent.value)])
-        h = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
-        p = texts["p"][0].as_py()
+        h, p = _rare(tokens(texts["text"]), frequent.value), texts["p"][0].as_py()
         return table([(s, p, planes(h[i])) for s, i in by_shard(h, shards)], _asked)
 
     return ask
 
 
 def _answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
-    if not counts.num_rows:
-        return table([], _answer_schema)
-    h, n = numbers(counts["words"][0].as_py(), np.uint64), numbers(counts["counts"][0].as_py(), np.int64)
+    """For each group that asks, the counts of its words in their order; 0 for new ones."""
+    h, n = np.zeros(1, np.uint64), np.zeros(1, np.int64)
+    if counts.num_rows:
+        h, n = numbers(counts["words"][0].as_py(), np.uint64), numbers(counts["counts"][0].as_py(), np.int64)
     rows = []
-    for p, blob in zip(asked["p"].to_pylist(), asked["words"].to_pylist(), strict=True):
+    for shard, p, blob in zip(*(asked[c].to_pylist() for c in ("shard", "p", "words")), strict=True):
         mine = numbers(blob, np.uint64)
         i = np.minimum(np.searchsorted(h, mine), len(h) - 1)
-        hit = h[i] == mine
-        if hit.any():
-            rows.append((p, planes(mine[hit]), planes(n[i[hit]])))
-    return table(rows, _answer_schema)
+        rows.append((p, shard, planes(np.where(h[i] == mine, n[i], 0))))
+    return table(rows, _answers)
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
 _scores = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
 
-def text_bits(m: Model, t: Tokens, count: np.ndarray) -> np.ndarray:
-    """Bits of each token of a chunk's texts, whose exact counts in training are given."""
+def text_bits(m: Model, t: Tokens, symbol: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Bits of each token of a chunk's texts, given their places in the vocabulary and exact counts in training."""
     v, texts = m.vocabulary, len(t.bounds) - 1
-    symbol = symbols(t.h, v.h)
-    context = before(t, m.words.code.rank[symbol], m.frequent)
-    cost = coded(m.words, symbol, word_contexts(*context), t.bounds)
+    cost = coded(m.words, symbol, word_contexts(*before(t, m.words.code.rank[symbol], m.frequent)), t.bounds)
     rare = np.flatnonzero(symbol == len(v.h))
     text = np.repeat(np.arange(texts), np.diff(t.bounds))[rare]
     new = count[rare] == 0
     total = max(v.total - int(v.n.sum()), 0)
     own = -np.log2(np.maximum(count[rare], 1) / max(total, 1))
-    own[new] = spell(m, t, rare[new], text[new], texts, context[0])
+    own[new] = spell(m, t, rare[new], text[new], texts)
     cost[rare] += rare_bits(text, t.h[rare], own, new, min(max(v.once / max(total, 1), 0.005), 0.95))
     return cost
 
@@ -703,21 +750,22 @@ def _score(broadcast):
         if not texts.num_rows:
             return table([], _scores)
         m: Model = broadcast.value
-        v = m.vocabulary
-        known, number = merged([(numbers(a, np.uint64), numbers(b, np.int64)) for a, b in zip(answers["words"].to_pylist(), answers["counts"].to_pylist(), strict=True)])
+        v, read = m.vocabulary, list(tokens(texts["text"]))
+        # the words that the group asked for, in the order in which it did
+        rare, found = _rare(read, v.h), Index(v.h)
+        number = np.concatenate([np.zeros(0, np.int64), *(numbers(x, np.int64) for x in answers.sort_by("shard")["counts"].to_pylist())])
+        among = Index(rare)
         n_tokens, n_known, base, bits = [], [], [], []
-        for t in tokens(texts["text"]):
-            symbol = symbols(t.h, v.h)
+        for t in read:
+            symbol = found.find(t.h)
             c = np.append(v.n, 0)[symbol]
-            rare = np.flatnonzero(symbol == len(v.h))
-            if len(known):
-                i = np.minimum(np.searchsorted(known, t.h[rare]), len(known) - 1)
-                c[rare] = np.where(known[i] == t.h[rare], number[i], 0)
+            other = np.flatnonzero(symbol == len(v.h))
+            c[other] = number[among.find(t.h[other])]
             starts = t.bounds[:-1]
             n_tokens.append(np.diff(t.bounds))
             n_known.append(np.add.reduceat((c > 0).astype(np.int64), starts))
             base.append(np.add.reduceat(np.log10((c + 1) / (v.total + v.distinct + 1)), starts))
-            bits.append(np.add.reduceat(text_bits(m, t, c), starts))
+            bits.append(np.add.reduceat(text_bits(m, t, symbol, c), starts))
         size = np.diff(text_buffers(texts["text"])[0])
         bits = np.concatenate(bits)
         per_byte = pa.array(np.divide(bits, size, out=np.zeros(len(bits)), where=size > 0), pa.float64(), mask=size == 0)
@@ -742,7 +790,7 @@ def scores(docs: DataFrame, learn_from=None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
     groups = groups_for(rows.agg(F.sum(F.octet_length("text"))).first()[0], GROUP_CHARS, LEAST_GROUPS)
-    shards = max(LEAST_GROUPS, groups // WORDS_A_SHARD_GROUP)
+    shards = max(LEAST_SHARDS, groups // GROUPS_A_SHARD)
     # by id and text, so that rows without an id are dealt out too
     by_row = F.xxhash64("doc_id", "text")
     dealt = rows.select(F.pmod(by_row, F.lit(groups)).cast("int").alias("p"), "doc_id", "text", by_row.alias("r"))

@@ -53,16 +53,25 @@ class Given:
 
 def trained(texts, top=150):
     """A model of these texts as one group, and the exact counts."""
-    h = np.concatenate([t.h for t in lm.tokens(pa.array(texts))])
-    word, n = np.unique(h, return_counts=True)
-    keep = np.union1d(np.argsort(-n, kind="stable")[:top], np.flatnonzero(word == lm.END))
-    v = lm.Vocabulary(word[keep], n[keep], len(h), len(word), int((n == 1).sum()), np.bincount(np.frombuffer(" ".join(texts).encode(), np.uint8), minlength=256))
+    c = lm.together([lm.counted(t) for t in lm.tokens(pa.array(texts))])
+    keep = np.union1d(np.argsort(-c.n, kind="stable")[:top], np.flatnonzero(c.h == lm.END))
+    v = lm.Vocabulary(c.h[keep], c.n[keep], int(c.n.sum()), len(c.h), int((c.n == 1).sum()), np.bincount(c.data, minlength=256))
     ready = lm.plan(v)
     group = pa.table({"p": pa.array([0] * len(texts), pa.int32()), "doc_id": list(range(len(texts))), "text": texts, "r": list(range(len(texts)))})
-    rows = lm._learn(Given(ready))(group)
+    shard = pa.record_batch({"shard": [0], "words": [lm.planes(c.h)], "spelled": [c.data.tobytes()]})
+    rows = pa.concat_tables([lm._learn_words(Given(ready))(group), pa.Table.from_batches(list(lm._learn_letters(Given(ready))([shard])))])
     for last in (False, True):
-        rows = pa.Table.from_batches(list(lm._add_up(last)(rows.sort_by([(c, "ascending") for c in ("kind", "part", "p")]).to_batches())))
-    return lm.assembled(v, ready, rows), dict(zip(word.tolist(), n.tolist(), strict=True))
+        rows = pa.Table.from_batches(list(lm._add_up(last)(rows.sort_by([(k, "ascending") for k in ("kind", "part", "p")]).to_batches())))
+    return lm.assembled(v, ready, rows), dict(zip(c.h.tolist(), c.n.tolist(), strict=True))
+
+
+def test_exact_counts_and_spelling():
+    texts = ["b a b é", "", "a\tc end", "x" * 70]
+    c = lm.together([lm.counted(t) for s in (texts, texts[:1]) for t in lm.tokens(pa.array(s))])
+    spelled = c.data.tobytes().split(b" ")[:-1]
+    assert dict(zip(spelled, c.n.tolist(), strict=True)) == Counter([*b" ".join(t.encode() for t in [*texts, texts[0]]).split(), *[b""] * 5]) and (np.diff(c.h.astype(object)) > 0).all()
+    found = lm.Index(c.h)
+    assert found.find(c.h).tolist() == list(range(len(c.h))) and found.find(c.h + np.uint64(1)).tolist() == [len(c.h)] * len(c.h)
 
 
 def slow_bits(m, symbol, contexts):
@@ -106,13 +115,13 @@ def test_bits_like_a_slow_scorer():
     m, counts = trained([zipf(r, 300) for _ in range(30)])
     texts = [zipf(r, 700), "", zipf(r, 90) + " neverseen w1", zipf(r, 10), "fresh fresh fresh unheard"]
     (t,) = lm.tokens(pa.array(texts))
-    symbol = lm.symbols(t.h, m.vocabulary.h)
+    symbol = lm.Index(m.vocabulary.h).find(t.h)
     own = lm.word_contexts(*lm.before(t, m.words.code.rank[symbol], m.frequent))
     got = lm.coded(m.words, symbol, own, t.bounds)
     for a, b in zip(t.bounds, t.bounds[1:]):
         assert got[a:b] == pytest.approx(slow_bits(m.words, symbol[a:b], [c[a:b] for c in own]), abs=2e-3)
     count = np.array([counts.get(h, 0) for h in t.h.tolist()])
-    bits = lm.text_bits(m, t, count)
+    bits = lm.text_bits(m, t, symbol, count)
     # a word that the text has had before costs less than at first, and all bits are there
     fresh = bits[t.bounds[4] : t.bounds[5]]
     assert fresh[2] < fresh[0] and (bits > 0).all()
@@ -141,7 +150,7 @@ def test_text_adapts():
     m, counts = trained([zipf(r, 300) for _ in range(30)])
     odd = " ".join(r.choices([f"w{i}" for i in range(60, 120)], k=3000))  # known words in quite other shares
     (t,) = lm.tokens(pa.array([odd]))
-    symbol = lm.symbols(t.h, m.vocabulary.h)
+    symbol = lm.Index(m.vocabulary.h).find(t.h)
     own = lm.word_contexts(*lm.before(t, m.words.code.rank[symbol], m.frequent))
     whole = lm.coded(m.words, symbol, own, t.bounds)
     first = np.concatenate([lm.coded(m.words, symbol[a : a + 64], [c[a : a + 64] for c in own], np.array([0, len(symbol[a : a + 64])])) for a in range(0, len(symbol), 64)])
