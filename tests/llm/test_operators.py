@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, embeddings, licences, minhash, mixture, queries, substrings, token_counts, toxicity, warc
+from tessera.llm import decontaminate, embeddings, minhash, mixture, queries, substrings, token_counts, toxicity, warc
 from tessera.llm.common import read_table
 from tests.conftest import SF
 
@@ -257,17 +257,6 @@ def test_token_counts(spark):
     assert after[4].text == text and sum(after[4].counts) == len(count.bpe.encode_ordinary(text)) and after[5].text == rows[4][1]
 
 
-def test_licences(spark):
-    notice = "  Released under\tthe MIT licence."
-    rows = [(1, "x y z\n" + "Released under the MIT License!\nbye"), (2, notice), (3, licences._ISC.upper().replace(",", " ;")), (4, "words " * 50), (5, None), (6, ""), (None, "released under the mit license"), (7, "licensed under cc by nc 4 0"), (7, "licensed under cc by nc 4 0")]
-    got = {(r.doc_id, r.licence): (r.dice, r.line_no) for r in licences.scan(corpus(spark, rows)).collect()}
-    assert got[(1, "MIT")] == (1.0, 2) and got[(3, "ISC")] == (1.0, 1) and got[(7, "CC-BY-NC-4.0")][0] == 1.0
-    assert {k[0] for k in got} == {1, 3, 7}
-    near = {(r.doc_id, r.licence): r.dice for r in licences.scan(corpus(spark, rows), least=0.7).collect()}
-    assert near[(2, "MIT")] == pytest.approx(2 * 3 / 8)
-    assert licences.scan(corpus(spark, rows).filter("false")).count() == 0
-
-
 def test_mixture(spark):
     r = random.Random(4)
     own = {d: [f"{d}{k}" for k in range(40)] for d in ("a", "b", "c")}
