@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.operators.store import shared_path
+
 
 def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """rows with rn: 1 for the first of each key in the given order, more for those that repeat it."""
@@ -69,8 +71,15 @@ def stale(rows: DataFrame, derived: DataFrame, key: str, version: str, updated:
 
 
 def new_ids(rows: DataFrame, order: list[str], after: int, name: str = "id") -> DataFrame:
-    """rows numbered from after + 1 on in the given order, without one global window: partitions by range, counted."""
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    """rows numbered from after + 1 on in the given order, without one global window: partitions by range, counted.
+
+    A fixed number of partitions, written before they are counted, so that what is counted is what is numbered.
+    """
+    spark = rows.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_path(spark, "numbered")
+    rows.repartitionByRange(width, *order).withColumn("_p", F.spark_partition_id()).write.parquet(path)
+    spread = spark.read.parquet(path)
     spread = spread.withColumn("_at", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
     # one row a partition
     counts = spread.groupBy("_p").agg(F.max("_at").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))

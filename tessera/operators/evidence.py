@@ -63,20 +63,36 @@ def aggregate(rows: DataFrame, key: str, attributes: str, signals: list[Signal])
     return rows.groupBy(key).agg(*out)
 
 
+def in_utc(time: str) -> Column:
+    """A time as text in UTC, to the millisecond; null for none. Such texts sort like the times."""
+    at = F.to_utc_timestamp(F.col(time).try_cast("timestamp"), F.current_timezone())
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+
+
 def check_rows(rows: DataFrame) -> None:
-    """Raise for rows without key or name, with a time that can't be read, or without a positive row number; one aggregation."""
+    """Raise for rows without key or name, with a time that can't be read, without a positive row number, or with an
+    attribute that is neither text nor a finite number nor null; one aggregation."""
     c = F.col
     bad = rows.agg(
         F.count_if(F.coalesce(F.trim(c("source_key")), F.lit("")) == "").alias("key"),
         F.count_if(F.coalesce(F.trim(c("name")), F.lit("")) == "").alias("name"),
         F.count_if(c("observed_at").isNotNull() & c("observed_at").try_cast("timestamp").isNull()).alias("observed_at"),
         F.count_if(~F.coalesce(c("source_row_number") > 0, F.lit(False))).alias("source_row_number"),
+        *([F.count_if(c("attributes").isNotNull() & ~F.coalesce(_scalars(c("attributes")), F.lit(False))).alias("attributes")] if "attributes" in rows.columns else []),
     ).first()
     wrong = [k for k, n in bad.asDict().items() if n]
     if wrong:
         raise ValueError(f"rows of the source lack what they must have: {', '.join(wrong)}")
 
 
+def _scalars(attributes: Column) -> Column:
+    """Whether a JSON text is an object of texts, numbers that a double can hold, and nulls."""
+    own = F.from_json(attributes, "map<string,string>")
+    shape = F.schema_of_variant(F.try_parse_json(attributes))
+    number = F.forall(F.map_values(own), lambda x: x.isNull() | ~x.rlike(r"^-?\d+(\.\d+)?([eE][-+]?\d+)?\z") | (F.abs(x.try_cast("double")) < float("inf")))
+    return shape.rlike("^OBJECT") & ~F.substring(shape, 8, 1 << 20).rlike("OBJECT|ARRAY|BOOLEAN") & number
+
+
 def conflicting_keys(rows: DataFrame, identity: list[str]) -> DataFrame:
     """Source keys that stand for more than one normalised identity."""
     return rows.groupBy("source_key").agg(F.countDistinct(F.struct(*identity)).alias("n")).filter("n > 1").select("source_key")

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from tessera.functions.identity import is_region_code, is_usable, is_useful_city, same_postal
 from tessera.functions.matching import assess
+from tessera.operators.store import written
 
 EXACT_LIMIT, BLOCK_LIMIT, LEAST_SIMILARITY = 100, 1000, 0.5
 
@@ -15,6 +16,8 @@ EXACT_LIMIT, BLOCK_LIMIT, LEAST_SIMILARITY = 100, 1000, 0.5
 def _capped(keyed: DataFrame, key: list[str], limit: int) -> DataFrame:
     """The first rows of each key by id, and one more that tells of an overflow. Ranked before any join, so a
     common name or place costs each source no more than the limit; Spark cuts groups short before the shuffle."""
+    conf, key_ = keyed.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
+    conf.set(key_, str(max(int(conf.get(key_)), limit + 1)))
     return keyed.withColumn("_rank", F.row_number().over(W.partitionBy(*key).orderBy("id"))).filter(F.col("_rank") <= limit + 1)
 
 
@@ -42,11 +45,13 @@ def resolve(sources: DataFrame, registry: DataFrame, exact_limit: int = EXACT_LI
 
     A source whose retrieval overflowed is ambiguous whatever it found.
     """
-    pairs = retrieve(sources, registry, exact_limit, block_limit)
+    # written, since each is read twice
+    pairs = written(retrieve(sources, registry, exact_limit, block_limit), "pairs")
     over = pairs.groupBy("key").agg(F.max("truncated").alias("truncated"))
     c = F.col
     matches = assess(pairs).withColumn("postal_match", same_postal("s_postal", "r_postal")).filter(c("name_similarity") >= LEAST_SIMILARITY)
     matches = matches.withColumns({"eligible": c("strength").isin("excellent", "strong") & ~c("city_conflict") & ~c("country_conflict") & ~c("province_conflict"), "probable": c("strength") == "probable"})
+    matches = written(matches, "matches")
     sums = matches.groupBy("key").agg(F.count_if("eligible").alias("n_eligible"), F.count_if("probable").alias("n_probable"), F.min(F.when(c("eligible"), c("id"))).alias("eligible_id"))
     none = F.lit(0).cast("long")
     joined = sources.select("key").join(over, "key", "left").join(sums, "key", "left").select("key", F.coalesce("truncated", F.lit(False)).alias("truncated"), F.coalesce("n_eligible", none).alias("n_eligible"), F.coalesce("n_probable", none).alias("n_probable"), "eligible_id")

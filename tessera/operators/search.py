@@ -4,16 +4,28 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import normalise_text, without_accents
+from tessera.functions.text import without_accents
 
 PAGE, MOST_CHARS, MOST_TOKENS, MOST_KEYSET = 25, 120, 8, 5000
 SEARCHED = ("legal_name", "alternate_name", "source_id", "business_number", "city")
 
 
+def plain(text: Column) -> Column:
+    """Lower case without accents; what is no letter or digit stays as it is, and parts words."""
+    return F.lower(without_accents(text))
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text, each once: runs of letters and digits. An apostrophe or ampersand parts words, unlike in names."""
+    return F.array_distinct(F.filter(F.split(plain(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+
+
 def query_words(query: str | None) -> list[str]:
     """Words of a search text: runs of letters and digits of its first MOST_CHARS characters, MOST_TOKENS at most."""
     return re.findall(r"[^\W_]+", (query or "").strip()[:MOST_CHARS])[:MOST_TOKENS]
@@ -23,33 +35,47 @@ def too_short(query: str | None, words: list[str]) -> bool:
     return bool((query or "").strip()) and all(len(w) < 2 for w in words)
 
 
+def searched(columns: tuple[str, ...] = SEARCHED) -> Column:
+    return F.concat_ws(" ", *(F.col(c) for c in columns))
+
+
 def index(accounts: DataFrame, key: str = "id", columns: tuple[str, ...] = SEARCHED) -> DataFrame:
-    """The inverted index (token, key) of the searched columns; written sorted by token, a prefix reads few row groups."""
-    text = F.concat_ws(" ", *(F.col(c) for c in columns))
-    return accounts.select(key, F.explode(F.array_distinct(F.split(normalise_text(text), " "))).alias("token")).filter("token <> ''")
+    """The inverted index (token, key) of the searched columns."""
+    return accounts.select(key, F.explode(words_of(searched(columns))).alias("token"))
+
+
+def sorted_index(tokens: DataFrame) -> DataFrame:
+    """The index in the order in which it should be written: a prefix then reads few row groups."""
+    return tokens.repartitionByRange("token").sortWithinPartitions("token")
+
+
+def folded(word: str) -> str:
+    """A query's word as the index has it."""
+    return "".join(c for c in unicodedata.normalize("NFKD", word) if unicodedata.category(c)[0] != "M").lower()
 
 
-def folded(word: str) -> Column:
-    return F.lower(without_accents(F.lit(word)))
+def begins(token: Column, word: str) -> Column:
+    """Whether a token begins with a word: a range, which Parquet's statistics can prune."""
+    w = folded(word)
+    return (token >= w) & (token < w + chr(0x10FFFF)) & F.startswith(token, F.lit(w))
 
 
 def matching_ids(tokens: DataFrame, words: list[str], key: str = "id") -> DataFrame:
-    """Keys for which every word begins some token: one pass over the index, counting the words that each key meets."""
-    hits = tokens.select(key, F.explode(F.array(*(F.when(F.startswith("token", folded(w)), F.lit(k)) for k, w in enumerate(words)))).alias("w"))
-    return hits.filter("w is not null").groupBy(key).agg(F.countDistinct("w").alias("n")).filter(F.col("n") == len(words)).select(key)
+    """Keys for which every word begins some token: one pass over the ranges of the index, counting the words that each key meets."""
+    tests = [begins(F.col("token"), w) for w in words]
+    near = tokens.filter(reduce(lambda a, b: a | b, tests))
+    hits = near.groupBy(key).agg(*(F.max(t).alias(f"w{k}") for k, t in enumerate(tests)))
+    return hits.filter(reduce(lambda a, b: a & b, (F.col(f"w{k}") for k in range(len(tests))))).select(key)
 
 
 def prefix_filter(words: list[str], columns: tuple[str, ...] = SEARCHED) -> Column:
     """The same as a row predicate, for one scan without an index."""
-    own = F.split(normalise_text(F.concat_ws(" ", *(F.col(c) for c in columns))), " ")
-    out = F.lit(True)
-    for w in words:
-        out = out & F.exists(own, _begins(w))
-    return out
+    own = words_of(searched(columns))
+    return reduce(lambda a, b: a & b, (F.exists(own, _test(w)) for w in words), F.lit(True))
 
 
-def _begins(word: str):
-    return lambda token: F.startswith(token, folded(word))
+def _test(word: str):
+    return lambda token: begins(token, word)
 
 
 def filtered(accounts: DataFrame, query: str | None = None, province: str | None = None, tokens: DataFrame | None = None) -> DataFrame:

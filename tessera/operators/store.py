@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -16,6 +18,26 @@ from pyspark.sql import DataFrame, SparkSession
 STAGES = ("source_ready", "preparing_candidates", "matching_evidence", "evidence_ready", "failed")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share. Without one in the session's settings a local session
+    gets a temporary folder; on a cluster that would be each machine's own, so it is refused."""
+    key = "spark.checkpoint.dir"
+    top = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError(f"{key} has to name a folder that all machines share")
+        top = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(top)
+    return f"{top.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again: what follows starts from there, however often it is read."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Busy(RuntimeError):
     """Another run holds the store."""
 
@@ -52,17 +74,21 @@ class Store:
         return json.loads(self.spark.read.text(f"{self.folder}/manifest.json", wholetext=True).first()[0])
 
     def read(self, table: str) -> DataFrame | None:
-        folder = self.manifest()["tables"].get(table)
-        return None if folder is None else self.spark.read.parquet(f"{self.folder}/{folder}")
-
-    def commit(self, tables: dict[str, DataFrame], state: dict | None = None) -> int:
-        """Write the tables, then make them current together; tables not named stay as they were."""
+        folders = self.manifest()["tables"].get(table)
+        if folders is None:
+            return None
+        return self.spark.read.option("mergeSchema", len(folders) > 1).parquet(*(f"{self.folder}/{x}" for x in folders))
+
+    def commit(self, tables: dict[str, DataFrame], state: dict | None = None, more: dict[str, DataFrame] | None = None) -> int:
+        """Write the tables, and rows to be added to those of `more`, then make all current together; tables not named
+        stay as they were. Columns that only later rows of a table have are null in earlier ones."""
         now = self.manifest()
         version = now["version"] + 1
-        for name, df in tables.items():
-            folder = f"{name}/v{version}-{uuid.uuid4().hex[:8]}"
-            df.write.parquet(f"{self.folder}/{folder}")
-            now["tables"][name] = folder
+        for added, named in ((False, tables), (True, more or {})):
+            for name, df in named.items():
+                folder = f"{name}/v{version}-{uuid.uuid4().hex[:8]}"
+                df.write.parquet(f"{self.folder}/{folder}")
+                now["tables"][name] = [*(now["tables"].get(name, []) if added else []), folder]
         now["version"] = version
         now["state"] |= state or {}
         self._swap(json.dumps(now))
@@ -84,9 +110,12 @@ class Store:
             out.close()
 
     @contextmanager
-    def lock(self):
-        """Hold the store for one run; raises Busy if it is held."""
+    def lock(self, stale: float = 6 * 3600):
+        """Hold the store for one run; raises Busy if it is held. A lock that is older than `stale` seconds was left by a
+        driver that died, and is taken over: no run may take longer."""
         path = self._path("run.lock")
+        if self._fs.exists(path) and time.time() - self._fs.getFileStatus(path).getModificationTime() / 1000 > stale:
+            self._fs.delete(path, False)
         try:
             self._write(path, "held", False)
         except Exception as e:

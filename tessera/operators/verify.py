@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,13 +22,30 @@ def thresholds(rows: DataFrame, levels: list[int], value: str = "score") -> Data
 def percentiles(rows: DataFrame, fractions: list[float], value: str = "score") -> DataFrame:
     """(fraction, value): the element at place floor((n - 1) * (1 - fraction)) of the descending order.
 
-    Exact without ranking rows: running counts over the histogram, whose rows are distinct values only.
+    Exact without ranking rows: running counts over the histogram, whose rows are distinct values only. For values of
+    which there are few, such as scores; `around_rank` broadcasts the same histogram.
     """
     h = histogram(rows, value).withColumn("upto", F.sum("n").over(W.orderBy(F.desc(value)))).withColumn("total", F.sum("n").over(W.partitionBy()))
     wanted = h.select(value, "n", "upto", F.explode(F.array(*(F.struct(F.lit(f).alias("fraction"), F.floor((F.col("total") - 1) * F.lit(1 - f)).alias("at")) for f in fractions))).alias("w"))
     return wanted.filter((F.col("w.at") < F.col("upto")) & (F.col("w.at") >= F.col("upto") - F.col("n"))).select(F.col("w.fraction").alias("fraction"), value)
 
 
+def median(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """The middle value of each group, the mean of the two middle ones where it has an even number; nulls don't count."""
+    return rows.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("median"))
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): the rows of each table."""
+    return reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")) for name, df in tables.items()))
+
+
+def walk(rows: DataFrame, key: str, group: str) -> DataFrame:
+    """One row about a complete walk in the order of the key: rows met, distinct groups, and whether each key exceeds the
+    one before. Keys repeat exactly where there are more rows than keys, so no global window is needed."""
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(group).alias("keys"), (F.count(key) == F.countDistinct(key)).alias("in_order"))
+
+
 def around_rank(rows: DataFrame, rank: int, value: str = "score", key: str = "id", each_side: int = 2) -> DataFrame:
     """The rows at a place of the descending order and on both sides of it, with their places and the size of their tie.
 
@@ -64,10 +83,27 @@ def checksum(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def presence_hash(keys: DataFrame, key: str) -> DataFrame:
     """SHA-256 over the distinct keys in order, each ended by a new line. The keys meet in one row: use it for sets
-    that a row can hold; checksum() has no such bound."""
+    that a row can hold; range_hash() and checksum() have no such bound."""
     return keys.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_set(key)), lambda x: F.concat(x.cast("string"), F.lit("\n"))), ""), 256).alias("digest"))
 
 
+RANGE = 4096
+
+
+def range_hash(keys: DataFrame, key: str) -> DataFrame:
+    """One row: SHA-256 over the SHA-256 digests of ranges of RANGE whole numbers, in order, each ended by a new line. A
+    range's digest covers its distinct keys as in presence_hash, so no row holds more than RANGE keys; the digests, a
+    4096th of the keys at most, are folded in two steps of the same kind."""
+    level = keys.select(F.col(key).cast("long").alias("k"), F.col(key).cast("string").alias("text")).filter("k is not null").distinct()
+    for _ in range(2):
+        level = level.groupBy(F.floor(F.col("k") / RANGE).alias("k")).agg(_folded().alias("text"))
+    return level.agg(_folded().alias("digest"))
+
+
+def _folded() -> Column:
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: F.concat(x["text"], F.lit("\n"))), ""), 256)
+
+
 def in_order(rows: DataFrame, key: str, batch: str) -> DataFrame:
     """Rows of a batched traversal whose key doesn't exceed the one before in their batch: none if it was a proper keyset walk."""
     return rows.withColumn("_before", F.lag(key).over(W.partitionBy(batch).orderBy("ordinal"))).filter(F.col(key) <= F.col("_before")).drop("_before")

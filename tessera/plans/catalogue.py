@@ -21,12 +21,11 @@ from tessera.plans.entities import (
     matches,
     matching_sql,
     norm,
-    profiled,
     registry,
     relaxed,
-    scored,
     sources,
     sql_of,
+    stored,
     table,
     usable,
     useful_city,
@@ -35,7 +34,6 @@ from tessera.plans.entities import (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "ranked_search"
-EXACT_CAP, BLOCK_CAP = 5, 20
 FLAG_LIST = ", ".join(identity.FLAGS)
 
 
@@ -54,10 +52,9 @@ def query(sql: str | None = None):
 # ---- text and identity functions
 
 
-@query(f"SELECT doc_id, trim(regexp_replace(split_part(text, chr(10), 1), '\\s+', ' ', 'g')) AS cleaned, {norm('split_part(text, chr(10), 1)')} AS words FROM documents")
+@query(f"SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS cleaned, {norm('text')} AS words FROM documents")
 def text_normalise(spark, sf_dir):
-    first = F.substring_index("text", "\n", 1)
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(clean(first), F.lit("")).alias("cleaned"), normalise_text(first).alias("words"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(clean("text"), F.lit("")).alias("cleaned"), normalise_text("text").alias("words"))
 
 
 @query(f"WITH {PROFILES} SELECT id, normalized_legal_name AS name, relaxed_legal_name AS relaxed, normalized_alternate_name AS alternate FROM profile")
@@ -86,23 +83,23 @@ def usable_names(spark, sf_dir):
 
 @query(f"WITH {PROFILES} SELECT id, {FLAG_LIST}, is_candidate, candidate_reason FROM profile")
 def profile_flags(spark, sf_dir):
-    return profiled(spark, sf_dir).select("id", *identity.FLAGS, "is_candidate", "candidate_reason")
+    return stored(spark, sf_dir, "profiles").select("id", *identity.FLAGS, "is_candidate", "candidate_reason")
 
 
 @query(f"WITH {PROFILES} SELECT count(*) AS profiles, {', '.join(f'sum({f}::INTEGER)::BIGINT AS {f}' for f in (*identity.FLAGS, 'is_candidate'))}, (SELECT count(*) FROM part) - count(*) AS missing_or_stale FROM profile WHERE updated_at < 90")
 def profile_flag_sums(spark, sf_dir):
-    rows = profiled(spark, sf_dir)
+    rows = stored(spark, sf_dir, "profiles")
     return identity.flag_sums(rows.filter("updated_at < 90"), table(spark, sf_dir, "part").count())
 
 
 @query(f"WITH {PROFILES}, f AS (SELECT id, unnest([{', '.join(f'CASE WHEN {f} THEN {chr(39)}{f}{chr(39)} END' for f in identity.FLAGS)}]) AS flag FROM profile) SELECT flag, id FROM (SELECT flag, id, row_number() OVER (PARTITION BY flag ORDER BY id) AS n FROM f WHERE flag IS NOT NULL) WHERE n <= 5")
 def flag_samples(spark, sf_dir):
-    return verify.samples(profiled(spark, sf_dir), list(identity.FLAGS))
+    return verify.samples(stored(spark, sf_dir, "profiles"), list(identity.FLAGS))
 
 
 @query(f"WITH {PROFILES} SELECT id, normalized_legal_name, candidate_reason FROM profile WHERE is_candidate AND updated_at < 90 AND id > 50 ORDER BY id LIMIT 100")
 def candidates_keyset(spark, sf_dir):
-    fresh = profiled(spark, sf_dir).filter("is_candidate AND updated_at < 90")
+    fresh = stored(spark, sf_dir, "profiles").filter("is_candidate AND updated_at < 90")
     return search.keyset(fresh.select("id", "normalized_legal_name", "candidate_reason"), after=50, limit=100)
 
 
@@ -143,9 +140,9 @@ def import_report(spark, sf_dir):
     return changes.import_report(_orders_import(spark, sf_dir))
 
 
-@query("SELECT c_custkey, 1000 + row_number() OVER (ORDER BY c_custkey) AS id FROM customer WHERE c_custkey % 3 = 0")
+@query("SELECT c_custkey, 1000 + row_number() OVER (ORDER BY c_custkey) AS id FROM customer")
 def surrogate_ids(spark, sf_dir):
-    return changes.new_ids(table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select("c_custkey"), ["c_custkey"], 1000)
+    return changes.new_ids(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], 1000)
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 4 = 0 OR o_custkey % 9 = 0 OR o_orderkey % 10 = 0")
@@ -173,50 +170,68 @@ def upsert_keep_decision(spark, sf_dir):
 
 # ---- search and access
 
-_WORDS = norm("concat_ws(' ', legal_name, alternate_name, source_id, business_number, city)")
 _PROVINCE = "CASE WHEN province_normalized = 'NF' THEN 'NL' ELSE province_normalized END"
+# the tokenizer of search in SQL's own terms: accents off, lower case, runs of letters and digits
+_TOKENS = "list_filter(regexp_split_to_array(lower(strip_accents(concat_ws(' ', legal_name, alternate_name, source_id, business_number, city))), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
 
 
-def _hits(*words: str) -> str:
-    tests = " AND ".join(f"len(list_filter(string_split({_WORDS}, ' '), lambda w: starts_with(w, '{x}'))) > 0" for x in words)
-    return f"WITH a AS ({sql_of(ACCOUNT, 'part')}), hit AS (SELECT id, legal_name, city, province_normalized FROM a WHERE {tests})"
+def _hits(*words: str, source: str | None = None) -> str:
+    tests = " AND ".join(f"len(list_filter(tokens, lambda w: starts_with(w, '{x}'))) > 0" for x in words)
+    return f"WITH a AS ({source or sql_of(ACCOUNT, 'part')}), t AS (SELECT *, {_TOKENS} AS tokens FROM a), hit AS (SELECT id, legal_name, city, province_normalized FROM t WHERE {tests})"
 
 
 _SHOWN = ("id", "legal_name", "city", "province_normalized")
 
 
-@query(f"{_hits('re', 'wid')} SELECT * FROM hit ORDER BY id LIMIT 25 OFFSET 25")
+def _page(n: int) -> str:
+    """A page of the hits: the last one where there are fewer."""
+    return f"SELECT * FROM hit ORDER BY id LIMIT {search.PAGE} OFFSET (SELECT greatest(0, least({n}, (count(*) + {search.PAGE - 1}) // {search.PAGE}) - 1) * {search.PAGE} FROM hit)"
+
+
+@query(f"{_hits('re', 'wid')} {_page(2)}")
 def search_prefix_page(spark, sf_dir):
-    rows = accounts(spark, sf_dir)
-    hits = search.filtered(rows, "Ré wid", tokens=search.index(rows)).select(*_SHOWN)
+    hits = search.filtered(accounts(spark, sf_dir), "Ré wid", tokens=stored(spark, sf_dir, "index")).select(*_SHOWN)
     return search.page_of(hits, 2, ["id"])[0]
 
 
 @query(f"{_hits('ser')} SELECT * FROM hit WHERE province_normalized = 'ON' ORDER BY id LIMIT 25")
 def search_province_page(spark, sf_dir):
-    hits = search.filtered(accounts(spark, sf_dir), "ser", " ontario ").select(*_SHOWN)
+    hits = search.filtered(accounts(spark, sf_dir), "ser", " ontario ", tokens=stored(spark, sf_dir, "index")).select(*_SHOWN)
     return search.page_of(hits, float("nan"), ["id"])[0]
 
 
 @query(f"{_hits('gear')} SELECT count(*) AS total, (count(*) + 24) // 25 AS pages FROM hit")
 def search_total(spark, sf_dir):
-    return search.filtered(accounts(spark, sf_dir), "gear").agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.ceil(F.col("total") / search.PAGE))
+    hits = search.matching_ids(stored(spark, sf_dir, "index"), search.query_words("gear"))
+    return hits.agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.ceil(F.col("total") / search.PAGE))
 
 
-@query(f"WITH a AS ({sql_of(ACCOUNT, 'part')}) SELECT DISTINCT id, unnest(string_split({_WORDS}, ' ')) AS token FROM a")
+@query(f"WITH a AS ({sql_of(ACCOUNT, 'part')}) SELECT DISTINCT id, unnest({_TOKENS}) AS token FROM a")
 def search_index(spark, sf_dir):
     return search.index(accounts(spark, sf_dir))
 
 
-@query(f"WITH {SCORES} SELECT id, legal_name, score, label FROM labelled WHERE len(list_filter(string_split({_WORDS}, ' '), lambda w: starts_with(w, 'wid'))) > 0 ORDER BY score DESC, id LIMIT 25")
+# customers by names with apostrophes and ampersands
+_QUOTED = {"id": "c_custkey", "legal_name": "CASE c_custkey % 4 WHEN 0 THEN concat('O''Brien & Fils ', c_name) WHEN 1 THEN concat('L’Oréal-Groupe ', c_name) WHEN 2 THEN concat('AT&T n°', c_custkey) ELSE c_name END", "alternate_name": "c_mktsegment", "source_id": "c_custkey::string", "business_number": "''", "city": "''", "province_normalized": "'ON'"}
+
+
+@query(f"{_hits('o', 'brien', source=sql_of(_QUOTED, 'customer'))} SELECT 'O''Brien' AS asked, id, legal_name FROM hit UNION ALL ({_hits('l', 'oreal', 'groupe', source=sql_of(_QUOTED, 'customer'))} SELECT 'L''Oréal-groupe' AS asked, id, legal_name FROM hit) UNION ALL ({_hits('at', 't', source=sql_of(_QUOTED, 'customer'))} SELECT 'AT&T' AS asked, id, legal_name FROM hit)")
+def search_apostrophes(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").selectExpr(*(f"{e} AS {n}" for n, e in _QUOTED.items()))
+    found = [search.filtered(rows, asked, tokens=search.index(rows) if k else None).select(F.lit(asked).alias("asked"), "id", "legal_name") for k, asked in enumerate(("O'Brien", "L'Oréal-groupe", "AT&T"))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(f"WITH {SCORES}, t AS (SELECT *, {_TOKENS} AS tokens FROM labelled) SELECT id, legal_name, score, label FROM t WHERE len(list_filter(tokens, lambda w: starts_with(w, 'wid'))) > 0 ORDER BY score DESC, id LIMIT 25")
 def ranked_search(spark, sf_dir):
-    rows = search.filtered(scored(spark, sf_dir), "wid").select("id", "legal_name", "score", "label")
+    hits = search.matching_ids(stored(spark, sf_dir, "index"), search.query_words("wid"))
+    rows = stored(spark, sf_dir, "scores").join(hits, "id", "left_semi").select("id", "legal_name", "score", "label")
     return rows.orderBy(F.desc("score"), "id").limit(search.PAGE)
 
 
 @query(f"WITH {SCORES} SELECT id, score FROM labelled WHERE score < 66 OR (score = 66 AND id > 100) ORDER BY score DESC, id LIMIT 200")
 def ranked_keyset(spark, sf_dir):
-    return search.ranked_keyset(scored(spark, sf_dir).select("id", "score"), 66, 100, 200)
+    return search.ranked_keyset(stored(spark, sf_dir, "scores").select("id", "score"), 66, 100, 200)
 
 
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
@@ -226,33 +241,37 @@ def latest_row(spark, sf_dir):
 
 # ---- resolution
 
-_RESOLVED = f"WITH {matching_sql(EXACT_CAP, BLOCK_CAP)}"
+_RESOLVED = f"WITH {matching_sql(resolution.EXACT_LIMIT, resolution.BLOCK_LIMIT)}"
 
 
 def _resolved(spark, sf_dir):
-    return resolution.resolve(sources(spark, sf_dir), registry(spark, sf_dir), EXACT_CAP, BLOCK_CAP)
+    return resolution.resolve(sources(spark, sf_dir), registry(spark, sf_dir))
+
+
+def _judged(spark, sf_dir):
+    return _resolved(spark, sf_dir)[1]
 
 
 @query(f"{_RESOLVED} SELECT key, id FROM found WHERE rn <= cap")
 def retrieval(spark, sf_dir):
-    return resolution.retrieve(sources(spark, sf_dir), registry(spark, sf_dir), EXACT_CAP, BLOCK_CAP).select("key", "id")
+    return resolution.retrieve(sources(spark, sf_dir), registry(spark, sf_dir)).select("key", "id")
 
 
 @query(f"{_RESOLVED} SELECT key, truncated FROM over_cap")
 def retrieval_overflow(spark, sf_dir):
-    pairs = resolution.retrieve(sources(spark, sf_dir), registry(spark, sf_dir), EXACT_CAP, BLOCK_CAP)
+    pairs = resolution.retrieve(sources(spark, sf_dir), registry(spark, sf_dir))
     return pairs.groupBy("key").agg(F.max("truncated").alias("truncated"))
 
 
 @query(f"{_RESOLVED} SELECT key, id, round(name_similarity, 9) AS name_similarity, alternate_name_match, location_match, strength, round(match_confidence, 9) AS match_confidence, match_method, postal_match, status FROM judged")
 def pair_assessment(spark, sf_dir):
-    rows = _resolved(spark, sf_dir)[1]
+    rows = _judged(spark, sf_dir)
     return rows.select("key", "id", F.round("name_similarity", 9).alias("name_similarity"), "alternate_name_match", "location_match", "strength", F.round("match_confidence", 9).alias("match_confidence"), "match_method", "postal_match", "status")
 
 
 @query(f"{_RESOLVED} SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY match_confidence DESC, id)::INTEGER AS place FROM judged QUALIFY place <= 3")
 def best_matches(spark, sf_dir):
-    return resolution.best_first(_resolved(spark, sf_dir)[1]).filter("place <= 3").select("key", "id", "place")
+    return resolution.best_first(_judged(spark, sf_dir)).filter("place <= 3").select("key", "id", "place")
 
 
 @query(f"{_RESOLVED} SELECT key, outcome, reason, accepted_id FROM outcome")
@@ -272,13 +291,13 @@ def outcome_histogram(spark, sf_dir):
 
 @query(f"{_RESOLVED} SELECT strength, count(*) AS n, sum(alternate_name_match::INTEGER)::BIGINT AS alternates, sum(coalesce(postal_match, false)::INTEGER)::BIGINT AS postal_equal FROM judged WHERE status = 'accepted' GROUP BY strength")
 def accepted_by_strength(spark, sf_dir):
-    rows = _resolved(spark, sf_dir)[1].filter("status = 'accepted'")
+    rows = _judged(spark, sf_dir).filter("status = 'accepted'")
     return rows.groupBy("strength").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("alternate_name_match").cast("int")).alias("alternates"), F.sum(F.coalesce("postal_match", F.lit(False)).cast("int")).alias("postal_equal"))
 
 
 @query(f"{_RESOLVED} SELECT count(*) AS unsafe FROM judged WHERE status = 'accepted' AND (NOT eligible OR postal_match = false AND city_conflict)")
 def unsafe_matches(spark, sf_dir):
-    return _resolved(spark, sf_dir)[1].filter("status = 'accepted' AND (NOT eligible OR postal_match = false AND city_conflict)").agg(F.count(F.lit(1)).alias("unsafe"))
+    return _judged(spark, sf_dir).filter("status = 'accepted' AND (NOT eligible OR postal_match = false AND city_conflict)").agg(F.count(F.lit(1)).alias("unsafe"))
 
 
 @query(f"WITH a AS (SELECT p_partkey, p_brand, p_type, {company(norm('p_name'))} AS n FROM part), p AS (SELECT x.p_partkey AS a, y.p_partkey AS b, x.n AS n, y.n AS m FROM a x JOIN a y ON x.p_brand = y.p_brand AND x.p_type = y.p_type AND x.p_partkey < y.p_partkey) SELECT a, b, round(CASE WHEN n = m THEN 1 ELSE 1 - levenshtein(n, m)::DOUBLE / greatest(length(n), length(m)) END, 9) AS similarity FROM p")
@@ -349,6 +368,14 @@ def evidence_hash(spark, sf_dir):
     return verify.presence_hash(table(spark, sf_dir, "orders"), "o_custkey")
 
 
+_RANGES = f"SELECT r // {verify.RANGE} AS r, sha256(string_agg(d || chr(10), '' ORDER BY r)) AS d FROM"
+
+
+@query(f"SELECT sha256(string_agg(d || chr(10), '' ORDER BY r)) AS digest FROM ({_RANGES} ({_RANGES} (SELECT DISTINCT o_custkey AS r, o_custkey::VARCHAR AS d FROM orders) GROUP BY ALL) GROUP BY ALL)")
+def evidence_range_hash(spark, sf_dir):
+    return verify.range_hash(table(spark, sf_dir, "orders"), "o_custkey")
+
+
 @query("SELECT coalesce(max(o_orderkey) FILTER (o_orderstatus = 'F'), 0) AS watermark FROM orders")
 def change_watermark(spark, sf_dir):
     return table(spark, sf_dir, "orders").agg(F.coalesce(F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))), F.lit(0)).alias("watermark"))
@@ -359,44 +386,44 @@ def change_watermark(spark, sf_dir):
 
 @query(f"WITH {SCORES} SELECT id, s.reason AS reason, s.points AS points FROM (SELECT id, unnest(signals) AS s FROM labelled)")
 def score_signals(spark, sf_dir):
-    return scored(spark, sf_dir).select("id", F.inline("signals")).select("id", "reason", "points")
+    return stored(spark, sf_dir, "scores").select("id", F.inline("signals")).select("id", "reason", "points")
 
 
 @query(f"WITH {SCORES} SELECT id, name_used, raw, score, label, summary FROM labelled")
 def score_labels(spark, sf_dir):
-    return scored(spark, sf_dir).select("id", "name_used", "raw", "score", "label", "summary")
+    return stored(spark, sf_dir, "scores").select("id", "name_used", "raw", "score", "label", "summary")
 
 
 @query(f"WITH {SCORES} SELECT id, score, score <> (CASE WHEN id % 10 = 0 THEN score - 1 ELSE score END) OR id % 21 = 0 AS changed, CASE WHEN id % 10 = 0 OR id % 21 = 0 THEN 2 ELSE 1 END AS scored_at FROM labelled")
 def score_refresh(spark, sf_dir):
-    fresh = scored(spark, sf_dir).select("id", "score")
-    stored = fresh.filter("id % 21 <> 0").select("id", F.when(F.col("id") % 10 == 0, F.col("score") - 1).otherwise(F.col("score")).alias("score"), F.lit(1).alias("scored_at"))
-    return changes.refreshed(stored, fresh, "id", ["score"], "scored_at", F.lit(2)).select("id", "score", "changed", "scored_at")
+    fresh = stored(spark, sf_dir, "scores").select("id", "score")
+    before = fresh.filter("id % 21 <> 0").select("id", F.when(F.col("id") % 10 == 0, F.col("score") - 1).otherwise(F.col("score")).alias("score"), F.lit(1).alias("scored_at"))
+    return changes.refreshed(before, fresh, "id", ["score"], "scored_at", F.lit(2)).select("id", "score", "changed", "scored_at")
 
 
 @query(f"WITH {SCORES} SELECT score, count(*) AS n FROM labelled GROUP BY score")
 def score_histogram(spark, sf_dir):
-    return verify.histogram(scored(spark, sf_dir))
+    return verify.histogram(stored(spark, sf_dir, "scores"))
 
 
 @query(f"WITH {SCORES} SELECT threshold, count(*) FILTER (score >= threshold) AS n FROM labelled, (SELECT unnest([50, 55, 60, 65, 70, 80]) AS threshold) GROUP BY threshold")
 def score_thresholds(spark, sf_dir):
-    return verify.thresholds(scored(spark, sf_dir), [50, 55, 60, 65, 70, 80])
+    return verify.thresholds(stored(spark, sf_dir, "scores"), [50, 55, 60, 65, 70, 80])
 
 
 @query(f"WITH {SCORES}, r AS (SELECT score, row_number() OVER (ORDER BY score DESC, id) - 1 AS pos, count(*) OVER () AS n FROM labelled) SELECT f::DOUBLE AS fraction, score FROM r, (SELECT unnest([0.5, 0.9, 0.95, 0.99]) AS f) WHERE pos = floor((n - 1) * (1 - f::DOUBLE))")
 def score_percentiles(spark, sf_dir):
-    return verify.percentiles(scored(spark, sf_dir), [0.5, 0.9, 0.95, 0.99])
+    return verify.percentiles(stored(spark, sf_dir, "scores"), [0.5, 0.9, 0.95, 0.99])
 
 
 @query(f"WITH {SCORES}, r AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS place, count(*) OVER (PARTITION BY score) AS tied FROM labelled) SELECT id, score, place, tied FROM r WHERE place BETWEEN 98 AND 102")
 def rank_neighbourhood(spark, sf_dir):
-    return verify.around_rank(scored(spark, sf_dir).select("id", "score"), 100).select("id", "score", "place", "tied")
+    return verify.around_rank(stored(spark, sf_dir, "scores").select("id", "score"), 100).select("id", "score", "place", "tied")
 
 
 @query(f"WITH {SCORES} SELECT count(*) FILTER (least(100, greatest(0, list_sum([s.points for s in signals]))) <> score) AS wrong, min(score) FILTER (has_importer_evidence) AS low, max(score) FILTER (has_importer_evidence) AS high, round(avg(score) FILTER (has_importer_evidence), 6) AS mean FROM labelled")
 def score_reconciliation(spark, sf_dir):
-    rows = scored(spark, sf_dir)
+    rows = stored(spark, sf_dir, "scores")
     again = F.least(F.lit(100), F.greatest(F.lit(0), F.aggregate("signals", F.lit(0), lambda a, s: a + s["points"])))
     own = F.when(F.col("has_importer_evidence"), F.col("score"))
     return rows.agg(F.count_if(again != F.col("score")).alias("wrong"), F.min(own).alias("low"), F.max(own).alias("high"), F.round(F.avg(own), 6).alias("mean"))
@@ -443,9 +470,27 @@ def keyset_order(spark, sf_dir):
     return verify.in_order(rows, "value", "user_id").select("event_id")
 
 
-@query()
+_LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
+
+
+@query(f"SELECT count(*) AS n, sum(('0x' || substr(sha256(to_json({{{', '.join(f'{c}: {c}' for c in _LINE)}}})::VARCHAR), 1, 15))::BIGINT::HUGEINT) AS checksum FROM lineitem")
 def table_checksum(spark, sf_dir):
-    return verify.checksum(table(spark, sf_dir, "lineitem"))
+    return verify.checksum(table(spark, sf_dir, "lineitem"), list(_LINE))
+
+
+@query("SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part")
+def table_counts(spark, sf_dir):
+    return verify.table_counts({n: table(spark, sf_dir, n) for n in ("customer", "lineitem", "orders", "part")})
+
+
+@query("SELECT l_returnflag, median(l_quantity) AS middle FROM lineitem GROUP BY 1")
+def median_by_group(spark, sf_dir):
+    return verify.median(table(spark, sf_dir, "lineitem"), "l_quantity", ["l_returnflag"]).select("l_returnflag", F.col("median").alias("middle"))
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT o_custkey) AS keys, bool_and(coalesce(o_orderkey > b, true)) AS in_order FROM (SELECT *, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS b FROM orders)")
+def keyset_walk(spark, sf_dir):
+    return verify.walk(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey")
 
 
 # ---- the sample profile
@@ -477,6 +522,6 @@ def icp_tiers(spark, sf_dir):
     return icp.book(_book(spark, sf_dir)).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(_BOOK.replace("SELECT s_suppkey AS id, s_name AS name, " + ", ".join(f"{e} AS {d}" for d, e in _SIX.items()) + " FROM supplier", "SELECT * FROM (VALUES " + ", ".join(str((r[0], r[1], *r[5:])) for r in icp.SAMPLE) + ") AS v(id, name, " + ", ".join(_SIX) + ")"))
 def icp_sample(spark, sf_dir):
     return icp.book(icp.sample_accounts(spark)).select("id", "name", "fit_score", "tier", F.array_join("reasons", "; ").alias("reasons"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -9,22 +11,41 @@ from pyspark.sql import functions as F
 
 from tessera.functions import identity, likelihood, matching
 from tessera.functions.text import normalise_text
-from tessera.operators import changes, evidence, resolution, search, verify
-from tessera.operators.store import STAGES, Store, check_counters, config_hash
+from tessera.operators import changes, evidence, intake, resolution, search, verify
+from tessera.operators.store import STAGES, Store, check_counters, config_hash, written
 from tessera.sources import registry_csv
 from tessera.sources.workbook import Adapter
 
-IMPORTS = "id long, file string, status string, processed long, inserted long, updated long, skipped long, invalid long, duplicates long, error string, finished_at string"
-RUNS = "run_id long, source string, version string, config_hash string, stage string, error string, finished_at string"
+IMPORTS = "id long, file string, file_name string, file_size long, file_modified string, file_sha256 string, status string, processed long, inserted long, updated long, skipped long, invalid long, duplicates long, error string, finished_at string"
+RUNS = "run_id long, source string, version string, config_hash string, status string, stage string, processed long, created long, updated long, failed long, error string, report string, started_at string, finished_at string"
+DECISIONS = "source_key string, id long, run_id long, status string, seq long"
+COMPANY = ("name", "domain", "industry", "description", "employee_count", "employee_range", "revenue_range", "hq_city", "hq_region", "hq_country", "location_count", "subsidiary_count", "parent_company", "headcount_growth_12m", "latest_funding_date", "latest_funding_amount", "raw_json", "enriched_at")
+NUMBERS = ("employee_count", "location_count", "subsidiary_count", "latest_funding_amount")
+COMPANIES = "id long, provider string, provider_company_id string, " + ", ".join(f"{c} {'double' if c in (*NUMBERS, 'headcount_growth_12m') else 'string'}" for c in COMPANY) + ", normalized_name string, created_at string, updated_at string"
+LINKS = "id long, corporation_id long, company_id long, match_method string, name_similarity double, location_match string, provider_confidence double, match_confidence double, match_status string, run_id long, created_at string, updated_at string"
+STATUSES = ("accepted", "candidate", "ambiguous", "rejected")
 EVIDENCE = "source string, source_key string, signal_type string, corporation_id long, value_text string, value_number double, value_boolean boolean, match_confidence double, observed_at string, run_id long"
 EVIDENCE_KEY = ["source", "source_key", "signal_type", "corporation_id"]
 
 
+class Cancelled(RuntimeError):
+    """The caller asked a run to end."""
+
+
 class Engine:
-    """All writes hold the store's lock and become visible in one commit; a failed run changes its audit row only."""
+    """All writes hold the store's lock and become visible in one commit; a failed run changes its audit row only.
+
+    Runs tell `progress` about their steps: dicts with type (progress, complete or error) and what the step knows. A
+    run ends between two steps if `cancelled` says so.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.store = spark, Store(spark, folder)
+    def __init__(self, spark: SparkSession, folder: str, progress: Callable[[dict], None] = lambda event: None, cancelled: Callable[[], bool] = lambda: False):
+        self.spark, self.store, self.progress, self.cancelled = spark, Store(spark, folder), progress, cancelled
+
+    def _step(self, stage: str, **known) -> None:
+        if self.cancelled():
+            raise Cancelled(f"ended before {stage}")
+        self.progress({"type": "progress", "stage": stage, **known})
 
     def _table(self, name: str, schema: str | None = None) -> DataFrame:
         found = self.store.read(name)
@@ -32,29 +53,64 @@ class Engine:
             if schema is None:
                 raise LookupError(f"there is no table {name} yet")
             found = self.spark.createDataFrame([], schema)
+        elif schema is not None:  # columns that came later are null in older rows
+            known = self.spark.createDataFrame([], schema).schema
+            found = found.select(*(F.col(f.name) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in known))
         return found
 
     def _next(self, name: str, schema: str, key: str) -> int:
         return self._table(name, schema).agg(F.coalesce(F.max(key), F.lit(0)) + 1).first()[0]
 
     def _audited(self, name: str, schema: str, **values) -> dict[str, DataFrame]:
+        """The audit table with this row in the place of the one of its key."""
         columns = [c.split()[0] for c in schema.split(", ")]
-        return {name: self._table(name, schema).unionByName(self.spark.createDataFrame([tuple(values.get(c) for c in columns)], schema))}
+        others = self._table(name, schema).filter(F.col(columns[0]) != values[columns[0]])
+        return {name: others.unionByName(self.spark.createDataFrame([tuple(values.get(c) for c in columns)], schema))}
+
+    def _failed(self, name: str, schema: str, error: Exception, **values) -> None:
+        self.store.commit(self._audited(name, schema, status="failed", error=str(error)[:500], **values))
+        self.progress({"type": "error", "error": str(error)[:500]})
 
     # ---- registry
 
-    def import_registry(self, path: str, now: str) -> dict:
+    def import_registry(self, path: str, now: str, allowed: Iterable[str] | None = None) -> dict:
+        """Import a registry file; with `allowed`, SHA-256 digests, as an upload whose name, size and content are checked first."""
+        file = intake.identify(self.spark, path)
+        if allowed is not None:
+            intake.check_upload(file, allowed)
         with self.store.lock():
             run = self._next("imports", IMPORTS, "id")
+            audit = dict(id=run, file=path, file_name=file.name, file_size=file.size, file_modified=file.modified, file_sha256=file.sha256)
+            self.store.commit(self._audited("imports", IMPORTS, status="running", **audit))
             try:
-                stored = self.store.read("accounts")
-                snapshot, report = registry_csv.import_file(self.spark, path, stored, now)
+                self._step("reading", file=file.name)
+                snapshot, report = registry_csv.import_file(self.spark, path, self.store.read("accounts"), now)
                 counters = check_counters({k: v for k, v in report.items() if k != "issues"})
-                self.store.commit({"accounts": snapshot, **self._audited("imports", IMPORTS, id=run, file=path, status="completed", finished_at=now, **counters)})
-                return report | {"id": run}
+                self._step("writing", **counters)
+                snapshot = written(snapshot, "snapshot")
+                intake.check_unchanged(self.spark, path, file)
+                self.store.commit({"accounts": snapshot, **self._derived(snapshot), **self._audited("imports", IMPORTS, status="completed", finished_at=now, **audit, **counters)})
             except Exception as e:
-                self.store.commit(self._audited("imports", IMPORTS, id=run, file=path, status="failed", error=str(e)[:500], finished_at=now))
+                self._failed("imports", IMPORTS, e, finished_at=now, **audit)
                 raise
+            self.progress({"type": "complete", "id": run, **counters})
+            return report | {"id": run}
+
+    def _derived(self, accounts: DataFrame) -> dict[str, DataFrame]:
+        """Profiles, of which those of unchanged rows under the same rules are kept, and the search index in the order of its tokens."""
+        had = self.store.read("profiles")
+        stamped = lambda rows: identity.profiles(rows).withColumns({"rules_version": F.lit(identity.RULES_VERSION), "source_updated_at": F.col("updated_at")})
+        if had is None or "rules_version" not in had.columns:
+            profiles = stamped(accounts)
+        else:
+            old = changes.stale(accounts, had.select("id", F.col("rules_version").alias("version"), "source_updated_at"), "id", identity.RULES_VERSION)
+            gone = had.join(old.select("id"), "id", "left_anti").join(accounts.select("id"), "id", "left_semi")
+            profiles = gone.unionByName(stamped(old))
+        return {"profiles": profiles, "tokens": search.sorted_index(search.index(accounts))}
+
+    def imports(self) -> list[Row]:
+        """The audit rows of registry imports, the latest first."""
+        return self._table("imports", IMPORTS).orderBy(F.desc("id")).collect()
 
     def summary(self) -> dict:
         latest = self._table("imports", IMPORTS).orderBy(F.desc("id")).limit(1).collect()
@@ -65,7 +121,7 @@ class Engine:
         return self._table("accounts").filter(F.col("source_id") == source_id).limit(1).first()
 
     def profiles(self) -> DataFrame:
-        return identity.profiles(self._table("accounts"))
+        return self._table("profiles")
 
     def profile_summary(self) -> dict:
         return identity.flag_sums(self.profiles(), self._table("accounts").count()).first().asDict()
@@ -78,28 +134,49 @@ class Engine:
         accounts, order = self._table("accounts"), ["id"]
         if ranked and self.state()["ready"]:
             accounts, order = accounts.join(self._table("scores").select("id", "score", "label", "summary"), "id"), [F.desc("score"), "id"]
-        hits = search.filtered(accounts, query, province)
+        hits = written(search.filtered(accounts, query, province, tokens=self._table("tokens")).drop("raw_data"), "hits") if (query or "").strip() else search.filtered(accounts, None, province).drop("raw_data")
         rows, number, total = search.page_of(hits, page, order)
-        return {"rows": rows.drop("raw_data").collect(), "page": number, "total": total, "pages": -(-total // search.PAGE)}
+        return {"rows": rows.collect(), "page": number, "total": total, "pages": -(-total // search.PAGE)}
 
     # ---- evidence
 
     def import_evidence(self, path: str, adapter: Adapter, now: str) -> dict:
         """Stage the source's rows, resolve its identities, publish signals of accepted ones, retire older runs."""
+        if not adapter.source.strip() or not adapter.version.strip() or not adapter.signals or len({x.name for x in adapter.signals}) < len(adapter.signals):
+            raise ValueError("an adapter has a source, a version and signals of different names")
+        file = intake.identify(self.spark, path)
         with self.store.lock():
             run = self._next("runs", RUNS, "run_id")
-            settings = config_hash({"source": adapter.source, "version": adapter.version, "rules": identity.RULES_VERSION, "signals": [list(s) for s in adapter.signals]})
-            audit = dict(run_id=run, source=adapter.source, version=adapter.version, config_hash=settings, finished_at=now)
+            settings = config_hash({"sha256": file.sha256, "source": adapter.source, "version": adapter.version, "rules": identity.RULES_VERSION, "signals": [list(x) for x in adapter.signals]})
+            audit = dict(run_id=run, source=adapter.source, version=adapter.version, config_hash=settings, started_at=now)
+
+            def at(stage: str, status: str = "running", tables=(), more=None, **values) -> None:
+                self._step(stage, run_id=run)
+                self.store.commit({**dict(tables), **self._audited("runs", RUNS, stage=stage, status=status, **audit, **values)}, None, more)
+
             try:
-                tables, report = self._evidence(adapter.read(self.spark, path).persist(), adapter, run)
-                self.store.commit(tables | self._audited("runs", RUNS, stage=STAGES[3], **audit))
-                return report | {"run_id": run}
+                at(STAGES[0])
+                rows = written(adapter.read(self.spark, path), "rows")
+                tables, history, report = self._evidence(rows, adapter, run, at)
+                intake.check_unchanged(self.spark, path, file)
+                counters = dict(processed=report["rows"], created=report["identities"], updated=0, failed=0)
+                if counters["created"] > counters["processed"]:
+                    raise ValueError("a run can't create more than it processed")
+                at(STAGES[3], "completed", tables, history, finished_at=now, report=json.dumps(report), **counters)
             except Exception as e:
-                self.store.commit(self._audited("runs", RUNS, stage=STAGES[4], error=str(e)[:500], **audit))
+                self._failed("runs", RUNS, e, stage=STAGES[4], finished_at=now, processed=0, created=0, updated=0, failed=0, **audit)
                 raise
+            self.progress({"type": "complete", "run_id": run, **report})
+            return report | {"run_id": run}
+
+    def workflows(self) -> list[Row]:
+        """The runs of evidence sources with the stage that each is in, the latest first."""
+        return self._table("runs", RUNS).orderBy(F.desc("run_id")).collect()
 
-    def _evidence(self, rows: DataFrame, adapter: Adapter, run: int) -> tuple[dict[str, DataFrame], dict]:
+    def _evidence(self, rows: DataFrame, adapter: Adapter, run: int, at) -> tuple[dict[str, DataFrame], dict[str, DataFrame], dict]:
+        """(tables to replace, rows to add to the history, report)."""
         evidence.check_rows(rows)
+        rows = rows.withColumn("observed_at", evidence.in_utc("observed_at"))
         own = matching.source_identity("name", "city", "province", "country", "postal")
         staged = rows.withColumns(own)
         if evidence.conflicting_keys(staged, list(own)).limit(1).count():
@@ -107,9 +184,11 @@ class Engine:
         sources = staged.groupBy(F.col("source_key").alias("key")).agg(*(F.first(c).alias(c) for c in own))
         if not sources.limit(1).count():
             raise ValueError("the source has no rows")
+        at(STAGES[1])
         p = self.profiles()
         registry = p.select("id", "is_candidate", F.col("normalized_legal_name").alias("r_legal"), F.col("normalized_alternate_name").alias("r_alternate"), normalise_text("city").alias("r_city"), identity.region("province_normalized").alias("r_province"), identity.country("country").alias("r_country"), F.col("postal_code_normalized").alias("r_postal"))
-        outcomes, judged = resolution.resolve(sources, registry)
+        at(STAGES[2])
+        outcomes, judged = resolution.resolve(sources, written(registry, "registry"))
         accepted = judged.filter("status = 'accepted'").select(F.col("key").alias("source_key"), F.col("id").cast("long").alias("corporation_id"), "match_confidence")
         sums = evidence.aggregate(staged, "source_key", "attributes", list(adapter.signals)).join(staged.groupBy("source_key").agg(F.max("observed_at").alias("observed_at")), "source_key")
         kinds = dict(sums.dtypes)
@@ -122,10 +201,9 @@ class Engine:
         observed = accepted.join(sums, "source_key").select(F.lit(adapter.source).alias("source"), "source_key", "corporation_id", "match_confidence", "observed_at", F.inline(listed))
         published = changes.publish(self._table("evidence", EVIDENCE), observed.filter("value_text is not null or value_number is not null or value_boolean is not null"), EVIDENCE_KEY, adapter.source, run)
         history = {"source_rows": rows.withColumn("run_id", F.lit(run).cast("long")), "matches": judged.select(F.col("key").alias("source_key"), "id", "status", "strength", "match_method", "match_confidence", "name_similarity", "location_match", "postal_match").withColumn("run_id", F.lit(run).cast("long"))}
-        before = {n: self.store.read(n) for n in history}
-        tables = {n: (before[n].unionByName(df) if before[n] is not None else df) for n, df in history.items()} | {"evidence": published}
         counted = rows.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("source_key").alias("identities")).first().asDict()
-        return tables, counted | resolution.outcome_counts(outcomes).first().asDict()
+        found = accepted.agg(F.countDistinct("corporation_id").alias("corporations")).first().asDict()
+        return {"evidence": published}, history, counted | found | resolution.outcome_counts(outcomes).first().asDict()
 
     def coverage(self, corporation_id: int) -> dict:
         """The evidence of an entity: known false counts as evidence, none means unknown."""
@@ -174,15 +252,95 @@ class Engine:
     def score(self, corporation_id: int) -> Row | None:
         return self._table("scores").filter(F.col("id") == corporation_id).limit(1).first()
 
-    # ---- decisions
+    # ---- decisions and single rows
+
+    def matches(self) -> DataFrame:
+        """The history of matches with the latest decision on each."""
+        latest = self._table("decisions", DECISIONS).groupBy("source_key", "id", "run_id").agg(F.max_by("status", "seq").alias("_decided"))
+        return self._table("matches").join(latest, ["source_key", "id", "run_id"], "left").withColumn("status", F.coalesce("_decided", "status")).drop("_decided")
 
     def decide(self, source_key: str, corporation_id: int, run_id: int, status: str) -> None:
-        """Set the status of one match; raises if there is none."""
-        if status not in ("accepted", "candidate", "ambiguous", "rejected"):
+        """Set the status of one match; raises if there is none. A decision is a row more, the history stays as it is."""
+        if status not in STATUSES:
             raise ValueError("no such status")
         with self.store.lock():
             rows = self._table("matches")
             mine = reduce(lambda a, b: a & b, (F.col(c) == v for c, v in (("source_key", source_key), ("id", corporation_id), ("run_id", run_id))))
             if not rows.filter(mine).limit(1).count():
                 raise LookupError("there is no such match")
-            self.store.commit({"matches": rows.withColumn("status", F.when(mine, status).otherwise(F.col("status")))})
+            seq = self._next("decisions", DECISIONS, "seq")
+            self.store.commit({}, None, {"decisions": self.spark.createDataFrame([(source_key, corporation_id, run_id, status, seq)], DECISIONS)})
+
+    def upsert_companies(self, incoming: DataFrame, now: str) -> DataFrame:
+        """Companies after partial rows (provider, provider_company_id, columns of COMPANY, provided: the fields that
+        change; a null clears). Ids stay; new ones follow the largest."""
+        key = ["provider", "provider_company_id"]
+        rows = intake.check(incoming, {"key": (F.trim("provider") != "") & (F.trim("provider_company_id") != ""), **{c: F.col(c).isNull() | (F.col(c) >= 0) for c in NUMBERS if c in incoming.columns}, **({"raw_json": F.col("raw_json").isNull() | F.try_parse_json("raw_json").isNotNull()} if "raw_json" in incoming.columns else {})})
+        with self.store.lock():
+            stored = self._table("companies", COMPANIES)
+            have = [c for c in COMPANY if c in rows.columns]
+            named = rows.select(*(F.trim(k).alias(k) for k in key), *have, "provided")
+            new = named.join(stored.select(*key), key, "left_anti").select(*key)
+            ids = changes.new_ids(new, key, self._next("companies", COMPANIES, "id") - 1).withColumns({"created_at": F.lit(now), "updated_at": F.lit(now)})
+            known = changes.upsert(stored, ids, key)
+            filled = named.select(*key, *(F.col(c) if c in have else F.lit(None).alias(c) for c in COMPANY), F.array_intersect("provided", F.array(*map(F.lit, COMPANY))).alias("provided"))
+            patched = changes.patch(known.drop("id", "normalized_name", "created_at", "updated_at"), filled, key)
+            touched = named.select(*key, F.lit(now).alias("_now"))
+            rest = known.select(*key, "id", "created_at", "updated_at").join(touched, key, "left").withColumn("updated_at", F.coalesce("_now", "updated_at")).drop("_now")
+            out = patched.join(rest, key).withColumn("normalized_name", identity.company_name("name"))
+            self.store.commit({"companies": out.select(*(c.split()[0] for c in COMPANIES.split(", ")))})
+        return self._table("companies")
+
+    def upsert_links(self, incoming: DataFrame, now: str) -> DataFrame:
+        """Links of corporations and companies after computed ones; what a person decided stays."""
+        rows = intake.check(incoming, {"location_match": intake.one_of("location_match", ("city_province", "province", "none", "conflict")), "name_similarity": intake.between("name_similarity", 0, 1), "match_confidence": intake.between("match_confidence", 0, 1)})
+        key = ["corporation_id", "company_id"]
+        with self.store.lock():
+            stored = self._table("links", LINKS)
+            new = changes.new_ids(rows.join(stored.select(*key), key, "left_anti").select(*key), key, self._next("links", LINKS, "id") - 1)
+            known = changes.upsert(stored, new.withColumns({"match_status": F.lit("candidate"), "created_at": F.lit(now)}), key)
+            out = changes.upsert(known, rows.select(*(c for c in rows.columns if c not in ("id", "match_status", "created_at"))).withColumn("updated_at", F.lit(now)), key)
+            self.store.commit({"links": out})
+        return self._table("links")
+
+    def observe(self, source: str, source_key: str, signal: str, corporation_id: int, value, observed_at: str | None = None, match_confidence: float | None = None) -> None:
+        """Set one observation by hand, or clear it with None; it belongs to no run, and runs leave it."""
+        if not (source.strip() and source_key.strip() and signal.strip()) or not corporation_id:
+            raise ValueError("an observation has a source, an identity, a signal and a corporation")
+        if isinstance(value, float) and value - value != 0:
+            raise ValueError("numbers of observations are finite")
+        kind = "boolean" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "text"
+        row = dict(source=source, source_key=source_key, signal_type=signal, corporation_id=corporation_id, match_confidence=match_confidence, observed_at=observed_at)
+        if value is not None:
+            row[f"value_{kind}"] = float(value) if kind == "number" else value
+        columns = [c.split()[0] for c in EVIDENCE.split(", ")]
+        values = [F.col(c) for c in ("value_text", "value_number", "value_boolean")]
+        with self.store.lock():
+            one = self.spark.createDataFrame([tuple(row.get(c) for c in columns)], EVIDENCE)
+            merged = changes.upsert(self._table("evidence", EVIDENCE), one, EVIDENCE_KEY)
+            self.store.commit({"evidence": merged.filter(F.coalesce(*(v.cast("string") for v in values)).isNotNull())})
+
+    # ---- verification
+
+    def verify(self) -> dict:
+        """What can be told of the store without changing it: counts, checksums, orphans, and how the scores stand."""
+        tables = {n: self.store.read(n) for n in self.store.manifest()["tables"]}
+        accounts = tables["accounts"]
+        report = {"tables": {r.name: r.n for r in verify.table_counts(tables).collect()}, "accounts": verify.checksum(accounts).first().asDict()}
+        report["accounts"]["checksum"] = str(report["accounts"]["checksum"])
+        report["walk"] = verify.walk(accounts, "id", "source_id").first().asDict()
+        report["profiles"] = self.profile_summary()
+        report["samples"] = {flag: [r.id for r in rows] for flag, rows in _grouped(verify.samples(self.profiles(), list(identity.FLAGS)).orderBy("flag", "id").collect(), "flag")}
+        if "evidence" in tables:
+            report["evidence_orphans"] = verify.orphans(tables["evidence"], accounts, "corporation_id", "id").count()
+        if "scores" in tables:
+            scores = tables["scores"]
+            report["scores"] = {"state": self.state(), "distribution": {str(r.score): r.n for r in verify.histogram(scores).orderBy("score").collect()}, "at_least": {str(r.threshold): r.n for r in verify.thresholds(scores, [50, 55, 60, 65, 66, 67, 68, 69, 70, 75]).collect()}, "percentiles": {str(r.fraction): r.score for r in verify.percentiles(scores, [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]).collect()}}
+        return report
+
+
+def _grouped(rows: list[Row], key: str):
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r[key], []).append(r)
+    return out.items()

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import identity, likelihood, matching
+from tessera.operators import search
+from tessera.operators.store import shared_path
 
 ACCOUNT = {
     "id": "p_partkey",
@@ -35,16 +37,15 @@ ACCOUNT = {
     "has_importer_evidence": "p_partkey % 5 = 0",
     "updated_at": "p_partkey % 100",
 }
-#: Outside identities, from one part in six: some with another legal form, some with a slip in the name or elsewhere.
+#: Outside identities, one for each part: some with another legal form, some with a slip in the name or elsewhere.
 SOURCE = {
     "key": "p_partkey",
-    "name": "CASE WHEN p_partkey % 12 = 1 THEN concat(p_name, ' ', p_brand, ' Limited') WHEN p_partkey % 18 = 1 THEN concat(p_name, 'e ', p_brand, ' Inc') ELSE concat(p_name, ' Holding Inc') END",
+    "name": "CASE WHEN p_partkey % 2 = 1 THEN concat(p_name, ' ', p_brand, ' Limited') WHEN p_partkey % 3 = 1 THEN concat(p_name, 'e ', p_brand, ' Inc') ELSE concat(p_name, ' Holding Inc') END",
     "src_city": "p_type",
     "src_province": "CASE p_partkey % 4 WHEN 0 THEN 'Ontario' WHEN 1 THEN 'Québec' WHEN 2 THEN 'British Columbia' ELSE 'Newfoundland and Labrador' END",
     "src_country": "CASE WHEN p_partkey % 9 = 1 THEN 'Canada' WHEN p_partkey % 15 = 1 THEN 'USA' END",
     "src_postal": "concat('K', p_size % 10, 'A ', p_partkey % 10, 'B', p_partkey % 7)",
 }
-SOURCE_ROWS = "p_partkey % 6 = 1"
 
 
 def sql_of(view: dict[str, str], table: str, where: str = "") -> str:
@@ -59,21 +60,46 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(*(f"{e} AS {n}" for n, e in ACCOUNT.items()))
 
 
-def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.profiles(accounts(spark, sf_dir))
+#: Where each session keeps what is derived from a folder of tables: derived once, then read, as the engine does.
+_derived: dict[tuple[str, str, str], str] = {}
+
 
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """profiles of the accounts, scores of the candidates, registry and sources of resolution, or the search index of the
+    accounts, written once a session to the shared folder and read from there; the index in the order of its tokens."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _derived:
+        made = {
+            "profiles": lambda: identity.profiles(accounts(spark, sf_dir)),
+            "scores": lambda: likelihood.score(stored(spark, sf_dir, "profiles").filter("is_candidate")),
+            "registry": lambda: registry_rows(stored(spark, sf_dir, "profiles")),
+            "sources": lambda: source_rows(spark, sf_dir),
+            "index": lambda: search.sorted_index(search.index(accounts(spark, sf_dir))),
+        }[name]()
+        path = shared_path(spark, name)
+        made.write.parquet(path)
+        _derived[key] = path
+    return spark.read.parquet(_derived[key])
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return likelihood.score(profiled(spark, sf_dir).filter("is_candidate"))
+
+def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "profiles")
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").filter(SOURCE_ROWS).selectExpr(*(f"{e} AS {n}" for n, e in SOURCE.items()))
-    return rows.withColumns(matching.source_identity("name", "src_city", "src_province", "src_country", "src_postal"))
+    return stored(spark, sf_dir, "sources")
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = profiled(spark, sf_dir)
+    return stored(spark, sf_dir, "registry")
+
+
+def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").selectExpr(*(f"{e} AS {n}" for n, e in SOURCE.items()))
+    return rows.withColumns(matching.source_identity("name", "src_city", "src_province", "src_country", "src_postal"))
+
+
+def registry_rows(rows: DataFrame) -> DataFrame:
     return rows.select("id", "is_candidate", F.col("normalized_legal_name").alias("r_legal"), F.col("normalized_alternate_name").alias("r_alternate"), identity.normalise_text("city").alias("r_city"), identity.region("province_normalized").alias("r_province"), identity.country("country").alias("r_country"), F.col("postal_code").alias("r_postal"))
 
 
@@ -196,7 +222,7 @@ def matching_sql(exact: int, block: int) -> str:
     """CTEs source, registry, outcome and judged: resolution with the given caps."""
     sim = lambda a: f"CASE WHEN {usable(a)} AND {usable('s_name')} THEN CASE WHEN {a} = s_name THEN 1.0 ELSE 1 - levenshtein({a}, s_name)::DOUBLE / greatest(length({a}), length(s_name)) END ELSE 0.0 END::DOUBLE"
     return f"""{PROFILES},
-raw_source AS ({sql_of(SOURCE, 'part', SOURCE_ROWS)}),
+raw_source AS ({sql_of(SOURCE, 'part')}),
 source AS (SELECT *, {company(norm('name'))} AS s_name, {norm('src_city')} AS s_city, {coded(norm('src_province'), identity.REGIONS)} AS s_province,
   {coded(norm('src_country'), identity.COUNTRIES)} AS s_country, upper(replace(coalesce(src_postal, ''), ' ', '')) AS s_postal FROM raw_source),
 registry AS (SELECT id, normalized_legal_name AS r_legal, normalized_alternate_name AS r_alternate, n_city AS r_city, n_region AS r_province, n_country AS r_country, upper(replace(postal_code, ' ', '')) AS r_postal

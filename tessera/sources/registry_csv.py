@@ -53,8 +53,8 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
 
 def check_quotes(spark: SparkSession, path: str) -> None:
     """Raise if a quote is never closed: a well-formed file has an even number of them."""
-    odd = spark.read.text(path).agg(F.sum(F.length(F.regexp_replace("value", '[^"]', "")).cast("long")).alias("n")).first()[0]
-    if (odd or 0) % 2:
+    quotes = F.sum(F.length(F.regexp_replace("value", '[^"]', "")).cast("long"))
+    if spark.read.text(path).groupBy(F.input_file_name()).agg(quotes.alias("n")).filter("n % 2 = 1").limit(1).count():
         raise SourceError("a quoted cell is never closed")
 
 
@@ -95,7 +95,9 @@ def normalise(rows: DataFrame) -> DataFrame:
 def judge(rows: DataFrame, stored: DataFrame | None) -> DataFrame:
     """Normalised rows with action: invalid (ragged, or no id), duplicate (the id came earlier), insert, update or skip."""
     valid = ~F.col("ragged") & F.col("source_id").isNotNull()
-    first = changes.first_wins(rows.withColumn("_valid", valid), ["_valid", "source_id"], ["ordinal"])
+    marked = rows.withColumn("_valid", valid)
+    # rows without an id are no group of one key
+    first = changes.first_wins(marked.filter("_valid"), ["source_id"], ["ordinal"]).unionByName(marked.filter("not _valid").withColumn("rn", F.lit(1)))
     known = changes.classify(first, stored, "source_id", "raw_data") if stored is not None else first.withColumn("action", F.lit("insert"))
     return known.withColumn("action", F.when(~F.col("_valid"), "invalid").when(F.col("rn") > 1, "duplicate").otherwise(F.col("action"))).drop("_valid", "rn")
 

@@ -4,15 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tessera.operators import changes
 from tessera.operators.store import Store
 
 
+BATCH, MOST_LAYERS = "_batch", 32
+
+
+def current(store: Store, key: str, table: str = "accounts") -> DataFrame | None:
+    """The latest row of each key: batches are layers of changed rows."""
+    rows = store.read(table)
+    if rows is None:
+        return None
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(BATCH)))).filter("_n = 1").drop("_n", BATCH)
+
+
 def commit_batch(store: Store, key: str, content: str, table: str = "accounts"):
     """A foreachBatch function: the first row of each key in a batch wins, changed rows replace stored ones.
 
-    A batch that is run again finds its version in the manifest's state and does nothing.
+    A batch adds a layer of its changed rows; after MOST_LAYERS of them the table is written anew. A batch that is run
+    again finds its number in the manifest's state and does nothing.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -20,12 +33,15 @@ def commit_batch(store: Store, key: str, content: str, table: str = "accounts"):
             return
         numbered = batch.withColumn("ordinal", F.monotonically_increasing_id())
         first = changes.first_wins(numbered, [key], ["ordinal"]).filter("rn = 1").drop("rn", "ordinal")
-        stored = store.read(table)
+        stored, layer = current(store, key, table), F.lit(batch_id).cast("long")
         if stored is None:
-            store.commit({table: first}, {"batch": batch_id})
+            store.commit({table: first.withColumn(BATCH, layer)}, {"batch": batch_id})
             return
         judged = changes.classify(first, stored, key, content).filter("action <> 'skip'").drop("action")
-        store.commit({table: changes.upsert(stored, judged, [key])}, {"batch": batch_id})
+        if len(store.manifest()["tables"][table]) < MOST_LAYERS:
+            store.commit({}, {"batch": batch_id}, {table: judged.withColumn(BATCH, layer)})
+        else:
+            store.commit({table: changes.upsert(stored, judged, [key]).withColumn(BATCH, layer)}, {"batch": batch_id})
 
     return run
 

@@ -1,11 +1,15 @@
 """The engine end to end: import, evidence runs, scores, freshness."""
 
+import hashlib
 import json
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators import intake
 from tessera.operators.evidence import Signal
-from tessera.plans.engine import Engine
+from tessera.plans.engine import Cancelled, Engine
 from tessera.sources.workbook import json_lines
 from tests.test_registry import line, write
 
@@ -19,7 +23,8 @@ def rows(tmp_path, name, *cases):
 
 
 def test_engine(spark, tmp_path):
-    e = Engine(spark, f"file://{tmp_path}/engine")
+    told = []
+    e = Engine(spark, f"file://{tmp_path}/engine", told.append)
     report = e.import_registry(write(tmp_path, line("1", "Northern Software Inc."), line("2", "Blue Holdings Inc."), line("3", "1234567 Canada Inc.")), "t1")
     assert report["inserted"] == 3 and e.summary()["total"] == 3 and e.get("2").legal_name == "Blue Holdings Inc."
     assert e.profile_summary()["is_candidate"] == 2 and e.search("north")["total"] == 1
@@ -46,3 +51,67 @@ def test_engine(spark, tmp_path):
     with pytest.raises(LookupError):
         e.decide("k", 99, 1, "rejected")
     e.decide("k", 1, 1, "rejected")
+    e.decide("k", 1, 1, "candidate")
+    assert {(r.source_key, r.id, r.run_id): r.status for r in e.matches().collect()}["k", 1, 1] == "candidate"
+    assert [(r.id, r.status, r.file_name) for r in e.imports()] == [(2, "failed", "bad.csv"), (1, "completed", "registry.csv")] and len(e.imports()[1].file_sha256) == 64
+    assert [(r.run_id, r.status, r.stage) for r in e.workflows()] == [(3, "completed", "evidence_ready"), (2, "failed", "failed"), (1, "completed", "evidence_ready")]
+    assert json.loads(e.workflows()[2].report)["corporations"] == 1
+    assert {"error", "complete"} < {x["type"] for x in told} and [x["stage"] for x in told if x.get("run_id") == 1 and x["type"] == "progress"] == ["source_ready", "preparing_candidates", "matching_evidence", "evidence_ready"]
+    e.observe("listing", "hand", "n", 1, 3)
+    e.observe("listing", "hand", "is_importer", 1, False)
+    assert {(o.signal_type, o.value_number, o.value_boolean) for o in e.coverage(1)["observations"]} == {("n", 3.0, None), ("is_importer", None, False)}
+    e.observe("listing", "hand", "n", 1, None)
+    assert len(e.coverage(1)["observations"]) == 1
+    for bad in ((" ", "k", "n", 1, 1), ("s", "k", "n", 1, float("nan"))):
+        with pytest.raises(ValueError):
+            e.observe(*bad)
+    report = e.verify()
+    assert json.loads(json.dumps(report))["tables"]["accounts"] == 3 and report["evidence_orphans"] == 0 and report["walk"] == {"rows": 3, "keys": 3, "in_order": True}
+    e.cancelled = lambda: True
+    with pytest.raises(Cancelled):
+        e.import_registry(write(tmp_path, line("8", "Eighth"), name="late.csv"), "t9")
+    assert e.summary()["total"] == 3 and e.summary()["latest_import"]["status"] == "failed"
+
+
+def test_uploads_and_rules(spark, tmp_path):
+    path = write(tmp_path, line("1", "O'Brien Inc."))
+    file = intake.identify(spark, path)
+    assert file.name == "registry.csv" and file.size == os.path.getsize(path) and file.sha256 == hashlib.sha256(open(path, "rb").read()).hexdigest()
+    assert intake.check_upload(file, [file.sha256.upper()]) == file
+    for bad, kind in ((file._replace(name="a.txt"), "name"), (file._replace(name=".csv"), "name"), (file._replace(size=0), "empty"), (file._replace(size=(200 << 20) + 1), "size"), (file._replace(sha256="0"), "content")):
+        with pytest.raises(intake.Refused) as e:
+            intake.check_upload(bad, [file.sha256])
+        assert e.value.kind == kind
+    intake.check_unchanged(spark, path, file)
+    write(tmp_path, line("1", "Other"), line("2", "More"))
+    with pytest.raises(RuntimeError, match="changed"):
+        intake.check_unchanged(spark, path, file)
+    e = Engine(spark, f"file://{tmp_path}/store")
+    with pytest.raises(intake.Refused):
+        e.import_registry(path, "t", allowed=[file.sha256])
+    e.import_registry(path, "t", allowed=[intake.identify(spark, path).sha256])
+    rows = spark.createDataFrame([("a", 1, None), ("z", 2, 3)], "k string, x int, y int")
+    rules = {"k": intake.one_of("k", ("a", "z")), "x": intake.between("x", 0, 2), "one": intake.exactly_one(("x",))}
+    assert intake.check(rows, rules).count() == 2
+    with pytest.raises(ValueError, match=r"k \(1\), one \(1\)"):
+        intake.check(rows, {"k": intake.one_of("k", ("a",)), "one": intake.exactly_one(("x", "y"))})
+
+
+def test_companies_and_links(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/engine")
+    shape = "provider string, provider_company_id string, name string, industry string, employee_count double, provided array<string>"
+    e.upsert_companies(spark.createDataFrame([("p", "1", "Acme Ltd.", "tools", 5.0, ["name", "industry", "employee_count"]), ("p", "2", "Beta", None, None, ["name"])], shape), "t1")
+    got = {r.provider_company_id: r for r in e.upsert_companies(spark.createDataFrame([("p", "1", None, None, 7.0, ["industry", "employee_count"]), ("q", "1", "Gamma", None, None, ["name"])], shape), "t2").collect()}
+    both = {(r.provider, r.provider_company_id): r for r in e._table("companies").collect()}
+    assert len(both) == 3 and sorted(r.id for r in both.values()) == [1, 2, 3] and got
+    one = both["p", "1"]
+    assert (one.id, one.name, one.industry, one.employee_count, one.normalized_name, one.created_at, one.updated_at) == (1, "Acme Ltd.", None, 7.0, "acme", "t1", "t2") and both["p", "2"].updated_at == "t1"
+    with pytest.raises(ValueError):
+        e.upsert_companies(spark.createDataFrame([(" ", "1", None, None, -1.0, [])], shape), "t3")
+    shape = "corporation_id long, company_id long, match_method string, name_similarity double, location_match string, match_confidence double"
+    e.upsert_links(spark.createDataFrame([(1, 1, "exact", 1.0, "province", 0.8)], shape), "t1")
+    e.store.commit({"links": e._table("links").withColumn("match_status", F.lit("accepted"))})
+    got = {r.company_id: (r.id, r.match_status, r.match_confidence, r.created_at, r.updated_at) for r in e.upsert_links(spark.createDataFrame([(1, 1, "exact", 1.0, "none", 0.4), (1, 2, "fuzzy", 0.9, "none", 0.3)], shape), "t2").collect()}
+    assert got == {1: (1, "accepted", 0.4, "t1", "t2"), 2: (2, "candidate", 0.3, "t2", "t2")}
+    with pytest.raises(ValueError):
+        e.upsert_links(spark.createDataFrame([(1, 1, "exact", 1.5, "none", 0.4)], shape), "t3")

@@ -174,7 +174,59 @@ def test_store_and_stream(spark, tmp_path):
     os.utime(tmp_path / "in/1.csv", (1, 1))
     live = Store(spark, f"file://{tmp_path}/live")
     registry_stream.follow(spark, str(tmp_path / "in"), "k string, v string", live, "k", "v", str(tmp_path / "cp")).awaitTermination()
-    assert {r.k: r.v for r in live.read("accounts").collect()} == {"a": "1", "b": "3", "c": "4"}
+    assert {r.k: r.v for r in registry_stream.current(live, "k").collect()} == {"a": "1", "b": "3", "c": "4"} and live.read("accounts").count() == 4
+
+
+def test_search_words(spark):
+    rows = accounts(spark, ("O'Brien & Sons", None, None, "ON", None, None), ("Café L’Oréal", None, None, "QC", None, None), ("AT&T", "ŒUVRE n°5", None, "ON", None, None))
+    tokens = search.index(rows)
+    for asked, want in (("O'Brien", {1}), ("brien", {1}), ("L'Oréal", {2}), ("loreal", set()), ("at&t", {3}), ("AT", {3}), ("oréal café", {2}), ("sons brie", {1}), ("œuv", {3})):
+        for own in (tokens, None):
+            assert {r.id for r in search.filtered(rows, asked, tokens=own).collect()} == want, asked
+
+
+def test_locks_and_layers(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.commit({"t": spark.range(2).select("id")})
+    store.commit({}, {}, {"t": spark.range(1).selectExpr("id + 5 as id", "'new' as note")})
+    assert sorted((r.id, r.note) for r in store.read("t").collect()) == [(0, None), (1, None), (5, "new")]
+    (tmp_path / "store/run.lock").write_text("held")
+    os.utime(tmp_path / "store/run.lock", (1, 1))
+    with store.lock(), pytest.raises(Busy), store.lock():
+        pass
+
+
+def test_times_and_attributes(spark):
+    rows = spark.createDataFrame([("2024-01-01T00:30:00+02:00",), ("2024-01-01",), (None,)], "t string")
+    assert [r[0] for r in rows.select(evidence.in_utc("t")).collect()] == ["2023-12-31T22:30:00.000Z", "2024-01-01T00:00:00.000Z", None]
+    base = spark.createDataFrame([("k", "A", "2024-01-01", 1, '{"a": 1, "b": "x", "c": null, "d": -2.5e3}')], "source_key string, name string, observed_at string, source_row_number int, attributes string")
+    evidence.check_rows(base)
+    for bad in ('{"a": [1]}', '{"a": {"b": 1}}', '{"a": true}', "[1]", "no"):
+        with pytest.raises(ValueError, match="attributes"):
+            evidence.check_rows(base.withColumn("attributes", F.lit(bad)))
+
+
+def test_quotes_of_each_file(spark, tmp_path):
+    (tmp_path / "two").mkdir()
+    for k in (1, 2):
+        write(tmp_path / "two", line(str(k)) + '\n"open', name=f"{k}.csv")
+    with pytest.raises(registry_csv.SourceError):
+        registry_csv.check_quotes(spark, str(tmp_path / "two"))
+
+
+def test_range_hash(spark):
+    import hashlib
+
+    keys = [1, 5, 4096, 4097, 9000, 1 << 30]
+    got = verify.range_hash(spark.createDataFrame([(k,) for k in keys * 3 + [None]], "k long"), "k").first()[0]
+
+    def fold(pairs):
+        return hashlib.sha256("".join(t + "\n" for _, t in sorted(pairs)).encode()).hexdigest()
+
+    level = [(k, str(k)) for k in keys]
+    for _ in range(2):
+        level = [(r, fold([(k, t) for k, t in level if k // 4096 == r])) for r in {k // 4096 for k, _ in level}]
+    assert got == fold(level)
 
 
 def test_percentiles_and_checksum(spark):
