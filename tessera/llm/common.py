@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,14 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
+    """The folder that driver and executors share. A local session that names none gets a temporary one; on a cluster
+    each machine would have its own, so there the setting is asked for."""
     path = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{CHECKPOINT_KEY} has to name a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -30,7 +34,25 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write to the shared folder and read again: a lost executor costs no earlier stage."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what `cut` wrote for df, which nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: Rows of a side that may be broadcast; it is counted first, and merged with the other side beyond it.
+MOST_BROADCAST = 100_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """df, written, with the hint to broadcast it if it has MOST_BROADCAST rows at most, else to merge."""
+    df = cut(df, "side")
+    return df.hint("broadcast" if df.count() <= MOST_BROADCAST else "merge")
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -5,11 +5,11 @@ of the vector with its own code. For a rotated query q, <code, q> / factor is an
 cosine, and the factor gives its confidence bound: only pairs whose bound reaches the threshold are
 recomputed from the vectors in double precision.
 
-1. Equal vectors form one class, counted by its size.
-2. Bands of the codes deal the classes into buckets. In a bucket (large ones in pairs of blocks) the angle
-   estimated from two codes says which are near enough to be candidates; a block returns a spanning forest.
-3. Connected candidates meet once more in pairs of blocks, now with their vectors: estimate, bound, exact
-   cosine, and the count of links for each vector.
+1. Equal vectors form one class, by 128 bits of a digest, counted by its size.
+2. Bands of the codes deal the classes into buckets, large ones in pairs of blocks. The angle estimated from two codes
+   says which pairs are near enough to be candidates. A pair is judged in the first band that it shares only.
+3. Classes with a candidate in a block meet there once more, now with their vectors: estimate, bound, exact cosine, the
+   count of links for each class, and a spanning forest of the true links. Components are those of true links.
 
 The bits of a band grow with the number of classes, and the number of bands with them, so that a pair at the
 threshold shares no band with a chance of `MISS` at most.
@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, runs, shuffle_width
+from tessera.llm.common import cut, runs, shuffle_width, small_side
 from tessera.llm.graph import Forest, components
 from tessera.llm.minhash import block_pairs
 
 COSINE = 0.95
 LEAST_BITS = 256
-MISS = 1e-4
+MISS = 1e-5
 #: Width of the confidence bounds, in standard deviations of an estimate.
 DEVIATIONS = 4.0
 IN_BUCKET, BLOCK = 64, 512
@@ -85,14 +85,14 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def _keys(batches):
-    """vec_id and the class (a 64-bit digest of the vector) of each row; no class for what links with nothing."""
+    """vec_id and the class (a 128-bit digest of the vector) of each row; no class for what links with nothing."""
     for batch in batches:
         ids = batch.column(0)
-        keys = [None if v is None or i is None else int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True) for i, v in zip(ids.to_pylist(), rows_of(batch.column(1)), strict=True)]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), batch.column(1)], names=["vec_id", "rep", "vector"])
+        keys = [None if v is None or i is None else hashlib.blake2b(v.tobytes(), digest_size=16).digest() for i, v in zip(ids.to_pylist(), rows_of(batch.column(1)), strict=True)]
+        yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), batch.column(1)], names=["vec_id", "rep", "vector"])
 
 
-BANDS = "rep long, dims int, code binary, keys array<long>"
+BANDS = "rep binary, dims int, code binary, keys array<long>"
 
 
 def _banded(bits: int, bands: int):
@@ -106,7 +106,7 @@ def _banded(bits: int, bands: int):
                 keys = (signs * (1 << np.arange(bits, dtype=np.int64))).sum(2)
                 packed, _ = codes(turned)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in at], pa.int64()), pa.array([dims] * len(at), pa.int32()), pa.array([c.tobytes() for c in packed], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))],
+                    [pa.array([ids[i] for i in at], pa.binary()), pa.array([dims] * len(at), pa.int32()), pa.array([c.tobytes() for c in packed], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))],
                     names=["rep", "dims", "code", "keys"],
                 )
 
@@ -120,41 +120,55 @@ def band_shape(classes: int, cosine: float = COSINE) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log(1 - agree))
 
 
-def _near(cosine: float):
+def _first_band(apart: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    """For differences of two codes the first band in which they agree."""
+    off = np.unpackbits(np.ascontiguousarray(apart).view(np.uint8), axis=1, bitorder="little")[:, : bits * bands]
+    return off.reshape(len(apart), bands, bits).any(2).argmin(1)
+
+
+BLOCK_KEY = ["dims", "band", "key", "i", "j"]
+MEMBERS = "dims int, band int, key long, i int, j int, own int, rep binary"
+
+
+def _near(cosine: float, bits: int, bands: int):
     share = math.acos(cosine) / math.pi
 
     def near(batches):
-        """Spanning forests of what two codes say may be near, for each pair of blocks of a bucket."""
-        for block in runs(batches, ["dims", "band", "key", "i", "j"]):
-            ids = block["rep"].to_numpy()
-            if len(ids) < 2:
+        """The members of each pair of blocks that have a candidate on the other side, or in the block itself."""
+        for block in runs(batches, BLOCK_KEY):
+            if block.num_rows < 2:
                 continue
             c = np.stack([np.frombuffer(x, np.uint64) for x in block["code"].to_pylist()])
+            own, (i, j, band) = block["own"].to_numpy(), (block[k][0].as_py() for k in ("i", "j", "band"))
             # bits of one vector depend on each other, so at most as many count as it has dimensions
             free = min(c.shape[1] * 64, block["dims"][0].as_py())
             most = c.shape[1] * 64 * (share + DEVIATIONS * math.sqrt(share * (1 - share) / free))
-            forest, out = Forest(len(ids)), []
-            for x in range(len(ids) - 1):
-                apart = np.bitwise_count(c[x + 1 :] ^ c[x]).sum(1)
-                out += [(ids[x], ids[x + 1 + y]) for y in np.flatnonzero(apart <= most) if forest.join(x, x + 1 + int(y))]
-            if out:
-                a, b = np.array(out).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+            met = np.zeros(len(c), bool)
+            for x in np.flatnonzero(own == i):
+                others = np.arange(x + 1, len(c)) if i == j else np.flatnonzero(own == j)
+                apart = c[others] ^ c[x]
+                hit = np.flatnonzero(np.bitwise_count(apart).sum(1) <= most)
+                hit = hit[_first_band(apart[hit], bits, bands) == band] if len(hit) else hit
+                if len(hit):
+                    met[x] = met[others[hit]] = True
+            if met.any():
+                kept = block.filter(pa.array(met)).select([f.split()[0] for f in MEMBERS.split(", ")])
+                yield from kept.combine_chunks().to_batches()
 
     return near
 
 
-def _linked(cosine: float):
+def _linked(cosine: float, bits: int, bands: int):
     def linked(batches):
         """(a, b, n): b null and n the weight that a links with in this pair of blocks, or a link (a, b)."""
-        for block in runs(batches, ["cluster", "i", "j"]):
-            ids, own = block["rep"].to_numpy(), block["own"].to_numpy()
-            i, j = block["i"][0].as_py(), block["j"][0].as_py()
+        for block in runs(batches, BLOCK_KEY):
+            ids, own = block["rep"].to_pylist(), block["own"].to_numpy()
+            i, j, band = (block[k][0].as_py() for k in ("i", "j", "band"))
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             if not len(left) or not len(right):
                 continue
             u, weight = np.stack([unit(v) for v in rows_of(block["vector"].combine_chunks())]), block["weight"].to_numpy()
-            turned = rotated(u, code_width(u.shape[1], LEAST_BITS))
+            turned = rotated(u, code_width(u.shape[1], max(LEAST_BITS, bits * bands)))
             packed, factor = codes(turned)
             est, bound = estimates(turned[left], packed[right], factor[right])
             if i == j:
@@ -162,23 +176,19 @@ def _linked(cosine: float):
             x, y = np.nonzero(est + bound >= cosine)
             hit = np.zeros(len(x), bool)
             for s in range(0, len(x), 1 << 15):
-                hit[s : s + (1 << 15)] = (u[left[x[s : s + (1 << 15)]]] * u[right[y[s : s + (1 << 15)]]]).sum(1) >= cosine
+                a, b = left[x[s : s + (1 << 15)]], right[y[s : s + (1 << 15)]]
+                hit[s : s + (1 << 15)] = ((u[a] * u[b]).sum(1) >= cosine) & (_first_band(packed[a] ^ packed[b], bits, bands) == band)
             x, y = left[x[hit]], right[y[hit]]
             n = np.bincount(x, weight[y], len(ids)) + np.bincount(y, weight[x], len(ids))
             forest = Forest(len(ids))
             edges = [(ids[p], ids[q]) for p, q in zip(x.tolist(), y.tolist(), strict=True) if forest.join(p, q)]
-            seen = np.flatnonzero(n)
-            a = [*ids[seen].tolist(), *(int(max(e)) for e in edges)]
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([*[None] * len(seen), *(int(min(e)) for e in edges)], pa.int64()), pa.array([*n[seen].astype(np.int64).tolist(), *[None] * len(edges)], pa.int64())], names=["a", "b", "n"])
+            seen = np.flatnonzero(n).tolist()
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([*(ids[k] for k in seen), *(max(e) for e in edges)], pa.binary()), pa.array([*[None] * len(seen), *(min(e) for e in edges)], pa.binary()), pa.array([*n[seen].astype(np.int64).tolist(), *[None] * len(edges)], pa.int64())], names=["a", "b", "n"])
 
     return linked
 
 
-def _own_block(node: str, size: str, block: int):
-    return F.pmod(F.xxhash64(node), F.ceil(F.col(size) / F.lit(block)).cast("int")).cast("int")
-
-
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """A row for each row of vectors: vec_id, n_links, component_id, kept.
 
@@ -190,28 +200,24 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     spark = vectors.sparkSession
     width = shuffle_width(spark)
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    keyed = source.mapInArrow(_keys, "vec_id long, rep long, vector array<double>")
+    keyed = source.mapInArrow(_keys, "vec_id long, rep binary, vector array<double>")
     classes = cut(keyed.filter("rep is not null").groupBy("rep").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector")), "classes")
-    of_rep = classes.select("rep", "vector")
     bits, bands = band_shape(classes.count(), cosine)
-    coded = cut(of_rep.repartition(width, "rep").mapInArrow(_banded(bits, bands), BANDS), "codes")
-    # one task's worth of rows a band; keys only, to learn which buckets are large
+    coded = cut(classes.select("rep", "vector").repartition(width, "rep").mapInArrow(_banded(bits, bands), BANDS), "codes")
     slots = coded.select("rep", "dims", "code", F.posexplode("keys").alias("band", "key"))
-    sizes = slots.groupBy("dims", "band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    dealt = slots.join(sizes, ["dims", "band", "key"]).select("dims", "band", "key", F.explode(block_pairs("rep", "size", BLOCK)).alias("p"), "rep", "code").select("dims", "band", "key", "p.i", "p.j", "rep", "code")
-    order = ["dims", "band", "key", "i", "j"]
-    candidates = cut(dealt.repartition(width, *order).sortWithinPartitions(*order).mapInArrow(_near(cosine), "a long, b long"), "candidates")
-    clusters = cut(components(candidates), "clusters")
-    counts = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = clusters.join(counts, "component").select("node", F.col("component").alias("cluster"), _own_block("node", "size", BLOCK).alias("own"), F.explode(block_pairs("node", "size", BLOCK)).alias("p"))
-    met = members.join(classes, F.col("node") == F.col("rep")).select("cluster", "p.i", "p.j", "own", "rep", "weight", "vector")
-    order = ["cluster", "i", "j"]
-    found = cut(met.repartition(width, *order).sortWithinPartitions(*order).mapInArrow(_linked(cosine), "a long, b long, n long"), "links")
+    bucket = ["dims", "band", "key"]
+    # only what is larger than a block has to know its size
+    large = small_side(slots.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > BLOCK))
+    sized = slots.join(large, bucket, "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
+    dealt = sized.select(*bucket, F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")).cast("int").alias("own"), F.explode(block_pairs("rep", "size", BLOCK)).alias("p"), "rep", "code").select(*bucket, "p.i", "p.j", "own", "rep", "code")
+    near = cut(dealt.repartition(width, *BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY).mapInArrow(_near(cosine, bits, bands), MEMBERS), "near")
+    met = near.join(classes.select("rep", "vector", "weight").hint("merge"), "rep")
+    found = cut(met.repartition(width, *BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY).mapInArrow(_linked(cosine, bits, bands), "a binary, b binary, n long"), "links")
     degrees = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     joined = cut(components(found.filter("b is not null").select("a", "b")), "components").select(F.col("node").alias("rep"), "component")
-    of_class = classes.select("rep", "first_id", "weight").join(degrees, "rep", "left").join(joined, "rep", "left").select("rep", "first_id", F.coalesce("component", "rep").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    of_class = classes.select("rep", "first_id", "weight").join(degrees.hint("merge"), "rep", "left").join(joined.hint("merge"), "rep", "left").select("rep", "first_id", F.coalesce("component", "rep").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     least = of_class.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_class = of_class.join(least, "component").select("rep", "n_links", "component_id")
-    out = keyed.select("vec_id", "rep").join(of_class, "rep", "left")
+    of_class = of_class.join(least.hint("merge"), "component").select("rep", "n_links", "component_id")
+    out = keyed.select("vec_id", "rep").join(cut(of_class, "of-class").hint("merge"), "rep", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, discard
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Hang neighbours on the least node seen: the larger ones (large) or the smaller ones."""
+#: A node with more than a share of 1 / SHARES of all edges is a hub; there are at most 4 * SHARES hubs.
+SHARES, LEAST_HUB = 1024, 4096
+
+
+def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
+    """Hang neighbours on the least node seen: the larger ones (large) or the smaller ones.
+
+    Each node's least neighbour comes from an aggregation that is begun where the edges are. Edges of hubs, nodes of more
+    than `hub` edges, meet it by a broadcast of at most 4 * SHARES rows and are not gathered; the others by a merge.
+    """
     flip = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))) if large else F.array(F.struct(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     both = edges.select(F.inline(flip))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("d")).select("u", F.least("u", "m").alias("m"), "d")
+    hubs = F.broadcast(least.filter(F.col("d") > hub).select("u", "m"))
+    rest = both.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("d") <= hub).select("u", "m").hint("merge"), "u")
+    joined = both.join(hubs, "u").unionByName(rest)
     hung = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else joined.select(F.inline(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))))
     return hung.filter("a <> b").distinct()
 
@@ -22,12 +32,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of undirected edges (a, b): the least node that it reaches.
 
     Large-star and small-star rounds alternate until the edges stay as they are; each round's edges
-    are written to the shared folder. Loops and null ends are left out, an empty input gives no rows.
+    are written to the shared folder, and those of the round before deleted. Nodes are of any type that has an order.
+    Loops and null ends are left out, an empty input gives no rows.
     """
     edges = cut(edges.filter("a <> b").select("a", "b").distinct(), "edges")
+    hub = max(LEAST_HUB, edges.count() // SHARES)
     seen = None
     for _ in range(rounds):
-        edges = cut(_star(_star(edges, True), False), "edges")
+        before = edges
+        edges = cut(_star(_star(edges, True, hub), False, hub), "edges")
+        discard(before)
         mark = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31)))).first()
         if mark == seen:
             break

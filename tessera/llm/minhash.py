@@ -4,11 +4,13 @@
    of MinHash values. Texts with equal sets form one class; its least doc_id stands for it.
 2. Every tree sorts the classes by path. Neighbours whose common prefix is long enough are candidates;
    the depth asked for grows with the number of classes that share the shorter prefix (`DEPTHS`).
-3. Candidates chain to clusters of at most what the forest says is near. The full sets of a cluster meet
-   in blocks of at most two times `BLOCK` texts, every pair of blocks once, and all pairs of a block are
-   counted exactly; a block returns no more links than it has texts.
+3. Candidates chain to clusters of at most what the forest says is near. The full sets of a cluster of up to `BLOCK`
+   texts meet at once. Of a larger one all are compared with its representative first, in blocks that each have a copy
+   of it; only those that are not linked with it meet the whole cluster, in pairs of blocks. A block returns no more
+   links than it has texts.
 
-A pair at similarity 0.75 misses all 40 trees at depth 4 with a chance of 3e-7.
+A pair at similarity 0.75 misses all 40 trees at depth 4 with a chance of 3e-7, at depth 5 with 2e-5 and at depth 6
+with 4e-4.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, runs, shuffle_width
+from tessera.llm.common import cut, runs, shuffle_width, small_side
 from tessera.llm.graph import Forest, components
 from tessera.llm.words import LOWER, chunks, mix, ranges, WORD_BASE
 
@@ -88,26 +90,17 @@ def _sketch(batches):
             )
 
 
-def _run_sizes(same: np.ndarray) -> np.ndarray:
-    """For rows of which same[i] tells that i and i + 1 agree: the size of each row's run."""
-    label = np.concatenate(([0], np.cumsum(~same)))
-    return np.bincount(label)[label]
-
-
-def _near(tree, head, tail, doc) -> pa.RecordBatch:
+def _near(tree, head, tail, doc, depth) -> pa.RecordBatch:
     """Candidate links between rows that follow each other in the order of (tree, head, tail, doc)."""
-    level = {4: (tree[1:] == tree[:-1]) & (head[1:] == head[:-1])}
-    level[5] = level[4] & (tail[1:] >> 16 == tail[:-1] >> 16)
-    level[6] = level[4] & (tail[1:] == tail[:-1])
-    keep = np.zeros(len(doc) - 1, bool)
-    for depth, most in DEPTHS:
-        keep |= level[depth] & (True if most is None else _run_sizes(level[depth])[1:] <= most)
+    four = (tree[1:] == tree[:-1]) & (head[1:] == head[:-1])
+    five = four & (tail[1:] >> 16 == tail[:-1] >> 16)
+    keep = np.select([depth[1:] == 4, depth[1:] == 5], [four, five], four & (tail[1:] == tail[:-1]))
     a, b = doc[:-1][keep], doc[1:][keep]
     none = pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), *none, none[1]], names=["a", "b", "tree", "head", "tail"])
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), none[0], none[1], none[1], none[0]], names=["a", "b", "tree", "head", "tail", "depth"])
 
 
-NEAR = "a long, b long, tree int, head long, tail long"
+NEAR = "a long, b long, tree int, head long, tail long, depth int"
 
 
 def _neighbours(batches):
@@ -116,15 +109,15 @@ def _neighbours(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [batch.column(i).to_numpy() for i in range(4)]
+        now = [batch.column(i).to_numpy() for i in range(5)]
         if last is not None:
             now = [np.concatenate((y, x)) for x, y in zip(now, last, strict=True)]
         first = first or [x[:1] for x in now]
         last = [x[-1:] for x in now]
         yield _near(*now)
     if first:
-        tree, head, tail, doc = (np.concatenate(x) for x in zip(first, last, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.nulls(2, pa.int64()), pa.array(tree, pa.int32()), pa.array(head), pa.array(tail)], names=["a", "b", "tree", "head", "tail"])
+        tree, head, tail, doc, depth = (np.concatenate(x) for x in zip(first, last, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.nulls(2, pa.int64()), pa.array(tree, pa.int32()), pa.array(head), pa.array(tail), pa.array(depth, pa.int32())], names=["a", "b", "tree", "head", "tail", "depth"])
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -158,22 +151,58 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _similar(both, size, other):
+    return (100 * both >= PERCENT * (size + other - both)) & (size > 0) & (other > 0)
+
+
+def _pairs(found: list[tuple]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _forest(ids, linked, rows) -> list[tuple]:
+    forest, out = Forest(len(ids)), []
+    for x in rows:
+        for y in np.flatnonzero(linked[x]).tolist():
+            if x != y and forest.join(x, y) and ids[x] != ids[y]:
+                out.append((int(max(ids[x], ids[y])), int(min(ids[x], ids[y]))))
+    return out
+
+
 def _confirm(batches):
-    for block in runs(batches, ["cluster", "i", "j"]):
-        ids = block["doc_id"].to_numpy()
+    """Links (a, b) of each block; of a cluster in several blocks those with its representative, and (a, null) for texts that have none."""
+    for block in runs(batches, ["cluster", "i"]):
+        ids, lead = block["doc_id"].to_numpy(), block["lead"].to_numpy(zero_copy_only=False)
         if len(ids) < 2:
             continue
         sets = [s for _, s in shingle_sets(block["text"])]
         size = np.array([len(s) for s in sets])
-        both = overlaps(sets)
-        linked = (100 * both >= PERCENT * (size[:, None] + size[None, :] - both)) & (size[:, None] > 0) & (size[None, :] > 0)
-        forest, out = Forest(len(ids)), []
-        for x, y in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-            if forest.join(x, y) and ids[x] != ids[y]:
-                out.append((ids[x], ids[y]))
+        if block["n"][0].as_py() == 1:
+            both = overlaps(sets)
+            out = _forest(ids, _similar(both, size[:, None], size[None, :]), range(len(ids)))
+        else:
+            linked = np.zeros(len(ids), bool)
+            at = np.repeat(np.arange(len(ids)), size)
+            flat = np.concatenate(sets)
+            for k in np.flatnonzero(lead):
+                linked |= _similar(np.bincount(at, np.isin(flat, sets[k], kind="sort"), len(ids)), size, size[k])
+            cluster = block["cluster"][0].as_py()
+            out = [(int(d), cluster if hit else None) for d, hit in zip(ids[~lead], linked[~lead], strict=True) if d != cluster]
         if out:
-            a, b = np.array(out).T
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+            yield _pairs(out)
+
+
+def _meet(batches):
+    """Links (a, b) between the left texts of each pair of blocks and all of them."""
+    for block in runs(batches, ["cluster", "i", "j"]):
+        ids, left = block["doc_id"].to_numpy(), np.flatnonzero(block["lead"].to_numpy(zero_copy_only=False))
+        if not len(left) or len(ids) < 2:
+            continue
+        sets = [s for _, s in shingle_sets(block["text"])]
+        size = np.array([len(s) for s in sets])
+        out = _forest(ids, _similar(overlaps(sets), size[:, None], size[None, :]), left.tolist())
+        if out:
+            yield _pairs(out)
 
 
 def block_pairs(node: str, size: str, block: int):
@@ -183,13 +212,23 @@ def block_pairs(node: str, size: str, block: int):
     return F.transform(F.sequence(F.lit(0), nb - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j")))
 
 
+def _with_depth(rows: DataFrame) -> DataFrame:
+    """rows with the depth that each one's region asks for, by how many classes share its shorter prefixes."""
+    (_, most), (_, more), _ = DEPTHS
+    count = lambda df, *key: df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    five = F.shiftright("tail", 16)
+    large = small_side(count(rows, "tree", "head").filter(F.col("n") > most).select("tree", "head", F.lit(5).alias("d4")))
+    larger = small_side(count(rows.join(large, ["tree", "head"]).withColumn("mid", five), "tree", "head", "mid").filter(F.col("n") > more).select("tree", "head", "mid", F.lit(6).alias("d5")))
+    return rows.join(large, ["tree", "head"], "left").withColumn("mid", five).join(larger, ["tree", "head", "mid"], "left").select("tree", "head", "tail", "doc", F.coalesce("d5", "d4", F.lit(4)).alias("depth"))
+
+
 def candidate_edges(sketch: DataFrame) -> DataFrame:
     """Links (a, b) between neighbours in the trees' orders. Wants doc_id and paths, a row a class."""
     order = ["tree", "head", "tail", "doc"]
-    rows = sketch.select(F.posexplode("paths").alias("tree", "p"), F.col("doc_id").alias("doc")).select("tree", "p.head", "p.tail", "doc")
+    rows = _with_depth(sketch.select(F.posexplode("paths").alias("tree", "p"), F.col("doc_id").alias("doc")).select("tree", "p.head", "p.tail", "doc"))
     found = cut(rows.repartitionByRange(shuffle_width(sketch.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(_neighbours, NEAR), "near")
     # two rows a task, whatever the input
-    ends = found.filter("b is null").select("tree", "head", "tail", F.col("a").alias("doc")).coalesce(1).sortWithinPartitions(*order)
+    ends = found.filter("b is null").select("tree", "head", "tail", F.col("a").alias("doc"), "depth").coalesce(1).sortWithinPartitions(*order)
     across = ends.mapInArrow(lambda batches: (_near(*(x.to_numpy() for x in t.columns)) for t in _whole(batches)), NEAR)
     return found.filter("b is not null").unionByName(across).select("a", "b")
 
@@ -200,17 +239,36 @@ def _whole(batches):
         yield pa.Table.from_batches(batches).combine_chunks()
 
 
+def _blocks(size: str):
+    return F.ceil(F.col(size) / F.lit(BLOCK)).cast("int")
+
+
+def _own(node: str, blocks: str):
+    return F.pmod(F.xxhash64(node), F.col(blocks)).cast("int")
+
+
 def links(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """Confirmed links (a, b) that connect what is linked inside the candidate clusters of edges."""
-    spark = docs.sparkSession
-    clusters = cut(components(edges), "clusters")
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = clusters.join(sizes, "component").select("node", F.col("component").alias("cluster"), block_pairs("node", "size", BLOCK).alias("pairs"))
+    width = shuffle_width(docs.sparkSession)
+    clusters = cut(components(edges), "clusters").withColumnRenamed("component", "cluster")
+    large = small_side(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > BLOCK).select("cluster", _blocks("size").alias("n")))
+    members = cut(clusters.join(large, "cluster", "left").withColumn("n", F.coalesce("n", F.lit(1))), "members")
     # the same join at every size: broadcast members would not stay small
-    texts = docs.select("doc_id", "text").join(members.hint("merge"), F.col("doc_id") == F.col("node"))
-    dealt = texts.select("cluster", F.explode("pairs").alias("p"), "doc_id", "text").select("cluster", "p.i", "p.j", "doc_id", "text")
+    texts = lambda rows: docs.select("doc_id", "text").join(rows.hint("merge"), F.col("doc_id") == F.col("node"))
+    lead = (F.col("node") == F.col("cluster")) & (F.col("n") > 1)
+    dealt = texts(members.withColumn("own", _own("node", "n"))).select("cluster", "n", lead.alias("lead"), F.explode(F.when(lead, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array("own"))).alias("i"), "doc_id", "text")
+    first = cut(dealt.repartition(width, "cluster", "i").sortWithinPartitions("cluster", "i").mapInArrow(_confirm, "a long, b long"), "first")
+    rest = cut(first.filter("b is null").select(F.col("a").alias("node")).distinct().join(members.hint("merge"), "node"), "rest")
+    found = first.filter("b is not null")
+    if not rest.limit(1).count():
+        return found
+    few = small_side(rest.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).select("cluster", _blocks("size").alias("m")))
     key = ["cluster", "i", "j"]
-    return dealt.repartition(shuffle_width(spark), *key).sortWithinPartitions(*key).mapInArrow(_confirm, "a long, b long")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rest.join(few, "cluster").select("cluster", F.lit(True).alias("lead"), _own("node", "m").alias("i"), spread("n").alias("j"), "node")
+    right = members.join(few, "cluster").select("cluster", F.lit(False).alias("lead"), _own("node", "n").alias("j"), spread("m").alias("i"), "node")
+    pairs = texts(left.unionByName(right)).select(*key, "lead", "doc_id", "text")
+    return found.unionByName(pairs.repartition(width, *key).sortWithinPartitions(*key).mapInArrow(_meet, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -227,7 +285,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     firsts = full.groupBy("fp").agg(F.min_by("paths", "doc_id").alias("paths"), F.min("doc_id").alias("doc_id"))
     linked = cut(components(cut(links(docs, candidate_edges(firsts)), "links")), "components")
     # written, so that the last join stands on two exchanges of its own and a class with many copies can be split
-    of_class = cut(classes.join(linked, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "classes")
-    out = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(of_class, "fp", "left")
+    of_class = cut(classes.join(linked.hint("merge"), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "classes")
+    out = sketch.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(of_class.hint("merge"), "fp", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
