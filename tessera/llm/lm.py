@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, groups_for, shuffle_width
 from tessera.llm.words import LOWER, chunks, mix, text_buffers
 
-LEAST_TOP, MOST_TOP = 1 << 12, 1 << 18  #: bounds of the number of words in the prefix code
+TOP_ROOT, LEAST_TOP, MOST_TOP = 3, 1 << 12, 1 << 18  #: words in the prefix code, as a multiple of the root of all tokens, and its bounds
 LEAST_BITS, MOST_BITS = 14, 24  #: bounds of the log2 of a hashed table's slots
 GROUP_CHARS, LEAST_GROUPS = 24 << 20, 12
 GROUPS_A_SHARD, LEAST_SHARDS = 2, 24  #: shards of exact counts
@@ -224,7 +225,7 @@ def vocabulary(counts: DataFrame, top: int | None = None) -> Vocabulary:
     """The most frequent words, as many as the square root of all tokens asks for or `top`."""
     sums = counts.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     classes = counts.select(F.posexplode("by_size").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).orderBy(F.desc("k")).collect()
-    top = top or int(min(max(8 * math.sqrt(sums[0] or 0), LEAST_TOP), MOST_TOP))
+    top = top or int(min(max(TOP_ROOT * math.sqrt(sums[0] or 0), LEAST_TOP), MOST_TOP))
     least, room, once = None, top, 0
     for k, n in classes:  # as many classes as there are powers of 2 ** (1 / 8) below the largest count
         once = n if k == 0 else once
@@ -321,8 +322,8 @@ def word_contexts(common: np.ndarray, just: np.ndarray) -> list[np.ndarray]:
 
 
 def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Bytes of words, a space after each; where each word begins; for each byte contexts of the one, two, three and
-    four bytes before it in its word."""
+    """Bytes of words, a space after each; where each word begins; for each byte contexts of the two, three and four
+    bytes before it in its word."""
     size = ends - starts + 1
     first = np.cumsum(size) - size
     rep = np.repeat(np.arange(len(size)), size)
@@ -333,7 +334,8 @@ def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
         back = np.zeros(len(byte), np.uint64)
         back[k:] = np.where(at[k:] >= k, byte[:-k], 0)
         sum_ = sum_ | back << np.uint64(8 * (k - 1))
-        own.append(short(sum_ + (np.uint64(k) << np.uint64(56))))
+        if k > 1:
+            own.append(short(sum_ + (np.uint64(k) << np.uint64(56))))
     return byte.astype(np.int64), first, own
 
 
@@ -354,7 +356,7 @@ class Shape(NamedTuple):
         return [len(code.length), *[1 << bits] * (self.inputs - 1)]
 
 
-WORDS, LETTERS = Shape(3, 2), Shape(5, 2)
+WORDS, LETTERS = Shape(3, 2), Shape(4, 2)
 SHAPES = (WORDS, LETTERS)
 PRIOR, STEP = 4.0, 0.5  #: how sure the even weights are, in events; the most that a weight moves in one step
 SHRINK = 1.5  #: events that the first predictor's share counts for in any other
@@ -366,20 +368,22 @@ def level(n: np.ndarray) -> np.ndarray:
     return (n > 0).astype(np.int16) + (n > 3) + (n > 31)
 
 
-def predictions(pairs, confident: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Log odds of a one by each predictor, from pairs of counts (zeros, ones), and the levels of the last ones as one
-    number. Counts in a context weigh against the share that the first predictor gives, so that an unknown context says
-    what that one says."""
-    x, levels, few = [], 0, np.float32(SHRINK)
+def shares(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the first predictor says at each node: the share of ones, and its log odds."""
+    share = (ones + np.float32(0.4)) / (zeros + ones + np.float32(0.8))
+    return share, np.log(share / (1 - share))
+
+
+def predictions(nodes: tuple[np.ndarray, np.ndarray], slot: np.ndarray, pairs, confident: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Log odds of a one by each predictor, and the levels of the last ones as one number, from the first predictor's
+    shares and the others' pairs of counts (zeros, ones). These weigh against the first one's share, so that an unknown
+    context says what that one says."""
+    share = nodes[0].take(slot) * np.float32(SHRINK)
+    x, levels, rest = [nodes[1].take(slot)], 0, np.float32(SHRINK) - share
     for k, (zeros, ones) in enumerate(pairs):
-        if not k:
-            share = (ones + np.float32(0.4)) / (zeros + ones + np.float32(0.8))
-            a, b = few * share, few * (1 - share)
-            x.append(np.log(share / (1 - share)))
-            continue
-        x.append(np.log((ones + a) / (zeros + b)))
         if k >= len(pairs) - confident:
             levels = levels * LEVELS + level(zeros + ones)
+        x.append(np.log((ones + share) / (zeros + rest)))
     return x, levels
 
 
@@ -413,8 +417,9 @@ class Learner:
 
     def learn(self, symbol: np.ndarray, contexts: list[np.ndarray]) -> None:
         e = events(self.code, symbol, contexts, self.bits)
-        pairs = (counts.view(np.uint64).take(slot).view(np.uint32).reshape(-1, 2) for counts, slot in zip(self.counts, e.slots, strict=True))
-        x, levels = predictions([(c[:, 0].astype(np.float32), c[:, 1].astype(np.float32)) for c in pairs], self.shape.confident)
+        pairs = (counts.view(np.uint64).take(slot).view(np.uint32).reshape(-1, 2) for counts, slot in zip(self.counts[1:], e.slots[1:], strict=True))
+        nodes = shares(*self.counts[0].reshape(-1, 2).T.astype(np.float32))
+        x, levels = predictions(nodes, e.slots[0], [(c[:, 0].astype(np.float32), c[:, 1].astype(np.float32)) for c in pairs], self.shape.confident)
         gate = e.place * np.int16(LEVELS**self.shape.confident) + levels
         order = np.argsort(gate, kind="stable")
         gate, bits = gate[order], e.bits[order]
@@ -626,6 +631,7 @@ def coded(m: Mixer, symbol: np.ndarray, contexts: list[np.ndarray], bounds: np.n
     step = _step(np.arange(len(symbol)) - bounds[text])
     order = np.argsort(step, kind="stable")
     cuts = np.flatnonzero(np.diff(step[order], prepend=-1, append=np.iinfo(np.int64).max))
+    nodes = shares(*unpacked(m.tables[0]))
     own, sure = np.zeros((n + 1, texts), np.float32), np.full((n + 1, texts), float(HOLD))
     fine, firm = np.zeros(texts * COARSE, np.float32), np.full(texts * COARSE, float(FINE_HOLD))
     for a, b in zip(cuts, cuts[1:], strict=False):
@@ -636,7 +642,7 @@ def coded(m: Mixer, symbol: np.ndarray, contexts: list[np.ndarray], bounds: np.n
             first = np.flatnonzero(np.diff(text[some], prepend=-1))
             who, at = text[some][first], e.starts[first]
             size = np.diff(at, append=len(e.bits))
-            x, levels = predictions([unpacked(t[slot]) for t, slot in zip(m.tables, e.slots, strict=True)], m.shape.confident)
+            x, levels = predictions(nodes, e.slots[0], [unpacked(t.take(slot)) for t, slot in zip(m.tables[1:], e.slots[1:], strict=True)], m.shape.confident)
             gate = e.place * np.int16(LEVELS**m.shape.confident) + levels
             y = m.weights[n][gate] + np.repeat(own[n, who], size)
             for k, one in enumerate(x):
@@ -700,7 +706,7 @@ ANSWER = "p int, shard int, counts binary"
 _answers = pa.schema([("p", pa.int32()), ("shard", pa.int32()), ("counts", pa.binary())])
 
 
-def _rare(chunks_: list[Tokens], vocabulary: np.ndarray) -> np.ndarray:
+def _rare(chunks_: Iterable[Tokens], vocabulary: np.ndarray) -> np.ndarray:
     """Distinct words without a code, sorted."""
     found = Index(vocabulary)
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *(t.words.h[found.find(t.words.h) == len(vocabulary)] for t in chunks_)]))
@@ -750,13 +756,13 @@ def _score(broadcast):
         if not texts.num_rows:
             return table([], _scores)
         m: Model = broadcast.value
-        v, read = m.vocabulary, list(tokens(texts["text"]))
+        v = m.vocabulary
         # the words that the group asked for, in the order in which it did
-        rare, found = _rare(read, v.h), Index(v.h)
+        rare, found = _rare(tokens(texts["text"]), v.h), Index(v.h)
         number = np.concatenate([np.zeros(0, np.int64), *(numbers(x, np.int64) for x in answers.sort_by("shard")["counts"].to_pylist())])
         among = Index(rare)
         n_tokens, n_known, base, bits = [], [], [], []
-        for t in read:
+        for t in tokens(texts["text"]):
             symbol = found.find(t.h)
             c = np.append(v.n, 0)[symbol]
             other = np.flatnonzero(symbol == len(v.h))
@@ -794,11 +800,13 @@ def scores(docs: DataFrame, learn_from=None) -> DataFrame:
     # by id and text, so that rows without an id are dealt out too
     by_row = F.xxhash64("doc_id", "text")
     dealt = rows.select(F.pmod(by_row, F.lit(groups)).cast("int").alias("p"), "doc_id", "text", by_row.alias("r"))
+    each = lambda df, n, c: df.repartitionById(n, F.col(c))  # noqa: E731  # one group or shard a task
     learn = learn_from(F.col("doc_id"))
     counts = word_counts(rows.filter(learn), shards)
-    model = train(dealt.filter(learn), counts, groups)
+    model = train(each(dealt.filter(learn), groups, "p"), counts, groups)
     shared, frequent = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(model.vocabulary.h)
-    asked = dealt.groupBy("p").applyInArrow(_ask(frequent, shards), ASKED)
-    answers = asked.groupBy("shard").cogroup(counts.select("shard", "words", "counts").groupBy("shard")).applyInArrow(_answer, ANSWER)
+    dealt = each(dealt.drop("r"), groups, "p")
+    asked = each(dealt.groupBy("p").applyInArrow(_ask(frequent, shards), ASKED), shards, "shard")
+    answers = each(asked.groupBy("shard").cogroup(each(counts.select("shard", "words", "counts"), shards, "shard").groupBy("shard")).applyInArrow(_answer, ANSWER), groups, "p")
     found = dealt.groupBy("p").cogroup(answers.groupBy("p")).applyInArrow(_score(shared), SCORES)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.vocabulary.total).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
