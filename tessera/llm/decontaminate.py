@@ -2,8 +2,8 @@
 
 A mask lists the token places that a seed reads; the others may differ. Each class of item lengths has masks
 of its own, so that every overlap that the verifier accepts has a seed, wherever the differing tokens are (a
-test goes through all patterns). Items too short for a substitution are sought exactly. Seeds of the benchmark set bits of
-a filter of fixed size; one pass over the documents keeps the stretches around seeds that pass it. Seeds
+test goes through all patterns). Items too short for a substitution are sought exactly. Each seed of the benchmark sets two
+bits of a filter that grows with the number of seeds; one pass over the documents keeps the stretches around seeds that pass it. Seeds
 are then joined exactly, and each diagonal (document place less item place) is verified on the tokens:
 `SPAN` tokens in line, or a whole shorter item, of which at least `SHARE` agree.
 """
@@ -29,7 +29,7 @@ MASKS = {
 }
 EXACT_BELOW = min(MASKS)  #: shorter items have to agree in all tokens
 WIDTH = max(len(m) for x in MASKS.values() for m in x)
-FILTER_BITS = 1 << 23  #: a megabyte, whatever the benchmark's size
+SEED_BITS, LEAST_FILTER, MOST_FILTER = 32, 1 << 20, 1 << 30  #: bits of the filter for each seed, and bounds of its size in bits: 128 MB are broadcast at most
 
 # letters, digits and bytes above ASCII make tokens
 FOLD = LOWER.copy()
@@ -54,8 +54,13 @@ def _seed(h: np.ndarray, at: np.ndarray, number: int, mask: str) -> np.ndarray:
     return mix(out)
 
 
-def _bit(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether both bits of a seed are set."""
+    out = np.ones(len(h), bool)
+    for k in (0, 32):
+        at = ((h >> np.uint64(k)) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+        out &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return out
 
 
 SEEDS = "item_id long, n int, h long, at int, tokens array<long>"
@@ -94,8 +99,7 @@ def _stretches(bits: np.ndarray, masks: list[tuple[int, str]]):
                 for number, mask in masks:
                     at = np.flatnonzero(left >= len(mask))
                     s = _seed(w.h, at, number, mask)
-                    b = _bit(s)
-                    hit = (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
+                    hit = _passes(bits, s)
                     hits.append(at[hit])
                     seeds.append(s[hit])
                 at, s = np.concatenate([*hits, np.zeros(0, np.int64)]), np.concatenate([*seeds, np.zeros(0, np.uint64)])
@@ -160,12 +164,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hold nothing, null ids are left out, items of fewer than 8 tokens are looked for exactly, those without tokens
     not at all. Repeated ids are one document or item. No rows on either side give no rows.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    seeds = cut(items.mapInArrow(_item_seeds, SEEDS), "seeds")
-    bit = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
-    # at most FILTER_BITS / 64 rows, merged by the executors
-    words = seeds.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(h & 63 as int))")).alias("v")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null")
+    # items of equal text are one until the end
+    named = items.groupBy("text").agg(F.min("item_id").alias("first_id"), F.collect_set("item_id").alias("ids"))
+    seeds = cut(named.select(F.col("first_id").alias("item_id"), "text").mapInArrow(_item_seeds, SEEDS), "seeds")
+    n_bits = min(max(LEAST_FILTER, 1 << (SEED_BITS * seeds.count()).bit_length()), MOST_FILTER)
+    places = F.explode(F.array(*(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(n_bits - 1)) for k in (0, 32)))).alias("b")
+    # at most n_bits / 64 rows, merged by the executors
+    words = seeds.select(places).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toArrow()
+    bits = np.zeros(n_bits // 64, np.int64)
     bits[words["w"].to_numpy()] = words["v"].to_numpy()
     masks = sorted({m for r in seeds.select(F.least("n", F.lit(SPAN))).distinct().collect() for m in masks_of(r[0])})
     filter_bytes = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
@@ -180,4 +187,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     tokens = seeds.filter("tokens is not null").select("item_id", "n", F.col("tokens").alias("item_tokens"))
     pairs = lines.join(found.select("doc_id", "start", "tokens"), ["doc_id", "start"]).join(tokens, ["item_id", "n"])
     verified = pairs.select("doc_id", "start", "item_id", "shift", "n", "tokens", "item_tokens").mapInArrow(_verify, FOUND)
-    return verified.groupBy("doc_id", "item_id").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.max("agreeing").alias("agreeing"))
+    best = lambda df: df.groupBy("doc_id", "item_id").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.max("agreeing").alias("agreeing"))
+    each = best(verified).withColumnRenamed("item_id", "first_id").join(named.select("first_id", F.explode("ids").alias("item_id")), "first_id")
+    return best(each.select("doc_id", "item_id", "first_word", "end_word", "agreeing"))

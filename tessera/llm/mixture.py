@@ -45,6 +45,7 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], most: i
     counts = rows.filter("f > 0").groupBy("f").agg(*(F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains)))
     sums = counts.agg(*(F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"s{k}") for k in range(len(domains))))
     priors = known.agg(*(F.log((F.count_if(F.col("domain") == d) + 1) / (F.count(F.lit(1)) + len(domains))).alias(f"w{k}") for k, d in enumerate(domains))).select(F.lit(0).alias("f"), *(f"w{k}" for k in range(len(domains))))
+    # sums is one row: the join adds its columns
     every = spark.range(1, FEATURES + 1).select(F.col("id").cast("int").alias("f")).join(counts, "f", "left").join(F.broadcast(sums))
     logs = every.select("f", *(F.log((F.coalesce(f"n{k}", F.lit(0)) + F.lit(0.5)) / (F.col(f"s{k}") + F.lit(0.5 * FEATURES))).alias(f"w{k}") for k in range(len(domains))))
     return logs.unionByName(priors)

@@ -3,10 +3,11 @@
 Texts are dealt once into groups of about `GROUP_CHARS` characters; Spark reuses that exchange for all
 three passes over them.
 
-1. Each group sketches its windows: one row of counters, cut into shards, of which only the cells that a
-   window falls into are kept (once, or more often). Shards of all groups are summed, and each group
-   learns which of its own cells hold two windows or more. A sum may overestimate, never underestimate,
-   so no repeated window is lost; nothing of the sketch is broadcast, so it may grow with the input.
+1. Each group sketches its windows: a count-min sketch of one row of 2 ** `CELL_BITS` counters a shard, sent as
+   the list of its counters that aren't 0 and whether they are 1 or more. So it is no smaller than its windows, but
+   it is exact where they are few, and shards grow with the input. Shards of all groups are summed, and each group
+   learns which of its own cells hold two windows or more. A sum may overestimate, never underestimate, so no
+   repeated window is lost; nothing of the sketch is broadcast.
 2. Each group sends only windows in such cells, by two independent 64-bit fingerprints, as one row of
    arrays a shard with the earliest start and the count; a shard finds the earliest start of all groups.
 3. Each group removes the words that windows with an earlier start elsewhere cover.
@@ -258,10 +259,13 @@ def strip_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: bo
     groups = groups_for(total, GROUP_CHARS, LEAST_GROUPS)
     shards = max(64, groups // 2)
     doc = F.col("doc_id").cast("long")
-    dealt = docs.select(F.pmod(F.xxhash64(doc), F.lit(groups)).cast("int").alias("p"), doc.alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
-    hits = dealt.groupBy("p").applyInArrow(_sketch(shards), SKETCH).groupBy("shard").applyInArrow(_merge, HITS)
+    # by id and text, so that rows without an id are dealt out too; one group or shard a task
+    by_id = lambda df, n, c: df.repartitionById(n, F.col(c))
+    dealt = docs.select(F.pmod(F.xxhash64(doc, F.col("text").cast("string")), F.lit(groups)).cast("int").alias("p"), doc.alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    dealt = by_id(dealt, groups, "p")
+    hits = by_id(by_id(dealt.groupBy("p").applyInArrow(_sketch(shards), SKETCH), shards, "shard").groupBy("shard").applyInArrow(_merge, HITS), groups, "p")
     likely = dealt.groupBy("p").cogroup(hits.groupBy("p")).applyInArrow(_likely(shards), EXACT)
-    found = likely.groupBy("shard").applyInArrow(_exact, FOUND)
+    found = by_id(by_id(likely, shards, "shard").groupBy("shard").applyInArrow(_exact, FOUND), groups, "p")
     shape = dealt.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_sha256"), *(["carried"] if carry else []), *([F.lit("").alias("kept_text")] if with_text else [])).schema
     for f in shape:
         f.nullable = True

@@ -9,11 +9,13 @@ the tokens of these only and updates the sums above the blocks that it touched.
 from __future__ import annotations
 
 import base64
+import os
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,13 @@ def counter(vocabulary: str) -> Counter:
     return _counters[vocabulary]
 
 
+def shipped(spark, vocabulary: str):
+    """A function that gives a task its counter; the vocabulary's file goes to the executors with the job."""
+    spark.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
+    return lambda: counter(SparkFiles.get(name))
+
+
 class Tree:
     """Blocks of pre-tokens (text, lengths, token counts) under a binary tree of (characters, tokens)."""
 
@@ -154,6 +163,8 @@ class Tree:
                 self._set(i, ("", tail_lengths[:0], tail_counts[:0]))
             self._set(keep, tail)
         self._set(first, new)
+        if len(new[1]) > 8 * BLOCK:  # a long insertion: blocks of even size again
+            self.__init__(*self.leaves())
         return len(pieces)
 
 
@@ -180,8 +191,10 @@ def edited_counts(docs: DataFrame, edits, vocabulary: str = VOCABULARY) -> DataF
     null edits are none, null edits in the list are passed over. Repeated rows give repeated rows.
     """
 
+    count_of = shipped(docs.sparkSession, vocabulary)
+
     def run(batches):
-        count = counter(vocabulary)
+        count = count_of()
         for batch in batches:
             rows = []
             for doc, text, changes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
@@ -197,10 +210,15 @@ def edited_counts(docs: DataFrame, edits, vocabulary: str = VOCABULARY) -> DataF
 
 
 def trees(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The leaves of each document's tree (TREES), to be kept and given to `edit_trees` later."""
+    """The leaves of each document's tree (TREES), to be kept and given to `edit_trees` later.
+
+    A row for each row of docs, repeated and null ids among them; a null text is empty and has no leaves.
+    """
+
+    count_of = shipped(docs.sparkSession, vocabulary)
 
     def run(batches):
-        count = counter(vocabulary)
+        count = count_of()
         for batch in batches:
             found = [tree(text.as_py(), count).leaves() for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), *(pa.array([x[k].tolist() for x in found], pa.list_(pa.int32())) for k in (1, 2))], names=["doc_id", "text", "lengths", "counts"])
@@ -211,12 +229,15 @@ def trees(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def edit_trees(kept: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Kept trees (TREES) after edits (doc_id, seq, at, cut, put) in the order of seq; documents without edits stay.
 
-    Only touched regions are encoded. Edits of a doc_id that no tree has are left out.
+    Only touched regions are encoded. Edits of a doc_id that no tree has, or of none, are left out; trees without a
+    doc_id stay, and trees of one doc_id are all edited. Nulls in an edit count as 0 or empty.
     """
     by_doc = edits.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("seq", "at", "cut", "put"))).alias("edits"))
 
+    count_of = shipped(kept.sparkSession, vocabulary)
+
     def run(batches):
-        count = counter(vocabulary)
+        count = count_of()
         for batch in batches:
             doc, out = batch.column(0), []
             for text, lengths, counts, changes in zip(*(batch.column(i) for i in (1, 2, 3, 4)), strict=True):

@@ -1,6 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Only confirmed toxic rows are taken as labels; a bounded hash sample of other texts is unlabelled. A linear
+Only confirmed toxic rows are taken as labels; a bounded hash sample of labelled rows, whatever their label, is the
+unlabelled text. A linear
 numpy classifier over hashed words and word beginnings minimises the class-prior-corrected risk, whose
 negative part is kept from falling below zero. Scoring is one pass over all whole texts.
 """
@@ -20,7 +21,8 @@ PREFIXES = (4, 5, 6)
 #: Bounds of the learning sample, in rows.
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
 THRESHOLD = 0.3
-#: A feature counts if it is this much more frequent among positives, by so many deviations of a chance count.
+#: A feature counts if it is this much more frequent among positives, or half way to what their share of the unlabelled
+#: rows allows, by so many deviations of a chance count.
 LEAST_LIFT, LEAST_DEVIATIONS = 3.0, 5.0
 
 # letters, digits and bytes above ASCII make words; all else parts them
@@ -45,6 +47,20 @@ def _feature_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32)))], names=["f"])
 
 
+def risks(f: np.ndarray, share_p: np.ndarray, share_u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The positives' part of the risk of scores f, and the negatives' part, estimated from unlabelled less positive rows."""
+    as_negative = np.logaddexp(0, f)
+    return float(prior * (share_p @ np.logaddexp(0, -f))), float(share_u @ as_negative - prior * (share_p @ as_negative))
+
+
+def slope(f: np.ndarray, share_p: np.ndarray, share_u: np.ndarray, prior: float) -> np.ndarray:
+    """The gradient by f of the risk; where the negatives' part is below zero, the way back up from there."""
+    s = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
+    if risks(f, share_p, share_u, prior)[1] >= 0:
+        return prior * share_p * (s - 1) + (share_u - prior * share_p) * s
+    return (prior * share_p - share_u) * s
+
+
 def nn_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights (a float for each feature) and bias that minimise the non-negative risk under the logistic loss."""
     weights = np.zeros(DIMS, np.float32)
@@ -52,7 +68,7 @@ def nn_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         return weights, -20.0
     has_p, has_u = (np.bincount(np.concatenate(x), minlength=DIMS) for x in (positive, unlabelled))
     by_chance = len(positive) * (has_u + 1) / (len(unlabelled) + 1)
-    chosen = np.flatnonzero((has_p >= LEAST_LIFT * by_chance) & (has_p - by_chance >= LEAST_DEVIATIONS * np.sqrt(by_chance + 1)))
+    chosen = np.flatnonzero((has_p >= min(LEAST_LIFT, (1 + 1 / prior) / 2) * by_chance) & (has_p - by_chance >= LEAST_DEVIATIONS * np.sqrt(by_chance + 1)))
     place = np.full(DIMS, -1)
     place[chosen] = np.arange(len(chosen))
     rows = [x[x >= 0] for x in (place[r] for r in [*positive, *unlabelled])]
@@ -63,13 +79,7 @@ def nn_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     share_p, share_u = np.zeros(n), np.zeros(n)
     share_p[:p], share_u[p:] = 1 / p, 1 / (n - p)
     for step in range(1, steps + 1):
-        f = np.bincount(row, theta[col], n) + theta[-1]
-        s = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
-        loss_as_negative = np.logaddexp(0, f)
-        if share_u @ loss_as_negative - prior * (share_p @ loss_as_negative) >= 0:
-            g = prior * share_p * (s - 1) + (share_u - prior * share_p) * s
-        else:  # the unlabelled risk fell below zero: step back from that
-            g = (prior * share_p - share_u) * s
+        g = slope(np.bincount(row, theta[col], n) + theta[-1], share_p, share_u, prior)
         grad = np.append(np.bincount(col, g[row], len(chosen)), g.sum()) + decay * np.append(theta[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -103,11 +113,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from=None) -> tuple[np.ndarray
         return nn_pu([], [], 0.0)
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     positive = known.filter("toxic = 1").select("doc_id").orderBy(*by_hash).limit(MOST_POSITIVE)
-    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull() & learn_from(F.col("doc_id"))).orderBy(*by_hash).limit(MOST_UNLABELLED)
+    rest = known.select("doc_id").orderBy(*by_hash).limit(MOST_UNLABELLED)  # their labels aren't looked at
 
     def rows(ids: DataFrame) -> list[np.ndarray]:
         # at most MOST_* ids: broadcast by that bound
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text")
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids.distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select("text")  # a row a doc_id
         table = found.mapInArrow(_feature_rows, "f array<int>").toArrow()
         return [np.asarray(x.values) for x in table["f"]]
 

@@ -21,13 +21,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh_path
+from tessera.llm.common import fresh_path, small_side
 
 #: Payloads of at least so many bytes are stored once and revisited.
 LEAST_SHARED = 1000
 WARC_DATE = "2024-01-01T00:00:00Z"
 END = b"\r\n\r\n"
-STEP = 1 << 20
+STEP, ARCHIVE_BYTES = 1 << 20, 256 << 20
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
@@ -38,8 +38,11 @@ def with_revisits(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     """
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), body.alias("body"), F.sha1(F.encode(body, "utf-8")).alias("digest"), F.octet_length(body).cast("long").alias("bytes"))
-    last = rows.filter(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "bytes", "last")
-    return rows.join(last, ["digest", "bytes"], "left").select("page_id", "url", "body", "digest", "bytes", F.when(F.col("last") != F.col("page_id"), F.col("last")).alias("refers_to"))
+    keys = rows.filter((F.col("bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest", "bytes")
+    last = small_side(keys.groupBy("digest", "bytes").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "bytes", "last"))
+    # bodies meet what they refer to by their own page_id: a payload that many pages share is no hot key
+    refers = small_side(keys.join(last, ["digest", "bytes"]).filter(F.col("last") != F.col("page_id")).distinct())
+    return rows.join(refers, ["page_id", "digest", "bytes"], "left").select("page_id", "url", "body", "digest", "bytes", F.col("last").alias("refers_to"))
 
 
 def record_text(page_id, url, body, digest, size, refers_to):
@@ -59,9 +62,11 @@ def record_text(page_id, url, body, digest, size, refers_to):
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Write pages as archives of one gzip stream each, one a task: as large as Spark makes its partitions."""
+    """Write pages as archives of one gzip stream each, one or more a task: none holds more records than come to
+    ARCHIVE_BYTES at the mean size of a page."""
+    mean = pages.agg(F.avg(F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit(""))))).first()[0] or 0
     rows = with_revisits(pages).select(record_text(*(F.col(c) for c in ("page_id", "url", "body", "digest", "bytes", "refers_to"))).alias("value"))
-    rows.write.option("compression", "gzip").option("lineSep", END.decode()).text(path)
+    rows.write.option("maxRecordsPerFile", int(ARCHIVE_BYTES / (mean + 512)) + 1).option("compression", "gzip").option("lineSep", END.decode()).text(path)
 
 
 def records(pieces):
@@ -96,26 +101,32 @@ def records(pieces):
         del held[: need + 4 if held[need : need + 4] == END else need]
 
 
-def inflated(content) -> object:
-    """Pieces of a gzip stream; members that follow each other are one stream."""
-    view, at = memoryview(content), 0
-    d = zlib.decompressobj(31)
-    while at < len(view) or d.unconsumed_tail:
-        given = d.unconsumed_tail
+def inflated(read):
+    """Pieces of a gzip stream, of which read(n) gives the next bytes; members that follow each other are one stream."""
+    d, given, any_ = zlib.decompressobj(31), b"", False
+    while True:
+        given = given or read(STEP)
         if not given:
-            given, at = view[at : at + STEP], at + STEP
+            break
+        any_ = True
+        if d.eof:
+            given = given.lstrip(b"\0")
+            if not given:
+                continue
+            d = zlib.decompressobj(31)
         piece = d.decompress(given, 4 * STEP)
         if piece:
             yield piece
-        if d.eof:
-            rest = bytes(d.unused_data) + bytes(view[at:])
-            if not rest.strip(b"\0"):
-                return
-            view, at, d = memoryview(rest), 0, zlib.decompressobj(31)
-    if not d.eof and len(content):
+        given = d.unused_data if d.eof else d.unconsumed_tail
+    if any_ and not d.eof:
         raise ValueError("the gzip stream is cut off")
 
 
+def _at(path: str):
+    """The file system and the path in it, of a path as Spark gives it."""
+    return pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+
+
 def member(data: bytes) -> bytes:
     c = zlib.compressobj(6, zlib.DEFLATED, 31)
     return c.compress(data) + c.flush()
@@ -146,17 +157,19 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     def rewrite(batches):
         fs, top = pafs.FileSystem.from_uri(target)
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for path in batch.column(0).to_pylist():
                 name = re.sub(r"(\.txt|\.warc)?\.gz$", "", path.rpartition("/")[2])
                 out, at = [], 0
 
-                def write(f, content=content):
+                def write(f, path=path):
                     nonlocal at
-                    for header, block in records(inflated(content.as_buffer())):
-                        packed = member(header + block + END)
-                        f.write(packed)
-                        out.append((at, len(packed), field(header, "WARC-Record-ID"), field(header, "WARC-Type"), len(block)))
-                        at += len(packed)
+                    own, place = _at(path)
+                    with own.open_input_stream(place, compression=None) as source_:
+                        for header, block in records(inflated(source_.read)):
+                            packed = member(header + block + END)
+                            f.write(packed)
+                            out.append((at, len(packed), field(header, "WARC-Record-ID"), field(header, "WARC-Type"), len(block)))
+                            at += len(packed)
 
                 _put(fs, f"{top}/{name}.warc.gz", write)
                 _put(fs, f"{top}/{name}.idx", lambda f: f.write("".join("\t".join(map(str, row)) + "\n" for row in out).encode()))
@@ -166,7 +179,7 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
 
     made = pafs.FileSystem.from_uri(target)
     made[0].create_dir(made[1], recursive=True)
-    return spark.read.format("binaryFile").load(source).select("path", "content").mapInArrow(rewrite, INDEX)
+    return spark.read.format("binaryFile").load(source).select("path").mapInArrow(rewrite, INDEX)  # paths only: tasks read the streams
 
 
 RECORDS = "archive string, record_id string, record_type string, refers_to string, digest string, payload_bytes long, block binary"
@@ -184,7 +197,7 @@ def read_records(spark: SparkSession, source: str, with_block: bool = True) -> D
         for batch in batches:
             for idx, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 archive = re.sub(r"\.idx$", ".warc.gz", idx)
-                fs, path = pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", archive))
+                fs, path = _at(archive)
                 rows = []
                 with fs.open_input_file(path) as f:
                     for line in lines.decode().splitlines():

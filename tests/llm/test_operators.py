@@ -1,6 +1,7 @@
 """The text operators against brute force, and their rules for nulls, ties, repeats, empty tables and other columns."""
 
 import hashlib
+import io
 import itertools
 import math
 import random
@@ -229,7 +230,9 @@ def test_warc(spark, tmp_path):
     with pytest.raises(ValueError):
         list(warc.records([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"]))
     with pytest.raises(ValueError):
-        list(warc.inflated(warc.member(b"abc" * 100)[:-9]))
+        list(warc.inflated(io.BytesIO(warc.member(b"abc" * 100)[:-9]).read))
+    two = warc.member(b"a" * 5000000) + warc.member(b"b")
+    assert b"".join(warc.inflated(io.BytesIO(two + b"\0" * 9).read)) == b"a" * 5000000 + b"b" and list(warc.inflated(io.BytesIO(b"").read)) == []
 
 
 def test_token_counts(spark):
