@@ -216,7 +216,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     degrees = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     joined = cut(components(found.filter("b is not null").select("a", "b")), "components").select(F.col("node").alias("rep"), "component")
     of_class = classes.select("rep", "first_id", "weight").join(degrees.hint("merge"), "rep", "left").join(joined.hint("merge"), "rep", "left").select("rep", "first_id", F.coalesce("component", "rep").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    least = of_class.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    # written, so that both sides of the join are plain exchanges and a large component can be split
+    of_class = cut(of_class, "components")
+    least = cut(of_class.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
     of_class = of_class.join(least.hint("merge"), "component").select("rep", "n_links", "component_id")
     out = keyed.select("vec_id", "rep").join(cut(of_class, "of-class").hint("merge"), "rep", "left")
     component = F.coalesce("component_id", "vec_id")

@@ -9,7 +9,7 @@ from tessera.llm.common import cut, discard
 
 
 #: A node with more than a share of 1 / SHARES of all edges is a hub; there are at most 4 * SHARES hubs.
-SHARES, LEAST_HUB = 1024, 4096
+SHARES, LEAST_HUB = 1024, 256
 
 
 def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
