@@ -41,7 +41,8 @@ GROUPS_A_SHARD, LEAST_SHARDS = 2, 24  #: shards of exact counts
 END = np.uint64(0x5851F42D4C957F2D)
 COMMON = 64  #: so many of the most frequent words make contexts wherever they stood last
 PLACES, LEVELS, BINS = 32, 4, 33
-BLOCK = 1 << 15  #: symbols that are coded at a time; in learning, also what is learnt from at a time
+BLOCK = 1 << 15  #: symbols that are learnt from at a time
+SLICE = 1 << 13  #: symbols that are coded at a time; their arrays stay in the processor's cache
 REACH = 8.0
 
 
@@ -395,13 +396,14 @@ def packed(pair: np.ndarray) -> np.ndarray:
 
 
 def unpacked(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (pair & np.uint32(0xFFFF)).astype(np.float32), (pair >> np.uint32(16)).astype(np.float32)
+    # signed numbers of 32 bits become floats faster, and halves fit them
+    return tuple(half.view(np.int32).astype(np.float32) for half in (pair & np.uint32(0xFFFF), pair >> np.uint32(16)))
 
 
 def bins(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s = (np.clip(y, -REACH, REACH) + np.float32(REACH)) * np.float32((BINS - 1) / (2 * REACH))
     low = np.minimum(s.astype(np.int32), BINS - 2)
-    return low, s - low
+    return low, s - low.astype(np.float32)
 
 
 class Learner:
@@ -636,28 +638,31 @@ def coded(m: Mixer, symbol: np.ndarray, contexts: list[np.ndarray], bounds: np.n
     fine, firm = np.zeros(texts * COARSE, np.float32), np.full(texts * COARSE, float(FINE_HOLD))
     for a, b in zip(cuts, cuts[1:], strict=False):
         pull, push = np.zeros((n + 1, texts)), np.zeros(texts * COARSE)
-        for s in range(a, b, BLOCK):
-            some = order[s : min(s + BLOCK, b)]
+        for s in range(a, b, SLICE):
+            some = order[s : min(s + SLICE, b)]
             e = events(m.code, symbol[some], [c[some] for c in contexts], m.bits)
             first = np.flatnonzero(np.diff(text[some], prepend=-1))
             who, at = text[some][first], e.starts[first]
             size = np.diff(at, append=len(e.bits))
-            x, levels = predictions(nodes, e.slots[0], [unpacked(t.take(slot)) for t, slot in zip(m.tables[1:], e.slots[1:], strict=True)], m.shape.confident)
-            gate = e.place * np.int16(LEVELS**m.shape.confident) + levels
-            y = m.weights[n][gate] + np.repeat(own[n, who], size)
+            x, levels = predictions(nodes, e.slots[0], [unpacked(pair.take(slot)) for pair, slot in zip(m.tables[1:], e.slots[1:], strict=True)], m.shape.confident)
+            gate = (e.place * np.int16(LEVELS**m.shape.confident) + levels).astype(np.intp)
+            y = m.weights[n].take(gate) + np.repeat(own[n, who], size)
             for k, one in enumerate(x):
-                y += (m.weights[k][gate] + np.repeat(own[k, who], size)) * one
+                y += (m.weights[k].take(gate) + np.repeat(own[k, who], size)) * one
             low, part = bins(y)
-            base = e.place.astype(np.int32) * BINS + low
+            base = e.place * np.intp(BINS) + low
             bin_ = np.repeat(who * COARSE, size) + low // 4
-            y = np.float32(0.5) * (y + m.refined[base] * (1 - part) + m.refined[base + 1] * part) + fine[bin_]
-            p = 1 / (1 + np.exp(-np.clip(y, -30, 30)))
-            out[some] = np.add.reduceat(np.log(np.where(e.bits > 0, p, 1 - p) + np.float32(1e-12)), e.starts) * np.float32(-1 / math.log(2))
-            off, curve = e.bits - p, p * (1 - p)
+            y = np.float32(0.5) * (y + m.refined.take(base) * (1 - part) + m.refined.take(base + 1) * part) + fine.take(bin_)
+            # log odds against the bit that came; exp of what is never positive can't overflow
+            sign = e.bits * np.float32(2) - np.float32(1)
+            against = -sign * y
+            t = np.exp(-np.abs(against))
+            whole = 1 + t
+            out[some] = np.add.reduceat(np.log(whole) + np.maximum(against, 0), e.starts) * np.float32(1 / math.log(2))
+            off, curve = sign * np.where(against > 0, np.float32(1), t) / whole, t / (whole * whole)
             for k in range(n + 1):
-                one = x[k] if k < n else np.ones(1, np.float32)
-                pull[k, who] += np.add.reduceat(off * one, at)
-                sure[k, who] += np.add.reduceat(curve * one * one, at)
+                pull[k, who] += np.add.reduceat(off * x[k] if k < n else off, at)
+                sure[k, who] += np.add.reduceat(curve * x[k] * x[k] if k < n else curve, at)
             push += np.bincount(bin_, off, texts * COARSE)
             firm += np.bincount(bin_, curve, texts * COARSE)
         own += np.clip(pull / sure, -STEP, STEP).astype(np.float32)
