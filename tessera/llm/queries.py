@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, embeddings, licences, lm, minhash, mixture, substrings, token_counts, toxicity, warc
+from tessera.llm import decontaminate, embeddings, licences, lm, middle, minhash, mixture, periodic, personal, substrings, token_counts, toxicity, warc
 from tessera.llm.common import read_table
 
 
@@ -51,5 +51,19 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.strip_repeats(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixture, op2_licence_scan, op3_context_mixing, op4_toxicity, op5_warc, op6_decontamination, op7_embedding_codes, op8_substring_dedup, op9_token_counts, op10_minhash_forest)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return periodic.digest(periodic.periodic_runs(docs, text=periodic.looped(docs["doc_id"], docs["text"])))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digest(middle.fill_in_middle(read_table(spark, sf_dir, "documents")))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return personal.digest(personal.find(docs, personal.fit(docs)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixture, op2_licence_scan, op3_context_mixing, op4_toxicity, op5_warc, op6_decontamination, op7_embedding_codes, op8_substring_dedup, op9_token_counts, op10_minhash_forest, op11_periodic_runs, op12_fill_in_middle, op13_personal_data)}
 ORACLES: dict[str, str] = {"op2_licence_scan": licences.sql()}
