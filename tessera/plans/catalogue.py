@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from tessera.functions import identity, likelihood, matching
 from tessera.functions.text import clean, normalise_text
 from tessera.operators import changes, evidence, icp, resolution, search, verify
+from tessera.operators.store import shared_path
 from tessera.plans.entities import (
     ACCOUNT,
     PROFILES,
@@ -30,6 +31,7 @@ from tessera.plans.entities import (
     usable,
     useful_city,
 )
+from tessera.sources import csv_ranges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,6 +107,23 @@ def candidates_keyset(spark, sf_dir):
 
 # ---- imports and incremental maintenance
 
+_DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) AS ordinal, false AS ragged, doc_id::VARCHAR AS doc_id, text, lang, source, n_chars::VARCHAR AS n_chars FROM documents")
+def csv_in_ranges(spark, sf_dir):
+    """The documents as one quoted CSV file in the order of their ids, whose texts span lines, read in ranges."""
+    path = shared_path(spark, "csv")
+    rows = table(spark, sf_dir, "documents").select(*_DOCUMENT)
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    found = csv_ranges.records(spark, path, most=1 << 28)
+    # each file has its header: the files before a record are counted by their headers
+    heads = found.filter("heads").select("ordinal").withColumn("before", F.row_number().over(W.orderBy("ordinal"))).withColumn("upto", F.lead("ordinal").over(W.orderBy("ordinal")))
+    numbered = found.filter("NOT heads").alias("r").join(F.broadcast(heads.alias("h")), F.expr("r.ordinal > h.ordinal AND (h.upto IS NULL OR r.ordinal < h.upto)"))
+    return csv_ranges.cells(numbered.select((F.col("r.ordinal") - F.col("before")).alias("ordinal"), "record"), list(_DOCUMENT))
+
+
+
 CHANGED = "o_totalprice + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END"
 
 

@@ -6,11 +6,12 @@ import csv
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.identity import postal_code, province_code
 from tessera.functions.text import clean
 from tessera.operators import changes
+from tessera.sources import csv_ranges
+from tessera.sources.csv_ranges import SourceError
 
 # The source's columns and the fields that they become.
 COLUMNS = {
@@ -33,11 +34,7 @@ COLUMNS = {
     "Minimum number of directors": "min_directors",
     "Maximum number of directors": "max_directors",
 }
-BAD, NO_VALUE, MOST_ISSUES = "_bad", "\u0001", 10
-
-
-class SourceError(ValueError):
-    """A file that breaks the source's contract."""
+MOST_ISSUES = 10
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
@@ -51,24 +48,16 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return header
 
 
-def check_quotes(spark: SparkSession, path: str) -> None:
-    """Raise if a quote is never closed: a well-formed file has an even number of them."""
-    quotes = F.sum(F.length(F.regexp_replace("value", '[^"]', "")).cast("long"))
-    if spark.read.text(path).groupBy(F.input_file_name()).agg(quotes.alias("n")).filter("n % 2 = 1").limit(1).count():
-        raise SourceError("a quoted cell is never closed")
-
-
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Rows as text cells in file order, with ordinal (from 1) and ragged (a row with more or fewer cells).
 
-    Quoted cells may span lines, so a file is one partition; a folder of files is as many.
+    Quoted cells may span lines, and a file is read in ranges all the same. Raises if a quote is never closed: a
+    well-formed file has an even number of them.
     """
     header = header_of(spark, path)
-    check_quotes(spark, path)
-    schema = T.StructType([*(T.StructField(h, T.StringType()) for h in header), T.StructField(BAD, T.StringType())])
-    rows = spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, enforceSchema=True, nullValue=NO_VALUE, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, encoding="UTF-8").csv(path)
-    cells = [F.regexp_replace(F.coalesce(F.col(f"`{h}`"), F.lit("")), "^\\x{FEFF}", "").alias(h) for h in header]
-    return rows.select((F.monotonically_increasing_id() + 1).alias("ordinal"), F.col(BAD).isNotNull().alias("ragged"), *cells)
+    rows = csv_ranges.records(spark, path).filter("NOT heads").withColumn("ordinal", F.col("ordinal") - 1)
+    cells = [F.regexp_replace(f"`{h}`", "^\\x{FEFF}", "").alias(h) for h in header]
+    return csv_ranges.cells(rows, header).select("ordinal", "ragged", *cells)
 
 
 def _cell(name: str) -> Column:

@@ -211,7 +211,7 @@ def test_quotes_of_each_file(spark, tmp_path):
     for k in (1, 2):
         write(tmp_path / "two", line(str(k)) + '\n"open', name=f"{k}.csv")
     with pytest.raises(registry_csv.SourceError):
-        registry_csv.check_quotes(spark, str(tmp_path / "two"))
+        registry_csv.read(spark, str(tmp_path / "two"))
 
 
 def test_range_hash(spark):
