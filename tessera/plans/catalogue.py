@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from tessera.functions import identity, likelihood, matching
 from tessera.functions.text import clean, normalise_text
-from tessera.operators import changes, evidence, icp, resolution, search, verify
+from tessera.operators import changes, evidence, icp, resolution, search, similar, verify
 from tessera.operators.store import shared_path
 from tessera.plans.entities import (
     ACCOUNT,
@@ -263,12 +263,12 @@ def latest_row(spark, sf_dir):
 _RESOLVED = f"WITH {matching_sql(resolution.EXACT_LIMIT, resolution.BLOCK_LIMIT)}"
 
 
-def _resolved(spark, sf_dir):
-    return resolution.resolve(sources(spark, sf_dir), registry(spark, sf_dir))
+def _outcomes(spark, sf_dir):
+    return resolution.outcomes(sources(spark, sf_dir), registry(spark, sf_dir))
 
 
 def _judged(spark, sf_dir):
-    return _resolved(spark, sf_dir)[1]
+    return resolution.resolve(sources(spark, sf_dir), registry(spark, sf_dir))[1]
 
 
 @query(f"{_RESOLVED} SELECT key, id FROM found WHERE rn <= cap")
@@ -295,17 +295,17 @@ def best_matches(spark, sf_dir):
 
 @query(f"{_RESOLVED} SELECT key, outcome, reason, accepted_id FROM outcome")
 def resolution_outcomes(spark, sf_dir):
-    return _resolved(spark, sf_dir)[0]
+    return _outcomes(spark, sf_dir).drop("truncated")
 
 
 @query(f"{_RESOLVED} SELECT count(*) FILTER (outcome = 'accepted') AS matched, count(*) FILTER (outcome = 'ambiguous') AS ambiguous, count(*) FILTER (outcome IN ('unmatched', 'candidate')) AS unmatched, count(*) FILTER (outcome = 'candidate') AS probable FROM outcome")
 def outcome_counts(spark, sf_dir):
-    return resolution.outcome_counts(_resolved(spark, sf_dir)[0])
+    return resolution.outcome_counts(_outcomes(spark, sf_dir))
 
 
 @query(f"{_RESOLVED} SELECT outcome, reason, count(*) AS n FROM outcome GROUP BY ALL")
 def outcome_histogram(spark, sf_dir):
-    return _resolved(spark, sf_dir)[0].groupBy("outcome", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return _outcomes(spark, sf_dir).groupBy("outcome", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{_RESOLVED} SELECT strength, count(*) AS n, sum(alternate_name_match::INTEGER)::BIGINT AS alternates, sum(coalesce(postal_match, false)::INTEGER)::BIGINT AS postal_equal FROM judged WHERE status = 'accepted' GROUP BY strength")
@@ -326,6 +326,20 @@ def name_similarity(spark, sf_dir):
     return rows.withColumnRenamed("p_partkey", "a").join(other, ["p_brand", "p_type"]).filter("a < b").select("a", "b", F.round(matching.similarity(F.col("n"), F.col("m")), 9).alias("similarity"))
 
 
+_ALIKE = "CASE WHEN a = b THEN 1 ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END"
+
+
+@query(f"""{_RESOLVED}, l AS (SELECT s_province AS province, s_name AS a, count(*) AS n_sources FROM source WHERE s_name <> '' GROUP BY ALL),
+r AS (SELECT r_province AS province, r_legal AS b, count(*) AS n_rows FROM registry WHERE r_legal <> '' GROUP BY ALL)
+SELECT province, a, b, n_sources, n_rows, round({_ALIKE}, 9) AS similarity FROM l JOIN r USING (province) WHERE abs(length(a) - length(b)) <= 0.1 * greatest(length(a), length(b)) + 0.001 AND {_ALIKE} >= 0.9""")
+def similar_names(spark, sf_dir):
+    """Names that are nine tenths alike in each province, whatever its size."""
+    left = sources(spark, sf_dir).filter("s_name <> ''").groupBy(F.col("s_province").alias("province"), F.col("s_name").alias("a")).agg(F.count(F.lit(1)).alias("n_sources"))
+    right = registry(spark, sf_dir).filter("is_candidate AND r_legal <> ''").groupBy(F.col("r_province").alias("province"), F.col("r_legal").alias("b")).agg(F.count(F.lit(1)).alias("n_rows"))
+    found = similar.similar_names(left, right, ["province"], matching.PROBABLE)
+    return found.join(left, ["province", "a"]).join(right, ["province", "b"]).select("province", "a", "b", "n_sources", "n_rows", F.round("similarity", 9).alias("similarity"))
+
+
 # ---- evidence
 
 _DAY = "event_id % 2 = 0"

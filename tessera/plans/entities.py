@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import identity, likelihood, matching
-from tessera.operators import search
+from tessera.operators import resolution, search
 from tessera.operators.store import shared_path
 
 ACCOUNT = {
@@ -72,8 +72,8 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         made = {
             "profiles": lambda: identity.profiles(accounts(spark, sf_dir)),
             "scores": lambda: likelihood.score(stored(spark, sf_dir, "profiles").filter("is_candidate")),
-            "registry": lambda: registry_rows(stored(spark, sf_dir, "profiles")),
-            "sources": lambda: source_rows(spark, sf_dir),
+            "registry": lambda: resolution.prepared(registry_rows(stored(spark, sf_dir, "profiles")), True),
+            "sources": lambda: resolution.prepared(source_rows(spark, sf_dir), False),
             "index": lambda: search.sorted_index(search.index(accounts(spark, sf_dir))),
         }[name]()
         path = shared_path(spark, name)
