@@ -49,6 +49,38 @@ def sorted_index(tokens: DataFrame) -> DataFrame:
     return tokens.repartitionByRange("token").sortWithinPartitions("token")
 
 
+# -- an index kept by layers: rows (key, token, layer), and for keys whose rows of earlier layers are dead (key, layer)
+
+#: Share of dead and added rows from which on the layers are written anew.
+MOST_LAYERED = 0.25
+
+
+def base_layer(accounts: DataFrame, layer: int, key: str = "id", columns: tuple[str, ...] = SEARCHED) -> DataFrame:
+    return sorted_index(index(accounts, key, columns).withColumn("layer", F.lit(layer).cast("long")))
+
+
+def layer_of(changed: DataFrame, known: DataFrame, removed: DataFrame | None, layer: int, key: str = "id", columns: tuple[str, ...] = SEARCHED) -> tuple[DataFrame, DataFrame]:
+    """(index rows, dead keys) that a batch adds: `changed` are its new or changed rows, `known` the keys that the index
+    has had, `removed` the keys that are gone. Nothing but these rows is read of the accounts."""
+    dead = changed.select(key).join(known.select(key), key, "left_semi")
+    if removed is not None:
+        dead = dead.unionByName(removed.select(key))
+    stamp = F.lit(layer).cast("long").alias("layer")
+    return base_layer(changed, layer, key, columns), dead.distinct().select(key, stamp)
+
+
+def live(tokens: DataFrame, dead: DataFrame, key: str = "id") -> DataFrame:
+    """The index that the layers stand for: rows that no later layer of their key has put an end to."""
+    last = dead.groupBy(key).agg(F.max("layer").alias("_ended"))
+    return tokens.join(last, key, "left").filter(F.col("_ended").isNull() | (F.col("layer") >= F.col("_ended"))).drop("_ended", "layer")
+
+
+def wants_compaction(tokens: DataFrame, dead: DataFrame) -> bool:
+    """Whether later layers are more than MOST_LAYERED of the first."""
+    n = tokens.groupBy("layer").agg(F.count(F.lit(1)).alias("n")).orderBy("layer").agg(F.min_by("n", "layer").alias("first"), F.sum("n").alias("all")).first()
+    return bool(n.all) and n.all - n.first + dead.count() > MOST_LAYERED * n.first
+
+
 def folded(word: str) -> str:
     """A query's word as the index has it."""
     return "".join(c for c in unicodedata.normalize("NFKD", word) if unicodedata.category(c)[0] != "M").lower()

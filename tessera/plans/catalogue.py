@@ -22,6 +22,7 @@ from tessera.plans.entities import (
     matches,
     matching_sql,
     norm,
+    order_ranks,
     registry,
     relaxed,
     sources,
@@ -253,6 +254,42 @@ def ranked_keyset(spark, sf_dir):
     return search.ranked_keyset(stored(spark, sf_dir, "scores").select("id", "score"), 66, 100, 200)
 
 
+_RANKED = "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS place, count(*) OVER (PARTITION BY o_totalprice) AS tied FROM orders"
+
+
+@query(f"SELECT o_orderkey, o_totalprice, place FROM ({_RANKED}) WHERE place BETWEEN 1001 AND 1025")
+def rank_page(spark, sf_dir):
+    return order_ranks(spark, sf_dir).page(1000, 25)
+
+
+@query(f"SELECT o_orderkey, o_totalprice FROM ({_RANKED}) WHERE o_totalprice < (SELECT o_totalprice FROM orders WHERE o_orderkey = 77) OR (o_totalprice = (SELECT o_totalprice FROM orders WHERE o_orderkey = 77) AND o_orderkey > 77) ORDER BY place LIMIT 200")
+def rank_keyset(spark, sf_dir):
+    at = table(spark, sf_dir, "orders").filter("o_orderkey = 77").first()
+    return order_ranks(spark, sf_dir).after(at.o_totalprice, at.o_orderkey, 200)
+
+
+@query(f"SELECT * FROM ({_RANKED}) WHERE place BETWEEN 748 AND 752")
+def rank_neighbours(spark, sf_dir):
+    return order_ranks(spark, sf_dir).around(750)
+
+
+_LATER = ACCOUNT | {"city": f"CASE WHEN p_partkey % 7 = 0 THEN concat('Port ', p_brand) ELSE {ACCOUNT['city']} END"}
+
+
+@query(f"WITH a AS ({sql_of(_LATER, 'part', 'p_partkey % 11 <> 0')}) SELECT DISTINCT id, unnest({_TOKENS}) AS token FROM a")
+def index_layers(spark, sf_dir):
+    """The search index after an insert, an update and a delete batch, from the layers that they add."""
+    first, later = (table(spark, sf_dir, "part").selectExpr(*(f"{e} AS {n}" for n, e in view.items())) for view in (ACCOUNT, _LATER))
+    had = first.filter("id % 5 <> 0")
+    tokens, dead = search.base_layer(had, 0), had.select("id").limit(0).withColumn("layer", F.lit(0).cast("long"))
+    batches = ((first.filter("id % 5 = 0"), None), (later.filter("id % 7 = 0"), None), (later.limit(0), first.filter("id % 11 = 0")))
+    for layer, (changed, removed) in enumerate(batches, 1):
+        known = had if layer == 1 else first
+        more, ended = search.layer_of(changed, known, removed, layer)
+        tokens, dead = tokens.unionByName(more), dead.unionByName(ended)
+    return search.live(tokens, dead)
+
+
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
 def latest_row(spark, sf_dir):
     return table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(1).select("event_id", "user_id", "event_type")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import identity, likelihood, matching
 from tessera.operators import resolution, search
+from tessera.operators.ranks import Ranks
 from tessera.operators.store import shared_path
 
 ACCOUNT = {
@@ -82,6 +83,16 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(_derived[key])
 
 
+def order_ranks(spark: SparkSession, sf_dir: str) -> Ranks:
+    """Orders by price, in ranges of some 2,000, built once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, "ranks")
+    if key not in _derived:
+        path = shared_path(spark, "ranks")
+        Ranks.build(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", path, 2000)
+        _derived[key] = path
+    return Ranks(spark, _derived[key])
+
+
 def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "profiles")
 
