@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.operators.store import shared_path
+from tessera.operators.store import shared_path, written
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -95,6 +95,47 @@ def publish(published: DataFrame, accepted: DataFrame, key: list[str], source: s
     return merged.filter(reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in values)))
 
 
+def diff(old: DataFrame, new: DataFrame, key: list[str], compared: list[str]) -> DataFrame:
+    """(key, change, before, after) for each key of two versions: created, updated, same or removed; `before` and `after`
+    are structs of the other columns of both, null where there is none. A null in the key is a value of its own."""
+    packed = lambda rows: rows.select(*key, F.struct(*(c for c in rows.columns if c not in key)).alias("side"))
+    o, n = packed(old).alias("o"), packed(new).alias("n")
+    joined = o.join(n, reduce(lambda a, b: a & b, (F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in key)), "full_outer")
+    same = reduce(lambda a, b: a & b, (F.col(f"o.side.{c}").eqNullSafe(F.col(f"n.side.{c}")) for c in compared), F.lit(True))
+    change = F.when(F.col("o.side").isNull(), "created").when(F.col("n.side").isNull(), "removed").when(same, "same").otherwise("updated")
+    return joined.select(*(F.coalesce(f"n.{k}", f"o.{k}").alias(k) for k in key), change.alias("change"), F.col("o.side").alias("before"), F.col("n.side").alias("after"))
+
+
+def feed(published: DataFrame, accepted: DataFrame, key: list[str], source: str, run_id: int, now: str, after: int) -> tuple[DataFrame, DataFrame]:
+    """(the observations after a run, what the run did to them: key, id, change, run_id).
+
+    As `publish`, with the id and creation time of each observation kept for as long as its key is there; new ones get
+    the ids that follow `after`. The feed has created, updated, same and removed rows; others' rows aren't in it.
+    """
+    values = [c for c in published.columns if c.startswith("value_")]
+    given = accepted.filter(reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in values)))
+    moved = written(diff(published, given, key, values), "diff")
+    known = set(given.columns) - set(key)
+    mine = (F.col("source") == source) & F.col("before.run_id").isNotNull() & (F.col("before.run_id") != run_id)
+    ids = new_ids(moved.filter("change = 'created'").select(*key), key, after, "_id").alias("i")
+    m = moved.alias("m")
+    placed = m.join(ids, reduce(lambda a, b: a & b, (F.col(f"m.{k}").eqNullSafe(F.col(f"i.{k}")) for k in key)), "left").select("m.*", "_id")
+    kept = F.col("change") == "removed"
+
+    def of(c: str) -> Column:
+        if c in key:
+            return F.col(c)
+        old = F.col(f"before.{c}")
+        new = {"id": F.coalesce(old, F.col("_id")), "created_at": F.when(F.col("change") == "created", F.lit(now)).otherwise(old), "updated_at": F.lit(now), "run_id": F.lit(run_id).cast("long")}.get(c)
+        if new is None:
+            new = F.col(f"after.{c}") if c in known else F.lit(None)
+        return F.when(kept, old).otherwise(new).cast(dict(published.dtypes)[c])
+
+    table = placed.filter(~kept | ~mine).select(*(of(c).alias(c) for c in published.columns))
+    told = placed.filter(~kept | mine).select(*key, F.coalesce("before.id", "_id").alias("id"), "change", F.lit(run_id).cast("long").alias("run_id"))
+    return table, told
+
+
 def refreshed(stored: DataFrame, fresh: DataFrame, key: str, compared: list[str], stamp: str, now: Column) -> DataFrame:
     """fresh with changed (any compared column differs from the stored row, or there is none) and a stamp that is
     carried over where nothing changed; stored rows that fresh lacks are gone."""

@@ -98,11 +98,12 @@ def conflicting_keys(rows: DataFrame, identity: list[str]) -> DataFrame:
     return rows.groupBy("source_key").agg(F.countDistinct(F.struct(*identity)).alias("n")).filter("n > 1").select("source_key")
 
 
-def coverage(observations: DataFrame, rows: DataFrame, key: str = "source_key", most: int = MOST_ROWS_SHOWN) -> DataFrame:
-    """Observations with the first source rows of their company, by row number, as a list."""
-    shown = rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy("source_row_number"))).filter(F.col("_n") <= most)
-    lists = shown.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("source_row_number", "raw"))).alias("source_rows"))
-    return observations.join(lists, key, "left").orderBy("source", "signal_type")
+def coverage(observations: DataFrame, rows: DataFrame, key: tuple[str, ...] = ("source_key", "run_id"), most: int = MOST_ROWS_SHOWN) -> DataFrame:
+    """Observations with the first source rows of their company in their own run, by row number, as a list; those that
+    belong to no run have none."""
+    shown = rows.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy("source_row_number"))).filter(F.col("_n") <= most)
+    lists = shown.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("source_row_number", "raw"))).alias("source_rows"))
+    return observations.join(lists, list(key), "left").orderBy("source", "signal_type")
 
 
 def decoded() -> Column:

@@ -147,9 +147,13 @@ def keyset(rows: DataFrame, key: str = "id", after: int = 0, limit: int = 1000)
     return rows.filter(F.col(key) > after).orderBy(key).limit(limit)
 
 
-def ranked_keyset(rows: DataFrame, after_score: int = 101, after_id: int = 0, limit: int = 1000, key: str = "id") -> DataFrame:
-    """The next rows by score downwards, then key upwards."""
+def check_ranked(after_score: int, after_id: int, limit: int) -> None:
     if not 0 <= after_score <= 101:
         raise ValueError("a score lies between 0 and 100")
     check_keyset(after_id, limit)
+
+
+def ranked_keyset(rows: DataFrame, after_score: int = 101, after_id: int = 0, limit: int = 1000, key: str = "id") -> DataFrame:
+    """The next rows by score downwards, then key upwards."""
+    check_ranked(after_score, after_id, limit)
     return rows.filter((F.col("score") < after_score) | ((F.col("score") == after_score) & (F.col(key) > after_id))).orderBy(F.desc("score"), key).limit(limit)

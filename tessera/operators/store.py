@@ -61,6 +61,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._token: str | None = None
         self._jvm = spark.sparkContext._jvm
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -95,6 +96,8 @@ class Store:
         return version
 
     def _swap(self, text: str) -> None:
+        if self._token is not None and self._holder() != self._token:
+            raise Busy("another run has taken the store over")
         made = self._path(f"manifest.{uuid.uuid4().hex}.tmp")
         self._write(made, text, True)
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(made.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -109,20 +112,31 @@ class Store:
         finally:
             out.close()
 
+    def _holder(self) -> str | None:
+        """Who holds the store."""
+        path = self._path("run.lock")
+        return self.spark.read.text(path.toString(), wholetext=True).first()[0] if self._fs.exists(path) else None
+
     @contextmanager
     def lock(self, stale: float = 6 * 3600):
-        """Hold the store for one run; raises Busy if it is held. A lock that is older than `stale` seconds was left by a
-        driver that died, and is taken over: no run may take longer."""
-        path = self._path("run.lock")
+        """Hold the store for one run; raises Busy if it is held. A lock that is older than `stale` seconds is taken over:
+        moved away first, which only one of several can do. A run whose lock was taken over can't commit any more, and
+        leaves the lock of the other alone."""
+        path, token = self._path("run.lock"), uuid.uuid4().hex
         if self._fs.exists(path) and time.time() - self._fs.getFileStatus(path).getModificationTime() / 1000 > stale:
-            self._fs.delete(path, False)
+            aside = self._path(f"run.lock.{token}")
+            if self._fs.rename(path, aside):
+                self._fs.delete(aside, False)
         try:
-            self._write(path, "held", False)
+            self._write(path, token, False)
         except Exception as e:
             if self._fs.exists(path):
                 raise Busy("another run holds the store") from e
             raise
+        self._token = token
         try:
             yield self
         finally:
-            self._fs.delete(path, False)
+            self._token = None
+            if self._holder() == token:
+                self._fs.delete(path, False)

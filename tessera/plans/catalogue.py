@@ -397,6 +397,34 @@ def evidence_publish(spark, sf_dir):
     return changes.publish(published, count(events.filter(f"NOT ({_DAY}) AND event_type = 'click'")), ["source", "user_id"], "click", 2)
 
 
+_VERSION = "SELECT event_type, user_id, count(*) AS n, max(event_id) AS last FROM events WHERE event_id % 4 <> {} GROUP BY ALL"
+
+
+@query(f"""SELECT event_type, user_id, CASE WHEN o.n IS NULL THEN 'created' WHEN w.n IS NULL THEN 'removed' WHEN o.n = w.n AND o.last = w.last THEN 'same' ELSE 'updated' END AS change, o.n AS n_before, w.n AS n_after
+FROM ({_VERSION.format(1)}) o FULL JOIN ({_VERSION.format(2)}) w USING (event_type, user_id)""")
+def change_feed(spark, sf_dir):
+    """What became of each observation between two versions."""
+    events = table(spark, sf_dir, "events")
+    version = lambda k: events.filter(f"event_id % 4 <> {k}").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+    moved = changes.diff(version(1), version(2), ["event_type", "user_id"], ["n", "last"])
+    return moved.select("event_type", "user_id", "change", F.col("before.n").alias("n_before"), F.col("after.n").alias("n_after"))
+
+
+@query("""WITH old AS (SELECT o_custkey AS source_key, count(*) AS v FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1), new AS (SELECT o_custkey AS source_key, count(*) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
+ids AS (SELECT source_key, row_number() OVER (ORDER BY source_key) AS id FROM old), top AS (SELECT max(id) AS m FROM ids),
+fresh AS (SELECT source_key, (SELECT m FROM top) + row_number() OVER (ORDER BY source_key) AS id FROM new WHERE source_key NOT IN (SELECT source_key FROM old))
+SELECT n.source_key, n.v AS value_number, coalesce(i.id, f.id) AS id, CASE WHEN i.id IS NULL THEN 'b' ELSE 'a' END AS created_at, 'b' AS updated_at FROM new n LEFT JOIN ids i USING (source_key) LEFT JOIN fresh f USING (source_key)""")
+def observation_ids(spark, sf_dir):
+    """Observations of one source after two runs: ids and creation times stay with their keys, new ones follow."""
+    orders = table(spark, sf_dir, "orders")
+    run = lambda where: orders.filter(where).groupBy(F.col("o_custkey").alias("source_key")).agg(F.count(F.lit(1)).alias("value_number")).withColumn("source", F.lit("s"))
+    none = spark.createDataFrame([], "source string, source_key long, value_number long, run_id long, id long, created_at string, updated_at string")
+    first = changes.feed(none, run("o_orderkey % 3 <> 0"), ["source", "source_key"], "s", 1, "a", 0)[0]
+    after = first.agg(F.max("id")).first()[0]
+    second = changes.feed(first, run("o_orderkey % 2 = 0"), ["source", "source_key"], "s", 2, "b", after)[0]
+    return second.select("source_key", "value_number", "id", "created_at", "updated_at")
+
+
 _URGENT = "o_orderpriority = '1-URGENT' AND o_orderkey % 3 = 0"
 
 
@@ -590,8 +618,3 @@ def icp_filter(spark, sf_dir):
 @query(f"SELECT tier, count(*) AS n FROM ({_BOOK}) GROUP BY tier")
 def icp_tiers(spark, sf_dir):
     return icp.book(_book(spark, sf_dir)).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(_BOOK.replace("SELECT s_suppkey AS id, s_name AS name, " + ", ".join(f"{e} AS {d}" for d, e in _SIX.items()) + " FROM supplier", "SELECT * FROM (VALUES " + ", ".join(str((r[0], r[1], *r[5:])) for r in icp.SAMPLE) + ") AS v(id, name, " + ", ".join(_SIX) + ")"))
-def icp_sample(spark, sf_dir):
-    return icp.book(icp.sample_accounts(spark)).select("id", "name", "fit_score", "tier", F.array_join("reasons", "; ").alias("reasons"))

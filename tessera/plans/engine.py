@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterable
 from functools import reduce
 
@@ -12,20 +13,23 @@ from pyspark.sql import functions as F
 from tessera.functions import identity, likelihood, matching
 from tessera.functions.text import normalise_text
 from tessera.operators import changes, evidence, intake, resolution, search, verify
+from tessera.operators.ranks import Ranks
 from tessera.operators.store import STAGES, Store, check_counters, config_hash, written
 from tessera.sources import registry_csv
 from tessera.sources.workbook import Adapter
 
 IMPORTS = "id long, file string, file_name string, file_size long, file_modified string, file_sha256 string, status string, processed long, inserted long, updated long, skipped long, invalid long, duplicates long, error string, finished_at string"
-RUNS = "run_id long, source string, version string, config_hash string, status string, stage string, processed long, created long, updated long, failed long, error string, report string, started_at string, finished_at string"
+RUNS = "run_id long, source string, version string, config_hash string, status string, stage string, processed long, created long, updated long, failed long, error string, report string, started_at string, finished_at string, file_name string, file_sha256 string"
 DECISIONS = "source_key string, id long, run_id long, status string, seq long"
 COMPANY = ("name", "domain", "industry", "description", "employee_count", "employee_range", "revenue_range", "hq_city", "hq_region", "hq_country", "location_count", "subsidiary_count", "parent_company", "headcount_growth_12m", "latest_funding_date", "latest_funding_amount", "raw_json", "enriched_at")
 NUMBERS = ("employee_count", "location_count", "subsidiary_count", "latest_funding_amount")
 COMPANIES = "id long, provider string, provider_company_id string, " + ", ".join(f"{c} {'double' if c in (*NUMBERS, 'headcount_growth_12m') else 'string'}" for c in COMPANY) + ", normalized_name string, created_at string, updated_at string"
 LINKS = "id long, corporation_id long, company_id long, match_method string, name_similarity double, location_match string, provider_confidence double, match_confidence double, match_status string, run_id long, created_at string, updated_at string"
 STATUSES = ("accepted", "candidate", "ambiguous", "rejected")
-EVIDENCE = "source string, source_key string, signal_type string, corporation_id long, value_text string, value_number double, value_boolean boolean, match_confidence double, observed_at string, run_id long"
-EVIDENCE_KEY = ["source", "source_key", "signal_type", "corporation_id"]
+EVIDENCE = "source string, source_key string, signal_type string, corporation_id long, company_id long, value_text string, value_number double, value_boolean boolean, match_confidence double, observed_at string, run_id long, id long, created_at string, updated_at string, metadata string"
+EVIDENCE_KEY = ["source", "source_key", "signal_type", "corporation_id", "company_id"]
+SCORED = "id long, score int, label string, summary string, version string, source_updated_at string"
+TOKENS, ENDED = "id long, token string, layer long", "id long, layer long"
 
 
 class Cancelled(RuntimeError):
@@ -89,24 +93,37 @@ class Engine:
                 self._step("writing", **counters)
                 snapshot = written(snapshot, "snapshot")
                 intake.check_unchanged(self.spark, path, file)
-                self.store.commit({"accounts": snapshot, **self._derived(snapshot), **self._audited("imports", IMPORTS, status="completed", finished_at=now, **audit, **counters)})
+                derived, layers = self._derived(snapshot)
+                self.store.commit({"accounts": snapshot, **derived, **self._audited("imports", IMPORTS, status="completed", finished_at=now, **audit, **counters)}, None, layers)
             except Exception as e:
                 self._failed("imports", IMPORTS, e, finished_at=now, **audit)
                 raise
             self.progress({"type": "complete", "id": run, **counters})
             return report | {"id": run}
 
-    def _derived(self, accounts: DataFrame) -> dict[str, DataFrame]:
-        """Profiles, of which those of unchanged rows under the same rules are kept, and the search index in the order of its tokens."""
-        had = self.store.read("profiles")
+    def _derived(self, accounts: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+        """(tables to replace, rows to add): profiles, of which those of unchanged rows under the same rules are kept, and
+        the search index, to which changed rows add a layer until layers are worth writing anew."""
+        had, tokens = self.store.read("profiles"), self.store.read("tokens")
+        layer = self.store.manifest()["version"] + 1
         stamped = lambda rows: identity.profiles(rows).withColumns({"rules_version": F.lit(identity.RULES_VERSION), "source_updated_at": F.col("updated_at")})
+        anew = {"tokens": search.base_layer(accounts, layer), "tokens_ended": self.spark.createDataFrame([], ENDED)}
         if had is None or "rules_version" not in had.columns:
-            profiles = stamped(accounts)
-        else:
-            old = changes.stale(accounts, had.select("id", F.col("rules_version").alias("version"), "source_updated_at"), "id", identity.RULES_VERSION)
-            gone = had.join(old.select("id"), "id", "left_anti").join(accounts.select("id"), "id", "left_semi")
-            profiles = gone.unionByName(stamped(old))
-        return {"profiles": profiles, "tokens": search.sorted_index(search.index(accounts))}
+            return {"profiles": stamped(accounts), **anew}, {}
+        old = written(changes.stale(accounts, had.select("id", F.col("rules_version").alias("version"), "source_updated_at"), "id", identity.RULES_VERSION), "changed")
+        gone = had.join(old.select("id"), "id", "left_anti").join(accounts.select("id"), "id", "left_semi")
+        profiles = {"profiles": gone.unionByName(stamped(old))}
+        ended = self._table("tokens_ended", ENDED)
+        if tokens is None or "layer" not in tokens.columns or search.wants_compaction(tokens, ended):
+            return profiles | anew, {}
+        if not old.limit(1).count():
+            return profiles, {}
+        more, dead = search.layer_of(old, had, None, layer)
+        return profiles, {"tokens": more, "tokens_ended": dead}
+
+    def _tokens(self) -> DataFrame:
+        """The search index: its layers, without rows that later ones put an end to."""
+        return search.live(self._table("tokens", TOKENS), self._table("tokens_ended", ENDED))
 
     def imports(self) -> list[Row]:
         """The audit rows of registry imports, the latest first."""
@@ -130,14 +147,29 @@ class Engine:
         return search.keyset(self.profiles().filter("is_candidate"), "id", after, limit)
 
     def search(self, query: str | None = None, province: str | None = None, page: float | None = 1, ranked: bool = False) -> dict:
-        """A page of accounts; ranked by score where scores are fresh, else in the order of the source."""
+        """A page of accounts in the order of the source; with `ranked`, of those that have a score of this version and of
+        the row as it is now, by score. Without a query or province a ranked page is read from the ranks."""
+        asked, ranks = bool((query or "").strip()), self._ranks() if ranked else None
+        if ranks is not None and not asked and not (province or "").strip():
+            total = ranks.total()
+            number = search.page_number(page, total)
+            shown = ranks.page((number - 1) * search.PAGE, search.PAGE).select("id", "score", "label", "summary", "place")
+            rows = self._table("accounts").drop("raw_data").join(F.broadcast(shown), "id").orderBy("place").drop("place")  # a page's rows
+            return {"rows": rows.collect(), "page": number, "total": total, "pages": -(-total // search.PAGE)}
         accounts, order = self._table("accounts"), ["id"]
-        if ranked and self.state()["ready"]:
-            accounts, order = accounts.join(self._table("scores").select("id", "score", "label", "summary"), "id"), [F.desc("score"), "id"]
-        hits = written(search.filtered(accounts, query, province, tokens=self._table("tokens")).drop("raw_data"), "hits") if (query or "").strip() else search.filtered(accounts, None, province).drop("raw_data")
+        if ranked:
+            scores = self._table("scores", SCORED).filter(F.col("version") == likelihood.SCORE_VERSION).select("id", "score", "label", "summary", F.col("source_updated_at").alias("_at"))
+            accounts, order = accounts.join(scores, "id").filter(F.col("updated_at").eqNullSafe(F.col("_at"))).drop("_at"), [F.desc("score"), "id"]
+        hits = search.filtered(accounts, query, province, tokens=self._tokens()).drop("raw_data")
+        hits = written(hits, "hits") if asked else hits
         rows, number, total = search.page_of(hits, page, order)
         return {"rows": rows.collect(), "page": number, "total": total, "pages": -(-total // search.PAGE)}
 
+    def _ranks(self) -> Ranks | None:
+        """The order of all scores, if they rest on what the store holds now."""
+        state = self.state()
+        return Ranks(self.spark, state["ranks"]) if state["ready"] and state["ranks"] else None
+
     # ---- evidence
 
     def import_evidence(self, path: str, adapter: Adapter, now: str) -> dict:
@@ -148,7 +180,7 @@ class Engine:
         with self.store.lock():
             run = self._next("runs", RUNS, "run_id")
             settings = config_hash({"sha256": file.sha256, "source": adapter.source, "version": adapter.version, "rules": identity.RULES_VERSION, "signals": [list(x) for x in adapter.signals]})
-            audit = dict(run_id=run, source=adapter.source, version=adapter.version, config_hash=settings, started_at=now)
+            audit = dict(run_id=run, source=adapter.source, version=adapter.version, config_hash=settings, started_at=now, file_name=file.name, file_sha256=file.sha256)
 
             def at(stage: str, status: str = "running", tables=(), more=None, **values) -> None:
                 self._step(stage, run_id=run)
@@ -157,7 +189,7 @@ class Engine:
             try:
                 at(STAGES[0])
                 rows = written(adapter.read(self.spark, path), "rows")
-                tables, history, report = self._evidence(rows, adapter, run, at)
+                tables, history, report = self._evidence(rows, adapter, run, at, now, {"filename": file.name, "file_sha256": file.sha256, "adapter_version": adapter.version})
                 intake.check_unchanged(self.spark, path, file)
                 counters = dict(processed=report["rows"], created=report["identities"], updated=0, failed=0)
                 if counters["created"] > counters["processed"]:
@@ -173,7 +205,7 @@ class Engine:
         """The runs of evidence sources with the stage that each is in, the latest first."""
         return self._table("runs", RUNS).orderBy(F.desc("run_id")).collect()
 
-    def _evidence(self, rows: DataFrame, adapter: Adapter, run: int, at) -> tuple[dict[str, DataFrame], dict[str, DataFrame], dict]:
+    def _evidence(self, rows: DataFrame, adapter: Adapter, run: int, at, now: str, origin: dict) -> tuple[dict[str, DataFrame], dict[str, DataFrame], dict]:
         """(tables to replace, rows to add to the history, report)."""
         evidence.check_rows(rows)
         rows = rows.withColumn("observed_at", evidence.in_utc("observed_at"))
@@ -189,27 +221,51 @@ class Engine:
         registry = p.select("id", "is_candidate", F.col("normalized_legal_name").alias("r_legal"), F.col("normalized_alternate_name").alias("r_alternate"), normalise_text("city").alias("r_city"), identity.region("province_normalized").alias("r_province"), identity.country("country").alias("r_country"), F.col("postal_code_normalized").alias("r_postal"))
         at(STAGES[2])
         outcomes, judged = resolution.resolve(sources, written(registry, "registry"))
-        accepted = judged.filter("status = 'accepted'").select(F.col("key").alias("source_key"), F.col("id").cast("long").alias("corporation_id"), "match_confidence")
-        sums = evidence.aggregate(staged, "source_key", "attributes", list(adapter.signals)).join(staged.groupBy("source_key").agg(F.max("observed_at").alias("observed_at")), "source_key")
+        judged = written(judged, "judged")
+        accepted = judged.filter("status = 'accepted'").select(F.col("key").alias("source_key"), F.col("id").cast("long").alias("corporation_id"), "match_confidence", F.struct("strength", "match_method", "name_similarity", "location_match", "postal_match").alias("matching"))
+        sums = evidence.aggregate(staged, "source_key", "attributes", list(adapter.signals)).join(staged.groupBy("source_key").agg(F.max("observed_at").alias("observed_at"), F.count(F.lit(1)).alias("source_row_count")), "source_key")
         kinds = dict(sums.dtypes)
 
         def value(name: str, kind: str):
             fits = {"boolean": kinds[name] == "boolean", "double": kinds[name] in ("bigint", "double"), "string": kinds[name] == "string"}[kind]
             return (F.col(name) if fits else F.lit(None)).cast(kind)
 
-        listed = F.array(*(F.struct(F.lit(s.name).alias("signal_type"), value(s.name, "string").alias("value_text"), value(s.name, "double").alias("value_number"), value(s.name, "boolean").alias("value_boolean")) for s in adapter.signals))
-        observed = accepted.join(sums, "source_key").select(F.lit(adapter.source).alias("source"), "source_key", "corporation_id", "match_confidence", "observed_at", F.inline(listed))
-        published = changes.publish(self._table("evidence", EVIDENCE), observed.filter("value_text is not null or value_number is not null or value_boolean is not null"), EVIDENCE_KEY, adapter.source, run)
-        history = {"source_rows": rows.withColumn("run_id", F.lit(run).cast("long")), "matches": judged.select(F.col("key").alias("source_key"), "id", "status", "strength", "match_method", "match_confidence", "name_similarity", "location_match", "postal_match").withColumn("run_id", F.lit(run).cast("long"))}
+        def about(signal):
+            return F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in origin.items()), F.col("source_row_count"), F.struct(F.lit(signal.kind).alias("kind"), F.lit(signal.attribute).alias("attribute")).alias("aggregation"), F.col("matching")))
+
+        listed = F.array(*(F.struct(F.lit(s.name).alias("signal_type"), value(s.name, "string").alias("value_text"), value(s.name, "double").alias("value_number"), value(s.name, "boolean").alias("value_boolean"), about(s).alias("metadata")) for s in adapter.signals))
+        observed = accepted.join(sums, "source_key").select(F.lit(adapter.source).alias("source"), "source_key", "corporation_id", F.lit(None).cast("long").alias("company_id"), "match_confidence", "observed_at", F.inline(listed))
+        published, told = changes.feed(self._table("evidence", EVIDENCE), observed, EVIDENCE_KEY, adapter.source, run, now, self._next("evidence", EVIDENCE, "id") - 1)
+        published, told = written(published, "published"), written(told, "feed")
+        done = {r.change: r.n for r in told.groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}
+        moved = {"evidence_created": done.get("created", 0), "evidence_updated": done.get("updated", 0) + done.get("same", 0), "evidence_removed": done.get("removed", 0)}
+        run_id = F.lit(run).cast("long").alias("run_id")
+        history = {
+            "source_rows": rows.withColumn("run_id", run_id),
+            "matches": judged.select(F.col("key").alias("source_key"), "id", "status", "strength", "match_method", "match_confidence", "name_similarity", "location_match", "postal_match").withColumn("run_id", run_id),
+            "outcomes": outcomes.select(F.col("key").alias("source_key"), "outcome", "reason", F.col("accepted_id").cast("long").alias("accepted_id"), run_id),
+            "evidence_feed": told.filter("change <> 'same'"),
+        }
         counted = rows.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("source_key").alias("identities")).first().asDict()
         found = accepted.agg(F.countDistinct("corporation_id").alias("corporations")).first().asDict()
-        return {"evidence": published}, history, counted | found | resolution.outcome_counts(outcomes).first().asDict()
-
-    def coverage(self, corporation_id: int) -> dict:
-        """The evidence of an entity: known false counts as evidence, none means unknown."""
-        own = self._table("evidence", EVIDENCE).filter(F.col("corporation_id") == corporation_id)
+        return {"evidence": published}, history, counted | found | moved | resolution.outcome_counts(outcomes).first().asDict()
+
+    def outcomes(self, run_id: int) -> DataFrame:
+        """(source_key, outcome, reason, accepted_id) of each identity of a run."""
+        return self._table("outcomes").filter(F.col("run_id") == run_id).drop("run_id")
+
+    def feed(self, run_id: int) -> DataFrame:
+        """The observations that a run created, updated (another value) or removed."""
+        return self._table("evidence_feed").filter(F.col("run_id") == run_id)
+
+    def coverage(self, corporation_id: int | None = None, company_id: int | None = None) -> dict:
+        """The evidence of an entity, each observation with source rows of its own run: known false counts as evidence,
+        none means unknown."""
+        if not corporation_id and not company_id:
+            raise ValueError("choose a corporation or a company")
+        own = self._table("evidence", EVIDENCE).filter(F.col("corporation_id") == corporation_id if corporation_id else F.col("company_id") == company_id)
         rows = self.store.read("source_rows")
-        shown = evidence.coverage(own, rows.select("source_key", "source_row_number", "raw").distinct()) if rows is not None else own.orderBy("source", "signal_type")
+        shown = evidence.coverage(own, rows.select("source_key", "run_id", "source_row_number", "raw").distinct()) if rows is not None else own.orderBy("source", "signal_type")
         found = shown.collect()
         return {"has_evidence": bool(found), "sources": list(dict.fromkeys(r.source for r in found)), "observations": found}
 
@@ -226,28 +282,31 @@ class Engine:
         with self.store.lock():
             present = self._table("evidence", EVIDENCE).filter((F.col("source") == source) & F.col("value_boolean")).select(F.col("corporation_id").alias("id")).distinct().withColumn("has_importer_evidence", F.lit(True))
             rows = self.profiles().filter("is_candidate").join(present, "id", "left").withColumn("has_importer_evidence", F.coalesce("has_importer_evidence", F.lit(False)))
-            fresh = likelihood.score(rows).select("id", "score", "raw", "label", "summary", "name_used", "signals", "has_importer_evidence")
+            scored = likelihood.score(rows)
+            fresh = scored.select("id", "score", "raw", "label", "summary", "name_used", "signals", "has_importer_evidence", F.lit(likelihood.SCORE_VERSION).alias("version"), "source_updated_at")
             stored = self.store.read("scores")
-            if stored is None:
+            if stored is None or "version" not in stored.columns:
                 stored = self.spark.createDataFrame([], fresh.withColumn("scored_at", F.lit("")).schema)
             compared = ["score", "raw", "label", "summary", "name_used", "signals", "has_importer_evidence"]
-            judged = changes.refreshed(stored, fresh, "id", compared, "scored_at", F.lit(now)).persist()
+            judged = written(changes.refreshed(stored, fresh, "id", compared, "scored_at", F.lit(now)), "scores")
             report = judged.agg(F.count(F.lit(1)).alias("scored"), F.count_if("changed").alias("changed")).first().asDict()
             report["removed"] = stored.join(judged, "id", "left_anti").count()
-            self.store.commit({"scores": judged.drop("changed")}, {"scores": self._basis(source)})
-            judged.unpersist()
+            ranks = f"{self.store.folder}/ranks/{uuid.uuid4().hex}"
+            Ranks.build(judged.drop("changed"), "score", "id", ranks)
+            self.store.commit({"scores": judged.drop("changed")}, {"scores": self._basis(source), "ranks": ranks})
             return report
 
     def state(self) -> dict:
         """ready: the scores rest on what the store holds now."""
-        basis = self.store.manifest()["state"].get("scores")
-        return {"ready": basis is not None and basis == self._basis(basis["source"]), "basis": basis}
+        state = self.store.manifest()["state"]
+        basis = state.get("scores")
+        return {"ready": basis is not None and basis == self._basis(basis["source"]), "basis": basis, "ranks": state.get("ranks")}
 
     def ranked(self, after_score: int = 101, after_id: int = 0, limit: int = 1000) -> list[Row]:
         """The next candidates by score; none while the scores are stale."""
-        if not self.state()["ready"]:
-            return []
-        return search.ranked_keyset(self._table("scores"), after_score, after_id, limit).collect()
+        search.check_ranked(after_score, after_id, limit)
+        ranks = self._ranks()
+        return [] if ranks is None else ranks.after(after_score, after_id, limit).collect()
 
     def score(self, corporation_id: int) -> Row | None:
         return self._table("scores").filter(F.col("id") == corporation_id).limit(1).first()
@@ -303,22 +362,33 @@ class Engine:
             self.store.commit({"links": out})
         return self._table("links")
 
-    def observe(self, source: str, source_key: str, signal: str, corporation_id: int, value, observed_at: str | None = None, match_confidence: float | None = None) -> None:
-        """Set one observation by hand, or clear it with None; it belongs to no run, and runs leave it."""
-        if not (source.strip() and source_key.strip() and signal.strip()) or not corporation_id:
-            raise ValueError("an observation has a source, an identity, a signal and a corporation")
+    def observe(self, source: str, source_key: str, signal: str, corporation_id: int | None, value, observed_at: str | None = None, match_confidence: float | None = None, company_id: int | None = None, metadata: dict | None = None, now: str | None = None) -> dict:
+        """Set one observation of a corporation, a company or both by hand, or clear it with None; it belongs to no run,
+        and runs leave it. Returns its id, and whether it was created or removed. Unknown targets are refused."""
+        if not (source.strip() and source_key.strip() and signal.strip()) or not (corporation_id or company_id):
+            raise ValueError("an observation has a source, an identity, a signal and a corporation or company")
         if isinstance(value, float) and value - value != 0:
             raise ValueError("numbers of observations are finite")
+        for table, schema, wanted in (("accounts", "id long", corporation_id), ("companies", COMPANIES, company_id)):
+            if wanted and not self._table(table, schema).filter(F.col("id") == wanted).limit(1).count():
+                raise LookupError(f"there is no row {wanted} in {table}")
         kind = "boolean" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "text"
-        row = dict(source=source, source_key=source_key, signal_type=signal, corporation_id=corporation_id, match_confidence=match_confidence, observed_at=observed_at)
+        row = dict(source=source, source_key=source_key, signal_type=signal, corporation_id=corporation_id, company_id=company_id, match_confidence=match_confidence, observed_at=observed_at, metadata=json.dumps(metadata or {}, allow_nan=False))
         if value is not None:
             row[f"value_{kind}"] = float(value) if kind == "number" else value
         columns = [c.split()[0] for c in EVIDENCE.split(", ")]
-        values = [F.col(c) for c in ("value_text", "value_number", "value_boolean")]
         with self.store.lock():
-            one = self.spark.createDataFrame([tuple(row.get(c) for c in columns)], EVIDENCE)
-            merged = changes.upsert(self._table("evidence", EVIDENCE), one, EVIDENCE_KEY)
-            self.store.commit({"evidence": merged.filter(F.coalesce(*(v.cast("string") for v in values)).isNotNull())})
+            stored = self._table("evidence", EVIDENCE)
+            mine = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.lit(row[k])) for k in EVIDENCE_KEY))
+            had = stored.filter(mine).select("id", "created_at").first()
+            if value is None and had is None:
+                return {"id": None, "created": False, "removed": False}
+            table = stored.filter(~mine)
+            if value is not None:
+                row |= dict(id=had.id if had else self._next("evidence", EVIDENCE, "id"), created_at=had.created_at if had else now, updated_at=now)
+                table = table.unionByName(self.spark.createDataFrame([tuple(row.get(c) for c in columns)], EVIDENCE))
+            self.store.commit({"evidence": table})
+            return {"id": row.get("id"), "created": had is None, "removed": value is None}
 
     # ---- verification
 

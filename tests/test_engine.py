@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import intake
 from tessera.operators.evidence import Signal
+from tessera.operators.store import Busy, Store
 from tessera.plans.engine import Cancelled, Engine
 from tessera.sources.workbook import json_lines
 from tests.test_registry import line, write
@@ -57,10 +58,10 @@ def test_engine(spark, tmp_path):
     assert [(r.run_id, r.status, r.stage) for r in e.workflows()] == [(3, "completed", "evidence_ready"), (2, "failed", "failed"), (1, "completed", "evidence_ready")]
     assert json.loads(e.workflows()[2].report)["corporations"] == 1
     assert {"error", "complete"} < {x["type"] for x in told} and [x["stage"] for x in told if x.get("run_id") == 1 and x["type"] == "progress"] == ["source_ready", "preparing_candidates", "matching_evidence", "evidence_ready"]
-    e.observe("listing", "hand", "n", 1, 3)
+    assert e.observe("listing", "hand", "n", 1, 3)["created"]
     e.observe("listing", "hand", "is_importer", 1, False)
     assert {(o.signal_type, o.value_number, o.value_boolean) for o in e.coverage(1)["observations"]} == {("n", 3.0, None), ("is_importer", None, False)}
-    e.observe("listing", "hand", "n", 1, None)
+    assert e.observe("listing", "hand", "n", 1, None)["removed"]
     assert len(e.coverage(1)["observations"]) == 1
     for bad in ((" ", "k", "n", 1, 1), ("s", "k", "n", 1, float("nan"))):
         with pytest.raises(ValueError):
@@ -73,6 +74,64 @@ def test_engine(spark, tmp_path):
     assert e.summary()["total"] == 3 and e.summary()["latest_import"]["status"] == "failed"
 
 
+def test_runs_of_one_source(spark, tmp_path):
+    """Ids and times of observations over runs, rows of their own run, outcomes, unknown targets, fresh scores, index layers."""
+    e = Engine(spark, f"file://{tmp_path}/engine")
+    e.import_registry(write(tmp_path, line("1", "Northern Software Inc."), line("2", "Blue Holdings Inc.")), "t1")
+    source = json_lines("listing", "1", SIGNALS)
+    case = lambda n, year=2023: ("k", "NORTHERN SOFTWARE", "Ottawa", {"year": year, "n": n}, None)
+    other = ("z", "Nobody", "Ottawa", {}, None)
+    first = e.import_evidence(rows(tmp_path, "a.jsonl", case(1), case(2), case(3), other), source, "t2")
+    assert [first[f"evidence_{k}"] for k in ("created", "updated", "removed")] == [3, 0, 0]
+    before = {o.signal_type: (o.id, o.created_at) for o in e.coverage(1)["observations"]}
+    again = e.import_evidence(rows(tmp_path, "a.jsonl", case(1), case(2), case(3), other), source, "t3")
+    assert [again[f"evidence_{k}"] for k in ("created", "updated", "removed")] == [0, 3, 0] and e.feed(2).count() == 0
+    assert {o.signal_type: (o.id, o.created_at) for o in e.coverage(1)["observations"]} == before and sorted(i for i, _ in before.values()) == [1, 2, 3]
+    third = e.import_evidence(rows(tmp_path, "b.jsonl", case(9)), source, "t4")
+    seen = e.coverage(1)["observations"]
+    assert third["evidence_updated"] == 3 and [json.loads(r.raw) for o in seen for r in o.source_rows] == [{}] * 3 and {(o.id, o.created_at, o.updated_at) for o in seen} == {(i, "t2", "t4") for i, _ in before.values()}
+    assert {r.change for r in e.feed(3).collect()} == {"updated"} and [(r.file_name, len(r.file_sha256)) for r in e.workflows()] == [("b.jsonl", 64), ("a.jsonl", 64), ("a.jsonl", 64)]
+    about = json.loads(seen[0].metadata)
+    assert about["filename"] == "b.jsonl" and about["source_row_count"] == 1 and about["matching"]["strength"] == "excellent"
+    assert {(r.source_key, r.outcome, r.accepted_id) for r in e.outcomes(1).collect()} == {("k", "accepted", 1), ("z", "unmatched", None)}
+    last = e.import_evidence(rows(tmp_path, "c.jsonl", ("y", "Blue Holdings", "Ottawa", {"year": 1}, None)), source, "t5")
+    assert [last[f"evidence_{k}"] for k in ("created", "updated", "removed")] == [3, 0, 3] and not e.coverage(1)["has_evidence"]
+    assert sorted((r.id, r.change) for r in e.feed(4).collect()) == [*((i, "removed") for i in (1, 2, 3)), *((i, "created") for i in (4, 5, 6))]
+    with pytest.raises(LookupError):
+        e.observe("listing", "hand", "n", 999, 1)
+    with pytest.raises(LookupError):
+        e.observe("listing", "hand", "n", None, 1, company_id=5)
+    with pytest.raises(ValueError):
+        e.observe("listing", "hand", "n", None, 1)
+    assert e.observe("listing", "hand", "n", 1, 5, now="t6") == {"id": 7, "created": True, "removed": False} and e.observe("listing", "hand", "n", 1, 6, now="t7") == {"id": 7, "created": False, "removed": False}
+    assert [(o.id, o.value_number, o.created_at, o.updated_at, o.source_rows) for o in e.coverage(1)["observations"]] == [(7, 6.0, "t6", "t7", None)]
+    # ranked pages have fresh scores only
+    e.prepare_scores("listing", "t8")
+    assert [r.id for r in e.search(ranked=True)["rows"]] == [r.id for r in e.ranked()] and e.search(ranked=True)["total"] == 2 and e.search(ranked=True)["rows"][0].score >= 1
+    folders = lambda: len(e.store.manifest()["tables"]["tokens"])
+    layers = folders()
+    e.import_registry(write(tmp_path, line("1", "Northern Software Inc."), line("2", "Blue Holdings Inc.")), "t9")
+    assert folders() == layers and e.search("north")["total"] == 1  # an unchanged import adds no index rows
+    e.import_registry(write(tmp_path, line("1", "Southern Software Inc."), line("2", "Blue Holdings Inc."), line("3", "Third Inc.")), "t10")
+    assert folders() == layers + 1 and [e.search(q)["total"] for q in ("north", "south", "third", "blue", "software")] == [0, 1, 1, 1, 1]
+    assert [r.id for r in e.search(ranked=True)["rows"]] == [2] and e.search("software", ranked=True)["total"] == 0 and e.ranked() == []
+
+
+def test_the_lock_has_an_owner(spark, tmp_path):
+    one, two = Store(spark, f"file://{tmp_path}/store"), Store(spark, f"file://{tmp_path}/store")
+    rows = spark.range(1)
+    with one.lock():
+        with pytest.raises(Busy), two.lock():
+            pass
+        with two.lock(stale=-1):
+            with pytest.raises(Busy):
+                one.commit({"t": rows})
+            two.commit({"t": rows})
+        assert one._holder() is None
+    with one.lock():
+        one.commit({"t": rows})
+
+
 def test_uploads_and_rules(spark, tmp_path):
     path = write(tmp_path, line("1", "O'Brien Inc."))
     file = intake.identify(spark, path)
