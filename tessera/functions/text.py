@@ -29,10 +29,10 @@ def clean(c: Column | str) -> Column:
 @cache
 def folds() -> tuple[str, str, dict[str, str]]:
     """From the Unicode tables: characters that compatibility decomposition, without marks, turns into one other
-    character, then those that it takes out, as arguments of translate; and those that it turns into several.
-    Hangul syllables are left whole."""
+    character, then those that it takes out, as arguments of translate; and those that it turns into several, but for
+    Hangul syllables, which are taken apart by arithmetic."""
     one, gone, many = {}, [], {}
-    for code in range(0x80, 0x10000):
+    for code in range(0x80, 0x110000):
         c = chr(code)
         if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4:
             continue
@@ -44,6 +44,18 @@ def folds() -> tuple[str, str, dict[str, str]]:
     return "".join(one) + "".join(gone), "".join(one.values()), many
 
 
+#: Hangul syllables, and the first and number of their leading, middle and ending letters.
+SYLLABLES, LEADING, MIDDLE, ENDING = (0xAC00, 0xD7A3), (0x1100, 19), (0x1161, 21), (0x11A7, 28)
+
+
+def _syllable(x: Column) -> Column:
+    """The letters of a Hangul syllable."""
+    at = F.ascii(x) - SYLLABLES[0]
+    letter = lambda first, n, i: F.get(F.array(*(F.lit(chr(first + k)) for k in range(n))), i.cast("int"))
+    per = MIDDLE[1] * ENDING[1]
+    return F.concat(letter(*LEADING, F.floor(at / per)), letter(*MIDDLE, F.floor(at % per / ENDING[1])), F.when(at % ENDING[1] > 0, letter(*ENDING, at % ENDING[1])).otherwise(""))
+
+
 def without_accents(c: Column) -> Column:
     """Compatibility decomposition without marks; ASCII texts pass by."""
     source, target, many = folds()
@@ -51,6 +63,9 @@ def without_accents(c: Column) -> Column:
     spread = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(several, x), x)), "")
     marked = "[" + "".join(f"\\x{{{ord(x):X}}}" for x in many) + "]"
     full = F.when(c.rlike(marked), spread).otherwise(c)
+    syllables = "[" + "-".join(f"\\x{{{x:X}}}" for x in SYLLABLES) + "]"
+    apart = F.array_join(F.transform(F.split(full, ""), lambda x: F.when(x.rlike(syllables), _syllable(x)).otherwise(x)), "")
+    full = F.when(c.rlike(syllables), apart).otherwise(full)
     return F.when(c.rlike("[^\\x00-\\x7F]"), F.translate(full, source, target)).otherwise(c)
 
 

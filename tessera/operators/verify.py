@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.operators.store import written
+
 
 def histogram(rows: DataFrame, value: str = "score") -> DataFrame:
     return rows.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
@@ -23,13 +26,55 @@ def percentiles(rows: DataFrame, fractions: list[float], value: str = "score") -
     """(fraction, value): the element at place floor((n - 1) * (1 - fraction)) of the descending order.
 
     Exact without ranking rows: running counts over the histogram, whose rows are distinct values only. For values of
-    which there are few, such as scores; `around_rank` broadcasts the same histogram.
+    which there are few, such as scores; `selected` has no such bound.
     """
     h = histogram(rows, value).withColumn("upto", F.sum("n").over(W.orderBy(F.desc(value)))).withColumn("total", F.sum("n").over(W.partitionBy()))
     wanted = h.select(value, "n", "upto", F.explode(F.array(*(F.struct(F.lit(f).alias("fraction"), F.floor((F.col("total") - 1) * F.lit(1 - f)).alias("at")) for f in fractions))).alias("w"))
     return wanted.filter((F.col("w.at") < F.col("upto")) & (F.col("w.at") >= F.col("upto") - F.col("n"))).select(F.col("w.fraction").alias("fraction"), value)
 
 
+#: Parts of a range in one round of `selected`.
+PARTS = 1024
+
+
+def selected(rows: DataFrame, fractions: list[float], value: str) -> list[tuple[float, object]]:
+    """As `percentiles`, exact for any number of distinct numbers: rounds of counts by range narrow down to each wanted
+    rank. A round is one pass that sends PARTS rows a wanted rank to the driver, and ends where a range's least and
+    largest value are the same; every round cuts a range to a 1024th. Nulls don't count; NaN is the largest number."""
+    v = F.col(value)
+    own = rows.filter(v.isNotNull()).select(v)
+    n, low, high = own.agg(F.count(F.lit(1)), F.min(v), F.max(v)).first()
+    if not n:
+        return []
+    # rank from below within the range low..high
+    open_ = {f: (n - 1 - math.floor((n - 1) * (1 - f)), low, high) for f in fractions}
+    found: dict = {}
+    while open_:
+        for f in [f for f, (_, a, b) in open_.items() if a == b or (a != a and b != b)]:
+            found[f] = open_.pop(f)[1]
+        if not open_:
+            break
+        places = sorted({(a, b) for _, a, b in open_.values()}, key=repr)
+
+        def part(k: int, a, b):
+            x, low_, width = v.cast("double") / 2, float(a) / 2, float(b) / 2 - float(a) / 2  # halves: no overflow
+            at = F.floor((x - low_) / width * PARTS) if 0 < width < math.inf else F.when(v == F.lit(a), 0).when(v < F.lit(b), 1).otherwise(2)
+            at = F.when(F.isnan(x), PARTS).otherwise(F.least(F.greatest(at, F.lit(0)), F.lit(PARTS - 1)))
+            return F.when(v.between(F.lit(a), F.lit(b)), F.struct(F.lit(k).alias("k"), at.cast("int").alias("part")))
+
+        dealt = own.select(v, F.explode(F.array_compact(F.array(*(part(k, a, b) for k, (a, b) in enumerate(places))))).alias("p"))
+        counts: dict = {}
+        for r in dealt.groupBy("p.k", "p.part").agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("a"), F.max(v).alias("b")).orderBy("k", "part").collect():
+            counts.setdefault(r.k, []).append(r)
+        for f, (rank, a, b) in list(open_.items()):
+            for r in counts[places.index((a, b))]:
+                if rank < r.n:
+                    open_[f] = (rank, r.a, r.b)
+                    break
+                rank -= r.n
+    return [(f, found[f]) for f in fractions]
+
+
 def median(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """The middle value of each group, the mean of the two middle ones where it has an even number; nulls don't count."""
     return rows.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("median"))
@@ -53,7 +98,9 @@ def around_rank(rows: DataFrame, rank: int, value: str = "score", key: str = "id
     """
     top = rows.orderBy(F.desc(value), key).limit(rank + each_side)
     placed = top.withColumn("place", F.row_number().over(W.orderBy(F.desc(value), key))).filter(F.col("place").between(rank - each_side, rank + each_side))
-    return placed.join(F.broadcast(histogram(rows, value).withColumnRenamed("n", "tied")), value)
+    placed = written(placed, "placed")  # 2 * each_side + 1 rows at most: broadcast by that bound
+    tied = rows.join(F.broadcast(placed.select(value).distinct()), value, "left_semi").groupBy(value).agg(F.count(F.lit(1)).alias("tied"))
+    return placed.join(tied, value)
 
 
 def repeated(rows: DataFrame, key: list[str]) -> DataFrame:

@@ -576,6 +576,16 @@ def table_checksum(spark, sf_dir):
     return verify.checksum(table(spark, sf_dir, "lineitem"), list(_LINE))
 
 
+_FRACTIONS = (0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0)
+
+
+@query(f"WITH r AS (SELECT l_extendedprice AS price, row_number() OVER (ORDER BY l_extendedprice DESC) - 1 AS pos, count(*) OVER () AS n FROM lineitem) SELECT f::DOUBLE AS fraction, price FROM r, (SELECT unnest([{', '.join(map(str, _FRACTIONS))}]) AS f) WHERE pos = floor((n - 1) * (1 - f::DOUBLE))")
+def price_percentiles(spark, sf_dir):
+    """Percentiles of a column of many distinct values, by rounds of counts."""
+    found = verify.selected(table(spark, sf_dir, "lineitem"), list(_FRACTIONS), "l_extendedprice")
+    return spark.createDataFrame([(f, float(v)) for f, v in found], "fraction double, price double")
+
+
 @query("SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part")
 def table_counts(spark, sf_dir):
     return verify.table_counts({n: table(spark, sf_dir, n) for n in ("customer", "lineitem", "orders", "part")})

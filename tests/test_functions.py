@@ -1,5 +1,7 @@
 """Tables of cases for the text, identity, matching, score and profile functions."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,7 +111,17 @@ def test_scores(spark):
 
 
 def test_sample_profile(spark):
-    rows = icp.book(icp.sample_accounts(spark)).collect()
-    assert [r.id for r in rows][:3] == ["northstar", "cedar", "atlas"] and rows[-1].tier == "Weak fit"
-    assert rows[0].fit_score == 94 and list(rows[0].reasons) == ["Organizational scale", "Distributed workforce"]
-    assert [r.id for r in icp.book(icp.sample_accounts(spark), "logist").collect()] == ["atlas"]
+    shape = "id string, name string, industry string, location string, " + ", ".join(f"{d} int" for d, _, _ in icp.DIMENSIONS)
+    rows = spark.createDataFrame([("a", "Alpha", "tools", "Oslo", 90, 90, 90, 90, 90, 90), ("b", "Beta", "Shipping", "Rome", 100, 0, 0, 100, 100, 0), ("c", "Gamma", "toys", "Bern", 75, 75, 75, 60, 95, 86)], shape)
+    got = {r.id: (r.fit_score, r.tier, list(r.reasons)) for r in icp.book(rows).collect()}
+    assert got == {"a": (90, "Strong fit", ["Organizational scale", "Spend complexity"]), "b": (45, "Weak fit", ["Organizational scale", "Growth"]), "c": (76, "Potential", ["Distributed workforce", "Operational complexity"])}
+    assert [r.id for r in icp.book(rows).collect()] == ["a", "c", "b"] and [r.id for r in icp.book(rows, " SHIP ").collect()] == ["b"]
+
+
+def test_decomposition_of_all_characters(spark):
+    """Every assigned code point as the Unicode tables have it, Hangul and those above U+FFFF among them."""
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    texts = ["|".join(chars[i : i + 64]) for i in range(0, len(chars), 64)]
+    want = ["".join(x for x in unicodedata.normalize("NFKD", t) if unicodedata.category(x)[0] != "M") for t in texts]
+    got = values(spark, texts, text.without_accents)
+    assert [(t, g, w) for t, g, w in zip(texts, got, want, strict=True) if g != w] == []

@@ -1,10 +1,13 @@
 """The order-statistics index: every rank, page and keyset walk as a sort has it, from one or two ranges."""
 
+import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from tessera.operators import search
+from tessera.operators import search, verify
 from tessera.operators.ranks import Ranks
 
 
@@ -56,3 +59,15 @@ def test_layers_like_an_index_made_anew(spark):
         anew = search.index(frame(state), columns=columns)
         assert sorted(map(tuple, search.live(tokens, dead).select("id", "token").collect())) == sorted(map(tuple, anew.select("id", "token").collect()))
     assert not search.wants_compaction(tokens.filter(F.col("layer") == 0), dead.limit(0)) and search.wants_compaction(tokens.unionByName(tokens.withColumn("layer", F.lit(9).cast("long"))), dead)
+
+
+@pytest.mark.parametrize("kind", ["double", "long", "int"])
+def test_selection_is_exact(spark, kind):
+    rng = random.Random(kind)
+    pools = {"double": [-1.7e308, 1.7e308, 0.0, 1e-300, 2.5, float("inf"), float("-inf")] + [rng.gauss(0, 10**k) for k in range(0, 30)], "long": [-(2**63), 2**63 - 1, 0, 7, *range(50)], "int": [3]}
+    for n in (1, 2, 701):
+        x = [rng.choice(pools[kind]) for _ in range(n)]
+        rows = spark.createDataFrame([(v,) for v in [*x, None]], f"v {kind}")
+        down, fractions = sorted(x, reverse=True), [0.0, 0.1, 0.5, 0.99, 1.0]
+        assert verify.selected(rows, fractions, "v") == [(f, down[math.floor((n - 1) * (1 - f))]) for f in fractions]
+    assert verify.selected(rows.limit(0), [0.5], "v") == []
