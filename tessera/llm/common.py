@@ -41,8 +41,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete what `cut` wrote for df, which nothing reads any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    remove(df.sparkSession, df._cut)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 #: Rows of a side that may be broadcast; it is counted first, and merged with the other side beyond it.

@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh_path, small_side
+from tessera.llm.common import fresh_path, remove, small_side
 
 #: Payloads of at least so many bytes are stored once and revisited.
 LEAST_SHARED = 1000
@@ -210,8 +210,8 @@ def read_records(spark: SparkSession, source: str, with_block: bool = True) -> D
                         size = int(field(block[:top], "Content-Length"))
                         if kind == "response" and (len(block) - top != size or hashlib.sha1(block[top:]).hexdigest() != digest):
                             raise ValueError(f"{archive}: the record at {at} is not what its header says")
-                        rows.append((archive, field(head, "WARC-Record-ID"), kind, field(head, "WARC-Refers-To"), digest, size, block))
-                        if with_block and len(rows) == 256:
+                        rows.append((archive, field(head, "WARC-Record-ID"), kind, field(head, "WARC-Refers-To"), digest, size, block if with_block else None))
+                        if len(rows) == 256:
                             yield pack(rows)
                             rows = []
                 yield pack(rows)
@@ -236,6 +236,7 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     raw, normal = fresh_path(spark, "streams"), fresh_path(spark, "archives")
     write_archives(pages, raw)
     normalise(spark, raw, normal).agg(F.count(F.lit(1))).collect()
+    remove(spark, raw)  # nothing reads the streams any more
     number = lambda c: F.regexp_extract(c, "^<urn:page:(-?\\d*)>$", 1)
     rows = read_records(spark, normal, False)
     return rows.select(F.nullif(number("record_id"), F.lit("")).cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.nullif(number("refers_to"), F.lit("")).cast("long").alias("refers_to"))
