@@ -13,8 +13,11 @@ import time
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+BUCKETS, BUCKET = 64, "_bucket"
 STAGES = ("source_ready", "preparing_candidates", "matching_evidence", "evidence_ready", "failed")
 
 
@@ -38,6 +41,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucket_of(key: list[str], n: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
+
+
 class Busy(RuntimeError):
     """Another run holds the store."""
 
@@ -95,6 +102,56 @@ class Store:
         self._swap(json.dumps(now))
         return version
 
+    # -- tables in buckets: a batch of changes writes the buckets of its keys, the others stay as they are
+
+    def commit_buckets(self, table: str, rows: DataFrame, key: list[str], n: int = BUCKETS) -> int:
+        """Write a table dealt into n buckets by its key; later changes go through `upsert_buckets`."""
+        now = self.manifest()
+        now["tables"].pop(table, None)
+        now.setdefault("buckets", {})[table] = {"key": key, "n": n, "folders": {}, "schema": rows.schema.json()}
+        return self._bucketed(now, table, rows)
+
+    def _bucketed(self, now: dict, table: str, rows: DataFrame) -> int:
+        """Write rows to new folders of their buckets, and make these current."""
+        about, folder = now["buckets"][table], f"{table}/v{now['version'] + 1}-{uuid.uuid4().hex[:8]}"
+        dealt = rows.withColumn(BUCKET, bucket_of(about["key"], about["n"])).repartition(BUCKET)
+        dealt.write.partitionBy(BUCKET).parquet(f"{self.folder}/{folder}")
+        there = self._fs.listStatus(self._path(folder))
+        about["folders"] |= {name.split("=")[1]: f"{folder}/{name}" for name in (f.getPath().getName() for f in there) if name.startswith(f"{BUCKET}=")}
+        now["version"] += 1
+        self._swap(json.dumps(now))
+        return now["version"]
+
+    def read_buckets(self, table: str, buckets: list[int] | None = None) -> DataFrame | None:
+        """A bucketed table, or those buckets of it."""
+        about = self.manifest().get("buckets", {}).get(table)
+        if about is None:
+            return None
+        schema = T.StructType.fromJson(json.loads(about["schema"]))
+        folders = [x for b, x in about["folders"].items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/{x}" for x in folders)) if folders else self.spark.createDataFrame([], schema)
+
+    def upsert_buckets(self, table: str, incoming: DataFrame, kept: tuple[str, ...] = (), removed: DataFrame | None = None) -> list[int]:
+        """Put incoming rows, one a key, in the place of stored ones of their key, and take the keys of `removed` out;
+        returns the buckets that were written. A bucket that is left without rows is kept as no folder."""
+        from tessera.operators.changes import upsert
+
+        now = self.manifest()
+        about = now["buckets"][table]
+        key = about["key"]
+        incoming = written(incoming, "incoming")
+        keys = incoming.select(*key) if removed is None else incoming.select(*key).unionByName(removed.select(*key))
+        touched = sorted(r[0] for r in keys.select(bucket_of(key, about["n"])).distinct().collect())  # n at most
+        if not touched:
+            return []
+        after = upsert(self.read_buckets(table, touched), incoming, key, kept)
+        if removed is not None:
+            after = after.join(removed.select(*key), key, "left_anti").select(*after.columns)
+        for b in touched:
+            about["folders"].pop(str(b), None)
+        self._bucketed(now, table, after)
+        return touched
+
     def _swap(self, text: str) -> None:
         if self._token is not None and self._holder() != self._token:
             raise Busy("another run has taken the store over")

@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 
 from tessera.functions import identity, likelihood, matching
 from tessera.functions.text import clean, normalise_text
-from tessera.operators import changes, evidence, icp, resolution, search, similar, verify
-from tessera.operators.store import shared_path
+from tessera.operators import changes, evidence, hash_tree, icp, resolution, search, similar, verify
+from tessera.operators.store import Store, shared_path
 from tessera.plans.entities import (
     ACCOUNT,
     PROFILES,
@@ -188,6 +188,28 @@ def upsert_keep_decision(spark, sf_dir):
     return changes.upsert(rows.filter("s_suppkey % 6 <> 0"), new, ["s_suppkey"], kept=("match_status",))
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 1013 = 0 THEN 'created' WHEN o_orderkey % 1009 = 0 THEN 'removed' ELSE 'updated' END AS change FROM orders
+WHERE (o_orderkey % 1013 = 0) <> (o_orderkey % 1009 = 0) OR (o_orderkey % 997 = 0 AND o_orderkey % 1013 <> 0 AND o_orderkey % 1009 <> 0)""")
+def changed_keys(spark, sf_dir):
+    """Keys of orders that two versions don't have alike, from the ranges whose digests differ."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    before = orders.filter("o_orderkey % 1013 <> 0")
+    after = orders.filter("o_orderkey % 1009 <> 0").withColumn("o_totalprice", F.expr("o_totalprice + CASE WHEN o_orderkey % 997 = 0 THEN 1 ELSE 0 END"))
+    trees = [hash_tree.HashTree.build(rows, "o_orderkey", shared_path(spark, "tree"), 256) for rows in (before, after)]
+    return hash_tree.changed_keys(*trees)
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN upper(c_mktsegment) || '!' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 50 = 0 AND c_custkey % 100 = 0 THEN 'new' ELSE 'old' END AS status FROM customer WHERE c_custkey % 70 <> 0""")
+def bucket_upsert(spark, sf_dir):
+    """Customers in buckets after a batch that inserts, updates and removes some: only the buckets of its keys are written."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    store = Store(spark, shared_path(spark, "buckets"))
+    store.commit_buckets("customer", rows.filter("c_custkey % 100 <> 0").withColumn("status", F.lit("old")), ["c_custkey"])
+    some = rows.filter("c_custkey % 50 = 0").select("c_custkey", F.concat(F.upper("segment"), F.lit("!")).alias("segment"), F.lit("new").alias("status"))
+    store.upsert_buckets("customer", some, ("status",), rows.filter("c_custkey % 70 = 0"))
+    return store.read_buckets("customer")
+
+
 # ---- search and access
 
 _PROVINCE = "CASE WHEN province_normalized = 'NF' THEN 'NL' ELSE province_normalized END"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import identity, likelihood, matching
 from tessera.functions.text import normalise_text
-from tessera.operators import changes, evidence, intake, resolution, search, verify
+from tessera.operators import changes, evidence, hash_tree, intake, resolution, search, verify
 from tessera.operators.ranks import Ranks
 from tessera.operators.store import STAGES, Store, check_counters, config_hash, written
 from tessera.sources import registry_csv
@@ -275,7 +275,7 @@ class Engine:
         """What scores rest on: versions, a hash of the entities with evidence, the last import that changed anything."""
         present = self._table("evidence", EVIDENCE).filter((F.col("source") == source) & F.col("value_boolean"))
         changed = self._table("imports", IMPORTS).filter("status = 'completed' and (inserted > 0 or updated > 0)").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        return {"score_version": likelihood.SCORE_VERSION, "rules_version": identity.RULES_VERSION, "evidence": verify.checksum(present.select("corporation_id").distinct()).select(F.concat_ws(":", "n", "checksum")).first()[0], "import": changed, "source": source}
+        return {"score_version": likelihood.SCORE_VERSION, "rules_version": identity.RULES_VERSION, "evidence": hash_tree.root(present.select("corporation_id").distinct(), "corporation_id"), "import": changed, "source": source}
 
     def prepare_scores(self, source: str, now: str) -> dict:
         """Score all candidates anew; rows that come out the same keep the time of their last change."""
