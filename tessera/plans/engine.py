@@ -15,6 +15,7 @@ from tessera.functions.text import normalise_text
 from tessera.operators import changes, evidence, hash_tree, intake, resolution, search, verify
 from tessera.operators.ranks import Ranks
 from tessera.operators.store import STAGES, Store, check_counters, config_hash, written
+from tessera.operators.watch import Cancelled, watched
 from tessera.sources import registry_csv
 from tessera.sources.workbook import Adapter
 
@@ -32,15 +33,12 @@ SCORED = "id long, score int, label string, summary string, version string, sour
 TOKENS, ENDED = "id long, token string, layer long", "id long, layer long"
 
 
-class Cancelled(RuntimeError):
-    """The caller asked a run to end."""
-
-
 class Engine:
     """All writes hold the store's lock and become visible in one commit; a failed run changes its audit row only.
 
-    Runs tell `progress` about their steps: dicts with type (progress, complete or error) and what the step knows. A
-    run ends between two steps if `cancelled` says so.
+    Runs tell `progress` about their steps: dicts with type (progress, complete or error) and what the step knows, and
+    while a step's jobs run how many of their tasks are done. A run ends if `cancelled` says so, between two steps or by
+    ending the jobs of one; both are then called by another thread.
     """
 
     def __init__(self, spark: SparkSession, folder: str, progress: Callable[[dict], None] = lambda event: None, cancelled: Callable[[], bool] = lambda: False):
@@ -51,6 +49,9 @@ class Engine:
             raise Cancelled(f"ended before {stage}")
         self.progress({"type": "progress", "stage": stage, **known})
 
+    def _watched(self, stage: str):
+        return watched(self.spark, stage, self.progress, self.cancelled)
+
     def _table(self, name: str, schema: str | None = None) -> DataFrame:
         found = self.store.read(name)
         if found is None:
@@ -88,12 +89,14 @@ class Engine:
             self.store.commit(self._audited("imports", IMPORTS, status="running", **audit))
             try:
                 self._step("reading", file=file.name)
-                snapshot, report = registry_csv.import_file(self.spark, path, self.store.read("accounts"), now)
+                with self._watched("reading"):
+                    snapshot, report = registry_csv.import_file(self.spark, path, self.store.read("accounts"), now)
                 counters = check_counters({k: v for k, v in report.items() if k != "issues"})
                 self._step("writing", **counters)
-                snapshot = written(snapshot, "snapshot")
+                with self._watched("writing"):
+                    snapshot = written(snapshot, "snapshot")
+                    derived, layers = self._derived(snapshot)
                 intake.check_unchanged(self.spark, path, file)
-                derived, layers = self._derived(snapshot)
                 self.store.commit({"accounts": snapshot, **derived, **self._audited("imports", IMPORTS, status="completed", finished_at=now, **audit, **counters)}, None, layers)
             except Exception as e:
                 self._failed("imports", IMPORTS, e, finished_at=now, **audit)
@@ -189,7 +192,8 @@ class Engine:
             try:
                 at(STAGES[0])
                 rows = written(adapter.read(self.spark, path), "rows")
-                tables, history, report = self._evidence(rows, adapter, run, at, now, {"filename": file.name, "file_sha256": file.sha256, "adapter_version": adapter.version})
+                with self._watched("matching"):
+                    tables, history, report = self._evidence(rows, adapter, run, at, now, {"filename": file.name, "file_sha256": file.sha256, "adapter_version": adapter.version})
                 intake.check_unchanged(self.spark, path, file)
                 counters = dict(processed=report["rows"], created=report["identities"], updated=0, failed=0)
                 if counters["created"] > counters["processed"]:

@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.functions.matching import source_identity
 from tessera.operators.evidence import Signal
@@ -63,10 +64,27 @@ def sheet_rows(content: bytes, sheet: str = SHEET) -> list[tuple[int, list[str |
     return out
 
 
+def listing(content: bytes) -> list[tuple[int, list[str | None]]]:
+    """(row number, cells) of a listing's rows, blank ones passed over; raises for what breaks its contract."""
+    if len(content) > MOST_BYTES:
+        raise ValueError(f"a workbook is larger than {MOST_BYTES} bytes")
+    rows = sheet_rows(content)
+    if not rows or rows[0][0] != 1 or tuple(rows[0][1]) != HEADERS:
+        raise ValueError("the sheet doesn't begin with the six headers")
+    if len(rows) > MOST_ROWS + 1:
+        raise ValueError(f"the sheet has more than {MOST_ROWS} rows")
+    body = [r for r in rows[1:] if any(c is not None for c in r[1])]
+    for n, cells, kinds in body:
+        if "n" in kinds[:5] or not (cells[1] or "").strip() or re.sub(r"\.0+$", "", cells[5] or "") != YEAR:
+            raise ValueError(f"row {n} lacks text fields, a company name or the year {YEAR}")
+    return [(n, cells) for n, cells, _ in body]
+
+
 def read_workbook(spark: SparkSession, path: str) -> DataFrame:
     """Listings of the workbooks under path: row_number and one column for each header; blank rows are passed over.
 
-    A workbook is read by one task: it is bounded by MOST_BYTES and MOST_ROWS, and the source has no larger ones.
+    A workbook is read by one task: it is bounded by MOST_BYTES and MOST_ROWS, and the source has no larger ones. It is
+    read by Spark's own file source, so from wherever Spark reads; WorkbookSource is the same as a named format.
     """
     files = spark.read.format("binaryFile").load(path)
     if files.filter(F.col("length") > MOST_BYTES).limit(1).count():
@@ -77,21 +95,61 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for content in batch.column(0):
-                rows = sheet_rows(content.as_py())
-                if not rows or rows[0][0] != 1 or tuple(rows[0][1]) != HEADERS:
-                    raise ValueError("the sheet doesn't begin with the six headers")
-                if len(rows) > MOST_ROWS + 1:
-                    raise ValueError(f"the sheet has more than {MOST_ROWS} rows")
-                body = [r for r in rows[1:] if any(c is not None for c in r[1])]
-                for n, cells, kinds in body:
-                    if "n" in kinds[:5] or not (cells[1] or "").strip() or re.sub(r"\.0+$", "", cells[5] or "") != YEAR:
-                        raise ValueError(f"row {n} lacks text fields, a company name or the year {YEAR}")
+                body = listing(content.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in body], pa.int32()), pa.array([r[1] for r in body], pa.list_(pa.string()))], names=["row_number", "cells"])
 
     rows = files.select("content").mapInArrow(parse, "row_number int, cells array<string>")
     return rows.select("row_number", *(F.col("cells")[k].alias(h) for k, h in enumerate(HEADERS)))
 
 
+class Workbook(InputPartition):
+    def __init__(self, path: str):
+        self.path = path
+
+
+class WorkbookReader(DataSourceReader):
+    """A partition a workbook. Filters aren't pushed: Spark 4.1 keeps a reader with its pushed filters for other queries
+    of the same DataFrame, which then lack rows. The option `only`, file names with commas between, chooses files."""
+
+    def __init__(self, options):
+        self.folder, self.only = options["path"], {n.strip() for n in options.get("only", "").split(",") if n.strip()}
+
+    def partitions(self):
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(self.folder if "://" in self.folder else f"file://{self.folder}")
+        found = system.get_file_info(top)
+        files = [found.path] if found.is_file else sorted(x.path for x in system.get_file_info(fs.FileSelector(top, recursive=True)) if x.is_file and x.extension.lower() == "xlsx")
+        return [Workbook(p) for p in files if not self.only or p.rpartition("/")[2] in self.only]
+
+    def read(self, partition):
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(self.folder if "://" in self.folder else f"file://{self.folder}")
+        with system.open_input_file(partition.path) as f:
+            for n, cells in listing(f.read(MOST_BYTES + 1)):
+                yield (partition.path, n, *cells)
+
+
+class WorkbookSource(DataSource):
+    """spark.read.format("importer_workbook").load(folder), once register(spark) was called: path, row_number and a
+    column for each header. Paths are those of the file system, without its scheme."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "importer_workbook"
+
+    def schema(self) -> str:
+        return "path string, row_number int, " + ", ".join(f"`{h}` string" for h in HEADERS)
+
+    def reader(self, schema) -> DataSourceReader:
+        return WorkbookReader(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(WorkbookSource)
+
+
 class Adapter(NamedTuple):
     """A source of bulk evidence: its name and version, how to read rows of the common shape, and its signals."""
 

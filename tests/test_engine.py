@@ -3,6 +3,7 @@
 import hashlib
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tessera.operators import intake
 from tessera.operators.evidence import Signal
 from tessera.operators.store import Busy, Store
 from tessera.plans.engine import Cancelled, Engine
+from tessera.sources import registry_csv
 from tessera.sources.workbook import json_lines
 from tests.test_registry import line, write
 
@@ -117,6 +119,30 @@ def test_runs_of_one_source(spark, tmp_path):
     assert [r.id for r in e.search(ranked=True)["rows"]] == [2] and e.search("software", ranked=True)["total"] == 0 and e.ranked() == []
 
 
+def test_a_running_job_is_ended(spark, tmp_path, monkeypatch):
+    """Cancellation inside a step: the job ends within seconds, progress was told meanwhile, and the audit row says so."""
+    told, began = [], []
+
+    def slowly(batches):
+        for batch in batches:
+            time.sleep(60)
+            yield batch
+
+    def slow_import(*_):
+        began.append(time.time())
+        spark.range(0, 8, 1, 8).mapInArrow(slowly, "id long").count()
+
+    e = Engine(spark, f"file://{tmp_path}/engine", told.append, lambda: bool(began) and time.time() - began[0] > 4)
+    path = write(tmp_path, line("1", "Northern Software Inc."))
+    monkeypatch.setattr(registry_csv, "import_file", slow_import)
+    with pytest.raises(Cancelled, match="while reading"):
+        e.import_registry(path, "t1")
+    assert time.time() - began[0] < 40 and (e.imports()[0].status, e.imports()[0].error) == ("failed", "ended while reading")
+    assert any(x.get("of") == 8 for x in told) and spark.range(5).count() == 5
+    with e.store.lock():
+        pass
+
+
 def test_the_lock_has_an_owner(spark, tmp_path):
     one, two = Store(spark, f"file://{tmp_path}/store"), Store(spark, f"file://{tmp_path}/store")
     rows = spark.range(1)

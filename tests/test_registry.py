@@ -146,6 +146,25 @@ def xlsx(path, rows, sheet=workbook.SHEET, formula=False):
     return str(path)
 
 
+def test_workbooks_as_a_format(spark, tmp_path):
+    """One partition a file, an option chooses files, the same rows as the other reader."""
+    rows = [(1, workbook.HEADERS), (2, ("Ottawa", "Acme", "ON", "ON", "K1A 0B1", 2024)), (4, ("Laval", "Beta", "QC", "QC", None, 2024))]
+    for name in "abc":
+        xlsx(tmp_path / f"{name}.xlsx", rows[: 2 + (name == "b")])
+    (tmp_path / "other.txt").write_text("no workbook")
+    workbook.register(spark)
+    read = spark.read.format("importer_workbook").load(str(tmp_path))
+    assert read.rdd.getNumPartitions() == 3 and read.count() == 4
+    one = spark.read.format("importer_workbook").option("only", "b.xlsx").load(str(tmp_path))
+    assert read.filter(F.col("path") == f"{tmp_path}/b.xlsx").count() == 2
+    assert one.rdd.getNumPartitions() == 1 and [r.row_number for r in one.orderBy("row_number").collect()] == [2, 4]
+    plain = workbook.read_workbook(spark, f"{tmp_path}/*.xlsx")
+    assert sorted(map(repr, read.drop("path").collect())) == sorted(map(repr, plain.collect()))
+    xlsx(tmp_path / "d.xlsx", rows, formula=True)
+    with pytest.raises(Exception, match="formula"):
+        spark.read.format("importer_workbook").load(str(tmp_path)).count()
+
+
 def test_workbook(spark, tmp_path):
     rows = [(1, workbook.HEADERS), (2, ("Montréal", "Société A Inc.", "Quebec", "Québec", "H1A 1A1", 2024)), (3, (None,) * 6), (4, ("Montreal", "SOCIETE A LTD", "Quebec", None, "H1A1A1", "2024")), (5, ("Laval", "Société A Inc.", "Quebec", None, None, 2024))]
     got = workbook.IMPORTERS.read(spark, xlsx(tmp_path / "a.xlsx", rows)).orderBy("source_row_number").collect()
