@@ -25,7 +25,9 @@ DECISIONS = "source_key string, id long, run_id long, status string, seq long"
 COMPANY = ("name", "domain", "industry", "description", "employee_count", "employee_range", "revenue_range", "hq_city", "hq_region", "hq_country", "location_count", "subsidiary_count", "parent_company", "headcount_growth_12m", "latest_funding_date", "latest_funding_amount", "raw_json", "enriched_at")
 NUMBERS = ("employee_count", "location_count", "subsidiary_count", "latest_funding_amount")
 COMPANIES = "id long, provider string, provider_company_id string, " + ", ".join(f"{c} {'double' if c in (*NUMBERS, 'headcount_growth_12m') else 'string'}" for c in COMPANY) + ", normalized_name string, created_at string, updated_at string"
-LINKS = "id long, corporation_id long, company_id long, match_method string, name_similarity double, location_match string, provider_confidence double, match_confidence double, match_status string, run_id long, created_at string, updated_at string"
+LINKS = "id long, corporation_id long, company_id long, match_method string, name_similarity double, location_match string, provider_confidence double, match_confidence double, match_status string, run_id long, created_at string, updated_at string, exact_name_match boolean, city_match boolean, province_match boolean, alternate_name_match boolean, evidence_json string"
+#: What rows have in columns that came after they were written.
+DEFAULTS = {"links": {"match_status": "candidate", "evidence_json": "{}"}, "evidence": {"metadata": "{}"}}
 STATUSES = ("accepted", "candidate", "ambiguous", "rejected")
 EVIDENCE = "source string, source_key string, signal_type string, corporation_id long, company_id long, value_text string, value_number double, value_boolean boolean, match_confidence double, observed_at string, run_id long, id long, created_at string, updated_at string, metadata string"
 EVIDENCE_KEY = ["source", "source_key", "signal_type", "corporation_id", "company_id"]
@@ -58,9 +60,10 @@ class Engine:
             if schema is None:
                 raise LookupError(f"there is no table {name} yet")
             found = self.spark.createDataFrame([], schema)
-        elif schema is not None:  # columns that came later are null in older rows
+        elif schema is not None:  # columns that came later have their default in older rows, or null
             known = self.spark.createDataFrame([], schema).schema
-            found = found.select(*(F.col(f.name) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in known))
+            value = lambda f: F.coalesce(F.col(f.name) if f.name in found.columns else F.lit(None), F.lit(DEFAULTS.get(name, {}).get(f.name))).cast(f.dataType).alias(f.name)
+            found = found.select(*map(value, known))
         return found
 
     def _next(self, name: str, schema: str, key: str) -> int:
@@ -356,7 +359,9 @@ class Engine:
 
     def upsert_links(self, incoming: DataFrame, now: str) -> DataFrame:
         """Links of corporations and companies after computed ones; what a person decided stays."""
-        rows = intake.check(incoming, {"location_match": intake.one_of("location_match", ("city_province", "province", "none", "conflict")), "name_similarity": intake.between("name_similarity", 0, 1), "match_confidence": intake.between("match_confidence", 0, 1)})
+        share = {c: intake.between(c, 0, 1) for c in ("name_similarity", "match_confidence", "provider_confidence") if c in incoming.columns}
+        json_ = {"evidence_json": F.try_parse_json("evidence_json").isNotNull()} if "evidence_json" in incoming.columns else {}
+        rows = intake.check(incoming, {"location_match": intake.one_of("location_match", ("city_province", "province", "none", "conflict")), **share, **json_}, nullable=("provider_confidence", "evidence_json"))
         key = ["corporation_id", "company_id"]
         with self.store.lock():
             stored = self._table("links", LINKS)
@@ -366,6 +371,17 @@ class Engine:
             self.store.commit({"links": out})
         return self._table("links")
 
+    def decide_link(self, link_id: int, status: str, now: str) -> None:
+        """Set the status of a link of a corporation and a company; raises if there is none. Computed links leave it."""
+        if status not in STATUSES:
+            raise ValueError("no such status")
+        with self.store.lock():
+            links, mine = self._table("links", LINKS), F.col("id") == link_id
+            if not links.filter(mine).limit(1).count():
+                raise LookupError("there is no such link")
+            put = {"match_status": F.when(mine, F.lit(status)).otherwise(F.col("match_status")), "updated_at": F.when(mine, F.lit(now)).otherwise(F.col("updated_at"))}
+            self.store.commit({"links": links.withColumns(put)})
+
     def observe(self, source: str, source_key: str, signal: str, corporation_id: int | None, value, observed_at: str | None = None, match_confidence: float | None = None, company_id: int | None = None, metadata: dict | None = None, now: str | None = None) -> dict:
         """Set one observation of a corporation, a company or both by hand, or clear it with None; it belongs to no run,
         and runs leave it. Returns its id, and whether it was created or removed. Unknown targets are refused."""

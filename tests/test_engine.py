@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators import intake
 from tessera.operators.evidence import Signal
 from tessera.operators.store import Busy, Store
-from tessera.plans.engine import Cancelled, Engine
+from tessera.plans.engine import LINKS, Cancelled, Engine
 from tessera.sources import registry_csv
 from tessera.sources.workbook import json_lines
 from tests.test_registry import line, write
@@ -195,8 +195,17 @@ def test_companies_and_links(spark, tmp_path):
         e.upsert_companies(spark.createDataFrame([(" ", "1", None, None, -1.0, [])], shape), "t3")
     shape = "corporation_id long, company_id long, match_method string, name_similarity double, location_match string, match_confidence double"
     e.upsert_links(spark.createDataFrame([(1, 1, "exact", 1.0, "province", 0.8)], shape), "t1")
-    e.store.commit({"links": e._table("links").withColumn("match_status", F.lit("accepted"))})
+    e.decide_link(1, "accepted", "t1")
+    for bad, kind in (((1, "maybe", "t"), ValueError), ((9, "rejected", "t"), LookupError)):
+        with pytest.raises(kind):
+            e.decide_link(*bad)
     got = {r.company_id: (r.id, r.match_status, r.match_confidence, r.created_at, r.updated_at) for r in e.upsert_links(spark.createDataFrame([(1, 1, "exact", 1.0, "none", 0.4), (1, 2, "fuzzy", 0.9, "none", 0.3)], shape), "t2").collect()}
     assert got == {1: (1, "accepted", 0.4, "t1", "t2"), 2: (2, "candidate", 0.3, "t2", "t2")}
     with pytest.raises(ValueError):
         e.upsert_links(spark.createDataFrame([(1, 1, "exact", 1.5, "none", 0.4)], shape), "t3")
+    more = shape + ", provider_confidence double, city_match boolean, evidence_json string"
+    for bad in ((1.2, "{}"), (0.5, "{")):
+        with pytest.raises(ValueError):
+            e.upsert_links(spark.createDataFrame([(1, 2, "fuzzy", 0.9, "none", 0.3, bad[0], True, bad[1])], more), "t4")
+    got = {r.company_id: r for r in e.upsert_links(spark.createDataFrame([(1, 2, "fuzzy", 0.9, "none", 0.3, None, True, '{"a": 1}')], more), "t4").collect()}
+    assert (got[2].city_match, got[2].evidence_json, got[2].provider_confidence, got[1].city_match, e._table("links", LINKS).filter("company_id = 1").first().evidence_json) == (True, '{"a": 1}', None, None, "{}")
