@@ -6,7 +6,6 @@ import os
 import time
 
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.operators import intake
 from tessera.operators.evidence import Signal
