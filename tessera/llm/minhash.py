@@ -6,8 +6,10 @@
    the depth asked for grows with the number of classes that share the shorter prefix (`DEPTHS`).
 3. Candidates chain to clusters of at most what the forest says is near. The full sets of a cluster of up to `BLOCK`
    texts meet at once. Of a larger one all are compared with its representative first, in blocks that each have a copy
-   of it; only those that are not linked with it meet the whole cluster, in pairs of blocks. A block returns no more
-   links than it has texts.
+   of it. Of what isn't linked with it, up to `BLOCK` texts meet the whole cluster, block by block: each member is
+   sent once or twice. Where more is left, as where unlike texts chain by a passage that all of them hold, the cluster
+   is parted by rare shingles (`rare_edges`, which loses no link), and its parts are settled in the same way, in
+   pairs of blocks at last. A block returns no more links than it has texts.
 
 A pair at similarity 0.75 misses all 40 trees at depth 4 with a chance of 3e-7, at depth 5 with 2e-5 and at depth 6
 with 4e-4.
@@ -19,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, runs, shuffle_width, small_side
@@ -247,28 +249,82 @@ def _own(node: str, blocks: str):
     return F.pmod(F.xxhash64(node), F.col(blocks)).cast("int")
 
 
-def links(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) that connect what is linked inside the candidate clusters of edges."""
-    width = shuffle_width(docs.sparkSession)
-    clusters = cut(components(edges), "clusters").withColumnRenamed("component", "cluster")
+def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts of the nodes of rows; the same join at every size: broadcast rows would not stay small."""
+    return docs.select("doc_id", "text").join(rows.hint("merge"), F.col("doc_id") == F.col("node"))
+
+
+def _settle(docs: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, rest) of clusters (node, cluster): a cluster of one block is compared at once, a larger one with its
+    representative. rest are the members of larger ones that aren't linked with it, and n is a member's number of blocks."""
     large = small_side(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > BLOCK).select("cluster", _blocks("size").alias("n")))
     members = cut(clusters.join(large, "cluster", "left").withColumn("n", F.coalesce("n", F.lit(1))), "members")
-    # the same join at every size: broadcast members would not stay small
-    texts = lambda rows: docs.select("doc_id", "text").join(rows.hint("merge"), F.col("doc_id") == F.col("node"))
     lead = (F.col("node") == F.col("cluster")) & (F.col("n") > 1)
-    dealt = texts(members.withColumn("own", _own("node", "n"))).select("cluster", "n", lead.alias("lead"), F.explode(F.when(lead, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array("own"))).alias("i"), "doc_id", "text")
-    first = cut(dealt.repartition(width, "cluster", "i").sortWithinPartitions("cluster", "i").mapInArrow(_confirm, "a long, b long"), "first")
-    rest = cut(first.filter("b is null").select(F.col("a").alias("node")).distinct().join(members.hint("merge"), "node"), "rest")
-    found = first.filter("b is not null")
-    if not rest.limit(1).count():
-        return found
+    dealt = _texts(docs, members.withColumn("own", _own("node", "n"))).select("cluster", "n", lead.alias("lead"), F.explode(F.when(lead, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array("own"))).alias("i"), "doc_id", "text")
+    first = cut(dealt.repartition(shuffle_width(docs.sparkSession), "cluster", "i").sortWithinPartitions("cluster", "i").mapInArrow(_confirm, "a long, b long"), "first")
+    rest = first.filter("b is null").select(F.col("a").alias("node")).distinct().join(members.hint("merge"), "node")
+    return members, first.filter("b is not null"), cut(rest.select("node", "cluster", "n"), "rest")
+
+
+def _meeting(docs: DataFrame, members: DataFrame, rest: DataFrame) -> DataFrame:
+    """The texts of every pair of blocks (i, j) of a cluster's rest (lead) and of its members."""
     few = small_side(rest.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).select("cluster", _blocks("size").alias("m")))
-    key = ["cluster", "i", "j"]
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rest.join(few, "cluster").select("cluster", F.lit(True).alias("lead"), _own("node", "m").alias("i"), spread("n").alias("j"), "node")
     right = members.join(few, "cluster").select("cluster", F.lit(False).alias("lead"), _own("node", "n").alias("j"), spread("m").alias("i"), "node")
-    pairs = texts(left.unionByName(right)).select(*key, "lead", "doc_id", "text")
-    return found.unionByName(pairs.repartition(width, *key).sortWithinPartitions(*key).mapInArrow(_meet, "a long, b long"))
+    return _texts(docs, left.unionByName(right)).select("cluster", "i", "j", "lead", "doc_id", "text")
+
+
+KEYS = "doc_id long, own long, size int, key long"
+
+
+def _keys(batches):
+    """A row for each shingle of each text: key tells shingles apart by cluster, own the texts of one doc_id."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            sets = [s for _, s in shingle_sets(part.column(2))]
+            size = np.array([len(s) for s in sets])
+            flat = np.concatenate(sets)
+            salt = mix(part.column(0).to_numpy().view(np.uint64) + np.uint64(1))
+            own = np.array([np.bitwise_xor.reduce(mix(s)) for s in sets], np.uint64).view(np.int64)
+            each = [part.column(1).to_numpy(), own, size.astype(np.int32)]
+            key = mix(flat ^ np.repeat(salt, size)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(x, size)) for x in each), pa.array(key)], names=["doc_id", "own", "size", "key"])
+
+
+def rare_edges(held: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all texts of a cluster which share one of their rarest shingles. Wants cluster, doc_id, text.
+
+    With the shingles of a cluster in one order, two sets at the threshold hold at least PERCENT of either set in common, so
+    their first common shingle has PERCENT of each set at or after it. Order by the number of texts that hold a
+    shingle, the rarest first, leaves out what a whole cluster shares; shingles of one text come first and link nothing.
+    """
+    rows = cut(held.select("cluster", "doc_id", "text").mapInArrow(_keys, KEYS), "keys")
+    shared = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").hint("merge"), "key")
+    from_end = F.row_number().over(Window.partitionBy("doc_id", "own").orderBy(F.desc("n"), F.desc("key")))
+    rare = cut(shared.withColumn("q", from_end).filter(100 * F.col("q") >= PERCENT * F.col("size")).select("doc_id", "key"), "rare")
+    least = rare.groupBy("key").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    return rare.join(least.hint("merge"), "key").filter(F.col("doc_id") != F.col("b")).select(F.col("doc_id").alias("a"), "b").distinct()
+
+
+def links(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) that connect what is linked inside the candidate clusters of edges."""
+    members, found, rest = _settle(docs, cut(components(edges), "clusters").withColumnRenamed("component", "cluster"))
+    sizes = small_side(rest.groupBy("cluster").agg(F.count(F.lit(1)).alias("left")))
+    if not sizes.limit(1).count():
+        return found
+    of = lambda rows, which: rows.join(sizes.filter(which), "cluster").drop("left")
+    held = cut(_texts(docs, members.join(sizes, "cluster")).select("cluster", "left", "doc_id", "text"), "held")
+    small, big = F.col("left") <= BLOCK, F.col("left") > BLOCK
+    members, rest, crowded = of(members, small), of(rest, small), held.filter(big)
+    if crowded.limit(1).count():
+        narrow = cut(components(rare_edges(crowded)), "narrow").withColumnRenamed("component", "cluster")
+        closer, more, others = _settle(crowded, narrow)
+        members, found, rest = members.unionByName(closer), found.unionByName(more), rest.unionByName(others)
+    key = ["cluster", "i", "j"]
+    met = _meeting(held, members, rest).repartition(shuffle_width(docs.sparkSession), *key).sortWithinPartitions(*key)
+    return found.unionByName(met.mapInArrow(_meet, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -83,3 +83,73 @@ def test_recall_of_vectors(spark):
     want = components(range(len(u)), links)
     assert sum(got[i][1] == want[i] for i in got) >= 0.9995 * len(u)
     print("recall of links", found / degree.sum())
+
+
+def boilerplate(n, seed=11):
+    """n texts that share a block of 58 of their 100 words; every 50th has a near copy, which differs in one word."""
+    r = random.Random(seed)
+    block = [f"b{k}" for k in range(58)]
+    rows = []
+    for i in range(n):
+        own = [f"o{r.randint(0, 1 << 40)}" for _ in range(42)]
+        rows.append((i, " ".join(own[:21] + block + own[21:])))
+        if i % 50 == 0:
+            own[3] = "x"
+            rows.append((1_000_000 + i, " ".join(own[:21] + block + own[21:])))
+    return rows
+
+
+def test_texts_of_a_boilerplate_cluster_are_sent_in_proportion(spark, monkeypatch):
+    sent, inner = [], minhash._texts
+
+    def texts(docs, rows):
+        out = inner(docs, rows)
+        sent[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "_texts", texts)
+    for n in (1500, 3000, 6000):
+        sent.append(0)
+        rows = boilerplate(n)
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(corpus(spark, rows)).collect()}
+        assert got == {i: i % 1_000_000 for i, _ in rows}
+    print("texts sent", sent)
+    assert sent[0] > 1500 and all(b <= 2.2 * a for a, b in zip(sent, sent[1:], strict=False)), sent
+    assert sent[-1] <= 4 * 6120
+
+
+def test_parts_by_rare_shingles_lose_no_link(spark, monkeypatch):
+    # chains, groups and boilerplate in clusters of many small blocks
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    called, inner = [], minhash.rare_edges
+    monkeypatch.setattr(minhash, "rare_edges", lambda held: called.append(1) or inner(held))
+    block = " " + " ".join(f"b{k}" for k in range(140)) + " "
+    rows = [(i, f"{t[: len(t) // 2]}{block}{t[len(t) // 2 :]}") for i, t in group_of_near_copies(160, 9)]
+    rows += [(5000 + i, t) for i, t in boilerplate(100, 4)]
+    rows += [(3, "a second text of one id " + rows[7][1]), (9, None), (None, rows[4][1])]
+    df = corpus(spark, rows)
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in minhash.near_duplicates(df).collect() if r.doc_id not in (3, 9, None)}
+    want = brute(sets_of([x for x in rows if x[0] not in (3, 9, None)]))
+    sizes = {i: len(s) for i, s in sets_of([x for x in rows if x[0] not in (3, 9, None)]).items()}
+    assert called
+    apart = [i for i in want if got[i, sizes[i]] != want[i]]
+    # id 3 holds two texts, 9 none: only components that pass through them may differ
+    assert all(got[i, sizes[i]] in (3, 9) or want[i] in (3, 9) for i in apart), apart
+
+
+def test_rare_edges_like_brute_force(spark):
+    r = random.Random(2)
+    words_of = lambda k: [f"w{r.randint(0, 60)}" for _ in range(k)]
+    base, rows = [words_of(r.choice((3, 8, 30, 60))) for _ in range(30)], []
+    for i in range(240):
+        t = list(base[i % 30])
+        for _ in range(r.randint(0, 3)):
+            t[r.randrange(len(t))] = f"w{r.randint(0, 60)}"
+        rows.append((i % 2, i, " ".join(t)))
+    held = spark.createDataFrame(rows, "cluster long, doc_id long, text string")
+    got = {x.node: x.component for x in graph.components(minhash.rare_edges(held)).collect()}
+    sets = sets_of([(i, t) for _, i, t in rows])
+    for c, i, _ in rows:
+        for d, j, _ in rows:
+            if c == d and i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                assert got[i] == got[j]
