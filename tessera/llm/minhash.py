@@ -301,10 +301,12 @@ def rare_edges(held: DataFrame) -> DataFrame:
     shingle, the rarest first, leaves out what a whole cluster shares; shingles of one text come first and link nothing.
     """
     rows = cut(held.select("cluster", "doc_id", "text").mapInArrow(_keys, KEYS), "keys")
-    shared = rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").hint("merge"), "key")
+    # counts and least ids are written, so that the joins stand on two exchanges of their own and a common shingle can be split
+    often = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "often")
+    shared = rows.join(often.hint("merge"), "key")
     from_end = F.row_number().over(Window.partitionBy("doc_id", "own").orderBy(F.desc("n"), F.desc("key")))
     rare = cut(shared.withColumn("q", from_end).filter(100 * F.col("q") >= PERCENT * F.col("size")).select("doc_id", "key"), "rare")
-    least = rare.groupBy("key").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    least = cut(rare.groupBy("key").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "least")
     return rare.join(least.hint("merge"), "key").filter(F.col("doc_id") != F.col("b")).select(F.col("doc_id").alias("a"), "b").distinct()
 
 
