@@ -4,8 +4,11 @@ A mask lists the token places that a seed reads; the others may differ. Each cla
 of its own, so that every overlap that the verifier accepts has a seed, wherever the differing tokens are (a
 test goes through all patterns). Items too short for a substitution are sought exactly. Each seed of the benchmark sets two
 bits of a filter that grows with the number of seeds; one pass over the documents keeps the stretches around seeds that pass it. Seeds
-are then joined exactly, and each diagonal (document place less item place) is verified on the tokens:
-`SPAN` tokens in line, or a whole shorter item, of which at least `SHARE` agree.
+are then joined exactly. A seed carries a byte of each of the 32 tokens around it, which hold every window that the seed can
+be in, so the join itself counts agreeing tokens and lets go of places that share a phrase but can't overlap enough: where
+thousands of documents and hundreds of items have a phrase in common, tokens aren't looked up for all their pairs. Each diagonal
+(document place less item place) that is left is verified on the tokens: `SPAN` tokens in line, or a whole shorter item, of which at
+least `SHARE` agree.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ MASKS = {
 }
 EXACT_BELOW = min(MASKS)  #: shorter items have to agree in all tokens
 WIDTH = max(len(m) for x in MASKS.values() for m in x)
+BEFORE = 12  #: tokens before a seed that a window with it may have; a test holds it against the masks
+AROUND = BEFORE + SPAN
 SEED_BITS, LEAST_FILTER, MOST_FILTER = 32, 1 << 20, 1 << 30  #: bits of the filter for each seed, and bounds of its size in bits: 128 MB are broadcast at most
 
 # letters, digits and bytes above ASCII make tokens
@@ -63,30 +68,45 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-SEEDS = "item_id long, n int, h long, at int, tokens array<long>"
+def _around(h: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, none: int) -> np.ndarray:
+    """AROUND bytes for each place, as four longs: one of the token there, or `none` outside lo:hi, the bounds of its text."""
+    of = (mix(h) % np.uint64(254)).astype(np.uint8) + np.uint8(2)
+    out = np.full((len(at), AROUND), none, np.uint8)
+    for j in range(AROUND if len(at) else 0):
+        place = at + (j - BEFORE)
+        inside = (place >= lo) & (place < hi)
+        out[inside, j] = of[place[inside]]
+    return out.view("<i8")
+
+
+#: Bytes that stand for no token; two such places don't agree.
+NO_ITEM, NO_DOCUMENT = 0, 1
+_AROUND = tuple(f"c{k}" for k in range(AROUND // 8))
+SEEDS = "item_id long, n int, h long, at int, tokens array<long>, " + ", ".join(f"{c} long" for c in _AROUND)
 
 
 def _item_seeds(batches):
     """A row for each seed of each item; the first of an item also has its tokens."""
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.int64()] * len(_AROUND))
     for batch in batches:
         ids, rows = batch.column(0).to_pylist(), []
         for w in chunks(pc.utf8_lower(batch.column(1)), FOLD):
             for i in range(len(w.bounds) - 1):
                 h = w.h[w.bounds[i] : w.bounds[i + 1]]
                 n = len(h)
-                if ids[w.first + i] is None:
+                if ids[w.first + i] is None or not n:
                     continue
+                near = _around(h, np.arange(n), np.zeros(n, np.int64), np.full(n, n), NO_ITEM).tolist()
                 for j, (number, mask) in enumerate(masks_of(n)):
                     at = np.arange(n - len(mask) + 1)
                     for k, (a, s) in enumerate(zip(at.tolist(), _seed(h, at, number, mask).view(np.int64).tolist(), strict=True)):
-                        rows.append((ids[w.first + i], n, s, a, h.view(np.int64).tolist() if j == k == 0 else None))
-        cols = zip(*rows, strict=True) if rows else [[]] * 5
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["item_id", "n", "h", "at", "tokens"])
+                        rows.append((ids[w.first + i], n, s, a, h.view(np.int64).tolist() if j == k == 0 else None, *near[a]))
+        cols = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["item_id", "n", "h", "at", "tokens", *_AROUND])
 
 
-STRETCHES = "doc_id long, start int, tokens array<long>, seeds array<struct<h:long,at:int>>"
-_seed_type = pa.struct([("h", pa.int64()), ("at", pa.int32())])
+STRETCHES = "doc_id long, start int, tokens array<long>, seeds array<struct<h:long,at:int," + ",".join(f"{c}:long" for c in _AROUND) + ">>"
+_seed_type = pa.struct([("h", pa.int64()), ("at", pa.int32()), *((c, pa.int64()) for c in _AROUND)])
 
 
 def _stretches(bits: np.ndarray, masks: list[tuple[int, str]]):
@@ -108,15 +128,16 @@ def _stretches(bits: np.ndarray, masks: list[tuple[int, str]]):
                 order = np.argsort(at, kind="stable")
                 at, s = at[order], s[order].view(np.int64)
                 text = np.searchsorted(w.bounds, at, "right") - 1
+                near = _around(w.h, at, w.bounds[text], w.bounds[text + 1], NO_DOCUMENT)
                 new = np.flatnonzero(np.concatenate(([True], (at[1:] - at[:-1] > 2 * SPAN) | (text[1:] != text[:-1]))))
                 for a, b in zip(new, [*new[1:], len(at)], strict=True):
                     i = text[a]
                     lo, hi = max(w.bounds[i], at[a] - SPAN), min(w.bounds[i + 1], at[b - 1] + WIDTH + SPAN)
-                    out.append((ids[w.first + i].as_py(), int(lo - w.bounds[i]), w.h[lo:hi].view(np.int64), s[a:b], (at[a:b] - lo).astype(np.int32)))
+                    out.append((ids[w.first + i].as_py(), int(lo - w.bounds[i]), w.h[lo:hi].view(np.int64), s[a:b], (at[a:b] - lo).astype(np.int32), near[a:b]))
             if out:
-                doc, start, tokens, h, at = zip(*out, strict=True)
+                doc, start, tokens, h, at, near = zip(*out, strict=True)
                 lists = [pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)) for x in (tokens, h)]
-                pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(h)), pa.array(np.concatenate(at))], fields=list(_seed_type))
+                pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(h)), pa.array(np.concatenate(at)), *map(pa.array, np.concatenate(near).T)], fields=list(_seed_type))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.ListArray.from_arrays(lists[0], pa.array(np.concatenate(tokens))), pa.ListArray.from_arrays(lists[1], pairs)],
                     names=["doc_id", "start", "tokens", "seeds"],
@@ -156,6 +177,27 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "first_word", "end_word", "agreeing"])
 
 
+def _may_agree(a: str, b: str):
+    """Whether enough of the AROUND bytes of aliases a and b are equal for a window of b's item. Never false for an overlap:
+    equal tokens have equal bytes, and all tokens of a window with the seed are among them."""
+    equal = F.lit(0)
+    for c in _AROUND:
+        x = F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
+        for k in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+        # the lowest bit of each byte now tells whether it has any; shifts carry bits of other bytes into higher ones only
+        equal += F.bit_count(F.bitwise_not(x).bitwiseAND(F.lit(0x0101010101010101)))
+    n = F.col(f"{b}.n")
+    return 100 * equal >= F.least(n, F.lit(SPAN)) * F.when(n < EXACT_BELOW, 100).otherwise(round(100 * SHARE))
+
+
+def _diagonals(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Stretches and items to verify, with the shift of each: equal seeds around which enough tokens may agree."""
+    hits = found.select("doc_id", "start", F.inline("seeds")).alias("d")
+    met = hits.join(seeds.drop("tokens").alias("i"), (F.col("d.h") == F.col("i.h")) & _may_agree("d", "i"))
+    return met.select("doc_id", "start", "item_id", "n", (F.col("d.at") - F.col("i.at")).alias("shift")).distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and benchmark item that overlap: doc_id, item_id, first_word, end_word, agreeing.
 
@@ -182,8 +224,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     found = cut(texts.mapInArrow(scan, STRETCHES), "stretches")
-    hits = found.select("doc_id", "start", F.inline("seeds"))
-    lines = hits.withColumnRenamed("at", "doc_at").join(seeds.select("h", "item_id", "n", F.col("at").alias("item_at")), "h").select("doc_id", "start", "item_id", "n", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
+    lines = _diagonals(found, seeds)
     tokens = seeds.filter("tokens is not null").select("item_id", "n", F.col("tokens").alias("item_tokens"))
     pairs = lines.join(found.select("doc_id", "start", "tokens"), ["doc_id", "start"]).join(tokens, ["item_id", "n"])
     verified = pairs.select("doc_id", "start", "item_id", "shift", "n", "tokens", "item_tokens").mapInArrow(_verify, FOUND)

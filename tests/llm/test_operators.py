@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, embeddings, minhash, mixture, queries, substrings, token_counts, toxicity, warc
-from tessera.llm.common import read_table
+from tessera.llm.common import cut, read_table
 from tests.conftest import SF
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -158,6 +158,33 @@ def test_seeds_of_every_overlap():
         places = [{i + at for i in m} for m in masks for at in range(n - m[-1])]
         differ = max(k for k in range(n) if n - k >= decontaminate.SHARE * n)
         assert all(any(p.isdisjoint(off) for p in places) for off in itertools.combinations(range(n), differ)), n
+        # the tokens around a seed hold each window with it; longer items have windows of SPAN
+        longest = decontaminate.SPAN if n == decontaminate.SPAN else max(k for k in range(n, decontaminate.SPAN) if decontaminate.masks_of(k) == decontaminate.masks_of(n))
+        assert all(longest - 1 - m[-1] <= decontaminate.BEFORE for m in masks)
+
+
+def test_phrase_of_many_documents_and_items(spark, monkeypatch):
+    """Documents and items that share twelve words are joined on them, but no tokens are looked up for nearly all pairs."""
+    r = random.Random(12)
+    say = lambda n: [f"w{r.randint(0, 5000)}" for _ in range(n)]
+    phrase = say(12)
+    items = {k: say(15) + phrase + say(15) for k in range(100)}
+    rows = [(k, " ".join(say(40) + phrase + say(40))) for k in range(1000)]
+    bent = [["y" if i in (3, 9, 14, 30) else w for i, w in enumerate(items[k])] for k in range(5)]
+    # at the very start and end of a text too
+    rows += [(2000 + k, " ".join(say(40 * (k != 1)) + text + say(40 * (k != 2)))) for k, text in enumerate(bent)]
+    sent = []
+
+    def watched(*sides, diagonals=decontaminate._diagonals):
+        out = cut(diagonals(*sides))
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(decontaminate, "_diagonals", watched)
+    bench = spark.createDataFrame([(k, " ".join(text)) for k, text in items.items()], "item_id long, text string")
+    got = decontaminate.contaminated(corpus(spark, rows), bench).collect()
+    assert sorted((x.doc_id, x.item_id) for x in got) == [(2000 + k, k) for k in range(5)]
+    assert 5 <= sent[0] <= len(rows) + len(items)
 
 
 def test_decontamination_of_short_and_bent_items(spark):
