@@ -116,14 +116,14 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), WORD, " "))
 
 
-TABLE = "array<struct<gram:string,template:int,licence:string,words:int,size:int,family:int,reach:int>>"
+TABLE = "array<struct<gram:string,template:int,licence:string,words:int,size:int,least:int,family:int,reach:int>>"
 
 
-def template_grams(templates) -> list[dict]:
-    """A row for each bigram of each template: with its words, distinct bigrams, family and the words of the longest one in it."""
+def template_grams(templates, least: float = DICE) -> list[dict]:
+    """A row for each bigram of each template: with its words, distinct bigrams, those that a unit needs, family and the words of the longest one in it."""
     related, words = families(templates), [len(words_of(t)) for _, t in templates]
     reach = {f: max(w for w, g in zip(words, related, strict=True) if g == f) for f in related}
-    return [{"gram": g, "template": k, "licence": name, "words": words[k], "size": len(grams), "family": related[k], "reach": reach[related[k]]} for k, (name, text) in enumerate(templates) for grams in [bigrams_of(text)] for g in grams]
+    return [{"gram": g, "template": k, "licence": name, "words": words[k], "size": len(grams), "least": needed(len(grams), least), "family": related[k], "reach": reach[related[k]]} for k, (name, text) in enumerate(templates) for grams in [bigrams_of(text)] for g in grams]
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, least: float = DICE) -> DataFrame:
@@ -142,8 +142,11 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = DICE) -> DataFrame
     pairs = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
     grams = words.select("doc_id", "key", (F.size("words") - 1).alias("n"), F.posexplode(pairs).alias("at", "gram")).filter("gram is not null")
     # as many rows as the templates have bigrams
-    known = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(template_grams(templates))), TABLE)))
-    hits = grams.join(F.broadcast(known), "gram").groupBy("doc_id", "key", "n", "at", "gram", "template", "licence", "words", "size", "family", "reach").count().drop("count")
+    known = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(template_grams(templates, least))), TABLE)))
+    # a text with fewer bigrams than every unit of a template needs can't hold one; nor can one that shares too few with it anywhere
+    sized = grams.join(F.broadcast(known), "gram").filter("n >= least")
+    hits = sized.groupBy("doc_id", "key", "n", "at", "gram", "template", "licence", "words", "size", "least", "family", "reach").count().drop("count")
+    hits = hits.withColumn("anywhere", F.expr("size(collect_set(gram) over (partition by doc_id, `key`, template))")).filter("anywhere >= least")
     unit = "over (partition by doc_id, `key`, template order by at / (words - 1) range between current row and 0.9999D following)"
     met = hits.withColumns({"shared": F.expr(f"size(collect_set(gram) {unit})"), "all": F.expr(f"count(1) {unit}")})
     size = F.least(F.col("words") - 1, F.col("n") - F.col("at")) - F.col("all") + F.col("shared")
@@ -157,7 +160,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = DICE) -> DataFrame
 
 def sql(templates=TEMPLATES, least: float = DICE) -> str:
     """The scan as DuckDB SQL over documents."""
-    rows = ", ".join("('{gram}', {template}, '{licence}', {words}, {size}, {family}, {reach})".format(**r) for r in template_grams(templates))
+    rows = ", ".join("('{gram}', {template}, '{licence}', {words}, {size}, {family}, {reach})".format(**r) for r in template_grams(templates, least))
     unit = "(PARTITION BY doc_id, text, template ORDER BY pos RANGE BETWEEN CURRENT ROW AND words - 2 FOLLOWING)"
     return f"""
 WITH t(gram, template, licence, words, size, family, reach) AS (VALUES {rows}),
