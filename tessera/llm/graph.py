@@ -1,7 +1,10 @@
-"""Connected components as rounds of grouped minima and joins."""
+"""Connected components as rounds of grouped minima and joins over edges that each partition has contracted."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,44 @@ from tessera.llm.common import cut, discard
 
 #: A node with more than a share of 1 / SHARES of all edges is a hub; there are at most 4 * SHARES hubs.
 SHARES, LEAST_HUB = 1024, 256
+MOST_HELD = 1 << 20  #: edges that a task contracts at a time
+
+
+def _stars(edges: pa.Table) -> pa.RecordBatch:
+    """Edges (node, least node) that connect what these connect."""
+    both = pa.chunked_array([*edges["a"].chunks, *edges["b"].chunks], edges.schema.field("a").type)
+    nodes = both.unique().sort()
+    at = pc.index_in(both, nodes).to_numpy()
+    a, b = at[: edges.num_rows], at[edges.num_rows :]
+    up = np.arange(len(nodes))
+    while True:
+        x, y = up[a], up[b]
+        off = x != y
+        if not off.any():
+            break
+        a, b, x, y = a[off], b[off], x[off], y[off]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (up != (further := up[up])).any():
+            up = further
+    low = np.flatnonzero(up != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([nodes.take(pa.array(low)), nodes.take(pa.array(up[low]))], names=["a", "b"])
+
+
+def _contract(batches):
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= MOST_HELD:
+            yield _stars(pa.Table.from_batches(held))
+            held, rows = [], 0
+    if rows:
+        yield _stars(pa.Table.from_batches(held))
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """edges, those of a partition replaced by stars around the least node of what they connect; loses no connection."""
+    return edges.mapInArrow(_contract, edges.schema)
 
 
 def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
@@ -28,26 +69,31 @@ def _star(edges: DataFrame, large: bool, hub: int) -> DataFrame:
     return hung.filter("a <> b").distinct()
 
 
+def _unsettled(edges: DataFrame):
+    """The number of edges, and that of nodes with several smaller neighbours, or with a smaller and a larger one: none in a forest of stars."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return nodes.agg(F.coalesce(F.sum("ups"), F.lit(0)), F.count_if((F.col("ups") > 1) | (F.col("ups") > F.col("least")))).first()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of undirected edges (a, b): the least node that it reaches.
 
-    Large-star and small-star rounds alternate until the edges stay as they are; each round's edges
-    are written to the shared folder, and those of the round before deleted. Nodes are of any type that has an order.
-    Loops and null ends are left out, an empty input gives no rows.
+    Each partition contracts its edges, before and after equal ones meet, so that few rounds are left; large-star and small-star rounds alternate until
+    each node has one edge, to the least that it reaches. A round's edges are written to the shared folder, and those of
+    the round before deleted. Nodes are of any type that has an order. Loops and null ends are left out, an empty input
+    gives no rows.
     """
-    edges = cut(edges.filter("a <> b").select("a", "b").distinct(), "edges")
-    hub = max(LEAST_HUB, edges.count() // SHARES)
-    seen = None
-    for _ in range(rounds):
-        before = edges
-        edges = cut(_star(_star(edges, True, hub), False, hub), "edges")
+    edges = cut(_contracted(_contracted(edges.filter("a <> b").select("a", "b")).distinct()), "edges")
+    n, left = _unsettled(edges)
+    hub = max(LEAST_HUB, n // SHARES)
+    while left and rounds:
+        before, rounds = edges, rounds - 1
+        edges = cut(_contracted(_star(_star(edges, True, hub), False, hub)), "edges")
         discard(before)
-        mark = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31)))).first()
-        if mark == seen:
-            break
-        seen = mark
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        left = _unsettled(edges)[1]
+    if left:
+        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import embeddings, graph, minhash
+from tessera.llm.common import cut
 from tests.llm.test_operators import components, corpus, words
 
 
@@ -62,6 +63,25 @@ def test_hubs_and_chains(spark, monkeypatch):
     assert {int(x.node): int(x.component) for x in graph.components(text).collect()} == got
 
 
+def test_few_rounds(spark, monkeypatch):
+    # each round adds some dozen stages to what the driver keeps: a chain and pairs, in one partition and in several
+    writes = []
+    monkeypatch.setattr(graph, "cut", lambda df, name: writes.append(name) or cut(df, name))
+    order = random.Random(11).sample(range(3000), 3000)
+    links = [*zip(order[:2000], order[1:2000], strict=False), *zip(order[2000::2], order[2001::2], strict=True)]
+    want = components(order, links)
+    df = spark.createDataFrame(links, "a long, b long")
+    for together, most in (("true", 1), ("false", 9)):
+        monkeypatch.setattr(graph, "LEAST_HUB", 4096 if together == "true" else 16)
+        writes.clear()
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", together)
+        try:
+            assert {x.node: x.component for x in graph.components(df).collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert len(writes) <= most
+
+
 def test_recall_of_vectors(spark):
     """12,000 vectors, a tenth of them pairs just above the threshold, and a group of several blocks."""
     g = np.random.default_rng(5)
