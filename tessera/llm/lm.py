@@ -73,10 +73,28 @@ def tokens(column: pa.Array):
         yield Tokens(w.first, w.bounds + np.arange(len(w.bounds)), np.insert(w.h, w.bounds[1:], END), w)
 
 
-def before(t: Tokens, rank: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray]:
+class Kept(NamedTuple):
+    """What is left to score of a chunk's texts: a number for each token, and the words without a code."""
+
+    bounds: np.ndarray
+    symbol: np.ndarray
+    place: np.ndarray  #: of the words without a code among the tokens
+    h: np.ndarray
+    data: np.ndarray  #: their bytes, one after the other
+    ends: np.ndarray
+
+
+def kept(t: Tokens, symbol: np.ndarray, coded: int) -> Kept:
+    place = np.flatnonzero(symbol == coded)
+    i = place - np.searchsorted(t.bounds, place, "right") + 1
+    starts, ends = t.words.starts[i], t.words.ends[i]
+    return Kept(t.bounds, symbol.astype(np.int32), place, t.h[place], pick(t.words.data, starts, ends), np.cumsum(ends - starts))
+
+
+def before(t: Tokens | Kept, rank: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray]:
     """For each token, by frequency ranks: the last common word before it, over the whole text so far, and the word
     just before if it is a frequent one; 0 for none."""
-    place = np.arange(len(t.h))
+    place = np.arange(int(t.bounds[-1]))
     begin = np.repeat(t.bounds[:-1], np.diff(t.bounds))
     at = np.concatenate(([-1], np.maximum.accumulate(np.where(rank < COMMON, place, -1))[:-1]))
     common = np.where(at >= begin, rank[at] + 1, 0)
@@ -695,12 +713,11 @@ def rare_bits(text: np.ndarray, h: np.ndarray, bits: np.ndarray, new: np.ndarray
     return np.where(had > 0, -np.logaddexp2(-plain, -copied), plain)
 
 
-def spell(m: Model, t: Tokens, place: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
-    """Bits that it takes to spell the words at these token places, in order."""
-    if not len(place):
+def spell(m: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+    """Bits that it takes to spell these words, in order of text."""
+    if not len(starts):
         return np.zeros(0)
-    i = place - text
-    byte, first, own = spelled(t.words.data, t.words.starts[i], t.words.ends[i])
+    byte, first, own = spelled(data, starts, ends)
     bounds = np.append(first, len(byte))[np.searchsorted(text, np.arange(texts + 1))]
     return np.add.reduceat(coded(m.letters, byte, own, bounds), first)
 
@@ -744,15 +761,22 @@ _scores = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known
 
 def text_bits(m: Model, t: Tokens, symbol: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Bits of each token of a chunk's texts, given their places in the vocabulary and exact counts in training."""
-    v, texts = m.vocabulary, len(t.bounds) - 1
-    cost = coded(m.words, symbol, word_contexts(*before(t, m.words.code.rank[symbol], m.frequent)), t.bounds)
-    rare = np.flatnonzero(symbol == len(v.h))
-    text = np.repeat(np.arange(texts), np.diff(t.bounds))[rare]
-    new = count[rare] == 0
+    k = kept(t, symbol, len(m.vocabulary.h))
+    return kept_bits(m, k, count[k.place])
+
+
+def kept_bits(m: Model, k: Kept, count: np.ndarray) -> np.ndarray:
+    """The same, given the counts of the words without a code."""
+    v, texts = m.vocabulary, len(k.bounds) - 1
+    symbol = k.symbol.astype(np.int64)
+    cost = coded(m.words, symbol, word_contexts(*before(k, m.words.code.rank[symbol], m.frequent)), k.bounds)
+    text = np.searchsorted(k.bounds, k.place, "right") - 1
+    new = count == 0
     total = max(v.total - int(v.n.sum()), 0)
-    own = -np.log2(np.maximum(count[rare], 1) / max(total, 1))
-    own[new] = spell(m, t, rare[new], text[new], texts)
-    cost[rare] += rare_bits(text, t.h[rare], own, new, min(max(v.once / max(total, 1), 0.005), 0.95))
+    own = -np.log2(np.maximum(count, 1) / max(total, 1))
+    starts = np.append(0, k.ends)[:-1]
+    own[new] = spell(m, k.data, starts[new], k.ends[new], text[new], texts)
+    cost[k.place] += rare_bits(text, k.h, own, new, min(max(v.once / max(total, 1), 0.005), 0.95))
     return cost
 
 
@@ -762,21 +786,22 @@ def _score(broadcast):
             return table([], _scores)
         m: Model = broadcast.value
         v = m.vocabulary
+        # texts are parted and their tokens looked up once; what is kept takes some five bytes a token
+        found = Index(v.h)
+        held = [kept(t, found.find(t.h), len(v.h)) for t in tokens(texts["text"])]
         # the words that the group asked for, in the order in which it did
-        rare, found = _rare(tokens(texts["text"]), v.h), Index(v.h)
+        rare = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k.h for k in held)]))
         number = np.concatenate([np.zeros(0, np.int64), *(numbers(x, np.int64) for x in answers.sort_by("shard")["counts"].to_pylist())])
         among = Index(rare)
         n_tokens, n_known, base, bits = [], [], [], []
-        for t in tokens(texts["text"]):
-            symbol = found.find(t.h)
-            c = np.append(v.n, 0)[symbol]
-            other = np.flatnonzero(symbol == len(v.h))
-            c[other] = number[among.find(t.h[other])]
-            starts = t.bounds[:-1]
-            n_tokens.append(np.diff(t.bounds))
+        for k in held:
+            c, count = np.append(v.n, 0)[k.symbol], number[among.find(k.h)]
+            c[k.place] = count
+            starts = k.bounds[:-1]
+            n_tokens.append(np.diff(k.bounds))
             n_known.append(np.add.reduceat((c > 0).astype(np.int64), starts))
             base.append(np.add.reduceat(np.log10((c + 1) / (v.total + v.distinct + 1)), starts))
-            bits.append(np.add.reduceat(text_bits(m, t, symbol, c), starts))
+            bits.append(np.add.reduceat(kept_bits(m, k, count), starts))
         size = np.diff(text_buffers(texts["text"])[0])
         bits = np.concatenate(bits)
         per_byte = pa.array(np.divide(bits, size, out=np.zeros(len(bits)), where=size > 0), pa.float64(), mask=size == 0)

@@ -179,3 +179,20 @@ def test_sums_in_two_rounds():
         want = sum(pieces[part, p] for p in range(5)).reshape(-1, 2)
         assert (zeros == want[:, 0]).all() and (ones == want[:, 1]).all()
     assert lm.unpacked(lm.packed(np.array([[10**6, 1], [0, 1 << 40]], np.uint64)))[1].tolist() == [1.0, 65535.0]
+
+
+def test_scoring_parts_texts_once(monkeypatch):
+    texts = pa.table({"p": pa.array([0, 0, 0], pa.int32()), "doc_id": pa.array([1, 2, 3]), "text": ["the cat sat", "", "a dog sat on the caät"]})
+    c = lm.together([lm.counted(t) for t in lm.tokens(texts["text"].slice(0, 2))])
+    v = lm.Vocabulary(c.h, c.n, int(c.n.sum()), len(c.h), 3, np.bincount(c.data, minlength=256))
+    ready = lm.plan(v)
+    model = lm.assembled(v, ready, lm.table([], lm._learnt))
+    rare, passes, tokens = lm._rare(lm.tokens(texts["text"]), v.h), [], lm.tokens
+    answers = pa.table({"p": pa.array([0], pa.int32()), "shard": pa.array([0], pa.int32()), "counts": [lm.planes(np.zeros(len(rare), np.int64))]})
+    monkeypatch.setattr(lm, "tokens", lambda column: passes.append(1) or tokens(column))
+    got = lm._score(type("Sent", (), {"value": model}))(texts, answers)
+    assert len(passes) == 1 and got["n_tokens"].to_pylist() == [4, 1, 7] and got["n_known"].to_pylist() == [4, 1, 3]
+    for text, score in zip(texts["text"].to_pylist(), got["score"].to_pylist(), strict=True):
+        (t,) = tokens(pa.array([text]))
+        symbol = lm.Index(v.h).find(t.h)
+        assert abs(score + lm.text_bits(model, t, symbol, np.append(v.n, 0)[symbol]).sum() * np.log10(2)) < 1e-6 * abs(score)
