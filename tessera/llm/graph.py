@@ -14,6 +14,7 @@ from tessera.llm.common import cut, discard
 #: A node with more than a share of 1 / SHARES of all edges is a hub; there are at most 4 * SHARES hubs.
 SHARES, LEAST_HUB = 1024, 256
 MOST_HELD = 1 << 20  #: edges that a task contracts at a time
+FEW = 1 << 16  #: so many contracted edges (1 MB) are settled by one more contraction, in one task; more of them by rounds of joins
 
 
 def _stars(edges: pa.Table) -> pa.RecordBatch:
@@ -80,18 +81,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of undirected edges (a, b): the least node that it reaches.
 
     Each partition contracts its edges, before and after equal ones meet, so that few rounds are left; large-star and small-star rounds alternate until
-    each node has one edge, to the least that it reaches. A round's edges are written to the shared folder, and those of
-    the round before deleted. Nodes are of any type that has an order. Loops and null ends are left out, an empty input
-    gives no rows.
+    each node has one edge, to the least that it reaches, or until the edges left are few: a round's dozen exchanges take
+    as many tasks for thousands of edges as for millions, so up to `FEW` edges are contracted together instead. A round's
+    edges are written to the shared folder, and those of the round before deleted. Nodes are of any type that has an
+    order. Loops and null ends are left out, an empty input gives no rows.
     """
     edges = cut(_contracted(_contracted(edges.filter("a <> b").select("a", "b")).distinct()), "edges")
     n, left = _unsettled(edges)
     hub = max(LEAST_HUB, n // SHARES)
-    while left and rounds:
+    while left and n > FEW and rounds:
         before, rounds = edges, rounds - 1
         edges = cut(_contracted(_star(_star(edges, True, hub), False, hub)), "edges")
         discard(before)
-        left = _unsettled(edges)[1]
+        n, left = _unsettled(edges)
+    if left and n <= FEW:
+        before, left = edges, 0
+        edges = cut(_contracted(edges.coalesce(1)), "edges")
+        discard(before)
     if left:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

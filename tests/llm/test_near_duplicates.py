@@ -82,6 +82,26 @@ def test_few_rounds(spark, monkeypatch):
         assert len(writes) <= most
 
 
+def test_few_edges_without_rounds(spark, monkeypatch):
+    # a chain dealt over many partitions took four rounds of a dozen exchanges; with no edges counted as few it still does
+    rounds, star = [], graph._star
+    monkeypatch.setattr(graph, "_star", lambda edges, large, hub: rounds.append(large) or star(edges, large, hub))
+    monkeypatch.setattr(graph, "LEAST_HUB", 16)
+    order = random.Random(13).sample(range(1500), 1500)
+    links = [*zip(order[:1000], order[1:1000], strict=False), *zip(order[1000::2], order[1001::2], strict=True), *((5000, k) for k in order[:1000:25])]
+    want = components([*order, 5000], links)
+    df = spark.createDataFrame(links, "a long, b long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for few in (graph.FEW, 0):
+            monkeypatch.setattr(graph, "FEW", few)
+            rounds.clear()
+            assert {x.node: x.component for x in graph.components(df).collect()} == want
+            assert bool(rounds) == (few == 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_recall_of_vectors(spark):
     """12,000 vectors, a tenth of them pairs just above the threshold, and a group of several blocks."""
     g = np.random.default_rng(5)
