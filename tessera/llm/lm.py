@@ -152,7 +152,12 @@ def pick(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def counted(t: Tokens) -> Counted:
     """Distinct tokens of a chunk; the end has no bytes."""
     w = t.words
-    h, at, n = np.unique(w.h, return_index=True, return_counts=True)
+    # by a hash table, which numbers words as they first occur; the distinct ones alone are sorted
+    numbered = pa.array(w.h).dictionary_encode()
+    code, h = numbered.indices.to_numpy(), numbered.dictionary.to_numpy()
+    order = np.argsort(h)
+    at = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1))[order]
+    h, n = h[order], np.bincount(code, minlength=len(h))[order]
     size = w.ends[at] - w.starts[at] + 1
     ends = np.cumsum(size)
     data = np.full(int(size.sum()), 32, np.uint8)
@@ -442,21 +447,25 @@ class Learner:
         x, levels = predictions(nodes, e.slots[0], [(c[:, 0].astype(np.float32), c[:, 1].astype(np.float32)) for c in pairs], self.shape.confident)
         gate = e.place * np.int16(LEVELS**self.shape.confident) + levels
         order = np.argsort(gate, kind="stable")
-        gate, bits = gate[order], e.bits[order]
-        x = [*(one[order] for one in x), np.ones(len(order), np.float32)]
+        gate, bits = gate.take(order), e.bits.take(order)
+        x, n = [one.take(order) for one in x], self.shape.inputs  # besides these a last input, which is 1
         cuts = np.flatnonzero(np.diff(gate, prepend=-1))
         size, here = np.diff(cuts, append=len(gate)), gate[cuts]
-        y = np.zeros(len(order), np.float32)
+        w = self.w[here].T.astype(np.float32)
+        y = np.repeat(w[n], size)
         for k, one in enumerate(x):
-            y += np.repeat(self.w[here, k].astype(np.float32), size) * one
+            y += np.repeat(w[k], size) * one
         low, part = bins(y)
-        self.seen = KEEP * self.seen + np.bincount((bits.astype(np.int64) * PLACES + e.place[order]) * BINS + low + (part > 0.5), minlength=len(self.seen))
+        at = (bits * np.int16(PLACES) + e.place.take(order)) * np.int16(BINS)
+        self.seen = KEEP * self.seen + np.bincount(at + low + (part > 0.5), minlength=len(self.seen))
         p = 1 / (1 + np.exp(-np.clip(y, -30, 30)))
         off, curve = bits - p, p * (1 - p)
-        pull = np.stack([np.add.reduceat(off * one, cuts) for one in x], 1).astype(np.float64)
-        bend = np.empty((len(cuts), len(x), len(x)))
+        pull = np.stack([*(np.add.reduceat(off * one, cuts) for one in x), np.add.reduceat(off, cuts)], 1).astype(np.float64)
+        bend = np.empty((len(cuts), n + 1, n + 1))
+        bend[:, n, n] = np.add.reduceat(curve, cuts)
         for i, a in enumerate(x):
             weighed = curve * a
+            bend[:, i, n] = bend[:, n, i] = np.add.reduceat(weighed, cuts)
             for j in range(i + 1):
                 bend[:, i, j] = bend[:, j, i] = np.add.reduceat(weighed * x[j], cuts)
         self.sure[here] = KEEP * self.sure[here] + bend
@@ -477,9 +486,17 @@ PIECE, PART = 1 << 16, 1 << 12  #: slots, and numbers of the sums, in a row
 
 
 def sparse(x: np.ndarray) -> bytes:
-    """What is not 0 in x, and how far each is from the one before."""
+    """How far what is not 0 in x is from what came before, then what it is; both in as few bytes as the largest asks for."""
     at = np.flatnonzero(x)
-    return planes(np.concatenate([np.diff(at, prepend=0).astype(np.uint64), x[at].astype(np.uint64)]))
+    parts = [y.astype(np.min_scalar_type(int(y.max(initial=0)))) for y in (np.diff(at, prepend=0), x.take(at))]
+    return bytes(y.dtype.itemsize for y in parts) + b"".join(planes(y) for y in parts)
+
+
+def dense(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The places, and what is there."""
+    a, b = blob[0], blob[1]
+    end = 2 + (len(blob) - 2) // (a + b) * a
+    return np.cumsum(numbers(blob[2:end], f"u{a}"), dtype=np.int64), numbers(blob[end:], f"u{b}")
 
 
 #: kind 0: a piece of the counts; 1 and 2: a part of the sums of the mixer of words, and of letters.
@@ -563,8 +580,8 @@ def _add_up(last: bool):
                     one = np.frombuffer(blob, np.float64)
                     x[: len(one)] += one
                 else:
-                    steps, n = numbers(blob, np.uint64).reshape(2, -1)
-                    x[np.cumsum(steps, dtype=np.int64)] += n
+                    at, n = dense(blob)
+                    x[at] += n
         if key:
             yield made(*key, x)
 
@@ -669,7 +686,7 @@ def coded(m: Mixer, symbol: np.ndarray, contexts: list[np.ndarray], bounds: np.n
                 y += (m.weights[k].take(gate) + np.repeat(own[k, who], size)) * one
             low, part = bins(y)
             base = e.place * np.intp(BINS) + low
-            bin_ = np.repeat(who * COARSE, size) + low // 4
+            bin_ = np.repeat(who * COARSE, size) + (low >> 2)
             y = np.float32(0.5) * (y + m.refined.take(base) * (1 - part) + m.refined.take(base + 1) * part) + fine.take(bin_)
             # log odds against the bit that came; exp of what is never positive can't overflow
             sign = e.bits * np.float32(2) - np.float32(1)

@@ -196,3 +196,29 @@ def test_scoring_parts_texts_once(monkeypatch):
         (t,) = tokens(pa.array([text]))
         symbol = lm.Index(v.h).find(t.h)
         assert abs(score + lm.text_bits(model, t, symbol, np.append(v.n, 0)[symbol]).sum() * np.log10(2)) < 1e-6 * abs(score)
+
+
+def test_counts_are_handed_over_narrow():
+    # they took sixteen bytes a count, whatever it was
+    r = np.random.default_rng(5)
+    for size, most, wide in ((1 << 12, 200, 2), (1 << 17, 60_000, 3), (1 << 17, 1 << 40, 9)):
+        x = np.zeros(size, np.uint64)
+        at = np.sort(np.append(r.choice(size - 1, size // 8, replace=False), size - 1))
+        x[at] = r.integers(1, most, len(at), dtype=np.uint64)
+        blob = lm.sparse(x)
+        places, n = lm.dense(blob)
+        assert (places == at).all() and (n == x[at]).all() and len(blob) == 2 + wide * len(at)
+    places, n = lm.dense(lm.sparse(np.zeros(9, np.uint32)))
+    assert len(places) == len(n) == 0
+
+
+def test_distinct_tokens_of_a_chunk():
+    texts = ["b a b", "", "a c\u00e9 A zz b", None, "b"]
+    (t,) = lm.tokens(pa.array([x or "" for x in texts]))
+    got = lm.counted(t)
+    h, n = np.unique(t.h, return_counts=True)
+    assert (got.h == h).all() and (got.n == n).all()
+    ends = np.append(0, got.ends)
+    spelled = {int(k): got.data[a:b].tobytes() for k, a, b in zip(got.h, ends, ends[1:], strict=False)}
+    words = [w for x in texts if x for w in x.replace("A", "a").encode().split(b" ")]
+    assert spelled == {int(lm.END): b" "} | {int(k): w + b" " for k, w in zip(t.words.h, words, strict=True)}
