@@ -9,7 +9,7 @@ and divided by its bytes the bits per byte.
 
 Learning is one online pass. Training texts are dealt by a hash of the row into groups, put in order there and coded
 block by block: a block is predicted from the counts, weights and refinement that the blocks before it left, and then
-changes all three. The groups' counts add up; their weights are joined by how sure each group is of them. Neither
+changes all three. Symbols of a block that pass one node of the code in the same contexts are learnt from together. The groups' counts add up; their weights are joined by how sure each group is of them. Neither
 depends on how the input is partitioned. Word counts are exact, by hash shards, without a limit; the number of coded
 words and the width of the tables grow with the square root of the training tokens up to `MOST_TOP` and `MOST_BITS`,
 which bound what is broadcast.
@@ -288,6 +288,8 @@ class Code(NamedTuple):
     bit: np.ndarray
     place: np.ndarray
     rank: np.ndarray  #: of each symbol by its count; the last symbol, in a code of words the escape, far behind
+    word: np.ndarray  #: the first 64 bits of each symbol's path, the first one highest
+    order: np.ndarray  #: of each symbol by its path, so that symbols with a common beginning stand together
 
 
 def prefix_code(n: np.ndarray) -> Code:
@@ -313,7 +315,10 @@ def prefix_code(n: np.ndarray) -> Code:
     flat = np.array([x for p in paths for x in p], np.int64).reshape(-1, 2)
     place = np.minimum(np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length), PLACES - 1)
     node = np.ascontiguousarray(flat[:, 0])
-    return Code(np.cumsum(length) - length, length, node, short(node.astype(np.uint64) * NODE), flat[:, 1].astype(np.uint8), place.astype(np.uint8), rank)
+    word = np.array([sum(bit << (63 - d) for d, (_, bit) in enumerate(p[:64])) for p in paths], np.uint64)
+    order = np.empty(len(n), np.uint64)
+    order[np.argsort(word, kind="stable")] = np.arange(len(n), dtype=np.uint64)
+    return Code(np.cumsum(length) - length, length, node, short(node.astype(np.uint64) * NODE), flat[:, 1].astype(np.uint8), place.astype(np.uint8), rank, word, order)
 
 
 # ---- bit events
@@ -337,8 +342,54 @@ def events(code: Code, symbol: np.ndarray, contexts: list[np.ndarray], bits: int
     length = code.length[symbol]
     starts = np.cumsum(length) - length
     path = np.arange(int(length.sum())) + np.repeat(code.start[symbol] - starts, length)
-    key, shift = code.key[path], np.uint32(32 - bits)
-    return Events([code.node[path], *(((np.repeat(c, length) ^ key) * SPREAD >> shift).astype(np.int64) for c in contexts)], code.bit[path], code.place[path], starts)
+    key, shift = code.key.take(path), np.uint32(32 - bits)
+    return Events([code.node.take(path), *(((np.repeat(c, length) ^ key) * SPREAD >> shift).astype(np.int64) for c in contexts)], code.bit.take(path), code.place.take(path), starts)
+
+
+class Passed(NamedTuple):
+    """The distinct nodes that symbols pass, by depth; a node passed in other contexts is another one. What is counted
+    there is the same for all that pass it."""
+
+    slots: list[np.ndarray]  #: for each predictor, as of events
+    place: np.ndarray
+    zeros: np.ndarray  #: how many symbols go on by each bit
+    ones: np.ndarray
+
+
+ORDER_BITS = np.uint64(20)  #: more than MOST_TOP asks for
+
+
+def passed(code: Code, symbol: np.ndarray, contexts: list[np.ndarray], bits: int) -> Passed:
+    h = np.zeros(len(symbol), np.uint64)
+    for c in contexts:
+        h = (h ^ c) * NODE
+    sort = np.argsort(h >> ORDER_BITS << ORDER_BITS | code.order.take(symbol))
+    # contexts are told apart by themselves: where their hashes agree, less is found to be the same
+    same, own = np.ones(len(sort), bool), symbol.take(sort)
+    same[:1] = False
+    for c in contexts:
+        c = c.take(sort)
+        same[1:] &= c[1:] == c[:-1]
+    begin = np.flatnonzero(~(same & (own == np.roll(own, 1))))
+    own, many = own.take(begin), np.diff(begin, append=len(sort))
+    word = code.word.take(own)
+    # the depth at which each path leaves that of the one before it; numbers of 53 bits are floats exactly
+    leaves = np.where(same[begin], 53 - np.frexp(((word ^ np.roll(word, 1)) >> np.uint64(11)).astype(np.float64))[1], -1).astype(np.int16)
+    by, length, path = sort.take(begin), code.length.take(own), code.start.take(own)
+    out, deep = [], 0
+    while True:
+        go = np.flatnonzero(length > deep)
+        if not len(go):
+            break
+        by, length, path, many, leaves = (x.take(go) for x in (by, length, path, many, leaves))
+        cuts = np.flatnonzero(leaves < deep)  # the first is one of them
+        at = path + deep
+        ones = np.add.reduceat(many * code.bit.take(at), cuts)
+        out.append((by.take(cuts), at.take(cuts), np.add.reduceat(many, cuts) - ones, ones))
+        deep += 1
+    by, path, zeros, ones = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*out, strict=True) if out else [[]] * 4))
+    key, shift = code.key.take(path), np.uint32(32 - bits)
+    return Passed([code.node.take(path), *(((c.take(by) ^ key) * SPREAD >> shift).astype(np.int64) for c in contexts)], code.place.take(path), zeros, ones)
 
 
 def word_contexts(common: np.ndarray, just: np.ndarray) -> list[np.ndarray]:
@@ -389,7 +440,7 @@ KEEP = 0.98  #: a block's share in what weights and refinement rest on shrinks b
 
 def level(n: np.ndarray) -> np.ndarray:
     """How well a context is known by what was counted in it."""
-    return (n > 0).astype(np.int16) + (n > 3) + (n > 31)
+    return (n > 0).view(np.int8) + (n > 3).view(np.int8) + (n > 31).view(np.int8)
 
 
 def shares(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -441,13 +492,14 @@ class Learner:
         self.seen = np.zeros(2 * PLACES * BINS)
 
     def learn(self, symbol: np.ndarray, contexts: list[np.ndarray]) -> None:
-        e = events(self.code, symbol, contexts, self.bits)
-        pairs = (counts.view(np.uint64).take(slot).view(np.uint32).reshape(-1, 2) for counts, slot in zip(self.counts[1:], e.slots[1:], strict=True))
+        p = passed(self.code, symbol, contexts, self.bits)
+        # no group has so many tokens that signed numbers, which become floats faster, would not hold a count
+        pairs = (counts.view(np.uint64).take(slot).view(np.int32).reshape(-1, 2).astype(np.float32) for counts, slot in zip(self.counts[1:], p.slots[1:], strict=True))
         nodes = shares(*self.counts[0].reshape(-1, 2).T.astype(np.float32))
-        x, levels = predictions(nodes, e.slots[0], [(c[:, 0].astype(np.float32), c[:, 1].astype(np.float32)) for c in pairs], self.shape.confident)
-        gate = e.place * np.int16(LEVELS**self.shape.confident) + levels
+        x, levels = predictions(nodes, p.slots[0], [(c[:, 0], c[:, 1]) for c in pairs], self.shape.confident)
+        gate = p.place * np.int16(LEVELS**self.shape.confident) + levels
         order = np.argsort(gate, kind="stable")
-        gate, bits = gate.take(order), e.bits.take(order)
+        gate, zeros, ones = gate.take(order), p.zeros.take(order).astype(np.float32), p.ones.take(order).astype(np.float32)
         x, n = [one.take(order) for one in x], self.shape.inputs  # besides these a last input, which is 1
         cuts = np.flatnonzero(np.diff(gate, prepend=-1))
         size, here = np.diff(cuts, append=len(gate)), gate[cuts]
@@ -456,10 +508,11 @@ class Learner:
         for k, one in enumerate(x):
             y += np.repeat(w[k], size) * one
         low, part = bins(y)
-        at = (bits * np.int16(PLACES) + e.place.take(order)) * np.int16(BINS)
-        self.seen = KEEP * self.seen + np.bincount(at + low + (part > 0.5), minlength=len(self.seen))
-        p = 1 / (1 + np.exp(-np.clip(y, -30, 30)))
-        off, curve = bits - p, p * (1 - p)
+        near = p.place.take(order) * np.int16(BINS) + low + (part > 0.5)
+        self.seen = KEEP * self.seen + np.concatenate([np.bincount(near, many, PLACES * BINS) for many in (zeros, ones)])
+        likely = 1 / (1 + np.exp(-np.clip(y, -30, 30)))
+        mean = (zeros + ones) * likely
+        off, curve = ones - mean, mean * (1 - likely)
         pull = np.stack([*(np.add.reduceat(off * one, cuts) for one in x), np.add.reduceat(off, cuts)], 1).astype(np.float64)
         bend = np.empty((len(cuts), n + 1, n + 1))
         bend[:, n, n] = np.add.reduceat(curve, cuts)
@@ -470,8 +523,9 @@ class Learner:
                 bend[:, i, j] = bend[:, j, i] = np.add.reduceat(weighed * x[j], cuts)
         self.sure[here] = KEEP * self.sure[here] + bend
         self.w[here] += np.clip(np.linalg.solve(self.sure[here], pull[:, :, None])[:, :, 0], -STEP, STEP)
-        for counts, slot in zip(self.counts, e.slots, strict=True):
-            np.add.at(counts, 2 * slot + e.bits, np.uint32(1))
+        more = p.zeros.astype(np.uint64) | p.ones.astype(np.uint64) << np.uint64(32)
+        for counts, slot in zip(self.counts, p.slots, strict=True):
+            np.add.at(counts.view(np.uint64), slot, more)
 
     def sums(self) -> list[np.ndarray]:
         """What adds up over learners: curvature, curvature times weights, and what was seen."""
@@ -680,16 +734,16 @@ def coded(m: Mixer, symbol: np.ndarray, contexts: list[np.ndarray], bounds: np.n
             who, at = text[some][first], e.starts[first]
             size = np.diff(at, append=len(e.bits))
             x, levels = predictions(nodes, e.slots[0], [unpacked(pair.take(slot)) for pair, slot in zip(m.tables[1:], e.slots[1:], strict=True)], m.shape.confident)
-            gate = (e.place * np.int16(LEVELS**m.shape.confident) + levels).astype(np.intp)
+            gate = (e.place.astype(np.int16) * np.int16(LEVELS**m.shape.confident) + levels.astype(np.int16)).astype(np.intp)
             y = m.weights[n].take(gate) + np.repeat(own[n, who], size)
             for k, one in enumerate(x):
                 y += (m.weights[k].take(gate) + np.repeat(own[k, who], size)) * one
             low, part = bins(y)
-            base = e.place * np.intp(BINS) + low
+            base = (e.place.astype(np.int32) * np.int32(BINS) + low).astype(np.intp)
             bin_ = np.repeat(who * COARSE, size) + (low >> 2)
             y = np.float32(0.5) * (y + m.refined.take(base) * (1 - part) + m.refined.take(base + 1) * part) + fine.take(bin_)
             # log odds against the bit that came; exp of what is never positive can't overflow
-            sign = e.bits * np.float32(2) - np.float32(1)
+            sign = e.bits.astype(np.float32) * np.float32(2) - np.float32(1)
             against = -sign * y
             t = np.exp(-np.abs(against))
             whole = 1 + t

@@ -15,6 +15,7 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
+INK = (~SPACE).tobytes()
 AS_IS = np.arange(256, dtype=np.uint8)
 LOWER = AS_IS.copy()
 LOWER[65:91] += 32
@@ -89,15 +90,17 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def chunks(column: pa.Array, fold: np.ndarray = AS_IS) -> Iterator[Words]:
     """The texts of a column in chunks of about a megabyte; a longer text makes a chunk of its own."""
     offsets, data = text_buffers(column)
-    n, i = len(offsets) - 1, 0
+    n, i, table = len(offsets) - 1, 0, fold.tobytes()
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
-        part, cuts = fold[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
-        ink = ~SPACE[part]
+        folded, cuts = data[offsets[i] : offsets[j]].tobytes().translate(table), offsets[i : j + 1] - offsets[i]
+        part, ink = np.frombuffer(folded, np.uint8), np.frombuffer(folded.translate(INK), bool)
         edge = np.zeros(len(part) + 1, bool)
         edge[cuts] = True
-        starts = np.flatnonzero(ink & (edge[:-1] | ~np.concatenate(([False], ink[:-1]))))
-        ends = np.flatnonzero(ink & (edge[1:] | ~np.concatenate((ink[1:], [False])))) + 1
+        # between two bytes a word begins or ends where one of them is no ink, or a text does
+        edge[1:-1] |= ~(ink[:-1] & ink[1:])
+        edge[[0, -1]] = True
+        starts, ends = np.flatnonzero(ink & edge[:-1]), np.flatnonzero(ink & edge[1:]) + 1
         h = ranges(part.astype(np.uint64) + np.uint64(1), starts, ends, BYTE_BASE)
         yield Words(i, np.searchsorted(starts, cuts).astype(np.int64), h, starts, ends, part)
         i = j

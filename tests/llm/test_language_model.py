@@ -222,3 +222,36 @@ def test_distinct_tokens_of_a_chunk():
     spelled = {int(k): got.data[a:b].tobytes() for k, a, b in zip(got.h, ends, ends[1:], strict=False)}
     words = [w for x in texts if x for w in x.replace("A", "a").encode().split(b" ")]
     assert spelled == {int(lm.END): b" "} | {int(k): w + b" " for k, w in zip(t.words.h, words, strict=True)}
+
+
+def test_a_learner_predicts_once_what_is_passed_again(monkeypatch):
+    g = np.random.default_rng(5)
+    code = lm.prefix_code(np.append(2 ** g.integers(0, 40, 300), 7))
+    deep = lm.prefix_code(np.array([1 << k for k in range(57)]))  # paths that 53 bits don't tell apart
+    assert deep.length.max() > 54
+    for c, shape, many in ((code, lm.WORDS, 4), (code, lm.LETTERS, 3), (deep, lm.WORDS, 2)):
+        symbol = g.integers(0, len(c.length), 6000)
+        contexts = [lm.short(g.integers(0, many, 6000).astype(np.uint64)) for _ in range(shape.inputs - 1)]
+        x, made, real = lm.Learner(shape, c, 14), [], lm.predictions
+        monkeypatch.setattr(lm, "predictions", lambda nodes, slot, *rest: made.append(len(slot)) or real(nodes, slot, *rest))
+        x.learn(symbol, contexts)
+        monkeypatch.setattr(lm, "predictions", real)
+        e = lm.events(c, symbol, contexts, 14)
+        passed = {(e.slots[0][k], *(q[i] for q in contexts)) for i, (a, n) in enumerate(zip(e.starts, c.length[symbol], strict=True)) for k in range(a, a + n) if k - a < 54}
+        most = len(passed) + int(np.maximum(c.length[symbol] - 54, 0).sum())
+        assert len(passed) <= made[0] <= most and 3 * made[0] < len(e.bits)
+        for counts, slot in zip(x.counts, e.slots, strict=True):
+            assert np.array_equal(counts, np.bincount(2 * slot + e.bits, minlength=len(counts)))
+        # all weights are even before the first block: the pull at the inputs is the sum over events, one by one
+        share, odds = lm.shares(*np.zeros((2, len(c.length)), np.float32))
+        given, levels = real((share, odds), e.slots[0], [(np.zeros(len(e.bits), np.float32),) * 2] * (shape.inputs - 1), shape.confident)
+        y = sum(given) / shape.inputs
+        off = e.bits - 1 / (1 + np.exp(-y))
+        assert abs(sum(given)).max() < 1e-6 and not np.any(levels)
+        for place in range(lm.PLACES):
+            here = e.place == place
+            gate = place * lm.LEVELS**shape.confident
+            moved = off[here].sum() / (lm.KEEP * lm.PRIOR + 0.25 * here.sum())
+            assert abs(x.w[gate, -1] - np.clip(moved, -lm.STEP, lm.STEP)) < 1e-4
+        zeros, ones = x.seen.reshape(2, lm.PLACES, lm.BINS).sum(2)
+        assert np.array_equal(zeros + ones, np.bincount(e.place, minlength=lm.PLACES)) and np.array_equal(ones, np.bincount(e.place, e.bits, lm.PLACES))
